@@ -20,7 +20,7 @@ from pairlab.llm.common import ASCII_LOWER, chunks, text_bytes
 
 BITS = 15
 #: Training rows of a language at most.
-ROWS_A_LANGUAGE = 1500
+ROWS_A_LANGUAGE = 400
 #: A text is ambiguous if the winner's probability is below this.
 CLEAR = 0.6
 #: Bytes other than ASCII letters and non-ASCII ones become blanks.
@@ -81,7 +81,7 @@ def histogram(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield at, value / max(1e-9, np.sqrt((value**2).sum()))
 
 
-def train(docs: DataFrame, train_rows: Column, rows: int = ROWS_A_LANGUAGE, bits: int = BITS, steps: int = 120, rate: float = 0.5, decay: float = 1e-5) -> Model:
+def train(docs: DataFrame, train_rows: Column, rows: int = ROWS_A_LANGUAGE, bits: int = BITS, steps: int = 60, rate: float = 0.8, decay: float = 1e-5) -> Model:
     """Learns from text and lang of train_rows (a condition on doc_id) with a lang and a text with a letter.
 
     Each language gives at most about `rows` rows, by a hash of the id; they are weighted so that all

@@ -1,4 +1,4 @@
-"""Toxicity by non-negative positive-unlabelled learning on hashed words.
+"""Toxicity by non-negative positive-unlabelled learning on hashed words and word beginnings.
 
 Confirmed toxic rows are the positives; everything else of the training rows is unlabelled, toxic texts
 among it included. The risk of a linear classifier is  pi * Rp(+) + max(0, Ru(-) - pi * Rp(-)),  with pi the
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.common import ASCII_LOWER, chunks, hashed_share, id_crc, run_hash, spans, text_bytes
 
-BITS = 18
+BITS = 20
+#: Bytes of the word beginnings that are features beside the whole words.
+PREFIXES = (4, 5, 6, 7)
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Rows that training reads at most: confirmed positives and unlabelled ones.
 POSITIVES, UNLABELLED = 4000, 8000
-#: A word is a feature if it is in so many training texts.
-LEAST_DOCS = 4
+#: A feature is used if it is in so many confirmed texts, and so many times as frequent there as in unlabelled ones.
+LEAST_DOCS, LEAST_LIFT = 3, 3.0
 
 
 @dataclass
@@ -33,12 +35,22 @@ class Model:
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashed words of all texts: text number, feature and value; values of a text have length 1."""
+    """Distinct hashed words and word beginnings of all texts: text number, feature and value.
+
+    The value is the share of the logarithmic count; values of a text have length 1.
+    """
     data, offsets = text_bytes(column)
     data = ASCII_LOWER[data]
     start, end, doc = spans(data, offsets, LETTER)
-    code = (run_hash(data, start, end) >> np.uint64(64 - bits)).astype(np.int64)
-    pair, count = np.unique((doc << bits) | code, return_counts=True)
+    codes, docs = [run_hash(data, start, end)], [doc]
+    for n in PREFIXES:
+        longer = end - start > n
+        codes.append(run_hash(data, start[longer], start[longer] + n, seed=100 + n))
+        docs.append(doc[longer])
+    code = (np.concatenate(codes) >> np.uint64(64 - bits)).astype(np.int64)
+    pair = np.sort((np.concatenate(docs) << bits) | code)
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    count, pair = np.diff(np.append(first, len(pair))), pair[first]
     doc, code = pair >> bits, pair & ((1 << bits) - 1)
     value = np.log1p(count)
     norm = np.sqrt(np.bincount(doc, value**2, minlength=len(column)))
@@ -60,12 +72,13 @@ def sampled(df: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, np.frombuffer(b"".join(codes), "<i4").astype(np.int64), np.frombuffer(b"".join(values), "<f4").astype(np.float64), got.column("y").to_numpy().astype(np.int64)
 
 
-def fit_nnpu(row: np.ndarray, code: np.ndarray, value: np.ndarray, y: np.ndarray, prior: float, bits: int = BITS, steps: int = 300, rate: float = 0.3, decay: float = 1e-4, least_docs: int = LEAST_DOCS) -> Model:
+def fit_nnpu(row: np.ndarray, code: np.ndarray, value: np.ndarray, y: np.ndarray, prior: float, bits: int = BITS, steps: int = 150, rate: float = 0.6, decay: float = 2e-6, least_docs: int = LEAST_DOCS, least_lift: float = LEAST_LIFT) -> Model:
     """Full-batch Adam on the non-negative risk with logistic loss. y: 1 for a confirmed positive, 0 for an unlabelled row."""
     size = 1 << bits
     if not len(y) or not y.any() or y.all():
         return Model(np.zeros(size), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
-    kept = np.bincount(code, minlength=size) >= least_docs
+    in_p, in_u = np.bincount(code[y[row] == 1], minlength=size), np.bincount(code[y[row] == 0], minlength=size)
+    kept = (in_p >= least_docs) & (in_p / y.sum() >= least_lift * in_u / (len(y) - y.sum()))
     ok = kept[code]
     names, code = np.unique(code[ok], return_inverse=True)
     row, value = row[ok], value[ok]
