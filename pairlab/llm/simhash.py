@@ -131,8 +131,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    groups = connected_components(links(distinct.select("fp"), max_bits), "a", "b")
+    edges = materialise(links(distinct.select("fp"), max_bits), "links")
+    groups = connected_components(edges, "a", "b")
     named = distinct.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = named.join(least, "group").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id, with all its columns.
+
+    Rows of one id are one document and leave one row; rows without an id all stay.
+    """
+    groups = near_duplicates(docs, id_col, text_col)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
