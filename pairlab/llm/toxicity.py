@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, positives: int
     rows = docs.select("doc_id", "text").where(train_rows).where("doc_id is not null and text is not null")
     total = rows.count()
     prior = min(0.95, max(0.001, toxic / n)) if n and toxic else 0.1
-    confirmed = hashed_share(labels.where("toxic = 1"), "doc_id", positives, toxic).select("doc_id", F.lit(1).alias("y"))
+    # At most 2 x positives ids, so their size is bounded whatever the tables hold, and the texts stay where they are.
+    confirmed = F.broadcast(hashed_share(labels.where("toxic = 1"), "doc_id", positives, toxic).select("doc_id", F.lit(1).alias("y")).limit(2 * positives))
     others = hashed_share(rows, "doc_id", unlabelled, total)
     plain = others.join(labels.where("toxic = 1"), "doc_id", "left_anti").withColumn("y", F.lit(0))
     marked = rows.join(confirmed, "doc_id")
