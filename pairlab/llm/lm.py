@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import ASCII_LOWER, materialise, text_bytes
+from pairlab.llm.common import ASCII_LOWER, chunks, materialise, text_bytes
 
 ORDER, BACKOFF = 4, 0.4
 #: An n-gram of two or more bytes counts as seen from so many occurrences on.
 LEAST = 2
 BLOCK_BYTES = 8_000_000
+#: Bytes of a block's text that are arrays at one time.
+PART_BYTES = 1_000_000
 
 
 def codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -45,38 +47,46 @@ def named(code: np.ndarray, n: int) -> np.ndarray:
 
 def block_grams(t: pa.Table, order: int) -> pa.Table:
     """(block, gram, n): the n-grams of a block's documents with their counts."""
-    _, place, levels = codes(t.column("text").combine_chunks(), order)
-    grams, counts = [], []
-    for n, code in enumerate(levels, 1):
-        g, c = np.unique(code[place >= n - 1], return_counts=True)
-        grams.append(named(g, n))
-        counts.append(c)
-    gram = np.concatenate(grams)
+    grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in chunks(t.to_batches(), limit=PART_BYTES):
+        _, place, levels = codes(part.column("text"), order)
+        for n, code in enumerate(levels, 1):
+            g, c = np.unique(code[place >= n - 1], return_counts=True)
+            grams.append(named(g, n))
+            counts.append(c)
+    every, count = np.concatenate(grams), np.concatenate(counts)
+    by = np.argsort(every, kind="stable")
+    every = every[by]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else by
+    total = np.add.reduceat(count[by], first) if len(every) else count
     block = t.column("block")[0].as_py() if t.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(gram), block, np.int64)), "gram": gram, "n": np.concatenate(counts).astype(np.int64)})
+    return pa.table({"block": pa.array(np.full(len(first), block, np.int64)), "gram": every[first], "n": total.astype(np.int64)})
 
 
 def block_scores(t: pa.Table, counts: pa.Table, total: int, order: int, backoff: float, least: int) -> pa.Table:
     """(id, n_grams, log_score): summed natural logarithms over the bytes of each document."""
-    doc, place, levels = codes(t.column("text").combine_chunks(), order)
     gram, count = counts.column("gram").to_numpy(), counts.column("total").to_numpy()
     by = np.argsort(gram)
     gram, count = gram[by], count[by]
-    seen = [np.where(place >= n - 1, count[np.searchsorted(gram, np.where(place >= n - 1, named(code, n), gram[0]))], 0) if len(gram) else place for n, code in enumerate(levels, 1)]
-    score, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)
-    weight = np.zeros(len(doc))
-    for n in range(order, 0, -1):
-        here = open_ & (seen[n - 1] >= (least if n > 1 else 1))
-        if n > 1:
-            before = np.zeros(len(doc))
-            before[1:] = seen[n - 2][:-1]  # the context ends one byte earlier
-        else:
+    ids, sizes, sums = [], [], []
+    for part in chunks(t.to_batches(), limit=PART_BYTES):
+        doc, place, levels = codes(part.column("text"), order)
+        seen = [np.where(place >= n - 1, count[np.searchsorted(gram, np.where(place >= n - 1, named(code, n), gram[0]))], 0) if len(gram) else place for n, code in enumerate(levels, 1)]
+        points, weight, open_ = np.zeros(len(doc)), np.zeros(len(doc)), np.ones(len(doc), bool)
+        for n in range(order, 0, -1):
+            here = open_ & (seen[n - 1] >= (least if n > 1 else 1))
             before = np.full(len(doc), float(total))
-        score[here] = weight[here] + np.log(seen[n - 1][here] / before[here])
-        open_ &= ~here
-        weight = np.where(open_ & (place >= n - 1), weight + np.log(backoff), weight)
-    sums = np.bincount(doc, score, minlength=t.num_rows)
-    return pa.table({"id": t.column("id"), "n_grams": pa.array(np.bincount(doc, minlength=t.num_rows).astype(np.int64)), "log_score": pa.array(sums)})
+            if n > 1:
+                before[1:] = seen[n - 2][:-1]  # the context ends one byte earlier
+            points[here] = weight[here] + np.log(seen[n - 1][here] / before[here])
+            open_ &= ~here
+            weight = np.where(open_ & (place >= n - 1), weight + np.log(backoff), weight)
+        ids.append(part.column("id"))
+        sizes.append(np.bincount(doc, minlength=part.num_rows))
+        sums.append(np.bincount(doc, points, minlength=part.num_rows))
+    if not ids:
+        return pa.table({"id": t.column("id"), "n_grams": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
+    return pa.table({"id": pa.chunked_array(ids), "n_grams": pa.array(np.concatenate(sizes).astype(np.int64)), "log_score": pa.array(np.concatenate(sums))})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
