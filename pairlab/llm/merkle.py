@@ -147,7 +147,7 @@ def edited_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     n = ranges or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = id_ranges(ids, "at", n)
 
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     by_range = Bucketizer(splits=splits, inputCol="place", outputCol="range")
 
     def ranged(df: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,15 +141,17 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
 def packer(turn: int, capacity: int):
     """Packs one partition of a round; certified: its bins meet its own lower bound."""
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        g = int(t.grp.iloc[0])
-        t = t.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable")
-        bins, offset = best_fit(t.length.to_numpy(np.int64), capacity)
-        used = np.bincount(bins, t.length)
-        certified = len(used) == lower_bound(np.bincount(t.length, minlength=capacity + 1), capacity)
-        t["sequence_id"], t["offset"] = (turn << 56) + (g << 24) + bins, offset
-        t["open"], t["head"], t["certified"] = used[bins] < capacity, offset == 0, certified
-        return t.drop(columns=["grp"])
+    def run(t: pa.Table) -> pa.Table:
+        g = t.column("grp")[0].as_py()
+        t = t.drop_columns(["grp"]).sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "start", "ids_crc32")])
+        length = t.column("length").to_numpy()
+        bins, offset = best_fit(length, capacity)
+        used = np.bincount(bins, length).astype(np.int64)
+        certified = len(used) == lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
+        more = {"sequence_id": (turn << 56) + (g << 24) + bins, "offset": offset, "open": used[bins] < capacity, "head": offset == 0, "certified": np.full(len(bins), certified)}
+        for name, values in more.items():
+            t = t.append_column(name, pa.array(values))
+        return t
 
     return run
 
@@ -173,7 +174,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, max_roun
         groups = max(1, -(-left // group))
 
         deal = todo.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)))
-        packed = materialise(deal.groupBy("grp").applyInPandas(packer(turn, capacity), fields + ", sequence_id long, offset long, open boolean, head boolean, certified boolean"), f"packed-{turn}")
+        packed = materialise(deal.groupBy("grp").applyInArrow(packer(turn, capacity), fields + ", sequence_id long, offset long, open boolean, head boolean, certified boolean"), f"packed-{turn}")
         n = {r.open: (r.n, r.bins) for r in packed.groupBy("open").agg(F.count("*").alias("n"), F.count_if("head").alias("bins")).collect()}
         full, (left, open_bins) = n.get(False, (0, 0))[1], n.get(True, (0, 0))
         total = closed + full + open_bins
