@@ -22,7 +22,7 @@ BITS = 20
 PREFIXES = (4, 5, 6, 7)
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Rows that training reads at most: confirmed positives and unlabelled ones.
-POSITIVES, UNLABELLED = 4000, 8000
+POSITIVES, UNLABELLED = 2000, 4000
 #: A feature is used if it is in so many confirmed texts, and so many times as frequent there as in unlabelled ones.
 LEAST_DOCS, LEAST_LIFT = 3, 3.0
 
@@ -68,8 +68,8 @@ def sampled(df: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     got = df.mapInArrow(run, "id string, y int, code binary, value binary").toArrow().sort_by([("y", "ascending"), ("id", "ascending"), ("code", "ascending")])
     codes, values = got.column("code").to_pylist(), got.column("value").to_pylist()
-    row = np.repeat(np.arange(len(codes)), [len(c) // 4 for c in codes]).astype(np.int64)
-    return row, np.frombuffer(b"".join(codes), "<i4").astype(np.int64), np.frombuffer(b"".join(values), "<f4").astype(np.float64), got.column("y").to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) // 4 for c in codes])
+    return row, np.frombuffer(b"".join(codes), "<i4"), np.frombuffer(b"".join(values), "<f4"), got.column("y").to_numpy().astype(np.int64)
 
 
 def fit_nnpu(row: np.ndarray, code: np.ndarray, value: np.ndarray, y: np.ndarray, prior: float, bits: int = BITS, steps: int = 150, rate: float = 0.6, decay: float = 2e-6, least_docs: int = LEAST_DOCS, least_lift: float = LEAST_LIFT) -> Model:
