@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
