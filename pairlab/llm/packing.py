@@ -2,7 +2,7 @@
 
 Pieces are dealt evenly to partitions; each packs its own by best-fit decreasing and compares its bins with
 lower bounds from dual feasible functions. While the whole count is above the bound over all lengths,
-partitions hand over the pieces of their bins that have room, which are dealt anew and packed again.
+partitions hand over the pieces of their emptier bins, which are dealt anew and packed again.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ TOKENIZER = "byte_bpe_50k"
 #: Pieces that one task packs.
 GROUP = 60_000
 MAX_ROUNDS = 6
+#: A sequence with more room than this is handed over; fuller ones are done.
+SLACK = 8
 
 
 @lru_cache(2)
@@ -148,7 +150,7 @@ def packer(turn: int, capacity: int):
         bins, offset = best_fit(length, capacity)
         used = np.bincount(bins, length).astype(np.int64)
         certified = len(used) == lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
-        more = {"sequence_id": (turn << 56) + (g << 24) + bins, "offset": offset, "open": used[bins] < capacity, "head": offset == 0, "certified": np.full(len(bins), certified)}
+        more = {"sequence_id": (turn << 56) + (g << 24) + bins, "offset": offset, "open": used[bins] < capacity - SLACK, "head": offset == 0, "certified": np.full(len(bins), certified)}
         for name, values in more.items():
             t = t.append_column(name, pa.array(values))
         return t
