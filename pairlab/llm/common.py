@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step turns into numpy arrays at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
+#: Values that run_hash holds in wide form at one time.
+SLICE = 1_000_000
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -110,13 +112,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 def run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 7) -> np.ndarray:
     """A 64-bit hash of values[start:end] for each run; runs are in order, apart and not empty."""
     lengths = end - start
+    out = np.zeros(len(lengths), np.uint64)
     if not len(lengths):
-        return np.zeros(0, np.uint64)
-    at = np.zeros(len(lengths), np.int64)
-    np.cumsum(lengths[:-1], out=at[1:])
-    within = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-    got = values[within + np.repeat(start, lengths)].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        got += np.uint64(1)
-        got *= multipliers(int(lengths.max()), seed)[within]
-        return mix(np.add.reduceat(got, at) + lengths.astype(np.uint64))
+        return out
+    factors, reach = multipliers(int(lengths.max()), seed), np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(reach, np.arange(0, int(reach[-1]) + SLICE, SLICE)))
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lengths)]):
+        if a == b:
+            continue
+        size = lengths[a:b]
+        at = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(at, size)
+        got = values[within + np.repeat(start[a:b], size)].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            got += np.uint64(1)
+            got *= factors[within]
+            out[a:b] = mix(np.add.reduceat(got, at) + size.astype(np.uint64))
+    return out

@@ -18,7 +18,7 @@ from pairlab.llm.common import ASCII_LOWER, chunks, run_hash, spans, text_bytes
 
 WINDOW = 10
 #: Bytes of benchmark text sent to the executors at once, and bytes of training text in a shard.
-BLOCK_BYTES, SHARD_BYTES = 16_000_000, 12_000_000
+BLOCK_BYTES, SHARD_BYTES = 16_000_000, 8_000_000
 #: Bytes of a word [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lower case.
 INSIDE = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
