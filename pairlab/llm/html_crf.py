@@ -119,12 +119,12 @@ def features(page: list[Block]) -> list[list[str]]:
     rows = []
     for i, b in enumerate(page):
         f = [*path_features(b.path)]
-        n, words = len(b.text), b.text.split(" ", 40)
+        n, words = len(b.text), b.text.split(" ")
         f.append(f"chars={min(8, n.bit_length())}")
         f.append(f"linked={min(3, 4 * b.link_chars // max(1, n))}")
         f.append(f"end={b.text[-1] if b.text[-1] in '.!?:,;' else 'other'}")
         f.append(f"place={'first' if i == 0 else 'last' if i == len(page) - 1 else 'inner'}")
-        low = {w.strip('.,:;!?()').lower() for w in words[:40]}
+        low = {w.strip('.,:;!?()').lower() for w in words}
         cues = len(low & CUES)
         f.append(f"cues={min(cues, 3)}")
         if n < 300 and ("©" in b.text or "(c)" in b.text):
@@ -299,7 +299,8 @@ def labelled_pages(sample: list[str], n: int = TEMPLATE_PAGES, seed: int = 42) -
         if any(kept):
             out.append((features(got), kept))
         for b, y in zip(got, kept):
-            (prose if y and len(b.text) > 25 else short).append(b.text[:2000])
+            if len(b.text) <= 2000:
+                (prose if y and len(b.text) > 25 else short).append(b.text)
     prose = prose or ["A sentence that stands for the text of an article, with a full stop."]
     for _ in range(n):
         page, labels = laid_out(prose, short, rng)

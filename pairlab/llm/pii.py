@@ -193,10 +193,11 @@ def labelled_cases(words: list[str], n: int = 240, seed: int = 42) -> list[tuple
     return out
 
 
-def train(docs: DataFrame, rows: int = 50) -> SemiCrf:
-    """Trains on generated cases among words of at most `rows` documents, the first 400 characters of each."""
-    got = docs.where("text is not null").select(F.substring("text", 1, 400).alias("t"), F.xxhash64("doc_id", F.lit("pii")).alias("h")).orderBy("h", "t").limit(rows).collect()
-    words = sorted({w for r in got for w in re.findall(r"[^\W\d_]+", r.t)})
+def train(docs: DataFrame, rows: int = 50, chars: int = 20_000) -> SemiCrf:
+    """Trains on generated cases among the words of at most `rows` documents of at most `chars` characters, chosen by a hash."""
+    usable = docs.where("text is not null").where(F.length("text") <= chars)
+    got = usable.select("text", F.xxhash64("doc_id", F.lit("pii")).alias("h")).orderBy("h", "text").limit(rows).collect()
+    words = sorted({w for r in got for w in re.findall(r"[^\W\d_]+", r.text)})
     return fit(labelled_cases(words))
 
 

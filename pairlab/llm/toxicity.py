@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ BITS = 20
 PREFIXES = (4, 5, 6, 7)
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: Rows that training reads at most: confirmed positives and unlabelled ones.
-POSITIVES, UNLABELLED = 2000, 4000
+POSITIVES, UNLABELLED = 1000, 2000
 #: A feature is used if it is in so many confirmed texts, and so many times as frequent there as in unlabelled ones.
 LEAST_DOCS, LEAST_LIFT = 3, 3.0
 
@@ -67,9 +68,16 @@ def sampled(df: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             yield pa.record_batch([batch.column("id"), batch.column("y"), pa.array([code[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([value[a:b].astype("<f4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["id", "y", "code", "value"])
 
     got = df.mapInArrow(run, "id string, y int, code binary, value binary").toArrow().sort_by([("y", "ascending"), ("id", "ascending"), ("code", "ascending")])
-    codes, values = got.column("code").to_pylist(), got.column("value").to_pylist()
-    row = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) // 4 for c in codes])
-    return row, np.frombuffer(b"".join(codes), "<i4"), np.frombuffer(b"".join(values), "<f4"), got.column("y").to_numpy().astype(np.int64)
+    parts = {}
+    for name, kind in (("code", "<i4"), ("value", "<f4")):
+        raw = got.column(name)
+        sizes = pc.binary_length(raw).to_numpy() // 4
+        parts[name] = np.frombuffer(b"".join(x.as_py() for x in raw), kind)
+    y = got.column("y").to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    del got, raw
+    pa.default_memory_pool().release_unused()
+    return row, parts["code"], parts["value"], y
 
 
 def fit_nnpu(row: np.ndarray, code: np.ndarray, value: np.ndarray, y: np.ndarray, prior: float, bits: int = BITS, steps: int = 150, rate: float = 0.6, decay: float = 2e-6, least_docs: int = LEAST_DOCS, least_lift: float = LEAST_LIFT) -> Model:
