@@ -23,11 +23,25 @@ def average_precision(df: DataFrame, by: list[str], score: str = "predict", weig
     return ap_of_blocks(score_blocks(df, by, score, weight), by, score)
 
 
-def ap_of_blocks(blocks: DataFrame, by: list[str], score: str = "predict") -> DataFrame:
-    """The same from blocks."""
-    w = W.partitionBy(*by)
-    down = w.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = blocks.select(*by, "tp", "n", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"), F.sum("tp").over(w).alias("pos"))
+def ap_of_blocks(blocks: DataFrame, by: list[str], score: str = "predict", ranges: int = 256) -> DataFrame:
+    """The same from blocks.
+
+    Running sums go in two steps, so that no task holds a whole group: within one of `ranges` equal ranges of
+    the score, and over the totals of the ranges above, which are at most `ranges` + 2 rows a group.
+    """
+    x = F.col(score).cast("double")
+    part = F.when(x.isNull(), -1).when(F.isnan(x), ranges).otherwise(F.least(F.greatest(F.floor(x * ranges), F.lit(0)), F.lit(ranges - 1))).cast("int")
+    cut = blocks.withColumn("_part", part)
+    totals = cut.groupBy(*by, "_part").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
+    group = W.partitionBy(*by)
+    above = group.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    keys = [F.col(c).alias(f"_{c}") for c in by]
+    totals = totals.select(*keys, F.col("_part").alias("_range"), F.coalesce(F.sum("_tp").over(above), F.lit(0)).alias("_ctp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_cn"), F.sum("_tp").over(group).alias("pos"))
+    on = F.col("_part") == F.col("_range")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    down = W.partitionBy(*by, "_part").orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    cum = cut.join(totals, on).select(*by, "tp", "n", (F.sum("tp").over(down) + F.col("_ctp")).alias("ctp"), (F.sum("n").over(down) + F.col("_cn")).alias("cn"), "pos")
     term = F.col("tp").cast("double") / F.nullif(F.col("pos").cast("double"), F.lit(0.0)) * F.col("ctp") / F.col("cn")
     return cum.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.max("pos").alias("positives"), F.sum(term).alias("ap"))
 

@@ -30,7 +30,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def r(expr: str, name: str) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), 6) AS {name}"
+    return f"ROUND(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"  # + 0.0 turns a negative zero into zero
 
 
 def big(expr: str, name: str) -> str:
