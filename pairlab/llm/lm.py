@@ -1,19 +1,22 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus, computed relationally.
 
-N-grams are over the UTF-8 bytes of the text, A-Z in lower case, so the tables follow the alphabet rather
-than the vocabulary. Blocks of documents explode into their n-grams, counted within the block; the count
-table is their sum by n-gram, hash partitioned; it joins back to the blocks' n-grams; and each block sums
-the scores of its documents.
+word_score: n-grams are over the words, A-Z in lower case, so the count table grows with the corpus. Blocks
+of documents give their n-grams with their counts, as sorted keys cut by key range; each range sums them over
+all blocks and sends every block the totals of its own; each block sums the scores of its documents.
+
+score: the same over the UTF-8 bytes of the text, with one row for each n-gram of a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import ASCII_LOWER, chunks, materialise, text_bytes
+from pairlab.llm.common import ASCII_LOWER, chunks, materialise, mix, run_hash, spans, text_bytes
 
 ORDER, BACKOFF = 4, 0.4
 #: An n-gram of two or more bytes counts as seen from so many occurrences on.
@@ -21,6 +24,12 @@ LEAST = 2
 BLOCK_BYTES = 8_000_000
 #: Bytes of a block's text that are arrays at one time.
 PART_BYTES = 1_000_000
+#: Bytes of text whose words are a block, and of whose n-grams there is a key range.
+WORD_BLOCK = 16_000_000
+#: Bits of a word n-gram's key; of 10^10 different n-grams one in some 10^7 shares its key with another.
+KEY_BITS = 56
+#: Bytes of words: all but blanks and control characters.
+WORD = np.arange(256) > 0x20
 
 
 def codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -63,6 +72,20 @@ def block_grams(t: pa.Table, order: int) -> pa.Table:
     return pa.table({"block": pa.array(np.full(len(first), block, np.int64)), "gram": every[first], "n": total.astype(np.int64)})
 
 
+def backed_off(seen: list[np.ndarray], place: np.ndarray, total: int, backoff: float, least: int) -> np.ndarray:
+    """Logarithm of each place's score; seen[n - 1]: the count of the n-gram that ends there."""
+    points, weight, open_ = np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place), bool)
+    for n in range(len(seen), 0, -1):
+        here = open_ & (seen[n - 1] >= (least if n > 1 else 1))
+        before = np.full(len(place), float(total))
+        if n > 1:
+            before[1:] = seen[n - 2][:-1]  # the context ends one place earlier
+        points[here] = weight[here] + np.log(seen[n - 1][here] / before[here])
+        open_ &= ~here
+        weight = np.where(open_ & (place >= n - 1), weight + np.log(backoff), weight)
+    return points
+
+
 def block_scores(t: pa.Table, counts: pa.Table, total: int, order: int, backoff: float, least: int) -> pa.Table:
     """(id, n_grams, log_score): summed natural logarithms over the bytes of each document."""
     gram, count = counts.column("gram").to_numpy(), counts.column("total").to_numpy()
@@ -72,15 +95,7 @@ def block_scores(t: pa.Table, counts: pa.Table, total: int, order: int, backoff:
     for part in chunks(t.to_batches(), limit=PART_BYTES):
         doc, place, levels = codes(part.column("text"), order)
         seen = [np.where(place >= n - 1, count[np.searchsorted(gram, np.where(place >= n - 1, named(code, n), gram[0]))], 0) if len(gram) else place for n, code in enumerate(levels, 1)]
-        points, weight, open_ = np.zeros(len(doc)), np.zeros(len(doc)), np.ones(len(doc), bool)
-        for n in range(order, 0, -1):
-            here = open_ & (seen[n - 1] >= (least if n > 1 else 1))
-            before = np.full(len(doc), float(total))
-            if n > 1:
-                before[1:] = seen[n - 2][:-1]  # the context ends one byte earlier
-            points[here] = weight[here] + np.log(seen[n - 1][here] / before[here])
-            open_ &= ~here
-            weight = np.where(open_ & (place >= n - 1), weight + np.log(backoff), weight)
+        points = backed_off(seen, place, total, backoff, least)
         ids.append(part.column("id"))
         sizes.append(np.bincount(doc, minlength=part.num_rows))
         sums.append(np.bincount(doc, points, minlength=part.num_rows))
@@ -107,3 +122,116 @@ def score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff:
     known = grams.join(counts, "gram").select("block", "gram", "total")
     scored = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda t, c: block_scores(t, c, size, order, backoff, least), f"id {kind}, n_grams long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_grams", "log_score", F.when(F.col("n_grams") > 0, F.col("log_score") / F.col("n_grams")).alias("mean_log_score"))
+
+
+def word_levels(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """Text number of each word, its place in the text, and for n = 1..order the key of the n-gram that ends at each word."""
+    data, offsets = text_bytes(column)
+    data = ASCII_LOWER[data]
+    start, end, doc = spans(data, offsets, WORD)
+    word = run_hash(data, start, end)
+    size = np.bincount(doc, minlength=len(column))
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+
+    def keys() -> Iterator[np.ndarray]:
+        code = np.zeros(len(word), np.uint64)
+        for n in range(1, order + 1):
+            earlier = np.zeros(len(word), np.uint64)
+            earlier[n - 1 :] = word[: len(word) - n + 1]
+            with np.errstate(over="ignore"):
+                code = mix(code * np.uint64(0x9E3779B97F4A7C15) + earlier + np.uint64(n))
+            yield code >> np.uint64(64 - KEY_BITS)
+
+    return doc, place, keys()
+
+
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, n * 8, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+def block_words(t: pa.Table, order: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """(range, block, level, n, grams, counts): a block's different n-grams in order of their keys, as packed differences, with their counts."""
+    block = t.column("block")[0].as_py()
+    _, place, levels = word_levels(t.column("text").combine_chunks(), order)
+    edges = np.array([(k << KEY_BITS) // ranges for k in range(1, ranges)], np.uint64)
+    for level, keys in enumerate(levels, 1):
+        grams, counts = np.unique(keys[place >= level - 1], return_counts=True)
+        cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
+        full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        columns = [
+            pa.array([k for k, _, _ in full], pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([level] * len(full), pa.int32()), pa.array([b - a for _, a, b in full], pa.int64()),
+            pa.array([packed(np.diff(grams[a:b], prepend=np.uint64(0))) for _, a, b in full], pa.binary()), pa.array([packed(counts[a:b]) for _, a, b in full], pa.binary()),
+        ]
+        yield pa.record_batch(columns, names=["range", "block", "level", "n", "grams", "counts"])
+
+
+def range_totals(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(block, level, range, n, totals): the n-grams' counts in the whole corpus, for each block in the order of its own."""
+    levels = t.column("level").to_numpy()
+    for level in np.unique(levels).tolist():
+        rows = t.filter(pa.array(levels == level))
+        size = rows.column("n").to_numpy()
+        keys = np.concatenate([np.cumsum(unpacked(g, n), dtype=np.uint64) for g, n in zip(rows.column("grams").to_pylist(), size.tolist())])
+        counts = np.concatenate([unpacked(c, n) for c, n in zip(rows.column("counts").to_pylist(), size.tolist())])
+        by = np.argsort(keys)
+        keys = keys[by]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        totals = np.empty(len(by), np.uint64)
+        totals[by] = np.add.reduceat(counts[by], np.flatnonzero(first))[np.cumsum(first) - 1]
+        ends = np.cumsum(size).tolist()
+        out = pa.array([packed(totals[b - n : b]) for b, n in zip(ends, size.tolist())], pa.binary())
+        one = rows.select(["block", "level", "range", "n"]).combine_chunks()
+        yield pa.record_batch([*[c.combine_chunks() for c in one.columns], out], names=["block", "level", "range", "n", "totals"])
+
+
+def word_block_scores(t: pa.Table, totals: pa.Table, total: int, order: int, backoff: float, least: int) -> pa.Table:
+    """(id, n_grams, log_score): summed natural logarithms over the words of each document."""
+    doc, place, levels = word_levels(t.column("text").combine_chunks(), order)
+    rows: dict[int, list] = {}
+    for r in totals.sort_by("range").to_pylist():
+        rows.setdefault(r["level"], []).append(unpacked(r["totals"], r["n"]))
+    seen = []
+    for level, keys in enumerate(levels, 1):
+        at = np.flatnonzero(place >= level - 1)
+        count = np.zeros(len(doc), np.int64)
+        if len(at):
+            by = np.argsort(keys[at])
+            keys = keys[at[by]]
+            which = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
+            known = np.concatenate(rows[level]).astype(np.int64)
+            if len(known) != which[-1] + 1:
+                raise ValueError(f"{len(known)} totals for {which[-1] + 1} n-grams")
+            count[at[by]] = known[which]
+        seen.append(count)
+    points = backed_off(seen, place, total, backoff, least)
+    return pa.table({"id": t.column("id"), "n_grams": np.bincount(doc, minlength=t.num_rows).astype(np.int64), "log_score": np.bincount(doc, points, minlength=t.num_rows).astype(np.float64)})
+
+
+def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bytes, words) of each chunk of texts."""
+    for part in chunks(batches):
+        data, offsets = text_bytes(part.column("text"))
+        yield pa.record_batch([pa.array([len(data)]), pa.array([len(spans(data, offsets, WORD)[0])])], names=["bytes", "words"])
+
+
+def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_bytes: int = WORD_BLOCK) -> DataFrame:
+    """(id_col, n_grams, log_score, mean_log_score): a row for each row.
+
+    As score, with words (runs of bytes above the blank) in place of bytes: n_grams is the number of words, each
+    scored by the longest of its n-grams that the whole corpus has `least` times or more. Texts without a word
+    have n_grams 0, log_score 0 and no mean.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    size = docs.select("text").mapInArrow(sizes, "bytes long, words long").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // block_bytes))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    grams = rows.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(block_words(t, order, blocks)), "range int, block long, level int, n long, grams binary, counts binary")
+    totals = grams.groupBy("range").applyInArrow(lambda t: pa.Table.from_batches(range_totals(t)), "block long, level int, range int, n long, totals binary")
+    scored = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(lambda t, c: word_block_scores(t, c, size[1], order, backoff, least), f"id {kind}, n_grams long, log_score double")
+    return scored.select(F.col("id").alias(id_col), "n_grams", "log_score", F.when(F.col("n_grams") > 0, F.col("log_score") / F.col("n_grams")).alias("mean_log_score"))

@@ -323,6 +323,36 @@ def test_language_model_over_odd_rows(odd, none):
     assert lm.score(odd).count() == len(ROWS) and lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [12, 10**6])
+def test_word_scores_match_counting(spark, block_bytes):
+    texts = ["the cat sat on the mat", "The cat sat on the  mat\n", "", None, " \t ", "é漢 the cat", "a a a a a a a", "a cat sat on"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.word_score(docs, block_bytes=block_bytes).collect()}
+    words = [tuple((t or "").lower().split()) for t in texts]
+    count = collections.Counter(w[i : i + n] for w in words for n in range(1, 5) for i in range(len(w) - n + 1))
+    total = sum(map(len, words))
+    for i, w in enumerate(words):
+        score = 0.0
+        for j in range(len(w)):
+            weight = 0.0
+            for n in range(min(4, j + 1), 0, -1):
+                g = w[j - n + 1 : j + 1]
+                if count[g] >= (2 if n > 1 else 1):
+                    score += weight + math.log(count[g] / (count[g[:-1]] if n > 1 else total))
+                    break
+                weight += math.log(lm.BACKOFF)
+        assert got[i].n_grams == len(w) and math.isclose(got[i].log_score, score, abs_tol=1e-9)
+        assert (got[i].mean_log_score is None) == (not w)
+
+
+def test_query_scores_words(spark, odd, none):
+    from pairlab.llm.queries import op6_lm_scores
+
+    size = {r.doc_id: len(re.findall(rb"[^\x00-\x20]+", (r.text or "").encode())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_grams for r in op6_lm_scores(spark, SF).collect()} == size
+    assert lm.word_score(odd).count() == len(ROWS) and lm.word_score(none).count() == 0
+
+
 # Language identification
 
 
