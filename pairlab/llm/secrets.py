@@ -1,6 +1,6 @@
-"""Secret scans in DataFrame functions: candidate words, and a random forest that removes false positives.
+"""Secret scans in DataFrame functions: candidate values, and a random forest that removes false positives.
 
-A candidate is a value of 12 or more key characters with a digit and a letter. Its features are length,
+A candidate is a value of 12 or more key characters with a digit and a letter; a word can have many. Its features are length,
 character transitions, alphabet, dictionary coverage, path and neighbouring words. The forest is trained by
 Spark ML on labelled findings and becomes a column expression, so scanning is one pass without a shuffle.
 """
@@ -16,42 +16,64 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.common import hashed_share, materialise
 
-#: Documents that training reads at most, and three-letter groups in the dictionary.
+#: Documents that the forest's findings stand in at most, and three-letter groups in the dictionary.
 SAMPLE, GROUPS = 400, 600
 TREES, DEPTH = 15, 5
 MASK = "[SECRET]"
 #: Names that credentials and digests go by.
 CREDENTIAL = "(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private|access)"
 DIGEST = "(?i)(commit|sha|md5|checksum|hash|digest|uuid|guid|etag|rev|version|build|order|invoice|doc|page|isbn|file|image)"
-VALUE = r"([A-Za-z0-9+/_~.-]{12,}={0,2})"
+KEY = "[A-Za-z0-9+/_~.-]"
+#: A whole run of key characters with a digit and a letter; only a run's start is tried, so long runs cost their length.
+VALUE = f"(?<!{KEY})(?={KEY}*[0-9])(?={KEY}*[A-Za-z]){KEY}{{12,}}+={{0,2}}"
+#: Characters before a later value of a word that are its cue, and values back that a cue without letters is looked for.
+CUE, BACK = 60, 32
 FEATURES = ["length", "transitions", "digits", "uppers", "hexes", "distinct", "dictionary", "separators", "path", "prefix", "assigned", "credential", "digest", "quoted"]
 
 
-def value_of(word: Column) -> Column:
-    """The value in a word: what follows its last =, : or quote, else its first run of key characters."""
-    after = F.regexp_extract(word, r"[=:\"'](?:[\"'])?" + VALUE, 1)
-    return F.when(after != "", after).otherwise(F.regexp_extract(word, VALUE, 1))
+def has_candidates(word: Column) -> Column:
+    return (F.length(word) >= 12) & word.rlike("[0-9]") & word.rlike("[A-Za-z]") & word.rlike(r"[A-Za-z0-9+/_~-]{12}")
 
 
-def is_candidate(word: Column) -> Column:
-    return (F.length(word) >= 12) & word.rlike("[0-9]") & word.rlike("[A-Za-z]") & word.rlike(r"[A-Za-z0-9+/_~-]{12}") & value_of(word).rlike("[0-9]") & value_of(word).rlike("[A-Za-z]")
+def values_of(word: Column, before: Column) -> Column:
+    """array of (value, near, head, around) for all values in a word; before: the two words ahead of it, blank-joined.
+
+    near is the cue: for the first value `before` and what stands ahead of it in the word, for a later one the text
+    since the value before; where that has no letter (lists), the last such text that has one. around is the word,
+    or where it has several values, the value with its own surroundings.
+    """
+
+    def of(parts: Column) -> Column:
+        values, gaps = parts["values"], parts["gaps"]
+        first = F.concat_ws(" ", before, F.get(gaps, F.lit(0)))
+
+        def one(v: Column, i: Column) -> Column:
+            gap = F.get(gaps, i)
+            start = F.greatest(i + 1 - BACK, F.lit(2))
+            lettered = F.filter(F.slice(gaps, start, F.greatest(i + 2 - start, F.lit(0))), lambda g: g.rlike("[A-Za-z]"))
+            near = F.when(i == 0, first).when(F.size(lettered) > 0, F.right(F.get(lettered, F.size(lettered) - 1), F.lit(CUE))).otherwise(first)
+            around = F.when(F.size(values) == 1, word).otherwise(F.concat(F.right(gap, F.lit(CUE)), v, F.left(F.get(gaps, i + 1), F.lit(1))))
+            return F.struct(v.alias("value"), near.alias("near"), gap.alias("head"), around.alias("around"))
+
+        return F.transform(values, one)
+
+    parts = F.struct(F.regexp_extract_all(word, F.lit(VALUE), F.lit(0)).alias("values"), F.split(word, VALUE).alias("gaps"))
+    return F.flatten(F.transform(F.array(parts), of))
 
 
 def share(value: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(value, pattern, "")) / F.greatest(F.length(value), F.lit(1))
 
 
-def feature_struct(word: Column, before: Column, groups: Column) -> Column:
-    """The features of the value in `word`; before: the two words ahead of it, blank-joined."""
-    v = value_of(word)
+def feature_struct(found: Column, groups: Column) -> Column:
+    """The features of a value as values_of gives it."""
+    v, near, head, around = (found[k] for k in ("value", "near", "head", "around"))
     n = F.greatest(F.length(v), F.lit(1))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
     runs = F.length(F.regexp_replace(kinds, r"(.)\1*", "$1"))
     low = F.lower(v)
     threes = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))), lambda g: g.rlike("^[a-z]{3}$"))
     known = F.size(F.filter(threes, lambda g: F.array_contains(groups, g)))
-    head = F.call_function("substring_index", word, v, F.lit(1))
-    near = F.concat_ws(" ", before, head)
 
     def flag(c: Column) -> Column:
         return c.cast("double")
@@ -59,22 +81,23 @@ def feature_struct(word: Column, before: Column, groups: Column) -> Column:
     values = {
         "length": F.length(v).cast("double"), "transitions": (runs - 1) / n, "digits": share(v, "[^0-9]"), "uppers": share(v, "[^A-Z]"),
         "hexes": share(v, "[^0-9a-fA-F]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / n, "dictionary": known / n,
-        "separators": share(v, "[^/._~-]"), "path": flag(word.rlike(r"/.*/|://|\.(html?|php|js|css|png|jpg|py|txt|com|org|net)\b") | word.contains("@")),
+        "separators": share(v, "[^/._~-]"), "path": flag(around.rlike(r"/.*/|://|\.(html?|php|js|css|png|jpg|py|txt|com|org|net)\b") | around.contains("@")),
         "prefix": flag(v.rlike("^(AKIA|ASIA|ghp_|gho_|sk_|pk_|xox|AIza|eyJ|glpat)")), "assigned": flag(near.rlike(r"[=:]\s*[\"']?$")),
         "credential": flag(near.rlike(CREDENTIAL)), "digest": flag(near.rlike(DIGEST)), "quoted": flag(head.rlike("[\"']$")),
     }
-    return F.struct(word.alias("word"), v.alias("value"), *[values[k].cast("double").alias(k) for k in FEATURES])
+    return F.struct(v.alias("value"), *[values[k].cast("double").alias(k) for k in FEATURES])
 
 
 def candidates(text: Column, groups: Column) -> Column:
-    """array of (position, word, value, features): a candidate's features, and its word's number from 0."""
+    """array of (position, f): a candidate's value and features, and its word's number from 0."""
 
     def of(words: Column) -> Column:
         def at(i: Column) -> Column:
             return F.coalesce(F.get(words, i), F.lit(""))
 
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: is_candidate(at(i)))
-        return F.transform(places, lambda i: F.struct(i.alias("position"), feature_struct(at(i), F.concat_ws(" ", at(i - 2), at(i - 1)), groups).alias("f")))
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: has_candidates(at(i)))
+        found = F.flatten(F.transform(places, lambda i: F.transform(values_of(at(i), F.concat_ws(" ", at(i - 2), at(i - 1))), lambda x: F.struct(i.alias("position"), x.alias("x")))))
+        return F.transform(found, lambda c: F.struct(c["position"].alias("position"), feature_struct(c["x"], groups).alias("f")))
 
     words = F.split(F.coalesce(text, F.lit("")), r"\s+")
     return F.flatten(F.transform(F.array(words), of))
@@ -82,9 +105,9 @@ def candidates(text: Column, groups: Column) -> Column:
 
 def dictionary(docs: DataFrame, groups: int = GROUPS) -> list[str]:
     """The commonest three-letter groups of lower-case words: at most `groups` of the 17,576 there can be."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 3 and 30")
-    threes = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("g"))
-    top = threes.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(groups).collect()
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) between 3 and 30").groupBy("w").agg(F.count("*").alias("n"))
+    threes = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring(F.col("w"), i, F.lit(3)))).alias("g"), "n")
+    top = threes.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(groups).collect()
     return sorted(r.g for r in top)
 
 
@@ -136,10 +159,10 @@ class Scanner:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Scanner:
-    """Trains on findings among the words of at most about `rows` documents, chosen by a hash of the id."""
+    """Trains on findings among the words of at most about `rows` documents, chosen by a hash of the id; the dictionary is of all."""
     usable = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     sample = hashed_share(usable, "doc_id", rows, usable.count())
-    groups = dictionary(sample)
+    groups = dictionary(docs)
     found = labelled_findings(sample).select(F.explode(candidates(F.col("text"), F.lit(groups).cast("array<string>"))).alias("c"), "label").select("c.f.*", "label")
     found = materialise(found.select(*FEATURES, "label"), "findings")  # training reads it many times
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found).select("features", "label")
@@ -165,8 +188,8 @@ def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5) -> DataFrame
 
 def redacted(text: Column, findings: Column) -> Column:
     """text with each secret value replaced by MASK."""
-    values = F.array_distinct(F.transform(F.filter(findings, lambda f: f["secret"]), lambda f: f["value"]))
-    return F.aggregate(values, text, lambda t, v: F.replace(t, v, F.lit(MASK)))
+    values = F.array_distinct(F.transform(F.filter(findings, lambda f: f["secret"]), lambda f: F.struct((-F.length(f["value"])).alias("less"), f["value"].alias("value"))))
+    return F.aggregate(F.array_sort(values), text, lambda t, v: F.replace(t, v["value"], F.lit(MASK)))  # the longest first: one can be part of another
 
 
 def mask_secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
