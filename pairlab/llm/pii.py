@@ -201,11 +201,22 @@ def train(docs: DataFrame, rows: int = 50, chars: int = 20_000) -> SemiCrf:
     return fit(labelled_cases(words))
 
 
+def without(text: str, base: list[tuple[int, int, int]]) -> str:
+    """text with tabs in place of the base spans: no cue and no token goes over them."""
+    parts, at = [], 0
+    for a, b, _ in sorted(base):
+        if b > at:
+            parts += [text[at : max(at, a)], "\t" * (b - max(at, a))]
+            at = b
+    return "".join([*parts, text[at:]])
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) -> list[tuple[int, int, int]]:
-    """Entities of the field that touch no base span; regions hold a cue that no base span covers."""
+    """Entities of the field that touch no base span; regions hold a cue beside the base spans."""
     out, done = [], 0
+    text = without(text, base)
     for m in sorted((m for cue in CUES for m in cue.finditer(text)), key=lambda m: m.start()):
-        if m.start() < done or any(a < m.end() and m.start() < b for a, b, _ in base):
+        if m.start() < done:
             continue
         low = max(done, m.start() - 60)
         high = min(len(text), m.end() + 60)
@@ -221,9 +232,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) ->
         tokens = [text[a:b] for a, b in found]
         for i, j, label in model.decode(tokens):
             a, b = found[i][0], found[j - 1][1]
-            while a < b and text[a] in EDGE:
+            while a < b and (text[a] in EDGE or text[a].isspace()):
                 a += 1
-            while b > a and text[b - 1] in EDGE:
+            while b > a and (text[b - 1] in EDGE or text[b - 1].isspace()):
                 b -= 1
             if a < b and a >= done and not any(x < b and a < y for x, y, _ in base):
                 out.append((a, b, label - 1))

@@ -417,6 +417,15 @@ def test_field_adds_written_out_addresses(spark, docs):
     assert sum(set(model.decode(t)) == set(g) for t, g in held) / len(held) > 0.9
 
 
+@pytest.mark.parametrize(
+    "text", ["please call 555-123-4567, 192.168.10.20 for the rest", "see 192.168.10.20, 555-123-4567 for the rest", "please call 555-123-4567, 4111 1111 1111 1111 for it", "and 4111 1111 1111 1111, 555-123-4567 of it", "host 192.168.10.20,555-123-4567,10.0.0.1 up"]
+)
+def test_phone_beside_a_base_span_is_added(docs, text):
+    base = pii.base_spans(text)
+    spans = pii.added_spans(text, base, pii.train(docs))
+    assert base and [(pii.KINDS[k], text[a:b]) for a, b, k in spans] == [("phone", "555-123-4567")]
+
+
 def test_personal_data_of_odd_rows(odd, none, docs):
     model = pii.SemiCrf([{} for _ in pii.LABELS])
     got = pii.find(odd, model)
