@@ -1,130 +1,108 @@
-"""Stupid-backoff scores of documents under n-gram counts of the whole corpus, computed relationally.
+"""Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-word_score: n-grams are over the words, A-Z in lower case, so the count table grows with the corpus. Blocks
-of documents give their n-grams with their counts, as sorted keys cut by key range; each range sums them over
-all blocks and sends every block the totals of its own; each block sums the scores of its documents.
+n-grams are over the words, A-Z in lower case, so the count table grows with the corpus.
 
-score: the same over the UTF-8 bytes of the text, with one row for each n-gram of a block.
+plain_score writes it out: one row for each n-gram of each place, joined to the count table on its text, summed
+by document. word_score does the same joins with the rows of a block of documents packed. Blocks give their
+different n-grams with their counts as sorted keys, cut by key range; each range sums them over all blocks and
+returns every block the totals of its own; each block sums the scores of its documents. Words and pairs go
+first; a longer n-gram whose pairs are not all frequent enough cannot be either, and is not sent at all.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import ASCII_LOWER, chunks, materialise, mix, run_hash, spans, text_bytes
+from pairlab.llm.common import ASCII_LOWER, chunks, materialise, mix, run_hash, shared_dir, spans, text_bytes
 
 ORDER, BACKOFF = 4, 0.4
-#: An n-gram of two or more bytes counts as seen from so many occurrences on.
+#: An n-gram of two or more words counts as seen from so many occurrences on.
 LEAST = 2
-BLOCK_BYTES = 8_000_000
-#: Bytes of a block's text that are arrays at one time.
-PART_BYTES = 1_000_000
-#: Bytes of text whose words are a block, and of whose n-grams there is a key range.
+#: Bytes of text of a block; there is a key range for each block. A longer document is a block of its own.
 WORD_BLOCK = 16_000_000
-#: Bits of a word n-gram's key; of 10^10 different n-grams one in some 10^7 shares its key with another.
-KEY_BITS = 56
+#: A key has so many bits beyond those that number the n-grams: one n-gram in 2^24 shares its key with another.
+SPARE_BITS = 24
 #: Bytes of words: all but blanks and control characters.
 WORD = np.arange(256) > 0x20
+TOTALS = "block long, level int, range int, n long, totals binary"
+GRAMS = "range int, block long, level int, n long, grams binary, counts binary"
+
+
+def plain_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
+    """The result of word_score by exploded n-grams and joins; some ten times its shuffle."""
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(low, F.lit(r"[^\x00-\x20]+"), F.lit(0)).alias("w"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "words")
+    places = rows.select("row", "w", F.posexplode("w").alias("i", "word"))
+
+    def gram(n: int, back: int = 0):
+        return F.array_join(F.slice("w", F.col("i") + 2 - n, F.lit(n - back)), " ")
+
+    levels = [F.when(F.col("i") >= n - 1, F.struct(F.lit(n).alias("n"), gram(n).alias("gram"), (gram(n, 1) if n > 1 else F.lit("")).alias("context"))) for n in range(1, order + 1)]
+    grams = places.select("row", "i", F.explode(F.filter(F.array(*levels), lambda x: x.isNotNull())).alias("g")).select("row", "i", "g.*")
+    counts = grams.groupBy("n", "gram").agg(F.count("*").alias("c"))
+    total = counts.where("n = 1").agg(F.sum("c").alias("before"))
+    contexts = counts.select((F.col("n") + 1).alias("n"), F.col("gram").alias("context"), F.col("c").alias("before"))
+    found = grams.join(counts, ["n", "gram"]).where((F.col("c") >= least) | (F.col("n") == 1))
+    one = found.where("n = 1").join(F.broadcast(total))  # a single row
+    more = found.where("n > 1").join(contexts, ["n", "context"])
+    steps = F.least(F.lit(order), F.col("i") + 1) - F.col("n")
+    scored = one.select("row", "i", "n", "c", "before").unionByName(more.select("row", "i", "n", "c", "before"))
+    best = scored.groupBy("row", "i").agg(F.max_by(F.ln(F.col("c") / F.col("before")) + steps * F.ln(F.lit(backoff)), "n").alias("points"))
+    sums = best.groupBy("row").agg(F.sum("points").alias("log_score"))
+    return _named(rows.select("id", "row", F.size("w").cast("long").alias("n_grams")).join(sums, "row", "left").withColumn("log_score", F.coalesce("log_score", F.lit(0.0))), id_col)
+
+
+def _named(scored: DataFrame, id_col: str) -> DataFrame:
+    mean = F.when(F.col("n_grams") > 0, F.col("log_score") / F.col("n_grams"))
+    return scored.select(F.col("id").alias(id_col), "n_grams", "log_score", mean.alias("mean_log_score"))
+
+
+def blocks(docs: DataFrame, id_col: str, block_bytes: int) -> DataFrame:
+    """(block, words, texts): the rows of each task in blocks, id and text compressed; written in buckets by block."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, words, number = 0, 0, TaskContext.get().partitionId() << 32
 
-def codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Text number of each byte, its place in the text, and for n = 1..order the n-gram that ends at each byte."""
-    data, offsets = text_bytes(column)
-    data = ASCII_LOWER[data].astype(np.uint64)
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(len(column)), size)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-    out, code = [], data
-    for n in range(1, order + 1):
-        if n > 1:
-            earlier = np.zeros(len(data), np.uint64)
-            earlier[n - 1 :] = data[: len(data) - n + 1]
-            code = code + (earlier << np.uint64(8 * (n - 1)))
-        out.append(code)
-    return doc, place, out
-
-
-def named(code: np.ndarray, n: int) -> np.ndarray:
-    """Keys that tell n-grams of different n apart."""
-    return (code | np.uint64(n << 56)).view(np.int64)
-
-
-def block_grams(t: pa.Table, order: int) -> pa.Table:
-    """(block, gram, n): the n-grams of a block's documents with their counts."""
-    grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for part in chunks(t.to_batches(), limit=PART_BYTES):
-        _, place, levels = codes(part.column("text"), order)
-        for n, code in enumerate(levels, 1):
-            g, c = np.unique(code[place >= n - 1], return_counts=True)
-            grams.append(named(g, n))
-            counts.append(c)
-    every, count = np.concatenate(grams), np.concatenate(counts)
-    by = np.argsort(every, kind="stable")
-    every = every[by]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else by
-    total = np.add.reduceat(count[by], first) if len(every) else count
-    block = t.column("block")[0].as_py() if t.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(first), block, np.int64)), "gram": every[first], "n": total.astype(np.int64)})
+        def packed_block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            return pa.record_batch([pa.array([number]), pa.array([words]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "words", "texts"])
 
+        for batch in chunks(batches, limit=min(block_bytes, 1_000_000)):
+            data, offsets = text_bytes(batch.column("text"))
+            if held and size + len(data) > block_bytes:
+                yield packed_block()
+                held, size, words, number = [], 0, 0, number + 1
+            held.append(batch)
+            size, words = size + len(data), words + len(spans(data, offsets, WORD)[0])
+        if held:
+            yield packed_block()
 
-def backed_off(seen: list[np.ndarray], place: np.ndarray, total: int, backoff: float, least: int) -> np.ndarray:
-    """Logarithm of each place's score; seen[n - 1]: the count of the n-gram that ends there."""
-    points, weight, open_ = np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place), bool)
-    for n in range(len(seen), 0, -1):
-        here = open_ & (seen[n - 1] >= (least if n > 1 else 1))
-        before = np.full(len(place), float(total))
-        if n > 1:
-            before[1:] = seen[n - 2][:-1]  # the context ends one place earlier
-        points[here] = weight[here] + np.log(seen[n - 1][here] / before[here])
-        open_ &= ~here
-        weight = np.where(open_ & (place >= n - 1), weight + np.log(backoff), weight)
-    return points
-
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    got = rows.mapInArrow(gather, "block long, words long, texts binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)
+    return spark.table(name)
 
-def block_scores(t: pa.Table, counts: pa.Table, total: int, order: int, backoff: float, least: int) -> pa.Table:
-    """(id, n_grams, log_score): summed natural logarithms over the bytes of each document."""
-    gram, count = counts.column("gram").to_numpy(), counts.column("total").to_numpy()
-    by = np.argsort(gram)
-    gram, count = gram[by], count[by]
-    ids, sizes, sums = [], [], []
-    for part in chunks(t.to_batches(), limit=PART_BYTES):
-        doc, place, levels = codes(part.column("text"), order)
-        seen = [np.where(place >= n - 1, count[np.searchsorted(gram, np.where(place >= n - 1, named(code, n), gram[0]))], 0) if len(gram) else place for n, code in enumerate(levels, 1)]
-        points = backed_off(seen, place, total, backoff, least)
-        ids.append(part.column("id"))
-        sizes.append(np.bincount(doc, minlength=part.num_rows))
-        sums.append(np.bincount(doc, points, minlength=part.num_rows))
-    if not ids:
-        return pa.table({"id": t.column("id"), "n_grams": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
-    return pa.table({"id": pa.chunked_array(ids), "n_grams": pa.array(np.concatenate(sizes).astype(np.int64)), "log_score": pa.array(np.concatenate(sums))})
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id_col, n_grams, log_score, mean_log_score): a row for each row.
 
-    n_grams is the number of bytes, each scored by the longest n-gram that ends there and has `least` or more
-    occurrences in the corpus, over the count of its context; each step down within the text multiplies by
-    backoff. A null or empty text has n_grams 0, log_score 0 and no mean. Repeated rows count and score each;
-    other columns are not read; an empty table gives no rows.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
-    grams = materialise(rows.groupBy("block").applyInArrow(lambda t: block_grams(t, order), "block long, gram long, n long"), "grams")
-    counts = grams.groupBy("gram").agg(F.sum("n").alias("total"))
-    known = grams.join(counts, "gram").select("block", "gram", "total")
-    scored = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda t, c: block_scores(t, c, size, order, backoff, least), f"id {kind}, n_grams long, log_score double")
-    return scored.select(F.col("id").alias(id_col), "n_grams", "log_score", F.when(F.col("n_grams") > 0, F.col("log_score") / F.col("n_grams")).alias("mean_log_score"))
+def texts_of(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all().combine_chunks()
 
 
-def word_levels(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+def word_levels(column: pa.Array, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
     """Text number of each word, its place in the text, and for n = 1..order the key of the n-gram that ends at each word."""
     data, offsets = text_bytes(column)
     data = ASCII_LOWER[data]
@@ -140,7 +118,7 @@ def word_levels(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, I
             earlier[n - 1 :] = word[: len(word) - n + 1]
             with np.errstate(over="ignore"):
                 code = mix(code * np.uint64(0x9E3779B97F4A7C15) + earlier + np.uint64(n))
-            yield code >> np.uint64(64 - KEY_BITS)
+            yield code >> np.uint64(64 - bits)
 
     return doc, place, keys()
 
@@ -154,24 +132,21 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def block_words(t: pa.Table, order: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """(range, block, level, n, grams, counts): a block's different n-grams in order of their keys, as packed differences, with their counts."""
-    block = t.column("block")[0].as_py()
-    _, place, levels = word_levels(t.column("text").combine_chunks(), order)
-    edges = np.array([(k << KEY_BITS) // ranges for k in range(1, ranges)], np.uint64)
-    for level, keys in enumerate(levels, 1):
-        grams, counts = np.unique(keys[place >= level - 1], return_counts=True)
-        cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
-        full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-        columns = [
-            pa.array([k for k, _, _ in full], pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([level] * len(full), pa.int32()), pa.array([b - a for _, a, b in full], pa.int64()),
-            pa.array([packed(np.diff(grams[a:b], prepend=np.uint64(0))) for _, a, b in full], pa.binary()), pa.array([packed(counts[a:b]) for _, a, b in full], pa.binary()),
-        ]
-        yield pa.record_batch(columns, names=["range", "block", "level", "n", "grams", "counts"])
+def block_grams(block: int, level: int, keys: np.ndarray, ranges: int, bits: int) -> pa.RecordBatch:
+    """GRAMS of a block and level: its different n-grams in order of their keys, as packed differences, with their counts."""
+    edges = np.array([(k << bits) // ranges for k in range(1, ranges)], np.uint64)
+    grams, counts = np.unique(keys, return_counts=True)
+    cuts = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
+    full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    columns = [
+        pa.array([k for k, _, _ in full], pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([level] * len(full), pa.int32()), pa.array([b - a for _, a, b in full], pa.int64()),
+        pa.array([packed(np.diff(grams[a:b], prepend=np.uint64(0))) for _, a, b in full], pa.binary()), pa.array([packed(counts[a:b]) for _, a, b in full], pa.binary()),
+    ]
+    return pa.record_batch(columns, names=["range", "block", "level", "n", "grams", "counts"])
 
 
 def range_totals(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """(block, level, range, n, totals): the n-grams' counts in the whole corpus, for each block in the order of its own."""
+    """TOTALS: the n-grams' counts in the whole corpus, for each block in the order of its own."""
     levels = t.column("level").to_numpy()
     for level in np.unique(levels).tolist():
         rows = t.filter(pa.array(levels == level))
@@ -189,49 +164,104 @@ def range_totals(t: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*[c.combine_chunks() for c in one.columns], out], names=["block", "level", "range", "n", "totals"])
 
 
-def word_block_scores(t: pa.Table, totals: pa.Table, total: int, order: int, backoff: float, least: int) -> pa.Table:
-    """(id, n_grams, log_score): summed natural logarithms over the words of each document."""
-    doc, place, levels = word_levels(t.column("text").combine_chunks(), order)
+def seen_counts(keys: np.ndarray, sent: np.ndarray, totals: list[np.ndarray]) -> np.ndarray:
+    """Count in the corpus of the n-gram at each place that was sent, else 0; totals: by range, in order of the keys."""
+    at, count = np.flatnonzero(sent), np.zeros(len(keys), np.int64)
+    if len(at):
+        by = np.argsort(keys[at])
+        ordered = keys[at[by]]
+        which = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+        known = np.concatenate(totals or [np.zeros(0, np.uint64)]).astype(np.int64)
+        if len(known) != which[-1] + 1:
+            raise ValueError(f"{len(known)} totals for {which[-1] + 1} n-grams")
+        count[at[by]] = known[which]
+    return count
+
+
+def may_be_seen(place: np.ndarray, pairs: np.ndarray, n: int, least: int) -> np.ndarray:
+    """The places whose n-gram has no pair of under `least` occurrences."""
+    sent = place >= n - 1
+    for back in range(n - 1):
+        sent[back:] &= pairs[: len(pairs) - back] >= least
+    return sent
+
+
+def block_levels(t: pa.Table, totals: pa.Table, order: int, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]:
+    """Text number and place of each word, and for each level (n, keys, places that are sent, counts if totals has them)."""
+    doc, place, levels = word_levels(t.column("text").combine_chunks(), order, bits)
     rows: dict[int, list] = {}
     for r in totals.sort_by("range").to_pylist():
         rows.setdefault(r["level"], []).append(unpacked(r["totals"], r["n"]))
-    seen = []
-    for level, keys in enumerate(levels, 1):
-        at = np.flatnonzero(place >= level - 1)
-        count = np.zeros(len(doc), np.int64)
-        if len(at):
-            by = np.argsort(keys[at])
-            keys = keys[at[by]]
-            which = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
-            known = np.concatenate(rows[level]).astype(np.int64)
-            if len(known) != which[-1] + 1:
-                raise ValueError(f"{len(known)} totals for {which[-1] + 1} n-grams")
-            count[at[by]] = known[which]
-        seen.append(count)
-    points = backed_off(seen, place, total, backoff, least)
-    return pa.table({"id": t.column("id"), "n_grams": np.bincount(doc, minlength=t.num_rows).astype(np.int64), "log_score": np.bincount(doc, points, minlength=t.num_rows).astype(np.float64)})
-
-
-def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bytes, words) of each chunk of texts."""
-    for part in chunks(batches):
-        data, offsets = text_bytes(part.column("text"))
-        yield pa.record_batch([pa.array([len(data)]), pa.array([len(spans(data, offsets, WORD)[0])])], names=["bytes", "words"])
+
+    def each() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+        pairs = None
+        for n, keys in enumerate(levels, 1):
+            sent = place >= n - 1 if n < 3 else may_be_seen(place, pairs, n, least)
+            count = seen_counts(keys, sent, rows.get(n, [])) if n in rows or not sent.any() else None
+            if n == 2:
+                pairs = count
+            yield n, keys, sent, count
+
+    return doc, place, each()
+
+
+def backed_off(seen: list[np.ndarray], place: np.ndarray, total: int, backoff: float, least: int) -> np.ndarray:
+    """Logarithm of each place's score; seen[n - 1]: the count of the n-gram that ends there."""
+    points, weight, open_ = np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place), bool)
+    for n in range(len(seen), 0, -1):
+        here = open_ & (seen[n - 1] >= (least if n > 1 else 1))
+        before = np.full(len(place), float(total))
+        if n > 1:
+            before[1:] = seen[n - 2][:-1]  # the context ends one place earlier
+        points[here] = weight[here] + np.log(seen[n - 1][here] / before[here])
+        open_ &= ~here
+        weight = np.where(open_ & (place >= n - 1), weight + np.log(backoff), weight)
+    return points
 
 
 def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_bytes: int = WORD_BLOCK) -> DataFrame:
     """(id_col, n_grams, log_score, mean_log_score): a row for each row.
 
-    As score, with words (runs of bytes above the blank) in place of bytes: n_grams is the number of words, each
-    scored by the longest of its n-grams that the whole corpus has `least` times or more. Texts without a word
-    have n_grams 0, log_score 0 and no mean.
+    n_grams is the number of words (runs of bytes above the blank), each scored by the longest of its n-grams that
+    the whole corpus has `least` times or more, over the count of its context; each step down within the text
+    multiplies by backoff. A null, empty or wordless text has n_grams 0, log_score 0 and no mean. Repeated rows
+    count and score each; other columns are not read; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    size = docs.select("text").mapInArrow(sizes, "bytes long, words long").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    blocks = max(1, -(-size[0] // block_bytes))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
-    grams = rows.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(block_words(t, order, blocks)), "range int, block long, level int, n long, grams binary, counts binary")
-    totals = grams.groupBy("range").applyInArrow(lambda t: pa.Table.from_batches(range_totals(t)), "block long, level int, range int, n long, totals binary")
-    scored = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(lambda t, c: word_block_scores(t, c, size[1], order, backoff, least), f"id {kind}, n_grams long, log_score double")
-    return scored.select(F.col("id").alias(id_col), "n_grams", "log_score", F.when(F.col("n_grams") > 0, F.col("log_score") / F.col("n_grams")).alias("mean_log_score"))
+    texts = blocks(docs, id_col, block_bytes)
+    n_blocks, total = texts.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    ranges, bits = max(1, n_blocks), min(64, (order * total + 1).bit_length() + SPARE_BITS)
+    none = pa.table({"block": pa.array([], pa.int64()), "level": pa.array([], pa.int32()), "range": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "totals": pa.array([], pa.binary())})
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("texts")):
+                _, _, levels = block_levels(texts_of(raw.as_py()), none, min(order, 2), least, bits)
+                for n, keys, sent, _ in levels:
+                    yield block_grams(block, n, keys[sent], ranges, bits)
+
+    def long(t: pa.Table, totals: pa.Table) -> pa.Table:
+        parts = [pa.schema([("range", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]).empty_table()]
+        for block, raw in zip(t.column("block").to_pylist(), t.column("texts")):
+            _, _, levels = block_levels(texts_of(raw.as_py()), totals, order, least, bits)
+            parts += [pa.Table.from_batches([block_grams(block, n, keys[sent], ranges, bits)]) for n, keys, sent, _ in levels if n > 2]
+        return pa.concat_tables(parts)
+
+    def scores(t: pa.Table, totals: pa.Table) -> pa.Table:
+        parts = [pa.schema([("id", pa.int64()), ("n_grams", pa.int64()), ("log_score", pa.float64())]).empty_table()]
+        for raw in t.column("texts"):
+            rows = texts_of(raw.as_py())
+            doc, place, levels = block_levels(rows, totals, order, least, bits)
+            points = backed_off([count for *_, count in levels], place, total, backoff, least)
+            parts.append(pa.table({"id": rows.column("id"), "n_grams": np.bincount(doc, minlength=len(rows)).astype(np.int64), "log_score": np.bincount(doc, points, minlength=len(rows)).astype(np.float64)}))
+        return pa.concat_tables(parts[1:] or parts)
+
+    def summed(grams: DataFrame) -> DataFrame:
+        return grams.groupBy("range").applyInArrow(lambda t: pa.Table.from_batches(range_totals(t)), TOTALS)
+
+    own = texts.select("block", "texts")
+    totals = materialise(summed(own.mapInArrow(short, GRAMS)), "lm-totals")
+    if order > 2:
+        longer = own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(long, GRAMS)
+        totals = totals.unionByName(summed(longer))
+    return _named(own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scores, f"id {kind}, n_grams long, log_score double"), id_col)

@@ -34,7 +34,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.word_score(table(spark, sf_dir, "documents"))
+    got = lm.word_score(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_grams", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +59,31 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(docs, secrets.train(docs))
 
 
+#: The words of a text as op6 takes them.
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x20]+')"
+
+SQL = {
+    "op6_lm_scores": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT r, i, n, array_to_string(w[i - n + 1 : i], ' ') AS gram, array_to_string(w[i - n + 1 : i - 1], ' ') AS context
+      FROM p, range(1, 5) AS s(n) WHERE i >= n),
+c AS (SELECT n, gram, count(*) AS c FROM g GROUP BY n, gram),
+t AS (SELECT sum(c) AS total FROM c WHERE n = 1),
+f AS (SELECT g.r, g.i, g.n, c.c, CASE WHEN g.n = 1 THEN t.total ELSE b.c END AS before
+      FROM g JOIN c ON c.n = g.n AND c.gram = g.gram CROSS JOIN t LEFT JOIN c AS b ON b.n = g.n - 1 AND b.gram = g.context
+      WHERE c.c >= 2 OR g.n = 1),
+s AS (SELECT r, i, max_by(ln(c / before) + (least(4, i) - n) * ln(0.4), n) AS points FROM f GROUP BY r, i),
+q AS (SELECT r, sum(points) AS log_score FROM s GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_grams, round(coalesce(q.log_score, 0), 4) AS log_score,
+       CASE WHEN len(d.w) > 0 THEN round(q.log_score / len(d.w), 6) END AS mean_log_score
+FROM d LEFT JOIN q ON q.r = d.r""",
+}
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

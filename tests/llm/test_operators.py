@@ -313,36 +313,13 @@ def test_scores_of_odd_rows(odd, none, spark):
 # Language model
 
 
-def test_scores_match_counting(spark):
-    texts = ["abc abd", "ABC xyz", "", None, "é漢 abc", "aaaaaaa", "abc abd"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in lm.score(docs, block_bytes=12).collect()}
-    raw = [bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()) for t in texts]
-    count = collections.Counter(b[i : i + n] for b in raw for n in range(1, 5) for i in range(len(b) - n + 1))
-    total = sum(map(len, raw))
-    for i, b in enumerate(raw):
-        score = 0.0
-        for j in range(len(b)):
-            weight = 0.0
-            for n in range(min(4, j + 1), 0, -1):
-                g = b[j - n + 1 : j + 1]
-                if count[g] >= (2 if n > 1 else 1):
-                    score += weight + math.log(count[g] / (count[g[:-1]] if n > 1 else total))
-                    break
-                weight += math.log(lm.BACKOFF)
-        assert got[i].n_grams == len(b) and math.isclose(got[i].log_score, score, abs_tol=1e-9)
-        assert (got[i].mean_log_score is None) == (not b)
-
-
-def test_language_model_over_odd_rows(odd, none):
-    assert lm.score(odd).count() == len(ROWS) and lm.score(none).count() == 0
-
-
 @pytest.mark.parametrize("block_bytes", [12, 10**6])
 def test_word_scores_match_counting(spark, block_bytes):
     texts = ["the cat sat on the mat", "The cat sat on the  mat\n", "", None, " \t ", "é漢 the cat", "a a a a a a a", "a cat sat on"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in lm.word_score(docs, block_bytes=block_bytes).collect()}
+    for r in lm.plain_score(docs).collect():
+        assert r.n_grams == got[r.doc_id].n_grams and math.isclose(r.log_score, got[r.doc_id].log_score, abs_tol=1e-9)
     words = [tuple((t or "").lower().split()) for t in texts]
     count = collections.Counter(w[i : i + n] for w in words for n in range(1, 5) for i in range(len(w) - n + 1))
     total = sum(map(len, words))
@@ -365,7 +342,16 @@ def test_query_scores_words(spark, odd, none):
 
     size = {r.doc_id: len(re.findall(rb"[^\x00-\x20]+", (r.text or "").encode())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r.doc_id: r.n_grams for r in op6_lm_scores(spark, SF).collect()} == size
-    assert lm.word_score(odd).count() == len(ROWS) and lm.word_score(none).count() == 0
+    for f in (lm.word_score, lm.plain_score):
+        assert f(odd).count() == len(ROWS) and f(none).count() == 0
+
+
+@pytest.mark.parametrize("order, least", [(1, 2), (2, 1), (3, 3), (5, 2)])
+def test_orders_and_thresholds(spark, order, least):
+    rng = random.Random(order)
+    docs = spark.createDataFrame([(i % 25, " ".join(rng.choice("aabcde") for _ in range(rng.randint(0, 30)))) for i in range(30)], "doc_id long, text string")
+    packed, plain = (collections.Counter((r.doc_id, r.n_grams, round(r.log_score, 7)) for r in f.collect()) for f in (lm.word_score(docs, order=order, least=least, block_bytes=90), lm.plain_score(docs, order=order, least=least)))
+    assert packed == plain
 
 
 # Language identification
