@@ -6,7 +6,7 @@ plain_score writes it out: one row for each n-gram of each place, joined to the
 by document. word_score does the same joins with the rows of a block of documents packed. Blocks give their
 different n-grams with their counts as sorted keys, cut by key range; each range sums them over all blocks and
 returns every block the totals of its own; each block sums the scores of its documents. Words and pairs go
-first; a longer n-gram whose pairs are not all frequent enough cannot be either, and is not sent at all.
+first, then one order after the other: an n-gram that holds one too rare to count is as rare, and is not sent.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pairlab.llm.common import ASCII_LOWER, chunks, materialise, mix, run_hash, shared_dir, spans, text_bytes
 
 ORDER, BACKOFF = 4, 0.4
+#: zstd level of the texts between the passes.
+LEVEL = 9
 #: An n-gram of two or more words counts as seen from so many occurrences on.
 LEAST = 2
 #: Bytes of text of a block; there is a key range for each block. A longer document is a block of its own.
@@ -76,7 +78,7 @@ def blocks(docs: DataFrame, id_col: str, block_bytes: int) -> DataFrame:
 
         def packed_block() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
                 for b in held:
                     out.write_batch(b)
             return pa.record_batch([pa.array([number]), pa.array([words]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "words", "texts"])
@@ -178,14 +180,6 @@ def seen_counts(keys: np.ndarray, sent: np.ndarray, totals: list[np.ndarray]) ->
     return count
 
 
-def may_be_seen(place: np.ndarray, pairs: np.ndarray, n: int, least: int) -> np.ndarray:
-    """The places whose n-gram has no pair of under `least` occurrences."""
-    sent = place >= n - 1
-    for back in range(n - 1):
-        sent[back:] &= pairs[: len(pairs) - back] >= least
-    return sent
-
-
 def block_levels(t: pa.Table, totals: pa.Table, order: int, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]:
     """Text number and place of each word, and for each level (n, keys, places that are sent, counts if totals has them)."""
     doc, place, levels = word_levels(t.column("text").combine_chunks(), order, bits)
@@ -194,12 +188,14 @@ def block_levels(t: pa.Table, totals: pa.Table, order: int, least: int, bits: in
         rows.setdefault(r["level"], []).append(unpacked(r["totals"], r["n"]))
 
     def each() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
-        pairs = None
+        before = None
         for n, keys in enumerate(levels, 1):
-            sent = place >= n - 1 if n < 3 else may_be_seen(place, pairs, n, least)
+            sent = place >= n - 1
+            if n > 2:  # both n-grams of the order before must be frequent
+                sent &= before >= least
+                sent[1:] &= before[:-1] >= least
             count = seen_counts(keys, sent, rows.get(n, [])) if n in rows or not sent.any() else None
-            if n == 2:
-                pairs = count
+            before = count
             yield n, keys, sent, count
 
     return doc, place, each()
@@ -240,12 +236,15 @@ def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, back
                 for n, keys, sent, _ in levels:
                     yield block_grams(block, n, keys[sent], ranges, bits)
 
-    def long(t: pa.Table, totals: pa.Table) -> pa.Table:
-        parts = [pa.schema([("range", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]).empty_table()]
-        for block, raw in zip(t.column("block").to_pylist(), t.column("texts")):
-            _, _, levels = block_levels(texts_of(raw.as_py()), totals, order, least, bits)
-            parts += [pa.Table.from_batches([block_grams(block, n, keys[sent], ranges, bits)]) for n, keys, sent, _ in levels if n > 2]
-        return pa.concat_tables(parts)
+    def long(level: int):
+        def run(t: pa.Table, totals: pa.Table) -> pa.Table:
+            parts = [pa.schema([("range", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]).empty_table()]
+            for block, raw in zip(t.column("block").to_pylist(), t.column("texts")):
+                _, _, levels = block_levels(texts_of(raw.as_py()), totals, level, least, bits)
+                parts += [pa.Table.from_batches([block_grams(block, n, keys[sent], ranges, bits)]) for n, keys, sent, _ in levels if n == level]
+            return pa.concat_tables(parts)
+
+        return run
 
     def scores(t: pa.Table, totals: pa.Table) -> pa.Table:
         parts = [pa.schema([("id", pa.int64()), ("n_grams", pa.int64()), ("log_score", pa.float64())]).empty_table()]
@@ -261,7 +260,7 @@ def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, back
 
     own = texts.select("block", "texts")
     totals = materialise(summed(own.mapInArrow(short, GRAMS)), "lm-totals")
-    if order > 2:
-        longer = own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(long, GRAMS)
-        totals = totals.unionByName(summed(longer))
+    for level in range(3, order + 1):
+        longer = own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(long(level), GRAMS)
+        totals = totals.unionByName(materialise(summed(longer), "lm-totals"))
     return _named(own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scores, f"id {kind}, n_grams long, log_score double"), id_col)
