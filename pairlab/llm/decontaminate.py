@@ -1,8 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Documents are cut into shards of some million words. A task sorts the suffixes of its shard, then finds
-every benchmark suffix in it by binary search: the longest verbatim match and its place, and all places of
-each ten-word window. Benchmark blocks have a bounded size; a larger benchmark is more blocks, one pass each.
+every benchmark suffix in it by binary search: its place in the order, and all places of each ten-word window.
+The longest match of a position is with one of the two benchmark suffixes next to it in that order, so each
+document has its own longest match. Benchmark blocks have a bounded size; a larger benchmark is more blocks,
+one pass each.
 """
 
 from __future__ import annotations
@@ -83,9 +85,22 @@ class TestSet:
         whole = np.repeat(count, count)
         self.span = np.where(self.length >= window, window, np.where((whole < window) & (self.length == whole), whole, 0))
         self.depth = int(self.length.max()) if len(hashes) else 0
+        self.by_word = np.argsort(self.ids, kind="stable")
+        self.word_at = np.searchsorted(self.ids[self.by_word], np.arange(len(self.words) + 1))
+
+    def first_place(self, t: int, size: int) -> int:
+        """The first place of the block, items in order, that has the same `size` words as place t."""
+        word = self.ids[t]
+        found = self.by_word[self.word_at[word] : self.word_at[word + 1]]
+        found = found[self.length[found] >= size]
+        for j in range(1, size):
+            if len(found) == 1:
+                break
+            found = found[self.ids[found + j] == self.ids[t + j]]
+        return int(found[0])
 
     def matches(self, hashes: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        """Over one shard: longest match and its place for each suffix, and all places of each window."""
+        """Over one shard, by document: word ranges that windows hit, items whose windows occur, the longest match."""
         n_docs, n = len(first) - 1, len(hashes)
         joined = np.zeros(n + n_docs, np.int64)
         place = np.arange(n) + np.repeat(np.arange(n_docs), np.diff(first))
@@ -122,23 +137,60 @@ class TestSet:
                 high[going] = np.where(less, high[going], mid)
             return low
 
-        out = {"suffix": ask}
-        spot = bound(ask, self.length[ask], False)
-        left, right = order[np.maximum(spot - 1, 0)], order[np.minimum(spot, len(order) - 1)] if len(order) else ask
-        one, two = common(ask, left, self.length[ask]), common(ask, right, self.length[ask])
-        out["longest"] = np.maximum(one, two)
-        where = np.where(two >= one, right, left)
-        ends = np.concatenate([first[1:] + np.arange(n_docs)])
-        out["doc"] = np.searchsorted(ends, where, "left")
-        out["word"] = where - (first[:-1] + np.arange(n_docs))[np.minimum(out["doc"], n_docs - 1)] if n_docs else where
-        win = ask[(self.span[ask] > 0) & (out["longest"] >= self.span[ask])]
-        low, high = bound(win, self.span[win], False), bound(win, self.span[win], True)
-        count = high - low
-        each = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        at = order[each] if len(each) else each
-        out["hit_doc"] = np.searchsorted(ends, at, "left")
-        out["hit_at"] = at - out["hit_doc"]
-        out["hit_len"], out["hit_item"] = np.repeat(self.span[win], count), np.repeat(self.item_of[win], count)
+        most = self.length[ask]
+        spot = bound(ask, most, False)
+        after = np.where(spot < len(order), common(ask, order[np.minimum(spot, len(order) - 1)], most), 0) if len(order) else spot
+        before = np.where(spot > 0, common(ask, order[np.maximum(spot - 1, 0)], most), 0) if len(order) else spot
+        ends = first[1:] + np.arange(n_docs)
+
+        # Windows: equal ones are one, with all their items.
+        chosen = (self.span[ask] > 0) & (np.maximum(before, after) >= self.span[ask])
+        win, low = ask[chosen], spot[chosen]
+        low = bound(win, self.span[win], False)
+        window, one, which = np.unique((low << 20) | self.span[win], return_index=True, return_inverse=True)
+        low, rep = low[one], win[one]
+        count = bound(rep, self.span[rep], True) - low
+        at = order[np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)] if len(rep) else rep
+        size = np.repeat(self.span[rep], count)
+        cover = np.cumsum(np.bincount(at, minlength=len(joined) + 1) - np.bincount(at + size, minlength=len(joined) + 1)) > 0
+        edge = np.flatnonzero(np.diff(cover, prepend=False))
+        out = {"run_start": edge[::2], "run_end": edge[1::2]}
+        out["run_doc"] = np.searchsorted(ends, out["run_start"], "left")
+        pair = np.unique(np.searchsorted(ends, at, "left") * max(1, len(window)) + np.repeat(np.arange(len(window)), count))
+        doc, w = pair // max(1, len(window)), pair % max(1, len(window))
+        owned = np.unique(which * max(1, len(self.items)) + self.item_of[win])
+        item_at = np.searchsorted(owned // max(1, len(self.items)), np.arange(len(window) + 1))
+        many = np.diff(item_at)[w]
+        item = owned[np.repeat(item_at[w], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)] % max(1, len(self.items))
+        both = np.unique(np.repeat(doc, many) * max(1, len(self.items)) + item)
+        out["item_doc"], out["item"] = both // max(1, len(self.items)), both % max(1, len(self.items))
+
+        # Longest matches: the next benchmark suffix before and after each position in the order.
+        best, where = np.zeros(n_docs, np.int64), np.full(n_docs, len(joined), np.int64)
+        partner = np.zeros(n_docs, np.int64)
+        if len(ask) and len(order):
+            rank = np.arange(len(order))
+            group = np.unique(spot)
+            near = []
+            for shared, step in ((after, 0), (before, 1)):
+                by = np.lexsort((shared, spot))
+                closest = ask[by[np.searchsorted(spot[by], group, "right") - 1]]  # of equal spots the one that shares most
+                side = np.searchsorted(group, rank, "right") - 1 + step
+                here = np.flatnonzero((side >= 0) & (side < len(group)))
+                t = closest[side[here]]
+                same = padded[order[here]] == wanted[t]
+                near.append((order[here[same]], t[same]))
+            p, t = (np.concatenate(x) for x in zip(*near))
+            got = common(t, p, self.length[t])
+            d = np.searchsorted(ends, p, "left")
+            np.maximum.at(best, d, got)
+            longest = (got == best[d]) & (got > 0)
+            p, t, d = p[longest], t[longest], d[longest]
+            np.minimum.at(where, d, p)
+            firsts = p == where[d]
+            partner[d[firsts]] = t[firsts]
+        out["length"], out["word"] = best, where - (first[:-1] + np.arange(n_docs))
+        out["place"] = np.array([self.first_place(int(t), int(n)) if n else -1 for t, n in zip(partner, best)], np.int64)
         return out
 
 
@@ -169,14 +221,15 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
 
 
 def scan_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs plus decon: struct(n_words, hits array of (start, end) word ranges, items, longest array of matches).
+    """docs plus decon: struct(n_words, hits array of (start, end) word ranges, items, longest match).
 
     A row stays a row, whatever repeats; other columns pass through, a column named decon is replaced. A
-    null text has no words, a null benchmark text no windows; an empty benchmark hits nothing. `longest` has,
-    of each item that shares words with the document and whose longest match in the shard lies in it,
-    (item, length, item_word, word). A passage in several documents is reported at one place of each shard.
+    null text has no words, a null benchmark text no windows; an empty benchmark hits nothing; an empty table
+    gives no rows. A text of any length is searched whole, by one task. `longest` is the longest run of words that
+    the document shares with any item: (length, word, item, item_word); of equal ones the first in the document,
+    then the least item, then the first in it. It is null if no word is shared.
     """
-    kind = "struct<n_words:bigint,hits:array<struct<start:bigint,end:bigint>>,items:array<string>,longest:array<struct<item:string,length:bigint,item_word:bigint,word:bigint>>>"
+    kind = "struct<n_words:bigint,hits:array<struct<start:bigint,end:bigint>>,items:array<string>,longest:struct<length:bigint,word:bigint,item:string,item_word:bigint>>"
     names = [c for c in docs.columns if c.lower() != "decon"]
     empty = F.lit(None).cast(kind)
     out = docs.select(*[F.col(f"`{c}`") for c in names], empty.alias("decon"))
@@ -193,7 +246,7 @@ def scan_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 def _scan(sent, text_at: int, shard_bytes: int):
     hit_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    long_type = pa.list_(pa.struct([("item", pa.string()), ("length", pa.int64()), ("item_word", pa.int64()), ("word", pa.int64())]))
+    long_type = pa.struct([("length", pa.int64()), ("word", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test: TestSet = sent.value
@@ -205,25 +258,27 @@ def _scan(sent, text_at: int, shard_bytes: int):
         for batch in shards(renamed(), shard_bytes):
             hashes, first = word_hashes(batch.column(text_at))
             n_docs = batch.num_rows
-            hits, items, longest = [[] for _ in range(n_docs)], [set() for _ in range(n_docs)], [{} for _ in range(n_docs)]
+            hits, items, longest = [[] for _ in range(n_docs)], [set() for _ in range(n_docs)], [None] * n_docs
             if len(test.ids) and len(hashes):
                 got = test.matches(hashes, first)
-                for d, at, size, item in zip(*(got[k].tolist() for k in ("hit_doc", "hit_at", "hit_len", "hit_item"))):
-                    hits[d].append((at - int(first[d]), at - int(first[d]) + size))
+                lead = first[:-1] + np.arange(n_docs)
+                for d, a, b in zip(got["run_doc"].tolist(), (got["run_start"] - lead[got["run_doc"]]).tolist(), (got["run_end"] - lead[got["run_doc"]]).tolist()):
+                    hits[d].append((a, b))
+                for d, item in zip(got["item_doc"].tolist(), got["item"].tolist()):
                     items[d].add(str(test.items[item]))
-                best = np.flatnonzero(got["longest"] >= 3)
-                for k in best.tolist():
-                    s, d, size = int(got["suffix"][k]), int(got["doc"][k]), int(got["longest"][k])
-                    item = int(test.item_of[s])
-                    if longest[d].get(item, (0,))[0] < size:
-                        longest[d][item] = (size, s - int(test.first[item]), int(got["word"][k]))
+                for d, (size, word, at) in enumerate(zip(*(got[k].tolist() for k in ("length", "word", "place")))):
+                    if size:
+                        item = int(test.item_of[at])
+                        longest[d] = (-size, word, str(test.items[item]), at - int(test.first[item]))
             old = batch.column(batch.num_columns - 1).to_pylist()
             rows_h, rows_i, rows_l = [], [], []
             for d in range(n_docs):
-                before = old[d] or {"hits": [], "items": [], "longest": []}
+                before = old[d] or {"hits": [], "items": [], "longest": None}
                 rows_h.append(merged([(x["start"], x["end"]) for x in before["hits"]] + hits[d]))
                 rows_i.append(sorted({*before["items"], *items[d]}))
-                rows_l.append(before["longest"] + [{"item": str(test.items[i]), "length": v[0], "item_word": v[1], "word": v[2]} for i, v in sorted(longest[d].items())])
+                other = before["longest"]
+                found = [x for x in (longest[d], other and (-other["length"], other["word"], other["item"], other["item_word"])) if x]
+                rows_l.append(dict(zip(("length", "word", "item", "item_word"), (-min(found)[0], *min(found)[1:]))) if found else None)
             column = pa.StructArray.from_arrays([pa.array(np.diff(first), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in rows_h], hit_type), pa.array(rows_i, pa.list_(pa.string())), pa.array(rows_l, long_type)], names=["n_words", "hits", "items", "longest"])
             yield pa.record_batch([*batch.columns[:-1], column], names=[f"c{i}" for i in range(batch.num_columns)])
 
@@ -248,7 +303,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return scanned.select(
         "doc_id", "decon.n_words", n_hit.alias("n_hit"), F.size("decon.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("decon.items", ","), 256).alias("items_sha256"), (F.size("decon.hits") > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("decon.longest", lambda x: x["length"])), F.lit(0).cast("long")).alias("longest_match"),
+        F.coalesce("decon.longest.length", F.lit(0).cast("long")).alias("longest_match"),
     )
 
 

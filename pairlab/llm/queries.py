@@ -62,7 +62,32 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The words of a text as op6 takes them.
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x20]+')"
 
+#: The words of a text as op4 takes them.
+PLAIN_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 SQL = {
+    "op4_benchmark_decontamination": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item, {PLAIN_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i : i + 9], ' '))) AS gram
+        FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+p AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS gram
+      FROM d, sizes WHERE len(w) >= n),
+found AS MATERIALIZED (SELECT p.r, p.i, win.n, win.item FROM p JOIN win ON win.n = p.n AND win.gram = p.gram),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM found) GROUP BY r),
+one AS (SELECT DISTINCT unnest(w) AS word FROM b),
+single AS (SELECT DISTINCT r FROM (SELECT r, unnest(w) AS word FROM d) SEMI JOIN one USING (word)),
+pairs AS (SELECT x.r, y.k, x.i, x.i - y.j AS shift
+          FROM (SELECT r, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS two FROM d WHERE len(w) > 1) x
+          JOIN (SELECT k, unnest(range(1, len(w))) AS j, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) AS two FROM b WHERE len(w) > 1) y USING (two)),
+isles AS (SELECT r, k, shift, i - row_number() OVER (PARTITION BY r, k, shift ORDER BY i) AS isle FROM pairs),
+long AS (SELECT r, max(n) + 1 AS n FROM (SELECT r, count(*) AS n FROM isles GROUP BY r, k, shift, isle) GROUP BY r),
+most AS (SELECT single.r, coalesce(long.n, 1) AS n FROM single LEFT JOIN long ON long.r = single.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items,
+       coalesce(it.items_sha256, sha256('')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated, CAST(coalesce(most.n, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN it ON it.r = d.r LEFT JOIN most ON most.r = d.r""",
     "op6_lm_scores": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
 p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),

@@ -253,11 +253,34 @@ def test_overlaps_are_all_occurrences(spark, options):
     assert [got[i] for i in range(len(texts))] == brute_overlaps(texts, items)
 
 
-def test_longest_matches_and_places(spark):
-    docs = spark.createDataFrame([(1, "x y z the quick brown fox jumps over it"), (2, "nothing in common here")], "doc_id long, text string")
-    bench = spark.createDataFrame([("q", "see the quick brown fox jumps high")], "item_id string, text string")
-    got = {r.doc_id: r.decon for r in decontaminate.scan_overlaps(docs, bench).collect()}
-    assert [tuple(x) for x in got[1].longest] == [("q", 5, 1, 3)] and got[2].longest == []
+def brute_longest(texts, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    tests = sorted((str(i), word.findall(lowered(t))) for i, t in items if t)
+    out = []
+    for t in texts:
+        w, best = word.findall(lowered(t)), None
+        for a in range(len(w)):
+            for name, x in tests:
+                for b in range(len(x)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(x) and w[a + n] == x[b + n]:
+                        n += 1
+                    if n and (best is None or (-n, a, name, b) < best):
+                        best = (-n, a, name, b)
+        out.append((-best[0], *best[1:]) if best else None)
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 60, "shard_bytes": 300}, {"shard_bytes": 1}])
+def test_longest_matches_and_places(spark, options):
+    rng = random.Random(12)
+    words = ["a", "b", "c", "d", "e", "f", "only", "here"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["x y z the quick brown fox jumps over it"] * 3 + [None, "", "nothing in common"]
+    items = [(i, " ".join(rng.choice(words[:6]) for _ in range(rng.randint(1, 30)))) for i in range(12)] + [(50, "see the quick brown fox jumps high"), (51, None), (50, "the quick")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.decon.longest and tuple(r.decon.longest) for r in decontaminate.scan_overlaps(docs, bench, **options).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_longest(texts, items)
 
 
 def test_suffix_array_orders_suffixes():
