@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import chunks, materialise
@@ -26,6 +26,10 @@ WORDS, MAX_BITS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
 #: A bucket with more probes or rows than this is compared in blocks of this size, each a task's work.
 BLOCK = 1024
+#: Hashes whose bits are unpacked at one time.
+SLICE = 255 * 256
+#: Groups of fingerprints that are sent to all tasks at most; smaller groups than those join by their key.
+LARGE_GROUPS = 100_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -42,26 +46,34 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> list[int]:
 
 
 def majority(hashes: list[int]) -> int:
-    """The bits that are set in over half of the hashes; 0 without any."""
-    n = len(hashes)
-    if not n:
-        return 0
-    bits = np.zeros((-(-n // 255) * 255, 64), np.uint8)
-    bits[:n] = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    counts = np.add.reduce(bits.reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    """The bits that are set in over half of the hashes; 0 without any. Bits are unpacked for SLICE hashes at a time."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
+    for at in range(0, n, SLICE):
+        part = np.array(hashes[at : at + SLICE], "<u8")
+        bits = np.zeros((-(-len(part) // 255) * 255, 64), np.uint8)
+        bits[: len(part)] = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits.reshape(-1, 255, 64), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp): a row for each document. A null or wordless text has fingerprint 0."""
+    """(id, row, fp): a row for each document. A null or wordless text has fingerprint 0.
+
+    row is a hash of all columns of the row: it tells rows of one id apart, and only repeats share it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             got = np.fromiter((majority(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column("id"), pa.array(got.view(np.int64))], names=["id", "fp"])
+            yield pa.record_batch([batch.column("id"), batch.column("row"), pa.array(got.view(np.int64))], names=["id", "row", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), row_hash(docs).alias("row"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, row long, fp long")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns, in the order of their names."""
+    return F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(docs.columns)])
 
 
 def block_links(t: pd.DataFrame, max_bits: int = MAX_BITS) -> pd.DataFrame:
@@ -121,29 +133,62 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, block:
     return usual.union(dense)
 
 
+def groups_of(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, group, component_id) for each different fingerprint; group: a fingerprint that stands for its group.
+
+    A group may hold a large share of all fingerprints. Its smallest id is aggregated on the map side; at most
+    LARGE_GROUPS groups exceed LARGE_GROUPS'th part of the fingerprints (and 1,024), these are broadcast, and
+    the others join by their key.
+    """
+    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    edges = materialise(links(distinct.select("fp"), max_bits), "links")
+    member = connected_components(edges, "a", "b").withColumnRenamed("id", "fp")
+    linked = materialise(distinct.join(member, "fp"), "linked-fingerprints")
+    count, total = F.count("*").alias("n"), linked.count()
+    least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id"), count), "groups")
+    large = F.broadcast(least.where(F.col("n") > max(1024, total // LARGE_GROUPS)).select("component", "component_id"))
+    small = least.where(F.col("n") <= max(1024, total // LARGE_GROUPS)).select("component", "component_id")
+    columns = ["fp", F.col("component").alias("group"), "component_id"]
+    one = linked.join(large, "component").select(*columns)
+    two = linked.join(large, "component", "left_anti").join(small, "component").select(*columns)
+    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("group"), F.col("least").alias("component_id"))
+    return materialise(one.unionByName(two).unionByName(alone), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(id_col, fingerprint, component_id): a row for each document.
 
     component_id is the smallest id that links of max_bits or fewer differing bits reach, the row itself
     included; wordless texts have fingerprint 0 and link like others. Rows with equal fingerprints are one
     node, so groups of copies cost a row. Repeated ids keep a row each; a null id keeps its fingerprint and
-    takes the smallest id of its group that is not null. An empty table gives no rows. Other columns are not read.
+    takes the smallest id of its group that is not null. An empty table gives no rows. A text of any length is
+    hashed whole, by one task. Other columns only tell rows apart.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    edges = materialise(links(distinct.select("fp"), max_bits), "links")
-    groups = connected_components(edges, "a", "b")
-    named = distinct.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
-    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "group").select("fp", "component_id")
+    prints = materialise(fingerprints(docs.select(id_col, text_col), id_col, text_col), "fingerprints")
+    named = groups_of(prints, max_bits).select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id, with all its columns.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: of those of the smallest id the least row.
 
-    Rows of one id are one document and leave one row; rows without an id all stay.
+    Rows of one id with different texts are different documents, so each is kept or goes by its own group; a
+    row that is there several times in full is kept once. Rows without an id all stay. An empty table gives no rows.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    own = materialise(prints.where("id is not null").groupBy("id", "row").agg(F.first("fp").alias("fp"), F.count("*").alias("n")), "rows")
+    firsts = own.groupBy("fp").agg(F.min(F.struct("id", "row")).alias("head")).join(groups_of(prints, max_bits), "fp")
+    kept = firsts.groupBy("group").agg(F.min("head").alias("head")).select("head.*")
+    gone = own.join(kept, ["id", "row"], "left_anti").select("id", "row")
+    twice = materialise(own.where("n > 1").join(kept, ["id", "row"], "left_semi").select("id", "row"), "repeated-rows")
+    key = "row hash"  # a name that no other operator gives
+    rows = docs.withColumn(key, row_hash(docs))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def joined(other: DataFrame, how: str) -> DataFrame:
+        return rows.join(other.withColumnsRenamed({"id": "other id", "row": "other row"}), (rows[f"`{id_col}`"] == F.col("other id")) & (rows[f"`{key}`"] == F.col("other row")), how)
+
+    if twice.isEmpty():
+        return joined(gone, "left_anti").select(*columns)
+    once = joined(gone.unionByName(twice), "left_anti").select(*columns)
+    return once.unionByName(joined(twice, "left_semi").dropDuplicates([id_col, key]).select(*columns))

@@ -26,6 +26,8 @@ LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(25
 POSITIVES, UNLABELLED = 1000, 2000
 #: A feature is used if it is in so many confirmed texts, and so many times as frequent there as in unlabelled ones.
 LEAST_DOCS, LEAST_LIFT = 3, 3.0
+#: The bias of a model that calls nothing toxic.
+NEVER = -35.0
 
 
 @dataclass
@@ -80,6 +82,21 @@ def sampled(df: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, parts["code"], parts["value"], y
 
 
+def risk(z: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """pi * Rp(+) and Ru(-) - pi * Rp(-) of the margins z with logistic loss; p, u: the positive and unlabelled rows."""
+    return prior * np.logaddexp(0, -z[p]).mean(), np.logaddexp(0, z[u]).mean() - prior * np.logaddexp(0, z[p]).mean()
+
+
+def risk_slopes(z: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Slopes by z of the risk while its second part is not negative, else of that part turned round."""
+    s, g = 1 / (1 + np.exp(-np.clip(z, -35, 35))), np.zeros(len(z))
+    if risk(z, p, u, prior)[1] >= 0:
+        g[p], g[u] = -prior / p.sum(), s[u] / u.sum()
+    else:
+        g[p], g[u] = prior * s[p] / p.sum(), -s[u] / u.sum()
+    return g
+
+
 def fit_nnpu(row: np.ndarray, code: np.ndarray, value: np.ndarray, y: np.ndarray, prior: float, bits: int = BITS, steps: int = 150, rate: float = 0.6, decay: float = 2e-6, least_docs: int = LEAST_DOCS, least_lift: float = LEAST_LIFT) -> Model:
     """Full-batch Adam on the non-negative risk with logistic loss. y: 1 for a confirmed positive, 0 for an unlabelled row."""
     size = 1 << bits
@@ -94,16 +111,7 @@ def fit_nnpu(row: np.ndarray, code: np.ndarray, value: np.ndarray, y: np.ndarray
     w, b = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, value * w[code], minlength=n) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-        negative_u, negative_p = np.logaddexp(0, z[u]).mean(), np.logaddexp(0, z[p]).mean()
-        g = np.zeros(n)
-        if negative_u - prior * negative_p >= 0:
-            g[p] = prior * ((s[p] - 1) - s[p]) / p.sum()
-            g[u] = s[u] / u.sum()
-        else:
-            g[p] = prior * s[p] / p.sum()
-            g[u] = -s[u] / u.sum()
+        g = risk_slopes(np.bincount(row, value * w[code], minlength=n) + b, p, u, prior)
         grad = np.append(np.bincount(code, value * g[row], minlength=len(names)) + decay * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - t / (steps + 1))
@@ -117,14 +125,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, positives: int
     """Learns from the documents of train_rows (a condition on doc_id).
 
     Positives are rows whose label is toxic = 1 (a document with several labels: their maximum). Unlabelled
-    rows are the others, with or without a label. The prior is the share of toxic ones among labelled rows;
-    without labels it is 0.1. Both samples are bounded by a hash of the id; text is read whole.
+    rows are the others, with or without a label. The prior is the share of toxic ones among labelled rows.
+    Labels count only if their document is one of these rows. Without a confirmed text there is nothing to
+    learn from: the model scores every text 0. Both samples are bounded by a hash of the id; text is read whole.
     """
+    rows = docs.select("doc_id", "text").where(train_rows).where("doc_id is not null and text is not null")
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(train_rows)
+    labels = labels.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     n, toxic = labels.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows = docs.select("doc_id", "text").where(train_rows).where("doc_id is not null and text is not null")
+    if not toxic:
+        return Model(np.zeros(1 << bits), NEVER, 0.0)
     total = rows.count()
-    prior = min(0.95, max(0.001, toxic / n)) if n and toxic else 0.1
+    prior = min(0.95, max(0.001, toxic / n))
     # At most 2 x positives ids, so their size is bounded whatever the tables hold, and the texts stay where they are.
     confirmed = F.broadcast(hashed_share(labels.where("toxic = 1"), "doc_id", positives, toxic).select("doc_id", F.lit(1).alias("y")).limit(2 * positives))
     others = hashed_share(rows, "doc_id", unlabelled, total)
@@ -142,7 +154,7 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity_score") -> Data
     """docs plus a double between 0 and 1, higher where toxic is likelier; from the text alone.
 
     A null, empty or wordless text gets the score of the bias. A column of that name is replaced; other
-    columns and repeated rows stay as they are.
+    columns and repeated rows stay as they are; an empty table gives no rows. A text of any length is scored whole, by one task.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c.lower() != column.lower()]
@@ -161,12 +173,12 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity_score") -> Data
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs plus toxicity_score and toxic_predicted (1 from the threshold on)."""
+    """docs plus toxicity_score and toxic_predicted (1 from the threshold on); see train and score for odd rows."""
     train_rows = id_crc() % 5 != 0 if train_rows is None else train_rows
     model = train(docs, labels, train_rows)
     return score(docs, model).withColumn("toxic_predicted", (F.col("toxicity_score") >= threshold).cast("int"))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns."""
+    """The documents that are not predicted toxic, with their columns; all of them if no label confirms one of them."""
     return classify(docs, labels, **options).where("toxic_predicted = 0").select(*[f"`{c}`" for c in docs.columns])

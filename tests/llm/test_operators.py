@@ -323,6 +323,29 @@ def test_risk_learns_from_confirmed_and_unlabelled(spark):
     assert len(held) > 100 and sum(r.toxic_predicted == (r.doc_id % 6 == 0) for r in held) / len(held) > 0.95
 
 
+def test_slopes_are_those_of_the_risk():
+    rng, signs = np.random.default_rng(4), set()
+    for shift, prior in ((0.0, 0.2), (-6.0, 0.9), (3.0, 0.5)):
+        z = rng.normal(shift, 1, 30)
+        p = np.arange(30) < 9
+        z[p] += 4
+        second = toxicity.risk(z, p, ~p, prior)[1]
+        signs.add(second >= 0)
+        def aim(x):
+            a, b = toxicity.risk(x, p, ~p, prior)
+            return a + b if second >= 0 else -b
+        slopes = [(aim(z + 1e-5 * e) - aim(z - 1e-5 * e)) / 2e-5 for e in np.eye(30)]
+        assert np.allclose(slopes, toxicity.risk_slopes(z, p, ~p, prior), atol=1e-7)
+    assert len(signs) == 2
+
+
+def test_labels_of_absent_documents_do_not_count(spark):
+    docs = spark.createDataFrame([(i, f"an ordinary text number {chr(97 + i % 26)}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1000 + i, 1, 1) for i in range(12)], "doc_id long, quality int, toxic int")
+    assert toxicity.remove_toxic(docs, labels).count() == 40
+    assert toxicity.remove_toxic(docs, labels.unionByName(spark.createDataFrame([(3, 1, 0)], labels.schema))).count() == 40
+
+
 def test_scores_of_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(4, 1, 1), (4, 1, 0), (None, 0, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.classify(odd, labels).collect()
@@ -477,6 +500,32 @@ def test_fingerprints_and_groups(odd, none):
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, 7, 8, 9]
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta", "quite another text of its own with other words")
+    for order in ([(1, a), (5, a), (5, b)], [(5, b), (5, a), (1, a)], [(5, b), (5, b), (5, a), (1, a), (1, a)], [(5, b), (5, a), (None, a), (1, a)]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string"))
+        want = [(1, a), (5, b)] + ([(None, a)] if (None, a) in order else [])
+        assert sorted(kept.collect(), key=str) == sorted(want, key=str)
+    mixed = spark.createDataFrame([(1, a, "x", 1), (1, a, "y", 2), (2, a, "x", 3)], "doc_id long, text string, fp string, id long")
+    assert [tuple(r)[:2] for r in simhash.keep_one(mixed).collect()] == [(1, a)]
+
+
+def test_large_groups_are_labelled(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_GROUPS", 10**9)
+    chain = [(i << 40) ^ (1 << i % 30) for i in range(40)] + [(1 << k) - 1 for k in range(0, 36, 4)]
+    prints = spark.createDataFrame([(i, i, x) for i, x in enumerate(chain)], "id long, row long, fp long")
+    got = {r.fp: (r.group, r.component_id) for r in simhash.groups_of(prints, 4).collect()}
+    for x in chain:
+        near = {x}
+        while True:
+            more = {y for y in chain if any((y ^ z).bit_count() <= 4 for z in near)}
+            if more == near:
+                break
+            near = more
+        assert got[x] == (min(near), min(chain.index(y) for y in near))
 
 
 @pytest.mark.parametrize("block", [1024, 8])
