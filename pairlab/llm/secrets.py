@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions: candidate values, and a random forest that removes false positives.
 
-A candidate is a value of 12 or more key characters with a digit and a letter; a word can have many. Its features are length,
-character transitions, alphabet, dictionary coverage, path and neighbouring words. The forest is trained by
+A candidate is a value of 12 or more key characters with a digit and a letter, wherever it stands, or one of 6
+or more characters of any kind that a credential's name is set to; a word can have many. Features are length, character transitions, alphabet, dictionary coverage, path and neighbouring words. The forest is trained by
 Spark ML on labelled findings and becomes a column expression, so scanning is one pass without a shuffle.
 """
 
@@ -21,18 +21,30 @@ SAMPLE, GROUPS = 400, 600
 TREES, DEPTH = 15, 5
 MASK = "[SECRET]"
 #: Names that credentials and digests go by.
-CREDENTIAL = "(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential|private|access)"
+CREDENTIAL = "(?i)(token|secret|passw|pwd|api|(?<![a-z])key|key(?![a-z])|auth(?!or)|bearer|credential|private|access)"
+NAME = "(?:token|secret|passw(?:or)?d?|passphrase|pwd|key|auth|credentials?)"
 DIGEST = "(?i)(commit|sha|md5|checksum|hash|digest|uuid|guid|etag|rev|version|build|order|invoice|doc|page|isbn|file|image)"
 KEY = "[A-Za-z0-9+/_~.-]"
 #: A whole run of key characters with a digit and a letter; only a run's start is tried, so long runs cost their length.
-VALUE = f"(?<!{KEY})(?={KEY}*[0-9])(?={KEY}*[A-Za-z]){KEY}{{12,}}+={{0,2}}"
+RUN = f"(?<!{KEY})(?={KEY}*[0-9])(?={KEY}*[A-Za-z]){KEY}{{12,}}+={{0,2}}"
+#: What a credential's name is set to; ends at a quote, a comma, or the next setting of a query string.
+SET = rf"(?<={NAME}[A-Za-z_]{{0,12}}[\"']{{0,2}}[:=][\"'(]{{0,2}})(?:[^\s\"',;<>&(){{}}]|&(?![\w.-]+=)){{6,}}+"
+VALUE = f"(?i:{SET})|{RUN}"
+#: A word that holds a setting, and text before a word that ends in one.
+SETS, SET_BEFORE = rf"(?i){NAME}[A-Za-z_]{{0,12}}[\"']{{0,2}}[:=]", rf"(?i){NAME}[A-Za-z_]{{0,12}}[\"')]{{0,2}}\s*[:=]\s*[\"'(]?$"
 #: Characters before a later value of a word that are its cue, and values back that a cue without letters is looked for.
 CUE, BACK = 60, 32
 FEATURES = ["length", "transitions", "digits", "uppers", "hexes", "distinct", "dictionary", "separators", "path", "prefix", "assigned", "credential", "digest", "quoted"]
 
 
-def has_candidates(word: Column) -> Column:
-    return (F.length(word) >= 12) & word.rlike("[0-9]") & word.rlike("[A-Za-z]") & word.rlike(r"[A-Za-z0-9+/_~-]{12}")
+def set_before(last: Column, second: Column) -> Column:
+    """Whether the words before, the last and the one ahead of it, set a credential's name to what follows."""
+    return last.rlike("[:=][\"'(]?$") & F.concat_ws(" ", second, last).rlike(SET_BEFORE)
+
+
+def has_candidates(word: Column, last: Column, second: Column) -> Column:
+    run = (F.length(word) >= 12) & word.rlike("[0-9]") & word.rlike("[A-Za-z]") & word.rlike(f"{KEY}{{12}}")
+    return run | (word.rlike("[:=]") & word.rlike(SETS)) | ((F.length(word) >= 6) & set_before(last, second))
 
 
 def values_of(word: Column, before: Column) -> Column:
@@ -95,8 +107,12 @@ def candidates(text: Column, groups: Column) -> Column:
         def at(i: Column) -> Column:
             return F.coalesce(F.get(words, i), F.lit(""))
 
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: has_candidates(at(i)))
-        found = F.flatten(F.transform(places, lambda i: F.transform(values_of(at(i), F.concat_ws(" ", at(i - 2), at(i - 1))), lambda x: F.struct(i.alias("position"), x.alias("x")))))
+        def whole(i: Column) -> Column:
+            """The word; after words that set a name, with a name of its own, so that its pattern sees it."""
+            return F.when(set_before(at(i - 1), at(i - 2)), F.concat(F.lit("key="), at(i))).otherwise(at(i))
+
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: has_candidates(at(i), at(i - 1), at(i - 2)))
+        found = F.flatten(F.transform(places, lambda i: F.transform(values_of(whole(i), F.concat_ws(" ", at(i - 2), at(i - 1))), lambda x: F.struct(i.alias("position"), x.alias("x")))))
         return F.transform(found, lambda c: F.struct(c["position"].alias("position"), feature_struct(c["x"], groups).alias("f")))
 
     words = F.split(F.coalesce(text, F.lit("")), r"\s+")
@@ -112,7 +128,7 @@ def dictionary(docs: DataFrame, groups: int = GROUPS) -> list[str]:
 
 
 def labelled_findings(docs: DataFrame) -> DataFrame:
-    """(text, label): findings of known kind set among words of the documents, six secrets and nine false positives each."""
+    """(text, label): findings of known kind set among words of the documents, eleven secrets and twenty false positives each."""
     low = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")
     w = [F.coalesce(F.get(low, F.lit(i)), F.lit("word")) for i in (1, 3, 5)]
     salt = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
@@ -126,11 +142,18 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
     secret = [
         F.concat(lit('token = "'), sha, lit('"')), F.concat(lit("password="), F.substring(md5, 1, 18)), F.concat(lit("AKIA"), upper),
         F.concat(lit("api_key: "), base), F.concat(lit("secret: '"), md5, lit("'")), F.concat(lit("auth token "), base),
+        F.concat(lit("password: "), w[0], w[1], w[2], w[0]), F.concat(lit('password = "'), F.substring(base, 1, 5), lit("&"), F.substring(digits, 1, 2), F.substring(base, 7, 4), lit('"')),
+        F.concat(lit("pwd="), F.initcap(w[0]), lit("-"), F.initcap(w[1]), F.substring(digits, 1, 3), lit("!")), F.concat(lit("secret_key='"), F.substring(base, 1, 12), lit("#"), w[2], lit("'")),
+        F.concat(lit('{"access_token":"'), base, lit('"}')),
     ]
     plain = [
         F.concat(lit("commit "), sha), F.concat(lit("md5: "), md5), F.concat(lit("id="), uuid), F.concat(lit("checksum = "), sha),
         F.concat(lit("https://www."), w[0], lit(".com/"), year, lit("/"), w[1], lit("-"), w[2], lit(".html")), F.concat(lit("/usr/lib/"), w[0], F.substring(digits, 1, 2), lit("/"), w[1], w[2]),
         F.concat(w[0], w[1], w[2], F.substring(digits, 1, 2)), F.concat(w[0], lit("_"), w[1], lit("_"), year), F.concat(w[0], lit("."), F.substring(digits, 1, 2), lit("@"), w[1], lit("."), w[2], lit(".org")),
+        F.concat(lit("author: "), w[0], w[1]), F.concat(lit("keywords: "), w[0], lit("-"), w[1]), F.concat(lit("monkey="), w[0], w[2], F.substring(digits, 1, 2)),
+        F.concat(lit("token: "), w[0]), F.concat(lit("password: "), w[1]), F.concat(lit("key="), w[2]),
+        F.concat(lit('{"commit":"'), sha, lit('"}')), F.concat(lit("digest "), F.sha2(salt, 256)), F.concat(lit('"etag":"'), md5, lit('"')),
+        F.concat(F.upper(F.substring(w[0], 1, 3)), lit("-"), F.substring(digits, 1, 12)), F.concat(w[1], lit(" "), F.substring(digits, 3, 4), lit("-"), F.substring(digits, 9, 8), lit("-"), F.substring(w[0], 1, 1)),
     ]
     rows = F.array(*[F.struct(c.alias("finding"), lit(1.0).alias("label")) for c in secret], *[F.struct(c.alias("finding"), lit(0.0).alias("label")) for c in plain])
     return docs.select(F.explode(rows).alias("r"), w[0].alias("a"), w[1].alias("b")).select(F.concat_ws(" ", "a", "b", "r.finding", "b").alias("text"), "r.label")
@@ -176,7 +199,7 @@ def train(docs: DataFrame, rows: int = SAMPLE, trees: int = TREES, depth: int =
 def scan(docs: DataFrame, scanner: Scanner, threshold: float = 0.5) -> DataFrame:
     """docs plus findings: array of (position, value, score, secret); secret from the threshold on.
 
-    A null or wordless text has none. A column named findings is replaced, others pass through; repeated
+    A null or wordless text has none; a text of any length is one row's work. A column named findings is replaced, others pass through; repeated
     rows stay; an empty table gives no rows. A value that stands twice is found twice.
     """
     groups = F.lit(scanner.groups).cast("array<string>")
@@ -193,7 +216,10 @@ def redacted(text: Column, findings: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """The documents with their secrets masked; n_chars, where there is one, follows the text."""
+    """The documents with their secrets masked; n_chars, where there is one, follows the text.
+
+    A null text stays null; other columns, repeated rows and an empty table stay as they are.
+    """
     found = scan(docs, scanner)
     text = redacted(F.col("text"), F.col("findings"))
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
