@@ -153,7 +153,7 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
         F.concat(lit("author: "), w[0], w[1]), F.concat(lit("keywords: "), w[0], lit("-"), w[1]), F.concat(lit("monkey="), w[0], w[2], F.substring(digits, 1, 2)),
         F.concat(lit("token: "), w[0]), F.concat(lit("password: "), w[1]), F.concat(lit("key="), w[2]),
         F.concat(lit('{"commit":"'), sha, lit('"}')), F.concat(lit("digest "), F.sha2(salt, 256)), F.concat(lit('"etag":"'), md5, lit('"')),
-        F.concat(F.upper(F.substring(w[0], 1, 3)), lit("-"), F.substring(digits, 1, 12)), F.concat(w[1], lit(" "), F.substring(digits, 3, 4), lit("-"), F.substring(digits, 9, 8), lit("-"), F.substring(w[0], 1, 1)),
+        F.concat(F.upper(F.substring(w[0], 1, 5)), lit("-"), F.substring(digits, lit(1), 9 + F.pmod(F.crc32(salt), lit(14)).cast("int"))), F.concat(w[1], lit(" "), F.substring(digits, 3, 4), lit("-"), F.substring(digits, 9, 8), lit("-"), F.substring(w[0], 1, 1)),
     ]
     rows = F.array(*[F.struct(c.alias("finding"), lit(1.0).alias("label")) for c in secret], *[F.struct(c.alias("finding"), lit(0.0).alias("label")) for c in plain])
     return docs.select(F.explode(rows).alias("r"), w[0].alias("a"), w[1].alias("b")).select(F.concat_ws(" ", "a", "b", "r.finding", "b").alias("text"), "r.label")
