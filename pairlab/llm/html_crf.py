@@ -13,9 +13,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.common import chunks, hashed_share
 
-#: Pages that training reads at most, and the longest of them in characters; pages laid out anew.
-SAMPLE_PAGES, SAMPLE_CHARS, TEMPLATE_PAGES = 150, 60_000, 700
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Pages that training reads at most; pages laid out anew.
+SAMPLE_PAGES, TEMPLATE_PAGES = 150, 700
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Fixed values of HTML: elements whose content is no text of the page; the first three hold raw text up to their end tag, or the page's end.
+RAW, SKIPPED = {"script", "style", "textarea"}, {"script", "style", "textarea", "noscript", "template", "svg", "select"}
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 #: Fixed values of HTML: elements without an end tag, and elements that do not end a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,27 +41,59 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CUES = set("copyright rights reserved cookie cookies privacy policy subscribe newsletter login signup share tweet comments comment reply sponsored advertisement related terms accept menu home contact datenschutz impressum kontakt anmelden anzeige werbung kommentare antworten teilen accueil contactez publicité partager commentaires répondre inicio contacto publicidad compartir comentarios responder suscribirse".split())
 
 
+class Node:
+    """An element and its ancestors, by a link to the parent."""
+
+    __slots__ = ("tag", "names", "parent", "held", "depth", "hidden", "own")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
+        self.tag, self.names, self.parent, self.own = tag, names, parent, None
+        plain = tag not in ("html", "body")
+        more = {f"name={n}" for n in names} | ({f"in={tag}"} if plain else set())
+        above = parent.held if parent else frozenset()
+        self.held = above if more <= above else above | more
+        self.depth = (parent.depth if parent else 0) + plain
+        self.hidden = tag in ("head", "title") or bool(parent and parent.hidden)
+
+    def features(self) -> tuple[str, ...]:
+        """The features that the ancestors alone give."""
+        if self.own is None:
+            tags, at = [], self
+            while at and len(tags) < 2:
+                tags += [at.tag] if at.tag not in ("html", "body") else []
+                at = at.parent
+            self.own = ("bias", f"tag={tags[0] if tags else 'none'}", f"depth={min(self.depth, 6)}", *sorted(self.held), *([f"tags={tags[1]}>{tags[0]}"] if len(tags) > 1 else []))
+        return self.own
+
+
+ROOT = Node("body", (), None)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node
     link_chars: int = 0
 
+    def inside(self, tag: str) -> bool:
+        return f"in={tag}" in self.node.held
+
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text in page order; head, scripts, styles, comments and markup give none."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    held: list[str] = []
+    node, held = ROOT, []
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()
     links, link_chars, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal link_chars
         if held:
             text = " ".join("".join(held).split())
-            if text and not any(t in ("head", "title") for t, _ in stack):
-                out.append(Block(text, tuple(stack), link_chars))
+            if text and not node.hidden:
+                out.append(Block(text, node, link_chars))
         held.clear()
         link_chars = 0
 
@@ -69,56 +104,57 @@ def blocks(page: str | None) -> list[Block]:
         if links:
             link_chars += len(text)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        tag = tag.lower()
+        ended, empty = bool(m[1]), m[3].endswith("/")
+        if tag in SKIPPED and not ended and (tag in RAW or not empty) and tag not in unclosed:
+            if end := ENDS[tag].search(page, at):
+                at = end.end()
+                continue
+            if tag in RAW:
+                at = len(page)
+                continue
+            unclosed.add(tag)
         if tag == "br":
             held.append(" ")
             continue
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if ended else 1
         if tag in INLINE:
             continue
         flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag not in VOID and not m[4].endswith("/"):
+        if ended:
+            if open_tags[tag]:
+                while True:
+                    open_tags[node.tag] -= 1
+                    last, node = node.tag, node.parent
+                    if last == tag:
+                        break
+        elif tag not in VOID and not empty:
             closed = CLOSES.get(tag)
-            if closed and stack and stack[-1][0] in closed:
-                stack.pop()
+            if closed and node is not ROOT and node.tag in closed:
+                open_tags[node.tag] -= 1
+                node = node.parent
             if tag == "body":
-                del stack[:]
-            names = tuple(x.lower() for got in NAMES.findall(m[4]) for x in PARTS.findall(" ".join(got))) if "=" in m[4] else ()
-            stack.append((tag, names))
+                node, open_tags = ROOT, Counter()
+            names = tuple(x.lower() for got in NAMES.findall(m[3]) for x in PARTS.findall(" ".join(got))) if "=" in m[3] else ()
+            node = Node(tag, names, node)
+            open_tags[tag] += 1
     add(page[at:])
     flush()
     return out
 
 
-@lru_cache(20_000)
-def path_features(path: tuple) -> tuple[str, ...]:
-    """The features that the ancestors alone give."""
-    tags = [t for t, _ in path if t not in ("html", "body")]
-    f = ["bias", f"tag={tags[-1] if tags else 'none'}", f"depth={min(len(tags), 6)}"]
-    f += sorted({f"in={t}" for t in tags} | {f"name={n}" for _, names in path for n in names})
-    if len(tags) > 1:
-        f.append(f"tags={tags[-2]}>{tags[-1]}")
-    return tuple(f)
-
-
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the features that hold of each block."""
     rows = []
     for i, b in enumerate(page):
-        f = [*path_features(b.path)]
+        f = [*b.node.features()]
         n, words = len(b.text), b.text.split(" ")
         f.append(f"chars={min(8, n.bit_length())}")
         f.append(f"linked={min(3, 4 * b.link_chars // max(1, n))}")
@@ -167,6 +203,29 @@ class Crf:
         return self.viterbi(self.scores(features(page)))
 
 
+def likelihood(s: np.ndarray, moves: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood of all chains and its slopes by s and moves. s: weight of `kept` at each block of each chain."""
+    b, t = s.shape
+    both = mask[:, 1:] * mask[:, :-1]
+    node = np.stack([np.zeros_like(s), s], 2)
+    alpha, beta = np.zeros((b, t, 2)), np.zeros((b, t, 2))
+    alpha[:, 0] = node[:, 0]
+    for k in range(1, t):
+        nxt = np.logaddexp(alpha[:, k - 1, 0:1] + moves[0], alpha[:, k - 1, 1:2] + moves[1]) + node[:, k]
+        alpha[:, k] = np.where(mask[:, k : k + 1] > 0, nxt, alpha[:, k - 1])
+    for k in range(t - 2, -1, -1):
+        x = node[:, k + 1] + beta[:, k + 1]
+        prev = np.logaddexp(x[:, 0:1] + moves[:, 0], x[:, 1:2] + moves[:, 1])
+        beta[:, k] = np.where(mask[:, k + 1 : k + 2] > 0, prev, 0.0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    p = np.exp(alpha[..., 1] + beta[..., 1] - z[:, None]) * mask
+    pair = np.exp(alpha[:, :-1, :, None] + moves + (node + beta)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (target[:, :-1][both > 0], target[:, 1:][both > 0]), 1)
+    loss = float(z.sum() - (s * target * mask).sum() - (seen * moves).sum())
+    return loss, (p - target) * mask, pair.sum((0, 1)) - seen
+
+
 def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.15, decay: float = 2e-3, longest: int = 60) -> Crf:
     """Maximum likelihood by forward-backward over all chains at once; longer chains are cut for training."""
     cut = [(r[i : i + longest], y[i : i + longest]) for r, y in pages for i in range(0, len(r), longest)]
@@ -187,27 +246,11 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate:
             code += [index[name] for name in x]
     cell, code = np.array(cell), np.array(code)
     w, moves = np.zeros(len(index)), np.zeros((2, 2))
-    both = mask[:, 1:] * mask[:, :-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (target[:, :-1][both > 0], target[:, 1:][both > 0]), 1)
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        s = np.bincount(cell, w[code], minlength=b * t).reshape(b, t)
-        node = np.stack([np.zeros_like(s), s], 2)
-        alpha, beta = np.zeros((b, t, 2)), np.zeros((b, t, 2))
-        alpha[:, 0] = node[:, 0]
-        for k in range(1, t):
-            nxt = np.logaddexp(alpha[:, k - 1, 0:1] + moves[0], alpha[:, k - 1, 1:2] + moves[1]) + node[:, k]
-            alpha[:, k] = np.where(mask[:, k : k + 1] > 0, nxt, alpha[:, k - 1])
-        for k in range(t - 2, -1, -1):
-            x = node[:, k + 1] + beta[:, k + 1]
-            prev = np.logaddexp(x[:, 0:1] + moves[:, 0], x[:, 1:2] + moves[:, 1])
-            beta[:, k] = np.where(mask[:, k + 1 : k + 2] > 0, prev, 0.0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha[..., 1] + beta[..., 1] - z[:, None]) * mask
-        pair = np.exp(alpha[:, :-1, :, None] + moves + (node + beta)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
-        g_moves = (pair.sum((0, 1)) - seen) / b + decay * moves
-        g = np.bincount(code, ((p - target) * mask).ravel()[cell], minlength=len(w)) / b + decay * w
+        _, slopes, by_moves = likelihood(np.bincount(cell, w[code], minlength=b * t).reshape(b, t), moves, mask, target)
+        g_moves = by_moves / b + decay * moves
+        g = np.bincount(code, slopes.ravel()[cell], minlength=len(w)) / b + decay * w
         grad = np.append(g, g_moves.ravel())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -295,12 +338,11 @@ def labelled_pages(sample: list[str], n: int = TEMPLATE_PAGES, seed: int = 42) -
     prose, short = [], ["Home", "About us", "Contact", "Log in", "Share", "Privacy policy", "All rights reserved", "Subscribe", "Menu", "Read more", "Datenschutz", "Kontakt", "Accueil", "Inicio", "Accept cookies", "Reply", "Advertisement"]
     for page in sample:
         got = blocks(page)
-        kept = [int(any(t == "article" for t, _ in b.path)) for b in got]
+        kept = [int(b.inside("article")) for b in got]
         if any(kept):
             out.append((features(got), kept))
         for b, y in zip(got, kept):
-            if len(b.text) <= 2000:
-                (prose if y and len(b.text) > 25 else short).append(b.text)
+            (prose if y and len(b.text) > 25 else short).append(b.text)
     prose = prose or ["A sentence that stands for the text of an article, with a full stop."]
     for _ in range(n):
         page, labels = laid_out(prose, short, rng)
@@ -310,18 +352,18 @@ def labelled_pages(sample: list[str], n: int = TEMPLATE_PAGES, seed: int = 42) -
     return out
 
 
-def train(pages: DataFrame, rows: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> Crf:
-    """Trains on at most about `rows` pages of at most `chars` characters, chosen by a hash of the id."""
-    usable = pages.select("page_id", "html").where("page_id is not null and html is not null").where(F.length("html") <= chars)
-    total = usable.count()
-    got = hashed_share(usable, "page_id", rows, total).orderBy("page_id", "html").limit(2 * rows).collect()
+def train(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Crf:
+    """Trains on at most about `rows` whole pages, chosen by a hash of the id."""
+    usable = pages.select("page_id", "html").where("page_id is not null and html is not null")
+    got = hashed_share(usable, "page_id", rows, usable.count()).orderBy("page_id", "html").limit(2 * rows).collect()
     return fit(labelled_pages([r.html for r in got]))
 
 
 def extract(pages: DataFrame, model: Crf, html_col: str = "html") -> DataFrame:
     """pages plus text: the kept blocks, joined by a line feed; empty if there are none or html is null.
 
-    A column named text is replaced, others pass through; repeated pages stay; an empty table gives no rows.
+    A column named text is replaced, others pass through; repeated pages stay; an empty table gives no rows. A
+    page of any length or depth is read whole, by one task, in time that grows with its length.
     """
     names = [c for c in pages.columns if c.lower() != "text"]
     source, at = pages.select(*[F.col(f"`{c}`") for c in names]), names.index(html_col)

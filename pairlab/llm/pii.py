@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,22 @@ from pyspark.sql import functions as F
 from pairlab.llm.common import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: The fixed patterns, with runs taken whole from their start, so that long ones cost their length.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+RUN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])" + EMAIL.pattern)
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens of an entity at most, and tokens that a region takes on either side of a cue.
 MAX_TOKENS, AROUND = 7, 3
+#: Characters to either side of a cue in which those tokens are looked for.
+REACH = 60
+#: Words of the corpus that generated cases stand among.
+CASE_WORDS = 5000
 LABELS = ("none", *KINDS)
 TOKENS = re.compile(r"[^\x00-\x20]+")
 #: What may start an entity that no base pattern takes: written-out addresses, grouped digits.
-CUES = (re.compile(r"[(\[{][aA][tT][)\]}]"), re.compile(r" at \S+ dot "), re.compile(r"[0-9][0-9().,\x20/-]{5,}[0-9]"))
+CUES = (re.compile(r"[(\[{][aA][tT][)\]}]"), re.compile(r"(?i) at \S+ dot "), re.compile(r"[0-9][0-9().,\x20/-]{5,}[0-9]"))
 EDGE = "\"'`.,;:!?<>[]{}|*#%&$"
 
 
@@ -45,8 +53,10 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of all base matches, by start, then kind; failing matches are dropped, not retried."""
     out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
+    at = 0
+    while "@" in text and (m := at and EMAIL.match(text, at) or RUN_EMAIL.search(text, at)):
+        at = m.end()
+        out.append((m.start(), at, 0))
     for m in CARD.finditer(text):
         digits = re.sub(r"[^0-9]", "", m[0]) if m.end() - m.start() >= 14 else ""
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -193,12 +203,11 @@ def labelled_cases(words: list[str], n: int = 240, seed: int = 42) -> list[tuple
     return out
 
 
-def train(docs: DataFrame, rows: int = 50, chars: int = 20_000) -> SemiCrf:
-    """Trains on generated cases among the words of at most `rows` documents of at most `chars` characters, chosen by a hash."""
-    usable = docs.where("text is not null").where(F.length("text") <= chars)
-    got = usable.select("text", F.xxhash64("doc_id", F.lit("pii")).alias("h")).orderBy("h", "text").limit(rows).collect()
-    words = sorted({w for r in got for w in re.findall(r"[^\W\d_]+", r.text)})
-    return fit(labelled_cases(words))
+def train(docs: DataFrame, words: int = CASE_WORDS) -> SemiCrf:
+    """Trains on generated cases among at most `words` different words of the corpus, chosen by a hash."""
+    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).distinct()
+    got = every.orderBy(F.xxhash64("w", F.lit("pii")), "w").limit(words).collect()
+    return fit(labelled_cases(sorted(r.w for r in got)))
 
 
 def without(text: str, base: list[tuple[int, int, int]]) -> str:
@@ -215,11 +224,13 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) ->
     """Entities of the field that touch no base span; regions hold a cue beside the base spans."""
     out, done = [], 0
     text = without(text, base)
+    taken = sorted(base)
+    ends = list(accumulate((b for _, b, _ in taken), max))  # the furthest end of a base span that starts no later
     for m in sorted((m for cue in CUES for m in cue.finditer(text)), key=lambda m: m.start()):
         if m.start() < done:
             continue
-        low = max(done, m.start() - 60)
-        high = min(len(text), m.end() + 60)
+        low = max(done, m.start() - REACH)
+        high = min(len(text), m.end() + REACH)
         found = [(low + t.start(), low + t.end()) for t in TOKENS.finditer(text[low:high])]
         if low and found and not text[low - 1].isspace() and found[0][0] == low:
             found = found[1:]
@@ -236,7 +247,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) ->
                 a += 1
             while b > a and (text[b - 1] in EDGE or text[b - 1].isspace()):
                 b -= 1
-            if a < b and a >= done and not any(x < b and a < y for x, y, _ in base):
+            before = bisect_left(taken, (b,))  # base spans that start before the entity's end
+            if a < b and a >= done and not (before and ends[before - 1] > a):
                 out.append((a, b, label - 1))
                 done = b
         done = max(done, m.end())
@@ -246,7 +258,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) ->
 def find(docs: DataFrame, model: SemiCrf) -> DataFrame:
     """docs plus pii: array of (kind, start, end, base); code points, end exclusive, by start, then kind.
 
-    A null text counts as empty. A column named pii is replaced, others pass through; repeated rows stay.
+    A null text counts as empty. A column named pii is replaced, others pass through; repeated rows stay; an
+    empty table gives no rows. A text of any length is searched whole, by one task, in time that grows with it.
     """
     names = [c for c in docs.columns if c.lower() != "pii"]
     source, at = docs.select(*[F.col(f"`{c}`") for c in names]), names.index("text")
