@@ -1,15 +1,19 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
 
-A paragraph is a line. Its pieces are runs of words that end where a word's hash says so, so an edit changes
-the pieces around it alone. A section ends after a blank paragraph, or where a paragraph's hash says so.
-Hashes of paragraphs, sections and the root are BLAKE2b over what lies below. The fingerprint is the root
-and a MinHash sketch of the leaves (piece hashes), both of fixed size.
+A paragraph is a line. Its leaves are pieces: runs of words that end where a word's hash says so, so an edit
+changes the pieces around it alone. A section ends after a blank paragraph, or where a paragraph's hash says so.
+The hash of a paragraph is BLAKE2b over its leaves and its line, those of sections and the root over what lies
+below. The fingerprint is the root and a MinHash sketch of the leaves, both of fixed size: equal roots are equal
+texts, the sketch says how large a share of the leaves two trees have in common.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -30,63 +34,104 @@ def digest(*parts: bytes) -> bytes:
     return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
 
-def tree(text: str | None) -> dict:
-    """{"root", "sections": [(hash, [paragraph hashes])]}; hashes as hex. A null text is an empty one."""
-    sections, held = [], []
-    for line in (text or "").split("\n"):
-        held.append(digest(b"p", line.encode()))
-        if not line.strip() or held[-1][0] % SECTION_ENDS == 0:
+def leaves(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and line number in all texts of each piece."""
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    start, end, doc = spans(data, offsets, WORD)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = run_hash(data, start, end, seed=11)
+    line = np.cumsum(data == 10)[start] + doc  # a text's end ends a line too
+    closes = np.ones(len(words), bool)
+    closes[:-1] = (words[:-1] % np.uint64(PIECE_ENDS) == 0) | (line[1:] != line[:-1])
+    to = np.flatnonzero(closes) + 1
+    return run_hash(words, np.append(0, to[:-1]), to, seed=13), doc[to - 1], line[to - 1]
+
+
+def trees(texts: list[str], found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[dict]:
+    """The tree of each text: {"root", "sections": [(hash, [paragraph hashes])]}; hashes as hex."""
+    leaf, _, line = found
+    raw, number = leaf.astype("<u8").tobytes(), 0
+    for text in texts:
+        lines = text.split("\n")
+        cut = (np.searchsorted(line, np.arange(number, number + len(lines) + 1)) * 8).tolist()
+        number += len(lines)
+        sections, held = [], []
+        for k, one in enumerate(lines):
+            held.append(digest(b"p", raw[cut[k] : cut[k + 1]], one.encode()))
+            if not one.strip() or held[-1][0] % SECTION_ENDS == 0:
+                sections.append(held)
+                held = []
+        if held:
             sections.append(held)
-            held = []
-    if held:
-        sections.append(held)
-    named = [(digest(b"s", *s), s) for s in sections]
-    return {"root": digest(b"r", *[h for h, _ in named]).hex(), "sections": [(h.hex(), [p.hex() for p in s]) for h, s in named]}
+        named = [(digest(b"s", *s), s) for s in sections]
+        yield {"root": digest(b"r", *[h for h, _ in named]).hex(), "sections": [(h.hex(), [p.hex() for p in s]) for h, s in named]}
+
+
+def tree(text: str | None) -> dict:
+    """The tree of one text. A null text is an empty one."""
+    return next(trees([text or ""], leaves([text or ""])))
 
 
-def edits(before: str | None, after: str | None) -> list[tuple[int, int]]:
-    """(section, paragraph) of `after` whose paragraph has no counterpart in `before`; equal branches are not entered."""
+def edits(before: str | None, after: str | None) -> list[tuple[str, tuple[int, int] | None, tuple[int, int] | None]]:
+    """(kind, (section, paragraph) before, (section, paragraph) after) of each paragraph that differs.
+
+    kind: replaced, added (nothing before), removed (nothing after) or moved. Branches of equal hash that
+    follow in the same order are not entered. Equal texts, and only these, give no edit.
+    """
     a, b = tree(before), tree(after)
     if a["root"] == b["root"]:
         return []
-    known = {h for h, _ in a["sections"]}
-    open_a = {p for h, s in a["sections"] for p in s if h not in {x for x, _ in b["sections"]}}
-    return [(i, j) for i, (h, s) in enumerate(b["sections"]) if h not in known for j, p in enumerate(s) if p not in open_a]
-
-
-def sketches(texts: list[str]) -> np.ndarray:
-    """A row of SLOTS bytes for each text: the lowest byte of the least of its piece hashes under each slot's order.
+    out, gone, new = [], [], []
+    sections = SequenceMatcher(None, [h for h, _ in a["sections"]], [h for h, _ in b["sections"]], autojunk=False)
+    for kind, i, j, k, m in sections.get_opcodes():
+        if kind == "equal":
+            continue
+        left = [(x, y, p) for x in range(i, j) for y, p in enumerate(a["sections"][x][1])]
+        right = [(x, y, p) for x in range(k, m) for y, p in enumerate(b["sections"][x][1])]
+        inner = SequenceMatcher(None, [p for *_, p in left], [p for *_, p in right], autojunk=False)
+        for how, c, d, e, f in inner.get_opcodes():
+            if how != "equal":
+                gone.append(left[c:d])
+                new.append(right[e:f])
+    arrived: dict[str, deque] = defaultdict(deque)
+    for x, y, p in chain(*new):
+        arrived[p].append((x, y))
+    moved = set()
+    for x, y, p in chain(*gone):
+        if arrived[p]:
+            to = arrived[p].popleft()
+            out.append(("moved", (x, y), to))
+            moved |= {("a", x, y), ("b", *to)}
+    for old, fresh in zip(gone, new):
+        old, fresh = ([(x, y) for x, y, _ in rows if (side, x, y) not in moved] for side, rows in (("a", old), ("b", fresh)))
+        for was, now in zip_longest(old, fresh):
+            out.append(("replaced" if was and now else "removed" if was else "added", was, now))
+    return out
+
+
+def sketches(n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """A row of SLOTS bytes for each of n texts: the lowest byte of the least of its leaves under each slot's order.
 
     Slots are filled by one permutation of the leaves; an empty one borrows from the next filled one.
     """
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    start, end, doc = spans(data, offsets, WORD)
-    out = np.zeros((len(texts), SLOTS), np.uint8)
-    if not len(start):
-        return out
-    words = run_hash(data, start, end, seed=11)
-    breaks = np.cumsum(data == 10)
-    line = breaks[start]
-    closes = np.ones(len(words), bool)
-    closes[:-1] = (words[:-1] % np.uint64(PIECE_ENDS) == 0) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-    to = np.flatnonzero(closes) + 1
-    leaf = run_hash(words, np.append(0, to[:-1]), to, seed=13)
-    owner = doc[to - 1]
+    leaf, owner, _ = found
+    if not len(leaf):
+        return np.zeros((n, SLOTS), np.uint8)
     slot = (leaf >> np.uint64(58)).astype(np.int64)
     cell = owner * SLOTS + slot
-    least = np.full(len(texts) * SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(n * SLOTS, np.iinfo(np.uint64).max, np.uint64)
     order = np.argsort(cell, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) > 0]))
     least[cell[order][first]] = np.minimum.reduceat(leaf[order], first)
-    least = least.reshape(len(texts), SLOTS)
+    least = least.reshape(n, SLOTS)
     empty = np.iinfo(np.uint64).max
     salt = multipliers(SLOTS, 17)
+    base = least.copy()
     for step in range(1, SLOTS):
         gap = (least == empty) & (least != empty).any(1)[:, None]
         if not gap.any():
             break
-        if step == 1:
-            base = least.copy()
         source = np.roll(base, -step, axis=1)
         with np.errstate(over="ignore"):
             least = np.where(gap & (source != empty), source * salt[step], least)
@@ -95,7 +140,8 @@ def sketches(texts: list[str]) -> np.ndarray:
 
 def fingerprints(texts: list[str]) -> list[str]:
     """root:sketch of each text, in hex. Equal texts have equal fingerprints, different ones different roots."""
-    return [f"{tree(t)['root']}:{s.tobytes().hex()}" for t, s in zip(texts, sketches(texts))]
+    found = leaves(texts)
+    return [f"{t['root']}:{s.tobytes().hex()}" for t, s in zip(trees(texts, found), sketches(len(texts), found))]
 
 
 def likeness(a: list[str], b: list[str]) -> np.ndarray:
@@ -113,6 +159,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs plus fingerprint and sections: array of (hash, paragraph hashes). A null text counts as empty.
 
     Columns of those names are replaced, others pass through; repeated rows stay; an empty table gives no rows.
+    A text of any length is read whole, by one task.
     """
     names = [c for c in docs.columns if c.lower() not in ("fingerprint", "sections")]
     source, at = docs.select(*[F.col(f"`{c}`") for c in names]), names.index(text_col)
@@ -122,7 +169,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            rows = [[{"hash": h, "paragraphs": p} for h, p in tree(t)["sections"]] for t in texts]
+            rows = [[{"hash": h, "paragraphs": p} for h, p in t["sections"]] for t in trees(texts, leaves(texts))]
             yield pa.record_batch([*batch.columns, pa.array(fingerprints(texts)), pa.array(rows, kind)], names=[*names, "fingerprint", "sections"])
 
     return source.mapInArrow(run, schema)
@@ -138,7 +185,8 @@ def edited_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): a row for each row.
 
     The next document follows in descending doc_id (rows of one id in the order of their texts, null ids
-    last); after the last comes the first. Rows are dealt by ranges of ids, so neighbours meet in a task; the
+    last); after the last comes the first. An empty table gives no rows; null texts are empty; a long text is
+    read whole, by one task. Rows are dealt by ranges of ids, so neighbours meet in a task; the
     first row of each range, known from the ids alone, also goes to the range before.
     """
     spark = docs.sparkSession

@@ -71,13 +71,51 @@ def test_trees_locate_edits():
     before, after = "\n".join(lines), "\n".join([*lines[:30], "another line", *lines[31:]])
     changed = merkle.edits(before, after)
     sections = merkle.tree(after)["sections"]
-    assert [sections[i][1][j] for i, j in changed] == [merkle.digest(b"p", b"another line").hex()]
+    assert [kind for kind, *_ in changed] == ["replaced"] and [sections[i][1][j] for *_, (i, j) in changed] == [merkle.tree("another line")["sections"][0][1][0]]
     assert merkle.edits(before, before) == []
     a, b, c = merkle.fingerprints([before, after, "quite another text of its own, far away"])
     assert merkle.likeness([a, a, a], [a, b, c])[0] == 1
     assert 0.6 < merkle.likeness([a], [b])[0] < 1 and merkle.likeness([a], [c])[0] < 0.1
 
 
+def test_edits_turn_one_text_into_the_other():
+    rng = random.Random(15)
+    for _ in range(400):
+        lines = [rng.choice(["", "a b", "c d e", "f", "g h i j", *[f"line {k}" for k in range(8)]]) for _ in range(rng.randint(1, 14))]
+        other = list(lines)
+        for _ in range(rng.randint(0, 3)):
+            k, what = rng.randrange(len(other) + 1), rng.randrange(4)
+            if what == 0:
+                other.insert(k, rng.choice(["new", "a b", ""]))
+            elif len(other) > 1:
+                x = other.pop(min(k, len(other) - 1))
+                if what == 1:
+                    other.insert(rng.randrange(len(other) + 1), x)
+                elif what == 2:
+                    other.insert(min(k, len(other)), x + "!")
+        before, after = "\n".join(lines), "\n".join(other)
+        found = merkle.edits(before, after)
+        assert (found == []) == (before == after)
+        def places(text):
+            at, out = 0, {}
+            for i, (_, s) in enumerate(merkle.tree(text)["sections"]):
+                for j, _ in enumerate(s):
+                    out[i, j], at = text.split("\n")[at], at + 1
+            return out
+        old, new = places(before), places(after)
+        kept = [v for k, v in old.items() if k not in {a for _, a, _ in found}]
+        assert kept == [v for k, v in new.items() if k not in {b for *_, b in found}]
+        assert all(old[a] == new[b] for kind, a, b in found if kind == "moved") and all(old[a] != new[b] for kind, a, b in found if kind == "replaced")
+
+
+def test_leaves_lie_below_paragraphs():
+    texts = ["a b c\nd e", "", "a b c", "x\n\ny"]
+    leaf, owner, line = merkle.leaves(texts)
+    assert owner.tolist() == sorted(owner.tolist()) and set(line.tolist()) == {0, 1, 3, 4, 6}
+    one, two = merkle.leaves(["one two three four five six"])[0], merkle.leaves(["one two three four five 6"])[0]
+    assert 0 < len(set(one.tolist()) ^ set(two.tolist())) <= 4
+
+
 def test_fingerprint_keeps_columns(odd):
     got = merkle.with_fingerprint(odd)
     assert got.count() == len(ROWS) and set(got.columns) == {*odd.columns, "sections"}
