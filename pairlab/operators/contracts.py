@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,21 @@ def compare_tables(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     alone = F.col("in_a").isNull() | F.col("in_b").isNull()
     counts = both.agg(F.count_if(alone).alias("(key)"), *[F.count_if(~alone & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(c) for c in columns])
     return counts.unpivot([], ["(key)", *columns], "column", "mismatches")
+
+
+def unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df as it is; the job fails if two rows have equal keys. The check shuffles by the keys, as a join on them does."""
+    rows = df.groupBy(*keys).agg(F.count("*").alias("rows of a key"), F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+    message = F.concat(F.lit(f"repeated {', '.join(keys)}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    once = F.when(F.col("rows of a key") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return rows.where(once).select("row.*")
+
+
+def strict(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """df as it is; raises if it has no row, a repeated or null key, or a value that is null, NaN or infinite."""
+    bad = [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")) for c in values] + [F.col(k).isNull() for k in keys]
+    each = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(reduce(lambda a, b: a | b, bad)).alias("bad"))
+    n, repeated, wrong = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if not n or repeated or wrong:
+        raise ValueError(f"{n} rows, {repeated} with a repeated key, {wrong} with a key or value that is missing or not finite")
+    return df

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators import ranks
-from pairlab.operators.contracts import item_ids
+from pairlab.operators.contracts import item_ids, unique
 
 
 def attach_items(pairs: DataFrame, items: DataFrame, cols: list[str], drop_missing: bool = False) -> DataFrame:
-    """pairs plus each of cols with suffix 1 and 2. Item ids are unique, so pairs do not multiply; a missing item gives nulls."""
+    """pairs plus each of cols with suffix 1 and 2; a missing item gives nulls. An id of several items fails, as pairs would multiply."""
+    items = unique(items.select("id", *cols), ["id"])
     out, how = pairs, "inner" if drop_missing else "left"
     for side in ("1", "2"):
         out = out.join(items.select(F.col("id").alias(f"id{side}"), *[F.col(c).alias(f"{c}{side}") for c in cols]), f"id{side}", how)
@@ -23,8 +24,8 @@ def needed_items(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def join_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
-    """df plus predict by pair, null where there is none; a pair scored twice keeps its greatest score, so rows do not multiply."""
-    return df.join(scores.groupBy("id1", "id2").agg(F.max("predict").alias("predict")), ["id1", "id2"], "left")
+    """df plus predict by pair, null where there is none; a pair that is scored twice fails, as rows would multiply."""
+    return df.join(unique(scores.select("id1", "id2", "predict"), ["id1", "id2"]), ["id1", "id2"], "left")
 
 
 def apply_corrections(pairs: DataFrame, journal: DataFrame) -> DataFrame:

@@ -16,46 +16,37 @@ def hash_fold(key: Column, seed: str, k: int) -> Column:
 
 
 def component_loads(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """(category, component, pairs, positives)."""
+    """(category, component, pairs, positives): each component once, under the category of most of its pairs (ties: the least)."""
     joined = pairs.join(comp.withColumnRenamed("id", "id1"), "id1")
-    return joined.groupBy("category", "component").agg(F.count("*").alias("pairs"), F.sum("target").alias("positives"))
+    each = joined.groupBy("component", "category").agg(F.count("*").alias("n"), F.sum("target").alias("t"))
+    one = each.groupBy("component").agg(F.min(F.struct((-F.col("n")).alias("less"), "category")).alias("first"), F.sum("n").alias("pairs"), F.sum("t").alias("positives"))
+    return one.select("first.category", "component", "pairs", "positives")
 
 
 def stratified_fold(components: DataFrame, seed: str, k: int) -> DataFrame:
     """(category, component, fold): greedy in each category, largest components first, to the least loaded fold.
 
     The load of a fold is the worse of its pairs and positives against their shares of the category (positives'
-    share at least 1); ties go to the lowest fold. A category is one sequence by definition: its rows stream
-    through one task with a state of 2k numbers. Categories run apart.
+    share at least 1); ties go to the lowest fold. A category is one sequence by definition: Spark sorts its rows
+    on disk, and they stream through one task whose state is 2k numbers. Categories run apart.
     """
-    rule = """
-    aggregate(array_sort(collect_list(struct(-pairs AS m, sha2(concat('{seed}:', component), 256) AS h, component, pairs, positives))),
-      named_struct('p', array_repeat(0D, {k}), 't', array_repeat(0D, {k}), 'out', cast(array() AS array<struct<component:bigint,fold:int>>),
-                   'np', cast(sum(pairs) AS double) / {k}, 'nt', greatest(cast(sum(positives) AS double) / {k}, 1D)),
-      (s, c) -> transform(array(transform(sequence(0, {k} - 1), f -> struct(greatest((s.p[f] + c.pairs) / s.np, (s.t[f] + c.positives) / s.nt) AS load, f AS f))),
-        l -> transform(array(array_min(l).f), f -> named_struct(
-          'p', transform(s.p, (x, i) -> if(i = f, x + c.pairs, x)), 't', transform(s.t, (x, i) -> if(i = f, x + c.positives, x)),
-          'out', concat(s.out, array(named_struct('component', c.component, 'fold', f))), 'np', s.np, 'nt', s.nt))[0])[0],
-      s -> s.out)""".format(seed=seed, k=k)
-    return components.groupBy("category").agg(F.expr(rule).alias("r")).select("category", F.inline("r"))
+    shares = components.groupBy("category").agg((F.sum("pairs") / k).alias("share_p"), F.greatest(F.sum("positives") / k, F.lit(1.0)).alias("share_t"))
+    rows = components.join(shares, "category").withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")), 256))
+    ordered = rows.repartition("category").sortWithinPartitions("category", F.desc("pairs"), "h")
 
+    def run(batches):
+        category, p, q = None, [], []
+        for t in batches:
+            out = []
+            for name, n, m, share_p, share_t in zip(t.category, t.pairs, t.positives, t.share_p, t.share_t):
+                if name != category:
+                    category, p, q = name, [0.0] * k, [0.0] * k
+                f = min(range(k), key=lambda i: (max((p[i] + n) / share_p, (q[i] + m) / share_t), i))
+                p[f], q[f] = p[f] + n, q[f] + m
+                out.append(f)
+            yield t[["category", "component"]].assign(fold=out)
 
-def stratified_fold_grouped(components: DataFrame, seed: str, k: int) -> DataFrame:
-    """The same folds by one Python task for each category: linear in its components."""
-
-    def run(t):
-        import hashlib
-
-        t = t.assign(h=[hashlib.sha256(f"{seed}:{c}".encode()).hexdigest() for c in t.component]).sort_values(["pairs", "h"], ascending=[False, True])
-        share_p, share_t = t.pairs.sum() / k, max(t.positives.sum() / k, 1.0)
-        p, q, out = [0.0] * k, [0.0] * k, []
-        for n, m in zip(t.pairs, t.positives):
-            f = min(range(k), key=lambda i: (max((p[i] + n) / share_p, (q[i] + m) / share_t), i))
-            p[f], q[f] = p[f] + n, q[f] + m
-            out.append(f)
-        return t.assign(fold=out)[["category", "component", "fold"]]
-
-    return components.groupBy("category").applyInPandas(run, "category string, component long, fold int")
+    return ordered.mapInPandas(run, "category string, component long, fold int")
 
 
 def build_folds(pairs: DataFrame, seed: str, k: int, stratified: bool) -> DataFrame:
@@ -64,7 +55,7 @@ def build_folds(pairs: DataFrame, seed: str, k: int, stratified: bool) -> DataFr
     joined = pairs.join(comp.withColumnRenamed("id", "id1"), "id1")
     if not stratified:
         return joined.withColumn("fold", hash_fold(F.col("component"), seed, k))
-    folds = stratified_fold_grouped(component_loads(pairs, comp), seed, k).drop("category").distinct()
+    folds = stratified_fold(component_loads(pairs, comp), seed, k).drop("category")
     return joined.join(folds, "component")
 
 

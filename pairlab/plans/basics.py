@@ -21,10 +21,11 @@ def _(t):
     return t.items.select("id", "category").groupBy("category").agg(F.count("*").alias("n_items"))
 
 
-@query("s2_scan_needed_items", """SELECT i.id, i.name, i.category FROM items i WHERE i.id IN (SELECT id1 FROM pairs UNION SELECT id2 FROM pairs)""")
+@query("s2_scan_needed_items", """SELECT i.id, i.name, i.category, m.n_missing FROM items i, (SELECT COUNT(*) AS n_missing FROM (SELECT id1 AS id FROM journal UNION SELECT id2 FROM journal) WHERE id NOT IN (SELECT id FROM items)) m
+WHERE i.id IN (SELECT id1 FROM journal UNION SELECT id2 FROM journal)""")
 def _(t):
-    needed, _ = files.scan_needed_items(t.items.select("id", "name", "category"), t.pairs)
-    return needed
+    needed, missing = files.scan_needed_items(t.items.select("id", "name", "category"), t.journal)
+    return needed.crossJoin(F.broadcast(missing.agg(F.count("*").alias("n_missing"))))  # one row
 
 
 @query("s3_read_fold_targets", "SELECT concat('fold_', CAST(fold AS STRING)) AS fold, COUNT(*) AS n_pairs, CAST(SUM(target) AS BIGINT) AS positives FROM folded GROUP BY fold")
@@ -37,7 +38,7 @@ def _(t):
 def _(t):
     path = files.scratch(t.spark, "strict")
     t.pairs.select("id1", "id2", "target").write.option("header", True).csv(path)
-    return files.read_strict(t.spark, path, "id1 long, id2 long, target int").agg(F.count("*").alias("n_rows"), F.count_distinct("id1").alias("left_items"))
+    return files.read_strict(t.spark, path, "id1 long, id2 long, target int", ["id1", "id2"]).agg(F.count("*").alias("n_rows"), F.count_distinct("id1").alias("left_items"))
 
 
 @query("s5_scan_journal", "SELECT mode, audited_label, COUNT(*) AS n FROM journal GROUP BY mode, audited_label")
@@ -90,7 +91,10 @@ def _(t):
 @query("s11_dataset_fingerprint", """SELECT fold, COUNT(*) AS n_rows,
 CAST(SUM(('0x' || substr(sha256(concat(CAST(id1 AS STRING), ',', CAST(id2 AS STRING), ',', CAST(target AS STRING), ',', category)), 1, 8))::UBIGINT) AS BIGINT) AS fingerprint FROM folded GROUP BY fold""")
 def _(t):
-    return files.fingerprint(t.folded.select("fold", "id1", "id2", "target", "category"), ["fold"])
+    rows = t.folded.select("fold", "id1", "id2", "target", "category")
+    found = files.fingerprint(rows, ["fold"])
+    files.require_fingerprint(rows.repartition(3), ["fold"], found)
+    return found
 
 
 @query("oc1_check_pairs", """SELECT COUNT(*) AS n_rows, CAST(COUNT_IF(id1 = id2) AS BIGINT) AS self_pairs, CAST(COUNT_IF(target NOT IN (0, 1)) AS BIGINT) AS bad_targets,

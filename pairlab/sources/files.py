@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlab.operators.contracts import strict, unique
+
 ITEMS = "id long, name string, attributes string, category string"
 JOURNAL = "id1 long, id2 long, audited_label int, original_target int, mode string, judged_at long"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
+    """A new path in the folder that all executors share. Only a local session may have none; it then gets one of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -26,7 +31,8 @@ def scan_items(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
 
 
 def scan_needed_items(items: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items that pairs name, ids that no item has)."""
+    """(items that pairs name, ids that no item has); an id of several items fails."""
+    items = unique(items, ["id"])
     ids = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
     return items.join(ids, "id", "left_semi"), ids.join(items, "id", "left_anti")
 
@@ -44,9 +50,13 @@ def read_fold_files(spark: SparkSession, path: str, value: str) -> DataFrame:
     return got.withColumn("fold", fold)
 
 
-def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV whose header must name exactly these columns and whose values must have their types, else the read fails."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+def read_strict(spark: SparkSession, path: str, schema: str, keys: list[str] | None = None) -> DataFrame:
+    """CSV whose header must name exactly these columns and whose values must have their types, else the read fails.
+
+    With keys it also fails if there is no row, a key repeats, or a number is missing or not finite.
+    """
+    got = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return strict(got, keys, [c for c, kind in got.dtypes if c not in keys and kind != "string"]) if keys else got
 
 
 def scan_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -86,3 +96,12 @@ def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
     row = F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns if c not in by])
     part = F.conv(F.substring(F.sha2(row, 256), 1, 8), 16, 10).cast("bigint")
     return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum(part).alias("fingerprint"))
+
+
+def require_fingerprint(df: DataFrame, by: list[str], expected: DataFrame) -> DataFrame:
+    """df as it is; raises if a group's row count or fingerprint is not the one in expected, or a group is in one of them only."""
+    found = fingerprint(df, by)
+    wrong = found.exceptAll(expected.select(found.columns)).union(expected.select(found.columns).exceptAll(found)).select(*by).distinct().limit(5).collect()
+    if wrong:
+        raise ValueError(f"data differ from their fingerprint in {', '.join(str(tuple(x)) for x in wrong)}")
+    return df

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
-from pairlab.operators import audit, blend, features, graph, metrics, resample, splits
+from pairlab.operators import audit, blend, contracts, features, graph, joins, metrics, resample, splits
 from pairlab.operators.components import connected_components
 from pairlab.plans.fixtures import Tables
+from pairlab.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,11 +139,10 @@ def test_closure_is_idempotent(spark):
         graph.closure_pairs(pairs, max_size=2)
 
 
-def test_stratified_folds_by_sql_and_by_task(t):
+def test_stratified_folds_by_rule(t):
     loads = splits.component_loads(t.pairs, connected_components(t.pairs)).cache()
     a = {(r.category, r.component): r.fold for r in splits.stratified_fold(loads, "s", 4).collect()}
-    b = {(r.category, r.component): r.fold for r in splits.stratified_fold_grouped(loads, "s", 4).collect()}
-    assert a == b and len(a) == loads.count()
+    assert len(a) == loads.count()
     by = {}
     for r in loads.collect():
         by.setdefault(r.category, []).append((-r.pairs, hashlib.sha256(f"s:{r.component}".encode()).hexdigest(), r.component, r.positives))
@@ -158,6 +158,51 @@ def test_stratified_folds_by_sql_and_by_task(t):
     assert built.count() == t.pairs.count() and items.where("n > 1").count() == 0
 
 
+def test_a_component_of_two_categories_has_one_fold(spark):
+    pairs = spark.createDataFrame([(1, 2, "a", 1), (2, 3, "b", 0), (3, 4, "b", 1), (10, 11, "a", 0), (20, 21, "b", 1)], "id1 long, id2 long, category string, target int")
+    loads = splits.component_loads(pairs, connected_components(pairs))
+    assert sorted(map(tuple, loads.collect())) == [("a", 10, 1, 0), ("b", 1, 3, 2), ("b", 20, 1, 1)]
+    built = splits.build_folds(pairs, "s", 2, stratified=True)
+    assert built.count() == 5 and built.where("component = 1").select("fold").distinct().count() == 1
+
+
+def test_repeated_keys_fail(spark):
+    items = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "id long, name string")
+    pairs = spark.createDataFrame([(1, 2)], "id1 long, id2 long")
+    once = items.where("name <> 'z'")
+    assert [tuple(r) for r in joins.attach_items(pairs, once, ["name"]).select("name1", "name2").collect()] == [("x", "y")]
+    assert files.scan_needed_items(once, pairs)[0].count() == 2
+    scores = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5)], "id1 long, id2 long, predict double")
+    assert joins.join_scores(pairs, scores.limit(1)).first().predict == 0.5
+    for failing in (lambda: joins.attach_items(pairs, items, ["name"]), lambda: files.scan_needed_items(items, pairs)[0], lambda: joins.join_scores(pairs, scores)):
+        with pytest.raises(Exception, match="repeated id"):
+            failing().collect()
+
+
+def test_strict_reads_fail(spark, tmp_path):
+    schema, good = "id1 long, id2 long, target double", [(1, 2, 0.5), (1, 3, 1.0)]
+    cases = {"ok": good, "repeated": [*good, (1, 2, 0.1)], "nan": [*good, (4, 5, float("nan"))], "inf": [*good, (4, 5, float("inf"))], "null": [*good, (4, 5, None)], "key": [*good, (None, 5, 0.1)]}
+    for name, rows in cases.items():
+        path = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.option("header", True).csv(path)
+        if name == "ok":
+            assert files.read_strict(spark, path, schema, ["id1", "id2"]).count() == 2
+        else:
+            with pytest.raises(ValueError):
+                files.read_strict(spark, path, schema, ["id1", "id2"])
+    with pytest.raises(ValueError):
+        contracts.strict(spark.createDataFrame([], schema), ["id1", "id2"], ["target"])
+
+
+def test_changed_data_are_refused(t):
+    rows = t.folded.select("fold", "id1", "id2", "target")
+    known = files.fingerprint(rows, ["fold"])
+    assert files.require_fingerprint(rows, ["fold"], known) is rows
+    for changed in (rows.where("id1 > 3"), rows.withColumn("target", F.lit(1)), rows.where("fold <> 1")):
+        with pytest.raises(ValueError, match="fingerprint"):
+            files.require_fingerprint(changed, ["fold"], known)
+
+
 def test_soft_negatives_golden(spark):
     rows = [(i, i + 100, "c", 2, 0, float(i)) for i in range(10)] + [(50, 150, "c", 1, 0, 999.0)]
     df = spark.createDataFrame(rows, "id1 long, id2 long, category string, fold int, target int, predict double")
