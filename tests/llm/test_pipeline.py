@@ -5,16 +5,18 @@ import re
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from pairlab.llm.common import materialise
-from tests.llm.test_operators import brute_fingerprint, brute_overlaps
+from tests.llm.test_operators import CLASH, ROWS, SCHEMA, brute_fingerprint, brute_overlaps
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages_in_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    toxic, plain = ({r.doc_id for r in labels if r.toxic == k} for k in (1, 0))
     seen = {r.doc_id: r for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         out = materialise(stage(spark, docs, SF), name)
@@ -23,7 +25,7 @@ def test_stages_in_turn(spark):
             assert out.columns == docs.columns
         if name == "toxicity":
             gone = set(seen) - {r.doc_id for r in rows}
-            assert gone <= {i for i, r in seen.items() if i in toxic or re.search("loser|idiot|stupid|moron|trash|scum|clown", r.text)} | gone and len(gone) < 0.3 * len(seen)
+            assert len(gone & toxic) >= 0.7 * len(toxic & set(seen)) > 0 and not gone & plain
         elif name == "simhash_near_dedup":
             prints = {i: np.uint64(brute_fingerprint(r.text)) for i, r in seen.items()}
             group = {i: i for i in seen}
@@ -50,3 +52,17 @@ def test_stages_in_turn(spark):
 
 def test_run_returns_pieces(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for name in CLASH:
+        docs = docs.withColumn(name, F.lit("mine"))
+    counts = []
+    for df in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES:
+            df = materialise(stage(spark, df, str(tmp_path)), "odd")
+            counts.append(df.count())
+    assert counts[:4] == [len(ROWS), 7, 7, 7] and counts[4] > 7 and counts[5:] == [0] * 5
