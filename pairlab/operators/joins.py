@@ -9,9 +9,12 @@ from pairlab.operators import ranks
 from pairlab.operators.contracts import item_ids, unique
 
 
-def attach_items(pairs: DataFrame, items: DataFrame, cols: list[str], drop_missing: bool = False) -> DataFrame:
-    """pairs plus each of cols with suffix 1 and 2; a missing item gives nulls. An id of several items fails, as pairs would multiply."""
-    items = unique(items.select("id", *cols), ["id"])
+def attach_items(pairs: DataFrame, items: DataFrame, cols: list[str], drop_missing: bool = False, known_unique: bool = False) -> DataFrame:
+    """pairs plus each of cols with suffix 1 and 2; a missing item gives nulls. An id of several items fails, as pairs would multiply.
+
+    known_unique leaves the check out, for items that are grouped by id already.
+    """
+    items = items if known_unique else unique(items.select("id", *cols), ["id"])
     out, how = pairs, "inner" if drop_missing else "left"
     for side in ("1", "2"):
         out = out.join(items.select(F.col("id").alias(f"id{side}"), *[F.col(c).alias(f"{c}{side}") for c in cols]), f"id{side}", how)
