@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.functions.draws import draw
 from pairlab.operators import metrics, ranks
 from pairlab.operators.joins import apply_corrections
 
@@ -42,7 +43,7 @@ def audit_queue(mode: str, oof: DataFrame, n: int, model: str | None = None, inf
     fn, fp: positives of least, negatives of greatest score of the model. consensus: |target - mean score of all
     models|. random: by hash. infold, infold_fn, infold_fp: loss of the in-fold mean, of all, positives, negatives.
     infold_gap: in-fold minus out-of-fold score on the label's side. judge, judge_fn, judge_fp: distance of a
-    judge's score (id1, id2, predict) from the label.
+    judge's score (id1, id2, predict) from the label. Priorities are rounded to nine decimals, so that equal ones tie.
     """
     one = oof.where(F.col("model") == model) if model else oof
     target = F.col("target")
@@ -51,7 +52,7 @@ def audit_queue(mode: str, oof: DataFrame, n: int, model: str | None = None, inf
     elif mode == "consensus":
         rows = oof.groupBy("id1", "id2").agg(F.max("target").alias("target"), F.avg("predict").alias("p")).select("id1", "id2", "target", F.abs(target - F.col("p")).alias("priority"))
     elif mode == "random":
-        rows = oof.select("id1", "id2", "target").distinct().withColumn("priority", F.pmod(F.xxhash64(F.lit(seed), "id1", "id2"), F.lit(1_000_000)) / 1e6)
+        rows = oof.select("id1", "id2", "target").distinct().withColumn("priority", draw(seed, "id1", "id2") % 1_000_000 / 1e6)
     elif mode in ("infold", "infold_fn", "infold_fp"):
         rows = infold_average(infold).select("id1", "id2", "target", F.col("loss").alias("priority"))
         rows = rows if mode == "infold" else rows.where(target == int(mode == "infold_fn"))
@@ -66,7 +67,7 @@ def audit_queue(mode: str, oof: DataFrame, n: int, model: str | None = None, inf
         raise ValueError(f"no audit mode {mode}")
     if journal is not None:
         rows = rows.join(journal.select("id1", "id2").distinct(), ["id1", "id2"], "left_anti")
-    return rows.orderBy(F.desc("priority"), "id1", "id2").limit(n)
+    return rows.withColumn("priority", F.round("priority", 9)).orderBy(F.desc("priority"), "id1", "id2").limit(n)
 
 
 def audit_summary(journal: DataFrame, least: int = 30) -> DataFrame:

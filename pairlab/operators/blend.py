@@ -84,6 +84,30 @@ def nested_blend(wide: DataFrame, models: list[str], chosen: DataFrame, alpha: f
     return joined.select("id1", "id2", "fold", "category", "target", sum((F.col(m) * x for m, x in zip(models, w)), F.lit(0.0)).alias("predict"))
 
 
+def nested_variants(wide: DataFrame, models: list[str], ap: DataFrame, grid: DataFrame, folds: list[int], alphas: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(variant, id1, id2, fold, category, target, predict): held-out scores of every way to choose weights.
+
+    ap from grid_ap over grid. equal; global: one choice for all categories; best_single: the category's best model;
+    raw: its best weights; shrunk_<alpha>: those, drawn toward equal ones. The choices of a (fold, category) are one
+    row of arrays, so the scores are joined once.
+    """
+    n = len(models)
+    equal = F.array_repeat(F.lit(1 / n), n)
+    singles = ap.join(F.broadcast(grid.where(F.array_max("weights") == 1).select("point")), "point")
+    raw = choose_weights(ap, grid, folds).select("held", "category", F.col("weights").alias("raw"))
+    single = choose_weights(singles, grid, folds).select("held", "category", F.col("weights").alias("single"))
+    overall = choose_weights(ap, grid, folds, ()).select("held", F.col("weights").alias("overall"))
+    ways = {"equal": equal, "global": F.col("overall"), "best_single": F.col("single"), "raw": F.col("raw")}
+    ways |= {f"shrunk_{a}": F.zip_with("raw", equal, _toward(a)) for a in alphas}
+    chosen = raw.join(single, ["held", "category"]).join(overall, "held").select(F.col("held").alias("fold"), "category", F.array(*[F.struct(F.lit(k).alias("variant"), w.alias("w")) for k, w in ways.items()]).alias("ways"))
+    rows = wide.join(F.broadcast(chosen), ["fold", "category"]).withColumn("way", F.explode("ways"))
+    return rows.select("way.variant", "id1", "id2", "fold", "category", "target", sum((F.col(m) * F.col("way.w")[i] for i, m in enumerate(models)), F.lit(0.0)).alias("predict"))
+
+
+def _toward(alpha: float):
+    return lambda w, e: alpha * w + (1 - alpha) * e
+
+
 def two_level_weights(by_category: DataFrame, overall: DataFrame, share: float = 0.75) -> DataFrame:
     """(held, category, weights): share of the category's weights, the rest of the global ones."""
     both = by_category.join(overall.select("held", F.col("weights").alias("g")), "held")
@@ -91,7 +115,10 @@ def two_level_weights(by_category: DataFrame, overall: DataFrame, share: float =
 
 
 def residual_screen(wide: DataFrame, base: str, candidates: list[str], folds: list[int], steps=(0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35)) -> DataFrame:
-    """(candidate, mean_weight, delta): nested weight of each candidate on top of the base, and the AP it adds over held-out folds."""
+    """(candidate, mean_weight, delta, folds): nested weight of each candidate on top of the base, and the AP it adds over held-out folds.
+
+    folds has a struct (fold, weight, delta) for each held-out fold.
+    """
     rows = wide.select("fold", "target", F.explode(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(i).alias("point"), F.round((1 - w) * F.col(base) + w * F.col(c), 8).alias("predict")) for c in candidates for i, w in enumerate(steps)])).alias("p"))
     ap = metrics.average_precision(rows.select("fold", "target", "p.*"), ["candidate", "fold", "point"]).where("ap is not null")
     held = ap.select("*", F.explode(F.array(*[F.lit(f) for f in folds])).alias("held")).where("fold <> held")
@@ -100,7 +127,8 @@ def residual_screen(wide: DataFrame, base: str, candidates: list[str], folds: li
     zero = ap.where("point = 0").select("candidate", F.col("fold").alias("held"), F.col("ap").alias("base_ap"))
     gain = best.join(ap.withColumnRenamed("fold", "held"), ["candidate", "held", "point"]).join(zero, ["candidate", "held"])
     weight = F.element_at(F.array(*[F.lit(float(s)) for s in steps]), F.col("point") + 1)
-    return gain.groupBy("candidate").agg(F.avg(weight).alias("mean_weight"), F.avg(F.col("ap") - F.col("base_ap")).alias("delta"))
+    each = gain.select("candidate", F.col("held").alias("fold"), weight.alias("weight"), (F.col("ap") - F.col("base_ap")).alias("delta"))
+    return each.groupBy("candidate").agg(F.avg("weight").alias("mean_weight"), F.avg("delta").alias("delta"), F.sort_array(F.collect_list(F.struct("fold", "weight", "delta"))).alias("folds"))
 
 
 def fit_stack(wide: DataFrame, models: list[str], folds: list[int], c: float = 1.0, eps: float = 1e-6) -> tuple[DataFrame, list[tuple]]:
@@ -120,6 +148,7 @@ def fit_stack(wide: DataFrame, models: list[str], folds: list[int], c: float = 1
         coefficients.append((f, float(model.intercept), [float(x) for x in model.coefficients]))
         part = model.transform(rows.where(F.col("fold") == f)).select("id1", "id2", "fold", "category", "target", vector_to_array("probability")[1].alias("predict"))
         out = part if out is None else out.unionByName(part)
+    rows.unpersist()
     return out if out is not None else rows.select("id1", "id2", "fold", "category", "target", F.lit(None).cast("double").alias("predict")).limit(0), coefficients
 
 

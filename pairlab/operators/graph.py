@@ -44,8 +44,9 @@ def closure_pairs(pairs: DataFrame, rejected: DataFrame | None = None, max_size:
 
     Positives join two items of a clean positive component of three or more; negatives join two clean components
     between which a negative edge stands. A component is clean without a negative edge or a rejected pair
-    (id1, id2) inside it. Labelled pairs, in either order, are left out, as are pairs across folds; positives
-    win over negatives. The output is quadratic in a component's size: with max_size, a larger component raises.
+    (id1, id2) inside it. Labelled pairs, in either order, are left out; positives win over negatives. A pair across
+    folds would be a leak, so it raises. The output is quadratic in a component's size: with max_size, a larger
+    component raises.
     """
     comp = checkpointed(positive_components(pairs))
     bad = contradictions(pairs, comp).select("component")
@@ -58,9 +59,10 @@ def closure_pairs(pairs: DataFrame, rejected: DataFrame | None = None, max_size:
     folds = pairs.select(F.explode(F.array("id1", "id2")).alias("id"), "fold").groupBy("id").agg(F.min("fold").alias("fold"))
     members = comp.join(clean, "component").join(folds, "id")
     left, right = (members.select("component", F.col("id").alias(f"id{s}"), F.col("fold").alias(f"f{s}"), "size") for s in "12")
-    positives = left.where("size >= 3").join(right.drop("size"), "component").where("id1 < id2 and f1 = f2").select("id1", "id2", F.lit(1).alias("target"), F.col("f1").alias("fold"))
+    one_fold = F.when(F.col("f1") == F.col("f2"), True).otherwise(F.raise_error("a derived pair crosses folds"))
+    positives = left.where("size >= 3").join(right.drop("size"), "component").where("id1 < id2").where(one_fold).select("id1", "id2", F.lit(1).alias("target"), F.col("f1").alias("fold"))
     edges = on_edges(pairs.where("target = 0"), comp).where("c1 <> c2").select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
-    across = edges.join(left.select(F.col("component").alias("c1"), "id1", "f1"), "c1").join(right.select(F.col("component").alias("c2"), "id2", "f2"), "c2").where("f1 = f2")
+    across = edges.join(left.select(F.col("component").alias("c1"), "id1", "f1"), "c1").join(right.select(F.col("component").alias("c2"), "id2", "f2"), "c2").where(one_fold)
     negatives = across.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), F.lit(0).alias("target"), F.col("f1").alias("fold"))
     derived = positives.unionByName(negatives).groupBy("id1", "id2").agg(F.max("target").alias("target"), F.min("fold").alias("fold"))
     return unordered_anti(derived, pairs).select("id1", "id2", "target", "fold")
@@ -70,7 +72,7 @@ def shortest_chains(pairs: DataFrame, derived: DataFrame, max_steps: int = 30) -
     """(id1, id2, path, steps): the shortest path over positive edges for each derived pair; of equal ones the smallest.
 
     Searches go level by level; a level keeps one path for each (source, node), so it is bounded by the sources
-    times the items of their components. Pairs without a path within max_steps are absent.
+    times the items of their components. Pairs without a path are absent; a search still open after max_steps raises.
     """
     edges = pairs.where("target = 1").select("id1", "id2")
     edges = checkpointed(edges.union(edges.select(F.col("id2"), F.col("id1"))).toDF("a", "b").distinct())
@@ -86,6 +88,9 @@ def shortest_chains(pairs: DataFrame, derived: DataFrame, max_steps: int = 30) -
         seen = checkpointed(seen.union(frontier.select("source", "node")))
         hit = frontier.join(wanted, (F.col("source") == F.col("id1")) & (F.col("node") == F.col("id2"))).select("id1", "id2", "path")
         found = hit if found is None else found.union(hit)
+    else:
+        if not wanted.join(found.select("id1", "id2"), ["id1", "id2"], "left_anti").isEmpty():
+            raise ValueError(f"a chain may be longer than {max_steps} steps")
     if found is None:
         found = wanted.select("id1", "id2", F.array("id1").alias("path")).limit(0)
     return found.withColumn("steps", (F.size("path") - 1).cast("bigint"))

@@ -23,15 +23,28 @@ def average_precision(df: DataFrame, by: list[str], score: str = "predict", weig
     return ap_of_blocks(score_blocks(df, by, score, weight), by, score)
 
 
-def ap_of_blocks(blocks: DataFrame, by: list[str], score: str = "predict", ranges: int = 256) -> DataFrame:
+def score_range(x: Column) -> Column:
+    """A whole number that grows with x over all doubles, so that scores of any scale spread over many ranges.
+
+    Probabilities get 254 equal ranges, with ever finer ones toward 0 and 1; outside of 0 to 1 there are 16 ranges
+    to each doubling. Null is below all numbers, NaN above them, as in Spark's order.
+    """
+
+    def doublings(y: Column) -> Column:
+        return F.floor(16 * F.least(F.greatest(F.log2(y), F.lit(-1100.0)), F.lit(1100.0)))
+
+    out = F.when(x.isNull(), -100_000).when(F.isnan(x), 100_000).when(x < 0, -40_000 - doublings(-x)).when(x == 0, -20_000)
+    out = out.when(x < 1 / 256, 128 + doublings(x)).when(x < 255 / 256, F.floor(x * 256)).when(x < 1, 128 - doublings(1 - x)).when(x == 1, 2_000)
+    return out.otherwise(40_000 + doublings(x)).cast("int")
+
+
+def ap_of_blocks(blocks: DataFrame, by: list[str], score: str = "predict") -> DataFrame:
     """The same from blocks.
 
-    Running sums go in two steps, so that no task holds a whole group: within one of `ranges` equal ranges of
-    the score, and over the totals of the ranges above, which are at most `ranges` + 2 rows a group.
+    Running sums go in two steps, so that no task holds a whole group: within one range of the score
+    (`score_range`), and over the totals of the ranges above, a small table.
     """
-    x = F.col(score).cast("double")
-    part = F.when(x.isNull(), -1).when(F.isnan(x), ranges).otherwise(F.least(F.greatest(F.floor(x * ranges), F.lit(0)), F.lit(ranges - 1))).cast("int")
-    cut = blocks.withColumn("_part", part)
+    cut = blocks.withColumn("_part", score_range(F.col(score).cast("double")))
     totals = cut.groupBy(*by, "_part").agg(F.sum("tp").alias("_tp"), F.sum("n").alias("_n"))
     group = W.partitionBy(*by)
     above = group.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairlab.functions.draws import draw
 from pairlab.operators.graph import connected_components
 
 
@@ -73,7 +74,7 @@ def inner_split(pairs: DataFrame, held_out: int, n: int = 10) -> DataFrame:
 
 
 def seeded(seed: int, *cols: str) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+    return draw(seed, *cols)
 
 
 def stratified_sample(df: DataFrame, n: int, seed: int, order: Column | None = None) -> DataFrame:
@@ -125,4 +126,5 @@ def batch_audit(df: DataFrame, size: int, order: list[str | Column]) -> DataFram
 
 
 def hash_route(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("route", F.pmod(F.xxhash64("id1", "id2"), F.lit(n)))
+    """df plus route: a part of n by a hash of the pair."""
+    return df.withColumn("route", draw("id1", "id2") % n)

@@ -170,6 +170,17 @@ def _(t):
     return rounded(features.extract_quantities(weighed(t)).select("id", "family", F.col("quantity").cast("double").alias("quantity")))
 
 
+def sized(t):
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    form = F.when(k == 0, F.concat(n, F.lit("x7,5 см"))).when(k == 1, F.concat(F.lit("размер: "), n)).when(k == 2, F.concat(n, F.lit(" EU"))).otherwise("size XL")
+    return t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), form).alias("name"))
+
+
+@query("f17_extract_sizes", "SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN p_partkey % 4 = 0 THEN 'dimension' ELSE 'size' END AS family, CASE p_partkey % 4 WHEN 0 THEN concat(p_size, 'x7.5cm') WHEN 1 THEN concat('sz=', p_size) WHEN 2 THEN concat('eu=', p_size) ELSE 'sz=xl' END AS value FROM part")
+def _(t):
+    return features.extract_sizes(sized(t))
+
+
 @query("f17_normalize_units")
 def _(t):
     return weighed(t).select("id", features.normalize_units(F.col("name")).alias("text"))
@@ -180,9 +191,11 @@ def _(t):
     return features.quantity_set(weighed(t)).select("id", F.array_join("quantities", ",").alias("quantities"))
 
 
-DIFF = f"""(SELECT p.id1, p.id2, p.category, g.grp, CASE WHEN a.vs IS NULL OR b.vs IS NULL THEN 'unknown' WHEN len(list_intersect(a.vs, b.vs)) > 0 THEN 'match' ELSE 'differ' END AS state
-FROM pairs p CROSS JOIN (SELECT unnest(['brand', 'colour', 'size', 'article', 'weight', 'volume', 'material']) AS grp) g
-LEFT JOIN (SELECT id, key, list(v) AS vs FROM {KV} GROUP BY id, key) a ON p.id1 = a.id AND a.key = g.grp LEFT JOIN (SELECT id, key, list(v) AS vs FROM {KV} GROUP BY id, key) b ON p.id2 = b.id AND b.key = g.grp)"""
+VALUES = f"(SELECT id, key, list(trim(regexp_replace(v, '[^0-9a-z.]+', ' ', 'g'))) AS vs FROM {KV} GROUP BY id, key)"
+#: Sizes belong to no group of keys, so they are the other numbers.
+DIFF = f"""(SELECT p.id1, p.id2, p.category, g.grp, concat(CASE WHEN a.vs IS NULL OR b.vs IS NULL THEN 'unknown' WHEN len(list_intersect(a.vs, b.vs)) > 0 THEN 'match' ELSE 'differ' END, CASE WHEN g.grp = 'other_numbers' AND a.vs IS NOT NULL AND b.vs IS NOT NULL THEN '_1' ELSE '' END) AS state
+FROM pairs p CROSS JOIN (SELECT unnest(['brand', 'article', 'colour', 'material', 'count', 'volume', 'weight', 'other_numbers']) AS grp) g
+LEFT JOIN {VALUES} a ON p.id1 = a.id AND a.key = replace(g.grp, 'other_numbers', 'size') LEFT JOIN {VALUES} b ON p.id2 = b.id AND b.key = replace(g.grp, 'other_numbers', 'size'))"""
 
 
 @query("f19_structured_diff", f"SELECT id1, id2, grp, state FROM {DIFF}")
@@ -293,6 +306,11 @@ def _(t):
     return rounded(features.fit_idf(t.items.where("id % 2 = 0")))
 
 
+@query("x3_apply_vocabulary", f"SELECT id1, id2, {r('cosine', 'cosine')} FROM {cosine_sql('WHERE id % 2 = 0')}")
+def _(t):
+    return rounded(features.tfidf_cosine(t.pairs, t.items, features.fit_idf(t.items.where("id % 2 = 0"))))
+
+
 @query("x4_baseline_scores", f"""SELECT u.baseline, p.id1, p.id2, ROUND(CAST(CASE u.baseline WHEN 'prior' THEN (SELECT AVG(target) FROM pairs) WHEN 'exact' THEN CASE WHEN n1 = n2 THEN 1 ELSE 0 END WHEN 'cosine' THEN cosine
 WHEN 'attributes' THEN j ELSE 0.5 * cosine + 0.5 * j END AS DOUBLE), 6) AS predict FROM {NAMES} p JOIN {cosine_sql()} c ON p.id1 = c.id1 AND p.id2 = c.id2 JOIN (SELECT id1, id2, {jac('kv1', 'kv2')} AS j FROM {BOTH}) b ON p.id1 = b.id1 AND p.id2 = b.id2
 CROSS JOIN (SELECT unnest(['prior', 'exact', 'cosine', 'attributes', 'blend']) AS baseline) u""")
@@ -351,7 +369,10 @@ def _(t):
     return rounded(features.encode_tokens(t.items, vocab(t), 5).select("id", F.array_join("codes", ",").alias("codes"), "unknown_share"))
 
 
-@query("x10_attribute_vocabularies")
+ENTRY = "(SELECT lower(k) AS key, trim(regexp_replace(lower(json_extract_string(attributes, '$.' || k)), '[^0-9a-z]+', ' ', 'g')) AS v FROM items, unnest(['Brand', 'Size', 'Colour', 'Article']) u(k) WHERE json_valid(attributes))"
+
+
+@query("x10_attribute_vocabularies", f"SELECT kind, token, COUNT(*) AS n FROM (SELECT 'key' AS kind, key AS token FROM {ENTRY} UNION ALL SELECT 'value', unnest(string_split(v, ' ')) FROM {ENTRY}) GROUP BY kind, token")
 def _(t):
     return features.attribute_vocabularies(t.items)
 

@@ -121,7 +121,9 @@ def _(t):
     return rounded(loo(t)[1])
 
 
-@query("g11_one_step_diffusion")
+@query("g11_one_step_diffusion", f"""WITH x AS (SELECT s.id1, s.id2, p.category, s.predict, ROUND(l.mean_hi, 9) AS mean_hi FROM scores s JOIN {LOO} l ON s.id1 = l.id1 AND s.id2 = l.id2 JOIN pairs p ON s.id1 = p.id1 AND s.id2 = p.id2 WHERE s.model = 'm1'),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY predict, id1, id2) - 1 AS DOUBLE) / greatest(COUNT(*) OVER (PARTITION BY category) - 1, 1) AS r, CAST(row_number() OVER (PARTITION BY category ORDER BY mean_hi NULLS FIRST, id1, id2) - 1 AS DOUBLE) / greatest(COUNT(*) OVER (PARTITION BY category) - 1, 1) AS o FROM x)
+SELECT id1, id2, {r('CASE WHEN mean_hi IS NULL THEN r ELSE 0.8 * r + 0.2 * o END', 'diffused')} FROM k""")
 def _(t):
     m1, features_ = loo(t)
     rows = m1.join(features_.select("id1", "id2", "mean_hi"), ["id1", "id2"]).join(t.pairs.select("id1", "id2", "category"), ["id1", "id2"])
@@ -135,6 +137,10 @@ def _(t):
     return graph.chain_summary(derived, judged)
 
 
+def draw_sql(*parts: str) -> str:
+    return f"CAST(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::UBIGINT AS BIGINT)"
+
+
 def hash_sql(key: str, seed: str, k: int) -> str:
     return f"CAST(('0x' || substr(sha256(concat('{seed}:', CAST({key} AS STRING))), 1, 16))::UBIGINT % {k} AS INT)"
 
@@ -204,7 +210,7 @@ def _(t):
     return splits.batch_audit(t.folded, 64, [F.col("id2") * 17 % 257, "id1", "id2"])
 
 
-@query("p11_id_hash_route")
+@query("p11_id_hash_route", f"SELECT id1, id2, {draw_sql('id1', 'id2')} % 8 AS route FROM pairs")
 def _(t):
     return splits.hash_route(t.pairs, 8).select("id1", "id2", "route")
 
@@ -236,7 +242,13 @@ def _(t):
 
 
 GRID = "(SELECT row_number() OVER (ORDER BY a, b) - 1 AS point, a / 4.0 AS w1, b / 4.0 AS w2, (4 - a - b) / 4.0 AS w3 FROM range(5) x(a), range(5) y(b) WHERE a + b <= 4)"
-GRIDAP = ap_sql(f"(SELECT f.fold, f.category, f.target, g.point, round(f.m1 * w1 + f.m2 * w2 + f.m3 * w3, 8) AS predict FROM {WIDEF} f CROSS JOIN {GRID} g)", "fold, category, point")
+
+
+def gridap_sql(source: str = WIDEF) -> str:
+    return ap_sql(f"(SELECT f.fold, f.category, f.target, g.point, round(f.m1 * w1 + f.m2 * w2 + f.m3 * w3, 8) AS predict FROM {source} f CROSS JOIN {GRID} g)", "fold, category, point")
+
+
+GRIDAP = gridap_sql()
 
 
 @query("b5_weight_grid_search", f"SELECT fold, category, CAST(point AS INT) AS point, {r('ap', 'ap')} FROM {GRIDAP}")
@@ -244,21 +256,24 @@ def _(t):
     return rounded(blend.grid_ap(wide(t), MODELS, blend.simplex(3)).select("fold", "category", "point", "ap"))
 
 
-CHOSEN = f"""mean AS (SELECT h.held, a.category, a.point, round(AVG(a.ap), 9) AS ap FROM {GRIDAP} a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS held) h WHERE a.fold <> h.held AND a.ap IS NOT NULL GROUP BY ALL),
-pick AS (SELECT * FROM (SELECT m.*, g.w1, g.w2, g.w3, row_number() OVER (PARTITION BY held, category ORDER BY m.ap DESC, (w1 - 1/3.0) ** 2 + (w2 - 1/3.0) ** 2 + (w3 - 1/3.0) ** 2, m.point) AS k FROM mean m JOIN {GRID} g ON m.point = g.point) WHERE k = 1)"""
+def chosen_sql(name: str, by: str = "held, category", only: str = "TRUE", ap: str = GRIDAP) -> str:
+    """A table (by, w1, w2, w3) of the best grid points over the other folds."""
+    return f"""{name} AS (SELECT * FROM (SELECT m.*, g.w1, g.w2, g.w3, row_number() OVER (PARTITION BY {by} ORDER BY m.ap DESC, (w1 - 1/3.0) ** 2 + (w2 - 1/3.0) ** 2 + (w3 - 1/3.0) ** 2, m.point) AS k
+FROM (SELECT {by}, point, round(AVG(ap), 9) AS ap FROM {ap} a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS held) h WHERE a.fold <> h.held AND a.ap IS NOT NULL GROUP BY {by}, point) m JOIN {GRID} g ON m.point = g.point WHERE {only}) WHERE k = 1)"""
 
 
-def chosen(t):
-    grid = blend.simplex(3)
-    return blend.choose_weights(blend.grid_ap(wide(t), MODELS, grid), blend.grid_table(t.spark, grid), FOLDS)
+CHOICES = ", ".join([chosen_sql("pick"), chosen_sql("one", only="greatest(w1, w2, w3) = 1"), chosen_sql("every", "held")])
+WAYS = [("equal", "1 / 3.0", "1 / 3.0", "1 / 3.0"), ("global", "e.w1", "e.w2", "e.w3"), ("best_single", "o.w1", "o.w2", "o.w3"), ("raw", "p.w1", "p.w2", "p.w3"), *[(f"shrunk_{a}", *[f"{a} * p.w{i} + {1 - a} / 3.0" for i in (1, 2, 3)]) for a in (0.25, 0.5, 0.75)]]
 
 
-@query("b6_nested_blend")
+@query("b6_nested_blend", f"WITH {CHOICES}, w AS ({' UNION ALL '.join(f"SELECT '{v}' AS variant, p.held, p.category, {x} AS x, {y} AS y, {z} AS z FROM pick p JOIN one o ON p.held = o.held AND p.category = o.category JOIN every e ON p.held = e.held" for v, x, y, z in WAYS)}) SELECT variant, f.id1, f.id2, ROUND(f.m1 * x + f.m2 * y + f.m3 * z, 8) + 0.0 AS predict FROM {WIDEF} f JOIN w ON f.fold = w.held AND f.category = w.category")
 def _(t):
-    return rounded(blend.nested_blend(wide(t), MODELS, chosen(t), 0.5).select("id1", "id2", "predict"))
+    grid = blend.simplex(3)
+    out = blend.nested_variants(wide(t), MODELS, blend.grid_ap(wide(t), MODELS, grid), blend.grid_table(t.spark, grid), FOLDS)
+    return out.select("variant", "id1", "id2", F.round("predict", 8).alias("predict"))
 
 
-@query("b7_shrunk_two_level_weights")
+@query("b7_shrunk_two_level_weights", f"WITH {CHOICES} SELECT CAST(p.held AS INT) AS held, p.category, {', '.join(r(f'0.75 * p.w{i} + 0.25 * e.w{i}', f'w{i}') for i in (1, 2, 3))} FROM pick p JOIN every e ON p.held = e.held")
 def _(t):
     grid = blend.simplex(3)
     ap = blend.grid_ap(wide(t), MODELS, grid)
@@ -267,9 +282,23 @@ def _(t):
     return rounded(both.select("held", "category", *[F.col("weights")[i].alias(f"w{i + 1}") for i in range(3)]))
 
 
-@query("b8_residual_screen")
+def shuffled_sql(column: str, *seeds: str) -> str:
+    """wide with v: the column dealt anew within (fold, category)."""
+    order = draw_sql(*seeds, "id1", "id2")
+    k = f"SELECT *, row_number() OVER (PARTITION BY fold, category ORDER BY id1, id2) AS a, row_number() OVER (PARTITION BY fold, category ORDER BY {order}, id1, id2) AS b FROM {WIDEF}"
+    return f"(SELECT x.* EXCLUDE (a, b), y.{column} AS v FROM ({k}) x JOIN ({k}) y ON x.fold = y.fold AND x.category = y.category AND x.a = y.b)"
+
+
+SCREEN = " UNION ALL ".join(f"SELECT '{c}' AS candidate, '{k}' AS control, fold, target, m1, {v} AS v FROM {src} q" for c in ("m2", "m3") for k, v, src in (("real", c, WIDEF), ("shuffled", "v", shuffled_sql(c, "0", f"'{c}'"))))
+
+
+@query("b8_residual_screen", f"""WITH s AS ({SCREEN}), ap AS (SELECT * FROM {ap_sql('(SELECT candidate, control, fold, target, w.point, round((1 - w.w) * m1 + w.w * v, 8) AS predict FROM s CROSS JOIN (SELECT i AS point, CAST(i AS DOUBLE) * 0.05 AS w FROM range(8) r(i)) w)', 'candidate, control, fold, point')}),
+m AS (SELECT candidate, control, h.held, point, round(AVG(ap), 9) AS m FROM ap CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS held) h WHERE fold <> held AND ap IS NOT NULL GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate, control, held ORDER BY m DESC, point) AS k FROM m) WHERE k = 1)
+SELECT b.candidate, b.control, CAST(b.held AS INT) AS fold, {r('b.point * 0.05', 'weight')}, {r('x.ap - z.ap', 'delta')} FROM best b JOIN ap x ON b.candidate = x.candidate AND b.control = x.control AND b.held = x.fold AND b.point = x.point JOIN ap z ON b.candidate = z.candidate AND b.control = z.control AND b.held = z.fold AND z.point = 0""")
 def _(t):
-    return rounded(blend.residual_screen(wide(t), "m1", ["m2", "m3"], FOLDS))
+    out = resample.residual_control(wide(t), "m1", ["m2", "m3"], FOLDS)
+    return rounded(out.select("candidate", "control", F.explode("folds").alias("f")).select("candidate", "control", F.col("f.fold").cast("int").alias("fold"), "f.weight", "f.delta"))
 
 
 @query("b9_stack_logit")
@@ -383,15 +412,23 @@ def _(t):
 OPEN = "NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.id1 = s.id1 AND v.id2 = s.id2)"
 
 
+JUDGE = "abs(target - predict)"
+
+
 @query("l2_audit_queue", " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS mode, id1, id2, target, {r(p, 'priority')} FROM {src} s WHERE {cond} AND {OPEN} ORDER BY {p} DESC, id1, id2 LIMIT 25)" for m, src, cond, p in (
     ("fn", "scored", "model = 'm1' AND target = 1", "1 - predict"), ("fp", "scored", "model = 'm1' AND target = 0", "predict"),
     ("consensus", "(SELECT id1, id2, MAX(target) AS target, abs(MAX(target) - AVG(predict)) AS gap FROM scored GROUP BY id1, id2)", "TRUE", "gap"),
-    ("judge", "scored", "model = 'm2'", "abs(target - predict)"),
+    ("judge", "scored", "model = 'm2'", JUDGE), ("judge_fn", "scored", "model = 'm2' AND target = 1", JUDGE), ("judge_fp", "scored", "model = 'm2' AND target = 0", JUDGE),
 )))
 def _(t):
+    return queues(t, ("fn", "fp", "consensus", "judge", "judge_fn", "judge_fp"), 25)
+
+
+def queues(t, modes, n):
+    """(mode, id1, id2, target, priority): the queue of each mode under another."""
     out = None
-    for mode in ("fn", "fp", "consensus", "judge"):
-        part = audit.audit_queue(mode, t.scored, 25, model="m1", journal=t.verdicts, judge=t.scores.where("model = 'm2'")).select(F.lit(mode).alias("mode"), "id1", "id2", "target", "priority")
+    for mode in modes:
+        part = audit.audit_queue(mode, t.scored, n, model="m1", infold=infold(t), journal=t.verdicts, judge=t.scores.where("model = 'm2'")).select(F.lit(mode).alias("mode"), "id1", "id2", "target", "priority")
         out = part if out is None else out.unionByName(part)
     return rounded(out)
 
@@ -403,12 +440,18 @@ def infold(t):
 INFOLD = "(SELECT s.* EXCLUDE (predict), h.held, greatest(0, predict - 0.01 * h.held * (1 - target)) AS predict FROM scored s CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS held) h WHERE h.held <> s.fold)"
 
 
-@query("l2_audit_queue_infold", f"SELECT id1, id2, target, {r('loss', 'priority')} FROM (SELECT *, -(target * ln(p) + (1 - target) * ln(1 - p)) AS loss FROM (SELECT id1, id2, MAX(target) AS target, least(greatest(AVG(predict), 1e-6), 1 - 1e-6) AS p FROM {INFOLD} GROUP BY id1, id2)) s WHERE {OPEN} ORDER BY loss DESC, id1, id2 LIMIT 30")
+SEEN = f"(SELECT *, -(target * ln(p) + (1 - target) * ln(1 - p)) AS loss FROM (SELECT id1, id2, MAX(target) AS target, least(greatest(AVG(predict), 1e-6), 1 - 1e-6) AS p FROM {INFOLD} GROUP BY id1, id2))"
+GAP = f"(SELECT m.id1, m.id2, m.target, ROUND(CASE WHEN m.target = 1 THEN a.p - m.predict ELSE m.predict - a.p END, 9) AS gap FROM scored m JOIN (SELECT id1, id2, AVG(predict) AS p FROM {INFOLD} GROUP BY id1, id2) a ON m.id1 = a.id1 AND m.id2 = a.id2 WHERE m.model = 'm1')"
+
+
+@query("l2_audit_queue_infold", " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS mode, id1, id2, target, {r(p, 'priority')} FROM {src} s WHERE {cond} AND {OPEN} ORDER BY {p} DESC, id1, id2 LIMIT 30)" for m, src, cond, p in (
+    ("infold", SEEN, "TRUE", "ROUND(loss, 9)"), ("infold_fn", SEEN, "target = 1", "ROUND(loss, 9)"), ("infold_fp", SEEN, "target = 0", "ROUND(loss, 9)"), ("infold_gap", GAP, "TRUE", "gap"),
+)))
 def _(t):
-    return rounded(audit.audit_queue("infold", t.scored, 30, infold=infold(t), journal=t.verdicts))
+    return queues(t, ("infold", "infold_fn", "infold_fp", "infold_gap"), 30)
 
 
-@query("l2_audit_queue_random")
+@query("l2_audit_queue_random", f"SELECT id1, id2, target, {draw_sql('0', 'id1', 'id2')} % 1000000 / 1e6 AS priority FROM folded s WHERE {OPEN} ORDER BY priority DESC, id1, id2 LIMIT 30")
 def _(t):
     return audit.audit_queue("random", t.scored, 30, journal=t.verdicts)
 
@@ -469,24 +512,37 @@ def _(t):
     return rounded(resample.permute_within(wide(t), ["fold", "category"], "m1", 0, F.col("id2") * 37 % 1013).select("id1", "id2", "m1"))
 
 
-@query("r2_permutation_controls")
+@query("r2_permutation_controls", f"""WITH f AS (SELECT * FROM {WIDEF}), n AS (SELECT unnest(range(20)) AS rep), x AS (SELECT n.rep, f.*, row_number() OVER (PARTITION BY n.rep, fold, category ORDER BY id1, id2) AS k FROM f CROSS JOIN n),
+y AS (SELECT rep, fold, category, m2 AS v, row_number() OVER (PARTITION BY rep, fold, category ORDER BY {draw_sql('0', 'rep', 'id1', 'id2')}, id1, id2) AS k FROM x),
+s AS (SELECT 'real' AS control, -1 AS rep, target, round((m1 + m2) / 2, 8) AS predict FROM f UNION ALL SELECT 'target', -1, target, round((m1 + target) / 2, 8) FROM f UNION ALL SELECT 'permuted', x.rep, x.target, round((x.m1 + y.v) / 2, 8) FROM x JOIN y ON x.rep = y.rep AND x.fold = y.fold AND x.category = y.category AND x.k = y.k),
+a AS (SELECT * FROM {ap_sql('s', 'control, rep')}), b AS (SELECT ap AS start FROM {ap_sql('(SELECT 0 AS g, target, m1 AS predict FROM f)', 'g')}) SELECT control, {r('AVG(ap - start)', 'mean_delta')}, {r('stddev_pop(ap - start)', 'std_delta')} FROM a CROSS JOIN b GROUP BY control""")
 def _(t):
     return rounded(resample.permutation_controls(wide(t), "m1", "m2"))
 
 
-@query("r3_category_bootstrap")
+@query("r3_category_bootstrap", f"""WITH c AS (SELECT * FROM {ap_sql('scored', 'model, category')}), d AS (SELECT a.category, a.ap - b.ap AS delta FROM c a JOIN c b ON a.category = b.category AND a.model = 'm2' AND b.model = 'm1'),
+v AS (SELECT *, row_number() OVER (ORDER BY category) - 1 AS k, COUNT(*) OVER () AS n FROM d WHERE delta IS NOT NULL), t AS (SELECT x.id, AVG(v.delta) AS m FROM range(10000) x(id) CROSS JOIN (SELECT k + 1 AS i, n FROM v) s JOIN v ON v.k = {draw_sql('0', 'x.id', 's.i')} % s.n GROUP BY x.id)
+SELECT {r('AVG(m)', 'mean')}, {r('quantile_cont(m, 0.025)', 'low')}, {r('quantile_cont(m, 0.975)', 'high')} FROM t""")
 def _(t):
     cell = metrics.average_precision(t.scored, ["model", "category"]).groupBy("category").pivot("model", MODELS).agg(F.first("ap"))
     return rounded(resample.category_bootstrap(cell.select("category", (F.col("m2") - F.col("m1")).alias("delta"))))
 
 
-@query("r4_cluster_bootstrap_ap")
+@query("r4_cluster_bootstrap_ap", components_sql() + f""", q AS (SELECT f.*, c.component, dense_rank() OVER (ORDER BY c.component) - 1 AS slot FROM {WIDEF} f JOIN comp c ON f.id1 = c.id), n AS (SELECT DISTINCT slot, (SELECT COUNT(DISTINCT slot) FROM q) AS total FROM q),
+w AS (SELECT rep, {draw_sql('0', 'rep', 'slot')} % total AS slot, COUNT(*) AS w FROM n CROSS JOIN range(200) x(rep) GROUP BY 1, 2), s AS (SELECT rep, 'a' AS model, target, m1 AS predict, w FROM q JOIN w ON q.slot = w.slot UNION ALL SELECT rep, 'b', target, m2, w FROM q JOIN w ON q.slot = w.slot),
+ap AS (SELECT * FROM {ap_sql('s', 'rep, model', 'w')}), d AS (SELECT a.ap - b.ap AS d FROM ap a JOIN ap b ON a.rep = b.rep AND a.model = 'b' AND b.model = 'a')
+SELECT COUNT(d) AS reps, {r('AVG(d)', 'mean_delta')}, {r('quantile_cont(d, 0.025)', 'low')}, {r('quantile_cont(d, 0.975)', 'high')}, {r('AVG(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END)', 'p_above')} FROM d""")
 def _(t):
     comp = connected_components(t.pairs).withColumnRenamed("id", "id1")
     return rounded(resample.cluster_bootstrap(wide(t).join(comp, "id1"), "m1", "m2", "component"))
 
 
-@query("r5_selection_control")
+PERMUTED = f"(SELECT * EXCLUDE (target, v), v AS target FROM {shuffled_sql('target', '0')})"
+SIMPLEX = ", ".join(f"-ln(({draw_sql('0', 'fold', 'category', str(i))} + 0.5) / 4294967296.0) AS e{i}" for i in range(3))
+
+
+@query("r5_selection_control", f"""WITH {chosen_sql('pick')}, {chosen_sql('lost', ap=gridap_sql(PERMUTED))}, rw AS (SELECT held, category, e0 / (e0 + e1 + e2) AS w1, e1 / (e0 + e1 + e2) AS w2, e2 / (e0 + e1 + e2) AS w3 FROM (SELECT fold AS held, category, {SIMPLEX} FROM (SELECT DISTINCT fold, category FROM folded))),
+s AS ({' UNION ALL '.join(f"SELECT '{name}' AS labels, f.target, round(f.m1 * w1 + f.m2 * w2 + f.m3 * w3, 8) AS predict FROM {src} f JOIN {w} w ON f.fold = w.held AND f.category = w.category" for name, src, w in (('real', WIDEF, 'pick'), ('permuted', PERMUTED, 'lost'), ('random', WIDEF, 'rw')))}) SELECT labels, {r('ap', 'ap')} FROM {ap_sql('s', 'labels')}""")
 def _(t):
     return rounded(resample.selection_control(wide(t), MODELS, FOLDS))
 
