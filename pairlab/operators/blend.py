@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.operators import metrics, ranks
+from pairlab.operators.components import checkpointed
 
 
 def logit(p: Column, eps: float) -> Column:
@@ -91,7 +92,7 @@ def nested_variants(wide: DataFrame, models: list[str], ap: DataFrame, grid: Dat
     raw: its best weights; shrunk_<alpha>: those, drawn toward equal ones. The choices of a (fold, category) are one
     row of arrays, so the scores are joined once.
     """
-    n = len(models)
+    n, ap = len(models), checkpointed(ap)
     equal = F.array_repeat(F.lit(1 / n), n)
     singles = ap.join(F.broadcast(grid.where(F.array_max("weights") == 1).select("point")), "point")
     raw = choose_weights(ap, grid, folds).select("held", "category", F.col("weights").alias("raw"))
@@ -120,7 +121,7 @@ def residual_screen(wide: DataFrame, base: str, candidates: list[str], folds: li
     folds has a struct (fold, weight, delta) for each held-out fold.
     """
     rows = wide.select("fold", "target", F.explode(F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(i).alias("point"), F.round((1 - w) * F.col(base) + w * F.col(c), 8).alias("predict")) for c in candidates for i, w in enumerate(steps)])).alias("p"))
-    ap = metrics.average_precision(rows.select("fold", "target", "p.*"), ["candidate", "fold", "point"]).where("ap is not null")
+    ap = checkpointed(metrics.average_precision(rows.select("fold", "target", "p.*"), ["candidate", "fold", "point"]).where("ap is not null"))
     held = ap.select("*", F.explode(F.array(*[F.lit(f) for f in folds])).alias("held")).where("fold <> held")
     mean = held.groupBy("candidate", "held", "point").agg(F.round(F.avg("ap"), 9).alias("m"))
     best = mean.groupBy("candidate", "held").agg(F.max_by("point", F.struct("m", -F.col("point"))).alias("point"))
@@ -131,30 +132,56 @@ def residual_screen(wide: DataFrame, base: str, candidates: list[str], folds: li
     return each.groupBy("candidate").agg(F.avg("weight").alias("mean_weight"), F.avg("delta").alias("delta"), F.sort_array(F.collect_list(F.struct("fold", "weight", "delta"))).alias("folds"))
 
 
-def fit_stack(wide: DataFrame, models: list[str], folds: list[int], c: float = 1.0, eps: float = 1e-6) -> tuple[DataFrame, list[tuple]]:
-    """Leave-one-fold-out logistic stack over logits: (rows with predict, [(held, intercept, coefficients)]).
+def stack_inputs(wide: DataFrame, models: list[str], transform: str, eps: float = 1e-6) -> DataFrame:
+    """wide plus x_<model>: the score itself (prob), its logit, or its ordinal rank within the fold (rank)."""
+    if transform == "prob":
+        return wide.withColumns({f"x_{m}": F.col(m) for m in models})
+    if transform == "logit":
+        return wide.withColumns({f"x_{m}": logit(F.col(m), eps) for m in models})
+    if transform != "rank":
+        raise ValueError(f"no transform {transform}")
+    for m in models:
+        wide = ranks.rank_ordinal(wide, ["fold"], m).withColumnRenamed("rank", f"x_{m}")
+    return wide
+
+
+def fit_stack(wide: DataFrame, models: list[str], folds: list[int], c: float = 1.0, eps: float = 1e-6, transform: str = "logit") -> tuple[DataFrame, list[tuple]]:
+    """Leave-one-fold-out logistic stack: (rows with predict, [(held, intercept, coefficients)]); the last fit, of held None, saw all folds.
 
     regParam 1/(C n) without standardisation is the usual C; the intercept is not penalised.
     """
-    rows = VectorAssembler(inputCols=[f"l_{m}" for m in models], outputCol="x").transform(wide.select("id1", "id2", "fold", "category", "target", *[logit(F.col(m), eps).alias(f"l_{m}") for m in models]))
-    rows = rows.withColumn("label", F.col("target").cast("double")).select("id1", "id2", "fold", "category", "target", "x", "label").persist()
+    base = ["id1", "id2", "fold", "category", "target"]
+    rows = VectorAssembler(inputCols=[f"x_{m}" for m in models], outputCol="x").transform(stack_inputs(wide, models, transform, eps))
+    rows = rows.withColumn("label", F.col("target").cast("double")).select(*base, "x", "label").persist()
     out, coefficients = None, []
-    for f in folds:
-        train = rows.where(F.col("fold") != f)
+    for f in [*folds, None]:
+        train = rows if f is None else rows.where(F.col("fold") != f)
         n, kinds = train.agg(F.count("*"), F.count_distinct("label")).first()
         if kinds < 2:
             continue
         model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1 / (c * n), standardization=False, maxIter=200, tol=1e-10).fit(train)
         coefficients.append((f, float(model.intercept), [float(x) for x in model.coefficients]))
-        part = model.transform(rows.where(F.col("fold") == f)).select("id1", "id2", "fold", "category", "target", vector_to_array("probability")[1].alias("predict"))
-        out = part if out is None else out.unionByName(part)
+        if f is not None:
+            part = model.transform(rows.where(F.col("fold") == f)).select(*base, vector_to_array("probability")[1].alias("predict"))
+            out = part if out is None else out.unionByName(part)
     rows.unpersist()
-    return out if out is not None else rows.select("id1", "id2", "fold", "category", "target", F.lit(None).cast("double").alias("predict")).limit(0), coefficients
+    return out if out is not None else rows.select(*base, F.lit(None).cast("double").alias("predict")).limit(0), coefficients
 
 
-def apply_stack(wide: DataFrame, models: list[str], intercept: float, coefficients: list[float], eps: float = 1e-6) -> DataFrame:
-    """wide plus predict = sigmoid(intercept + sum of c * logit)."""
-    return wide.withColumn("predict", sigmoid(sum((c * logit(F.col(m), eps) for m, c in zip(models, coefficients)), F.lit(float(intercept)))))
+def weight_stability(spark: SparkSession, models: list[str], coefficients: list[tuple]) -> DataFrame:
+    """(model, mean, std, share, final): a model's coefficient over the held-out fits, its part of their sum, and that of the fit on all folds."""
+    held = [c for f, _, c in coefficients if f is not None]
+    final = next((c for f, _, c in coefficients if f is None), [None] * len(models))
+    means = [sum(c[i] for c in held) / len(held) for i in range(len(models))] if held else []
+    stds = [(sum((c[i] - m) ** 2 for c in held) / len(held)) ** 0.5 for i, m in enumerate(means)]
+    total = sum(means)
+    return spark.createDataFrame([(m, x, y, x / total if total else None, z) for m, x, y, z in zip(models, means, stds, final)], "model string, mean double, std double, share double, final double")
+
+
+def apply_stack(wide: DataFrame, models: list[str], intercept: float, coefficients: list[float], eps: float = 1e-6, transform: str = "logit") -> DataFrame:
+    """wide plus predict = sigmoid(intercept + sum of c * input); ranks are those within the folds of wide."""
+    rows = stack_inputs(wide, models, transform, eps)
+    return rows.withColumn("predict", sigmoid(sum((c * F.col(f"x_{m}") for m, c in zip(models, coefficients)), F.lit(float(intercept))))).drop(*[f"x_{m}" for m in models])
 
 
 def stack_features(features: DataFrame, nested: DataFrame, folds: list[int]) -> DataFrame:
@@ -208,17 +235,22 @@ def isotonic_by_fold(df: DataFrame, folds: list[int]) -> DataFrame:
     return out.withColumn("calibrated", F.least(F.greatest("calibrated", F.lit(0.001)), F.lit(0.999)))
 
 
-def train_oof(features: DataFrame, columns: list[str], folds: list[int], weight: str | None = None, rounds: int = 15, depth: int = 4) -> DataFrame:
-    """(id1, id2, fold, target, predict) by boosted trees, leave one fold out. Rows with train_only true are never scored."""
+def train_oof(features: DataFrame, columns: list[str], folds: list[int], weight: str | None = None, rounds: int = 15, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Boosted trees, leave one fold out: (id1, id2, fold, target, predict) and (fold, feature, importance).
+
+    Rows with train_only true are never scored. Importances of a fit sum to 1.
+    """
     rows = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="keep").transform(features).withColumn("label", F.col("target").cast("double")).persist()
     scored = ~F.coalesce(F.col("train_only"), F.lit(False)) if "train_only" in features.columns else F.lit(True)
-    out = None
+    out, importances = None, []
     for f in folds:
         gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, seed=7, **({"weightCol": weight} if weight else {}))
         model = gbt.fit(rows.where(F.col("fold") != f))
+        importances += [(f, c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
         part = model.transform(rows.where((F.col("fold") == f) & scored)).select("id1", "id2", "fold", "target", vector_to_array("probability")[1].alias("predict"))
         out = part if out is None else out.unionByName(part)
-    return out
+    rows.unpersist()
+    return out, features.sparkSession.createDataFrame(importances, "fold int, feature string, importance double")
 
 
 def score_batches(texts: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], partitions: int = 8) -> DataFrame:
@@ -232,6 +264,21 @@ def score_batches(texts: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.
     return ordered.select("id1", "id2", "text1", "text2").mapInPandas(run, "id1 long, id2 long, predict double")
 
 
+def step_table(scored: DataFrame, base: str, weight: float = 0.1) -> DataFrame:
+    """(step, delta, spearman) of every model: what its rank adds to the base's macro AP at `weight`, and its mean rank correlation with the base by category.
+
+    scored: model, category, id1, id2, target, predict; ranks are within a category.
+    """
+    ranked = ranks.rank_ordinal(scored.select("model", "category", "id1", "id2", "target", "predict"), ["model", "category"])
+    first = ranked.where(F.col("model") == base).select("id1", "id2", F.col("rank").alias("base_rank"), F.col("predict").alias("base_predict"))
+    both = ranked.join(first, ["id1", "id2"])
+    mixed = both.withColumn("predict", F.round((1 - weight) * F.col("base_rank") + weight * F.col("rank"), 8))
+    start = metrics.macro_ap(scored.where(F.col("model") == base), ["model"]).select(F.col("macro_ap").alias("start"))
+    gain = metrics.macro_ap(mixed, ["model"]).crossJoin(F.broadcast(start)).select("model", (F.col("macro_ap") - F.col("start")).alias("delta"))
+    near = ranks.spearman(both, ["model", "category"], "base_predict", "predict").groupBy("model").agg(F.avg("spearman").alias("spearman"))
+    return gain.join(near, "model").withColumnRenamed("model", "step")
+
+
 def select_step(df: DataFrame) -> DataFrame:
-    """(step, delta, position) of the largest delta, ties to the earliest, from (step, position, delta)."""
-    return df.agg(F.max_by(F.struct("step", "delta", "position"), F.struct("delta", -F.col("position"))).alias("b")).select("b.*")
+    """The row of the largest delta, ties to the earliest, from (step, position, delta, ...)."""
+    return df.agg(F.max_by(F.struct(*df.columns), F.struct("delta", -F.col("position"))).alias("b")).select("b.*")

@@ -87,6 +87,19 @@ def residual_control(wide: DataFrame, base: str, candidates: list[str], folds: l
     return out.withColumn("control", F.when(shuffled, "shuffled").otherwise("real")).withColumn("candidate", F.regexp_replace("candidate", "_shuffled$", ""))
 
 
+def graph_model(rows: DataFrame, base: list[str], graph: list[str], folds: list[int], seed: int = 0, rounds: int = 8, depth: int = 3) -> DataFrame:
+    """(control, id1, id2, fold, target, predict): boosted trees over base and graph columns, and the same with the graph columns shuffled.
+
+    Shuffled: whole rows of graph columns change places within (fold, category), so only their tie to the pair is lost.
+    """
+    out = None
+    moved = permute_within(rows.withColumn("_g", F.struct(*graph)).drop(*graph), ["fold", "category"], "_g", seed).select("*", "_g.*").drop("_g")
+    for name, df in (("graph", rows), ("shuffled", moved)):
+        part = blend.train_oof(df, [*base, *graph], folds, rounds=rounds, depth=depth)[0].withColumn("control", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def random_weights(wide: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(held, category, weights): weights of n models, uniform over all that sum to 1, for each fold and category."""
     rows = wide.select(F.col("fold").alias("held"), "category").distinct().withColumn("e", F.array(*[-F.ln(uniform(seed, "held", "category", i)) for i in range(n)]))

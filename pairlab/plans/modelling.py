@@ -306,6 +306,17 @@ def _(t):
     return rounded(blend.fit_stack(wide(t), MODELS, FOLDS)[0])
 
 
+@query("b9_stack_transforms")
+def _(t):
+    parts = [blend.fit_stack(wide(t), MODELS, FOLDS, transform=x)[0].withColumn("transform", F.lit(x)) for x in ("prob", "rank")]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query("b9_weight_stability")
+def _(t):
+    return rounded(blend.weight_stability(t.spark, MODELS, blend.fit_stack(wide(t), MODELS, FOLDS)[1]))
+
+
 CS = "least(greatest({m}, 1e-6), 1 - 1e-6)"
 
 
@@ -359,24 +370,34 @@ def _(t):
     return rounded(blend.isotonic_by_fold(one, FOLDS))
 
 
-def featured(t):
-    x = features.pair_features(t.pairs, t.items, features.category_codes(t.items))
-    return x.join(t.folded.select("id1", "id2", "fold", "target"), ["id1", "id2"]), [c for c in x.columns if c not in ("id1", "id2", "known")]
+def training_rows(t):
+    """Labelled pairs with corrected targets, and derived pairs of a smaller weight that only train."""
+    from pairlab.operators.joins import apply_corrections
+
+    derived = graph.closure_pairs(t.folded).select("id1", "id2", "fold", "target", F.lit(0.5).alias("weight"), F.lit(True).alias("train_only"))
+    labelled = apply_corrections(t.folded, t.verdicts).select("id1", "id2", "fold", "target", F.lit(1.0).alias("weight"), F.lit(False).alias("train_only"))
+    rows = labelled.unionByName(derived)
+    x = features.pair_features(rows, t.items, features.category_codes(t.items))
+    return x.join(rows, ["id1", "id2"]), [c for c in x.columns if c not in ("id1", "id2", "known")]
 
 
 @query("b17_train_pair_classifier")
 def _(t):
-    x, columns = featured(t)
-    return rounded(blend.train_oof(x, columns, FOLDS))
+    return rounded(blend.train_oof(*training_rows(t), FOLDS, "weight")[0])
+
+
+@query("b17_feature_importance")
+def _(t):
+    return rounded(blend.train_oof(*training_rows(t), FOLDS, "weight")[1])
 
 
 @query("b18_graph_meta_model")
 def _(t):
     m1, left = loo(t)
-    rows = t.folded.join(m1, ["id1", "id2"]).join(left, ["id1", "id2"]).join(graph.link_features(t.pairs), ["id1", "id2"])
-    columns = ["predict", "mean_lo", "mean_hi", "max_lo", "max_hi", "comp_mean", "gap", "deg_min", "deg_max", "log_product", "common", "jaccard", "adamic_adar"]
-    rows = rows.withColumn("score", F.col("predict"))
-    return rounded(blend.train_oof(rows.drop("predict").fillna(-1.0, subset=["mean_lo", "mean_hi", "max_lo", "max_hi", "comp_mean", "gap"]), ["score", *columns[1:]], FOLDS, rounds=8, depth=3))
+    rows = t.folded.join(m1, ["id1", "id2"]).join(left, ["id1", "id2"]).join(graph.link_features(t.pairs), ["id1", "id2"]).join(F.broadcast(features.category_codes(t.items)), "category")
+    columns = ["mean_lo", "mean_hi", "max_lo", "max_hi", "comp_mean", "gap", "deg_min", "deg_max", "log_product", "common", "jaccard", "adamic_adar"]
+    rows = rows.withColumnRenamed("predict", "score").fillna(-1.0, subset=columns[:6])
+    return rounded(resample.graph_model(rows, ["score", "code"], columns, FOLDS))
 
 
 @query("b19_score_pairs_with_model", """SELECT p.id1, p.id2, CASE WHEN a.name = b.name THEN 1.0 ELSE ROUND(CAST(least(length(a.name), length(b.name)) AS DOUBLE) / greatest(length(a.name), length(b.name)), 6) END AS predict FROM pairs p JOIN items a ON p.id1 = a.id JOIN items b ON p.id2 = b.id""")
@@ -391,11 +412,20 @@ def _(t):
     return rounded(blend.score_batches(texts, scorer))
 
 
-@query("b20_best_step_select", f"""WITH f AS (SELECT * FROM {ap_sql('scored', 'model')}) SELECT a.model AS step, {r('a.ap - b.ap', 'delta')}, CAST(substr(a.model, 2) AS INT) AS position FROM f a JOIN f b ON b.model = 'm1' ORDER BY a.ap - b.ap DESC, a.model LIMIT 1""")
+PLACES = "(SELECT *, CAST(row_number() OVER (PARTITION BY model, category ORDER BY predict, id1, id2) - 1 AS DOUBLE) / greatest(COUNT(*) OVER (PARTITION BY model, category) - 1, 1) AS rk FROM scored)"
+
+
+def macro_sql(source: str) -> str:
+    return f"(SELECT model, AVG(ap) AS macro_ap FROM {ap_sql(source, 'model, category')} WHERE positives > 0 AND positives < n_rows GROUP BY model)"
+
+
+@query("b20_best_step_select", f"""WITH k AS (SELECT * FROM {PLACES}), b AS (SELECT k.*, o.rk AS base_rk, o.predict AS base_predict FROM k JOIN k o ON o.model = 'm1' AND k.id1 = o.id1 AND k.id2 = o.id2),
+g AS (SELECT * FROM {macro_sql('(SELECT model, category, target, round((1 - 0.1) * base_rk + 0.1 * rk, 8) AS predict FROM b)')}),
+c AS (SELECT model, category, rank() OVER (PARTITION BY model, category ORDER BY base_predict) + (COUNT(*) OVER (PARTITION BY model, category, base_predict) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY model, category ORDER BY predict) + (COUNT(*) OVER (PARTITION BY model, category, predict) - 1) / 2.0 AS rb FROM b),
+p AS (SELECT model, AVG(x) AS spearman FROM (SELECT model, corr(ra, rb) AS x FROM c GROUP BY model, category) GROUP BY model)
+SELECT g.model AS step, {r('g.macro_ap - s.macro_ap', 'delta')}, {r('p.spearman', 'spearman')}, CAST(substr(g.model, 2) AS INT) AS position FROM g JOIN p ON g.model = p.model JOIN {macro_sql('scored')} s ON s.model = 'm1' ORDER BY g.macro_ap - s.macro_ap DESC, position LIMIT 1""")
 def _(t):
-    ap = metrics.average_precision(t.scored, ["model"])
-    base = ap.where("model = 'm1'").select(F.col("ap").alias("b"))
-    steps = ap.crossJoin(F.broadcast(base)).select(F.col("model").alias("step"), (F.col("ap") - F.col("b")).alias("delta"), F.substring("model", 2, 9).cast("int").alias("position"))
+    steps = blend.step_table(t.scored, "m1").withColumn("position", F.substring("step", 2, 9).cast("int"))
     return rounded(blend.select_step(steps))
 
 

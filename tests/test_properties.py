@@ -249,7 +249,16 @@ def test_blends(t, wide):
 
 def test_stack_and_calibration(t, wide):
     scored, coefficients = blend.fit_stack(wide, ["m1", "m2", "m3"], [0, 1, 2, 3])
-    assert scored.count() == wide.count() and len(coefficients) == 4
+    assert scored.count() == wide.count() and [f for f, _, _ in coefficients] == [0, 1, 2, 3, None]
+    stable = {r.model: r for r in blend.weight_stability(wide.sparkSession, ["m1", "m2", "m3"], coefficients).collect()}
+    assert stable["m1"].final == coefficients[4][2][0] and sum(r.share for r in stable.values()) == pytest.approx(1)
+    assert stable["m2"].mean == pytest.approx(sum(c[2][1] for c in coefficients[:4]) / 4) and stable["m2"].std >= 0
+    for transform in ("prob", "rank"):
+        got, cs = blend.fit_stack(wide, ["m1", "m2", "m3"], [0, 1, 2, 3], transform=transform)
+        same = blend.apply_stack(wide, ["m1", "m2", "m3"], cs[1][1], cs[1][2], transform=transform).where("fold = 1").select("id1", "id2", F.col("predict").alias("p"))
+        assert got.where("fold = 1").join(same, ["id1", "id2"]).where("abs(predict - p) <= 1e-9").count() == same.count() > 0
+    with pytest.raises(ValueError):
+        blend.stack_inputs(wide, ["m1"], "cube")
     held, intercept, cs = coefficients[0]
     again = blend.apply_stack(wide.where(F.col("fold") == held), ["m1", "m2", "m3"], intercept, cs).select("id1", "id2", F.col("predict").alias("p"))
     assert scored.join(again, ["id1", "id2"]).where("abs(predict - p) > 1e-9").count() == 0
@@ -286,15 +295,69 @@ def test_controls(t, wide):
 
 
 def test_tree_models_rank_above_chance(t):
-    from pairlab.plans.modelling import featured
+    from pairlab.plans.modelling import training_rows
 
-    x, columns = featured(t)
+    x, columns = training_rows(t)
+    x = x.where("not train_only")
     x = x.withColumn("signal", F.col("target") + (F.col("id1") % 7) / 7.0)
-    got = blend.train_oof(x, [*columns, "signal"], [0, 1], rounds=3, depth=2)
+    got, importance = blend.train_oof(x, [*columns, "signal"], [0, 1], rounds=3, depth=2)
+    best = {r.fold: r.feature for r in importance.groupBy("fold").agg(F.max_by("feature", "importance").alias("feature")).collect()}
+    assert best == {0: "signal", 1: "signal"}
     ap = metrics.average_precision(got.withColumn("g", F.lit(0)), ["g"]).first()
     assert got.count() == x.where("fold in (0, 1)").count() and ap.ap > 0.9
 
 
+def test_derived_pairs_train_but_are_not_scored(t):
+    from pairlab.plans.modelling import training_rows
+
+    x, columns = training_rows(t)
+    x = x.withColumn("train_only", F.col("id1") % 5 == 0)
+    got = blend.train_oof(x, columns[:3], [0], "weight", rounds=1, depth=1)[0]
+    assert got.count() == x.where("fold = 0 and id1 % 5 <> 0").count() > 0
+
+
+def test_graph_columns_that_carry_the_label_lose_it_when_shuffled(t):
+    rows = t.folded.withColumns({"score": F.rand(3), "g": F.col("target") + F.rand(4) / 10, "h": F.col("id1") % 3})
+    got = resample.graph_model(rows, ["score"], ["g", "h"], [0, 1], rounds=2, depth=2)
+    ap = {r.control: r.ap for r in metrics.average_precision(got, ["control"]).collect()}
+    assert ap["graph"] > 0.95 and ap["shuffled"] < 0.6
+
+
+def test_scores_of_any_scale_spread_over_ranges(spark):
+    inf = float("inf")
+    xs = [-inf, -1e300, -50.0, -3.2, -1.0, -1e-300, 0.0, 5e-324, 1e-9, 0.002, 0.0039, 0.25, 0.5, 0.9, 0.998, 0.9999999, 1.0, 1.0000001, 7.5, 1e6, 1e300, inf, float("nan")]
+    got = [r.r for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", metrics.score_range(F.col("x")).alias("r")).orderBy("i").collect()]
+    assert got == sorted(got) and one(spark.range(1), metrics.score_range(F.lit(None).cast("double"))) < got[0]
+    logits = spark.range(20000).select(metrics.score_range((F.col("id") - 10000) / 1000.0).alias("r"))
+    assert logits.groupBy("r").count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_leaks_and_open_chains_raise(spark):
+    pairs = spark.createDataFrame([(1, 2, 1, 0), (2, 3, 1, 1)], "id1 long, id2 long, target int, fold int")
+    with pytest.raises(Exception, match="crosses folds"):
+        graph.closure_pairs(pairs).collect()
+    line = spark.createDataFrame([(i, i + 1, 1) for i in range(6)], "id1 long, id2 long, target int")
+    far = spark.createDataFrame([(0, 6)], "id1 long, id2 long")
+    assert graph.shortest_chains(line, far).first().steps == 6
+    with pytest.raises(ValueError, match="longer than 3"):
+        graph.shortest_chains(line, far, max_steps=3)
+
+
+def test_sizes_and_dimensions(spark):
+    df = spark.createDataFrame([(1, "Коврик 10,5х20 см, размер XL / 42 EU")], "id long, name string")
+    assert {(r.family, r.value) for r in features.extract_sizes(df).collect()} == {("dimension", "10.5x20cm"), ("size", "sz=xl"), ("size", "eu=42")}
+    text = one(df, features.normalize_units(F.col("name")))
+    assert text.startswith("Коврик 10.5x20cm ,") and "sz=xl" in text and "eu=42" in text and len(text) == len(df.first().name)
+
+
+def test_numeric_groups_compare_quantities(spark):
+    items = spark.createDataFrame([(1, "a", "c", '{"вес":"1,5 кг","объем":"1 л","длина":"10 см","ширина":"4"}'), (2, "b", "c", '{"масса нетто":"1500 г","объем":"500 мл","длина":"12 см","ширина":"4"}'), (3, "d", "c", '{"ширина":"4 мм","страна бренда":"x","вес":"много"}')], "id long, name string, category string, attributes string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 9)], "id1 long, id2 long")
+    got = {(r.id1, r.id2, r.grp): r.state for r in features.structured_diff(pairs, items).collect()}
+    assert got[1, 2, "weight"] == "match" and got[1, 2, "volume"] == "differ" and got[1, 2, "other_numbers"] == "differ_1"
+    assert got[1, 3, "weight"] == "differ" and got[1, 3, "brand"] == "unknown" and got[2, 9, "other_numbers"] == "unknown"
+
+
 def test_random_audits_leave_judged_pairs_out(t):
     got = audit.audit_queue("random", t.scored, 20, journal=t.verdicts)
     assert got.count() == 20 and got.join(t.verdicts, ["id1", "id2"], "left_semi").count() == 0
