@@ -67,8 +67,8 @@ def _named(scored: DataFrame, id_col: str) -> DataFrame:
     return scored.select(F.col("id").alias(id_col), "n_grams", "log_score", mean.alias("mean_log_score"))
 
 
-def blocks(docs: DataFrame, id_col: str, block_bytes: int) -> DataFrame:
-    """(block, words, texts): the rows of each task in blocks, id and text compressed; written in buckets by block."""
+def blocks(docs: DataFrame, id_col: str, block_bytes: int, name: str | None = None) -> DataFrame:
+    """(block, words, texts): the rows of each task in blocks, id and text compressed; a table of that name, in buckets by block."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -93,7 +93,7 @@ def blocks(docs: DataFrame, id_col: str, block_bytes: int) -> DataFrame:
         if held:
             yield packed_block()
 
-    name = f"lm_blocks_{uuid.uuid4().hex}"
+    name = name or f"lm_blocks_{uuid.uuid4().hex}"
     got = rows.mapInArrow(gather, "block long, words long, texts binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     got.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "none").saveAsTable(name)

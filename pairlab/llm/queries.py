@@ -1,12 +1,20 @@
-"""The queries opN_<name> and pipeline over the documents, pages, benchmark and labels tables."""
+"""The queries opN_<name> over the documents, pages, benchmark and labels tables.
+
+Each reads its whole table and gives a row for each of its rows (op3: for each piece; op11: for each item and place).
+Odd rows are the operators' matter and told there; a query adds that ids may repeat, be null or be missing altogether.
+"""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import decontaminate, html_crf, langid, lm, merkle, packing, pii, secrets, simhash, toxicity
-from pairlab.llm.common import id_crc, table
+from pairlab.llm import decontaminate, html_crf, jaccard, langid, lm, merkle, packing, pii, runs, search, secrets, simhash, toxicity
+from pairlab.llm.common import chunks, id_crc, table
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +67,47 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(docs, secrets.train(docs))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document, some of which get a repeated tail first; the digests are of the runs and of the words kept."""
+    found = runs.find_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    denser = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    found = found.withColumn("best", denser)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in the texts of one id in ten, chosen by crc32 of the id, the tail repeats its first words. A null id changes nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            texts = batch.column("text").to_pylist()
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+                if h % 10 == 0 and (words := (texts[k] or "").encode().split()):
+                    g = h // 10
+                    a = g % len(words)
+                    p = 1 + (len(words) - a) // (3 + g % 8)
+                    texts[k] = b" ".join(words[:a] + [words[a + i % p] for i in range(len(words) - a)]).decode()
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", "text").schema)
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingle sets overlap by 0.8 or more."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 #: The words of a text as op6 takes them.
 WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x20]+')"
 
@@ -103,6 +152,29 @@ q AS (SELECT r, sum(points) AS log_score FROM s GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_grams, round(coalesce(q.log_score, 0), 4) AS log_score,
        CASE WHEN len(d.w) > 0 THEN round(q.log_score / len(d.w), 6) END AS mean_log_score
 FROM d LEFT JOIN q ON q.r = d.r""",
+    "op11_ranked_search": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS w FROM documents),
+tot AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+q AS MATERIALIZED (SELECT DISTINCT k, item_id, term FROM (SELECT row_number() OVER () AS k, item_id, unnest({PLAIN_WORDS}) AS term FROM benchmark)),
+wt AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+       FROM (SELECT term, count(*) AS df FROM tf SEMI JOIN q USING (term) GROUP BY term), tot),
+m AS (SELECT r, doc_id, 50 + (50 * CAST(len(w) AS BIGINT) * docs) // terms AS m FROM d, tot),
+s AS (SELECT q.k, q.item_id, m.r, m.doc_id, CAST(sum(wt.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN m ON m.r = tf.r GROUP BY q.k, q.item_id, m.r, m.doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""",
+    "op13_jaccard_join": f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT r, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS gram FROM d WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM g GROUP BY r),
+l AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM g x JOIN g y ON x.gram = y.gram AND x.r <> y.r JOIN n p ON p.r = x.r JOIN n q ON q.r = y.r
+      GROUP BY x.r, y.r, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+k AS (SELECT c.a AS r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.b GROUP BY c.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN k ON k.r = d.r""",
 }
 
 
