@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairlab.operators import ranks
 from pairlab.operators.components import checkpointed, connected_components
 from pairlab.operators.joins import unordered_anti
 
@@ -139,28 +139,26 @@ def leave_one_out(edges: DataFrame, comp: DataFrame) -> DataFrame:
     maximum without the edge is the second largest where the edge holds the largest.
     """
     ends = edges.select("id1", "id2", "predict", F.explode(F.array("id1", "id2")).alias("node"))
-    w = W.partitionBy("node")
-    top = w.orderBy(F.desc("predict"), "id1", "id2")
-    stat = ends.select("id1", "id2", "node", "predict", F.sum("predict").over(w).alias("s"), F.count("*").over(w).alias("n"), F.row_number().over(top).alias("k"), F.max("predict").over(w).alias("m1"))
-    second = stat.where("k = 2").select("node", F.col("predict").alias("m2"))
-    stat = stat.join(second, "node", "left")
+    edge = F.struct("predict", "id1", "id2")
+    stat = ends.groupBy("node").agg(F.sum("predict").alias("s"), F.count("*").alias("n"), F.max(edge).alias("top"))
+    met = ends.join(stat, "node").withColumn("is_top", F.struct("predict", "id1", "id2") == F.col("top"))
+    second = met.groupBy("node").agg(F.max(F.when(~F.col("is_top"), F.col("predict"))).alias("rest"), F.count_if("is_top").alias("twice"))
+    met = met.join(second, "node")
     mean = F.when(F.col("n") > 1, (F.col("s") - F.col("predict")) / (F.col("n") - 1))
-    most = F.when(F.col("k") == 1, F.col("m2")).otherwise(F.col("m1"))
-    side = stat.select("id1", "id2", mean.alias("mean"), most.alias("most")).groupBy("id1", "id2").agg(F.min("mean").alias("mean_lo"), F.max("mean").alias("mean_hi"), F.min("most").alias("max_lo"), F.max("most").alias("max_hi"))
-    c = W.partitionBy("component")
-    inner = edges.join(comp.withColumnRenamed("id", "id1"), "id1")
-    n = F.count("*").over(c)
-    inner = inner.select("id1", "id2", "predict", F.when(n > 1, (F.sum("predict").over(c) - F.col("predict")) / (n - 1)).alias("comp_mean"))
+    most = F.when(F.col("is_top") & (F.col("twice") == 1), F.col("rest")).otherwise(F.col("top.predict"))
+    side = met.select("id1", "id2", mean.alias("mean"), most.alias("most")).groupBy("id1", "id2").agg(F.min("mean").alias("mean_lo"), F.max("mean").alias("mean_hi"), F.min("most").alias("max_lo"), F.max("most").alias("max_hi"))
+    inner = edges.join(comp.withColumnRenamed("id", "id1"), "id1").select("id1", "id2", "predict", "component")
+    whole = inner.groupBy("component").agg(F.sum("predict").alias("s"), F.count("*").alias("n"))
+    inner = inner.join(whole, "component").select("id1", "id2", "predict", F.when(F.col("n") > 1, (F.col("s") - F.col("predict")) / (F.col("n") - 1)).alias("comp_mean"))
     return side.join(inner, ["id1", "id2"]).withColumn("gap", F.col("predict") - (F.col("mean_lo") + F.col("mean_hi")) / 2).drop("predict")
 
 
 def diffuse(df: DataFrame, weight: float) -> DataFrame:
     """df plus diffused: (1 - w) * rank + w * rank of mean_hi, both within the category, where a neighbour exists; else the rank."""
-    own = W.partitionBy("category")
-    n = F.count("*").over(own)
-    rank = (F.row_number().over(own.orderBy("predict", "id1", "id2")) - 1) / F.greatest(n - 1, F.lit(1))
-    other = (F.row_number().over(own.orderBy(F.asc_nulls_first("mean_hi"), "id1", "id2")) - 1) / F.greatest(n - 1, F.lit(1))
-    return df.withColumn("r", rank).withColumn("o", other).withColumn("diffused", F.when(F.col("mean_hi").isNotNull(), (1 - weight) * F.col("r") + weight * F.col("o")).otherwise(F.col("r"))).drop("r", "o")
+    both = ranks.rank_ordinal(df, ["category"]).withColumnRenamed("rank", "r")
+    both = ranks.place_in_group(both, ["category"], [F.asc_nulls_first("mean_hi"), "id1", "id2"])
+    o = (F.col("_place") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))
+    return both.withColumn("diffused", F.when(F.col("mean_hi").isNotNull(), (1 - weight) * F.col("r") + weight * o).otherwise(F.col("r"))).drop("r", "_place", "_size")
 
 
 def chain_summary(derived: DataFrame, journal: DataFrame) -> DataFrame:

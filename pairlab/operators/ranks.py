@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,29 +26,77 @@ def global_position(df: DataFrame, order: list[str], name: str = "position") ->
     return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+def _columns(order: list[str | Column]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order]
+
+
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows plus the other columns of table by keys, null meeting null."""
+    other = table.withColumnsRenamed({k: f"{k} of the table" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"`{k} of the table`")) for k in keys])
+    return rows.join(other, on).drop(*[f"{k} of the table" for k in keys])
+
+
+def _cells(ranged: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """(_part, by, <sum>_above, <sum>_all): what the group has in the ranges before, and in all; a row for each range and group.
+
+    The window runs over one row a range.
+    """
+    group = W.partitionBy(*by)
+    above = group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    cells = ranged.groupBy("_part", *by).agg(*[x.alias(k) for k, x in sums.items()])
+    return cells.select("_part", *by, *[F.coalesce(F.sum(k).over(above), F.lit(0)).alias(f"{k}_above") for k in sums], *[F.sum(k).over(group).alias(f"{k}_all") for k in sums])
+
+
+def place_in_group(df: DataFrame, by: list[str], order: list[str | Column], place: str = "_place", size: str = "_size") -> DataFrame:
+    """df plus place (from 1, in the given order within by) and size (rows of the group); nulls of by are a group.
+
+    Rows are dealt by ranges of (by, order), so a group of any size is many tasks' work, each of which numbers its
+    own range; a table of one row for each range and group says how many rows of the group lie in the ranges before.
+    order should leave no ties, or equal rows change places.
+    """
+    keys, spare = _columns([*by]), "_at"
+    ranged = df.repartitionByRange(*keys, *_columns(order)).sortWithinPartitions(*keys, *_columns(order)).withColumn("_part", F.spark_partition_id())
+    ranged = checkpointed(ranged.withColumn(spare, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))  # both passes must see one partitioning
+    first = ranged.groupBy("_part", *by).agg(F.min(spare).alias("_first"))
+    cells = _meet(_cells(ranged, by, {"_n": F.count("*")}), first, ["_part", *by])
+    out = _meet(ranged, cells, ["_part", *by])
+    return out.withColumns({place: F.col("_n_above") + F.col(spare) - F.col("_first") + 1, size: F.col("_n_all")}).drop("_part", spare, "_first", "_n_above", "_n_all")
+
+
+def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """df plus, for each of sums, <name>_before (over the group's rows that come earlier) and <name>_all.
+
+    As place_in_group: windows run within one range of the group, totals of the ranges before come from a small table.
+    """
+    keys = _columns([*by])
+    ranged = checkpointed(df.withColumns({f"_{k}": x for k, x in sums.items()}).repartitionByRange(*keys, *_columns(order)).withColumn("_part", F.spark_partition_id()))
+    cells = _cells(ranged, by, {k: F.sum(f"_{k}") for k in sums})
+    earlier = W.partitionBy("_part", *by).orderBy(*_columns(order)).rowsBetween(W.unboundedPreceding, -1)
+    out = _meet(ranged.withColumns({f"{k}_here": F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)) for k in sums}), cells, ["_part", *by])
+    return out.withColumns({f"{k}_before": F.col(f"{k}_here") + F.col(f"{k}_above") for k in sums}).drop("_part", *[x for k in sums for x in (f"_{k}", f"{k}_here", f"{k}_above")])
+
+
 def rank_ordinal(df: DataFrame, by: list[str], col: str = "predict", key=KEY) -> DataFrame:
     """(row_number - 1) / (n - 1) within by, ties by key; 0 for a single row."""
-    w = W.partitionBy(*by)
-    n = F.count("*").over(w)
-    return df.withColumn("rank", (F.row_number().over(w.orderBy(col, *key)) - 1) / F.greatest(n - 1, F.lit(1)))
+    return place_in_group(df, by, [col, *key]).withColumn("rank", (F.col("_place") - 1) / F.greatest(F.col("_size") - 1, F.lit(1))).drop("_place", "_size")
 
 
 def rank_average_pct(df: DataFrame, by: list[str], col: str = "predict") -> DataFrame:
-    """Average rank of equal values over n within by."""
-    w = W.partitionBy(*by)
-    return df.withColumn("rank", (F.rank().over(w.orderBy(col)) + (F.count("*").over(W.partitionBy(*by, col)) - 1) / 2) / F.count("*").over(w))
+    """Average rank of equal values over n within by. Equal values are one row while ranks are summed."""
+    blocks = running_sums(df.groupBy(*by, col).agg(F.count("*").alias("_many")), by, [col], {"_n": F.col("_many")})
+    blocks = blocks.select(*by, col, ((F.col("_n_before") + (F.col("_many") + 1) / 2) / F.col("_n_all")).alias("rank"))
+    return _meet(df.drop("rank"), blocks, [*by, col])
 
 
 def rank_midpoint(df: DataFrame, by: list[str], col: str = "predict", key=KEY) -> DataFrame:
     """(row_number - 0.5) / n within by, ties by key."""
-    w = W.partitionBy(*by)
-    return df.withColumn("rank", (F.row_number().over(w.orderBy(col, *key)) - 0.5) / F.count("*").over(w))
+    return place_in_group(df, by, [col, *key]).withColumn("rank", (F.col("_place") - 0.5) / F.col("_size")).drop("_place", "_size")
 
 
 def rank_in_route(df: DataFrame, by: list[str], col: str = "predict", key=KEY) -> DataFrame:
     """row_number / n within by, ties by key."""
-    w = W.partitionBy(*by)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(col, *key)) / F.count("*").over(w))
+    return place_in_group(df, by, [col, *key]).withColumn("rank", F.col("_place") / F.col("_size")).drop("_place", "_size")
 
 
 def latest_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlab.functions.draws import draw, uniform
@@ -16,10 +15,18 @@ def degree_bin(degree: Column) -> Column:
 
 def permute_within(df: DataFrame, by: list[str], col: str, seed: int, order: Column | None = None) -> DataFrame:
     """df with col's values dealt anew within each group: the i-th row by key takes the value of the i-th by hash (or order)."""
-    w = W.partitionBy(*by)
-    rows = df.withColumn("_k", F.row_number().over(w.orderBy("id1", "id2")))
-    drawn = df.select(*by, F.col(col).alias("_v"), F.row_number().over(w.orderBy(order if order is not None else draw(seed, "id1", "id2"), "id1", "id2")).alias("_k"))
-    return rows.join(drawn, [*by, "_k"]).withColumn(col, F.col("_v")).drop("_k", "_v")
+    rows = ranks.place_in_group(df, by, ["id1", "id2"], "_k").drop("_size")
+    dealt = df.select(*by, "id1", "id2", F.col(col).alias("_v"), (order if order is not None else draw(seed, "id1", "id2")).alias("_o"))
+    dealt = ranks.place_in_group(dealt, by, ["_o", "id1", "id2"], "_k").select(*by, "_k", "_v")
+    return rows.join(dealt, [*by, "_k"]).withColumn(col, F.col("_v")).drop("_k", "_v")
+
+
+def with_degree_bin(df: DataFrame) -> DataFrame:
+    """df plus degree_bin: that of the pair's end of more pairs, in doublings up to 5; a stratum beside fold and category."""
+    degree = df.select(F.explode(F.array("id1", "id2")).alias("id")).groupBy("id").agg(F.count("*").alias("_d"))
+    for side in ("1", "2"):
+        df = df.join(degree.select(F.col("id").alias(f"id{side}"), F.col("_d").alias(f"_d{side}")), f"id{side}")
+    return df.withColumn("degree_bin", degree_bin(F.greatest("_d1", "_d2"))).drop("_d1", "_d2")
 
 
 def permutation_controls(df: DataFrame, base: str, candidate: str, n: int = 20, seed: int = 0) -> DataFrame:

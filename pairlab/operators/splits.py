@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlab.functions.draws import draw
+from pairlab.operators import ranks
 from pairlab.operators.graph import connected_components
 
 
@@ -79,12 +79,11 @@ def seeded(seed: int, *cols: str) -> Column:
 
 def stratified_sample(df: DataFrame, n: int, seed: int, order: Column | None = None) -> DataFrame:
     """round(n * n_t / n_all) rows of each (fold, target), exactly, by hash order (or the order given)."""
-    w = W.partitionBy("fold", "target")
     total = df.groupBy("fold").agg(F.count("*").alias("_all"))
     size = df.groupBy("fold", "target").agg(F.count("*").alias("_n"))
     quota = size.join(total, "fold").select("fold", "target", F.round(n * F.col("_n") / F.col("_all")).alias("_quota"))
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(order if order is not None else seeded(seed, "id1", "id2"), "id1", "id2")))
-    return ranked.join(F.broadcast(quota), ["fold", "target"]).where("_k <= _quota").drop("_k", "_quota")
+    ranked = ranks.place_in_group(df, ["fold", "target"], [order if order is not None else seeded(seed, "id1", "id2"), "id1", "id2"], "_k")
+    return ranked.join(F.broadcast(quota), ["fold", "target"]).where("_k <= _quota").drop("_k", "_size", "_quota")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, order: Column | None = None) -> DataFrame:
@@ -97,31 +96,44 @@ def hard_negatives(df: DataFrame, held: int, share: float) -> DataFrame:
     df: id1, id2, category, fold, target, predict, similarity, conflict (0/1). The count is max(1, round(n * share)).
     """
     neg = df.where((F.col("fold") != held) & (F.col("target") == 0))
-    w = W.partitionBy("category")
-    n = F.count("*").over(w)
-
-    def pct(c: str) -> Column:
-        return (F.rank().over(w.orderBy(c)) + (F.count("*").over(W.partitionBy("category", c)) - 1) / 2) / n
-
-    hard = neg.withColumns({"hardness": pct("predict") + pct("similarity") + 0.5 * F.col("conflict"), "_n": n})
-    ranked = hard.withColumn("_k", F.row_number().over(w.orderBy(F.desc(F.round("hardness", 9)), "id1", "id2")))
-    return ranked.where(F.col("_k") <= F.greatest(F.lit(1), F.round(F.col("_n") * share))).drop("_k", "_n")
+    for c in ("predict", "similarity"):
+        neg = ranks.rank_average_pct(neg, ["category"], c).withColumnRenamed("rank", f"_{c}")
+    hard = neg.withColumn("hardness", F.col("_predict") + F.col("_similarity") + 0.5 * F.col("conflict")).drop("_predict", "_similarity")
+    ranked = ranks.place_in_group(hard, ["category"], [F.desc(F.round("hardness", 9)), "id1", "id2"])
+    return ranked.where(F.col("_place") <= F.greatest(F.lit(1), F.round(F.col("_size") * share))).drop("_place", "_size")
 
 
 def soft_negatives(df: DataFrame, held: int, share: float, seed: int = 0) -> DataFrame:
-    """(id1, id2, arm): the top share of training negatives of each category by score, and as many by hash as control."""
-    neg = df.where((F.col("fold") != held) & (F.col("target") == 0))
-    w = W.partitionBy("category")
-    ranked = neg.select("id1", "id2", "category", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(F.desc("predict"), "id1", "id2")).alias("k"), F.row_number().over(w.orderBy(seeded(seed, "id1", "id2"), "id1", "id2")).alias("c"))
+    """(id1, id2, category, predict, arm): the top share of training negatives of each category by score (soft), and as many by hash (control).
+
+    A pair can be in both arms.
+    """
+    neg = df.where((F.col("fold") != held) & (F.col("target") == 0)).select("id1", "id2", "category", "predict")
+    ranked = ranks.place_in_group(neg, ["category"], [F.desc("predict"), "id1", "id2"], "k", "n")
+    ranked = ranks.place_in_group(ranked, ["category"], [seeded(seed, "id1", "id2"), "id1", "id2"], "c", "n")
     quota = F.greatest(F.lit(1), F.round(F.col("n") * share))
     arms = F.array_compact(F.array(F.when(F.col("k") <= quota, F.lit("soft")), F.when(F.col("c") <= quota, F.lit("control"))))
-    return ranked.select("id1", "id2", F.explode(arms).alias("arm"))
+    return ranked.select("id1", "id2", "category", "predict", F.explode(arms).alias("arm"))
+
+
+def arm_statistics(arms: DataFrame) -> DataFrame:
+    """(category, n, soft_mean, soft_least, control_mean, control_least, lift, shared): what sets the soft arm of a category apart from its control.
+
+    lift is soft_mean - control_mean; shared counts pairs in both arms.
+    """
+    each = arms.groupBy("category", "id1", "id2").agg(F.max("predict").alias("predict"), F.count_if(F.col("arm") == "soft").alias("s"), F.count_if(F.col("arm") == "control").alias("c"))
+    soft, control = F.when(F.col("s") > 0, F.col("predict")), F.when(F.col("c") > 0, F.col("predict"))
+    out = each.groupBy("category").agg(
+        F.count_if(F.col("s") > 0).alias("n"), F.avg(soft).alias("soft_mean"), F.min(soft).alias("soft_least"), F.avg(control).alias("control_mean"), F.min(control).alias("control_least"),
+        F.count_if((F.col("s") > 0) & (F.col("c") > 0)).alias("shared"),
+    )
+    return out.withColumn("lift", F.col("soft_mean") - F.col("control_mean"))
 
 
 def batch_audit(df: DataFrame, size: int, order: list[str | Column]) -> DataFrame:
     """(category, batches, usable): batches of `size` rows in the order within each fold; usable sums least(positives, negatives)."""
-    at = F.row_number().over(W.partitionBy("fold").orderBy(*order)) - 1
-    each = df.withColumn("batch", F.floor(at / size)).groupBy("fold", "batch", "category").agg(F.sum("target").alias("p"), F.count("*").alias("n"))
+    placed = ranks.place_in_group(df, ["fold"], order)
+    each = placed.withColumn("batch", F.floor((F.col("_place") - 1) / size)).groupBy("fold", "batch", "category").agg(F.sum("target").alias("p"), F.count("*").alias("n"))
     return each.groupBy("category").agg(F.count("*").alias("batches"), F.sum(F.least("p", F.col("n") - F.col("p"))).alias("usable"))
 
 

@@ -18,7 +18,8 @@ def m1(t):
 
 @query("s1_scan_items", "SELECT category, COUNT(*) AS n_items FROM items GROUP BY category")
 def _(t):
-    return t.items.select("id", "category").groupBy("category").agg(F.count("*").alias("n_items"))
+    path = files.write_texts(t.items.select("id", "name", "attributes", "category"), files.scratch(t.spark, "items"))
+    return files.scan_items(t.spark, path, ["id", "category"]).groupBy("category").agg(F.count("*").alias("n_items"))
 
 
 @query("s2_scan_needed_items", """SELECT i.id, i.name, i.category, m.n_missing FROM items i, (SELECT COUNT(*) AS n_missing FROM (SELECT id1 AS id FROM journal UNION SELECT id2 FROM journal) WHERE id NOT IN (SELECT id FROM items)) m
@@ -57,12 +58,12 @@ def results(t):
     return each.groupBy(F.col("model").alias("experiment")).agg(folds.alias("folds"), F.lit(2).alias("fold_spec_version"))
 
 
-@query("s6_scan_results", f"SELECT experiment, COUNT(*) AS folds, {r('AVG(prauc)', 'mean_prauc')} FROM ({RESULTS}) GROUP BY experiment")
+@query("s6_scan_results", f"SELECT experiment, COUNT(*) AS folds, {r('AVG(ap)', 'mean_prauc')} FROM (SELECT model AS experiment, ap FROM {ap_sql('scored', 'model, fold')}) GROUP BY experiment")
 def _(t):
     path = files.scratch(t.spark, "results")
     results(t).write.json(path)
     found = files.explode_metrics(files.scan_results(t.spark, path, 2))
-    return rounded(found.groupBy("experiment").agg(F.count("*").alias("folds"), F.avg(F.round("prauc", 6)).alias("mean_prauc")))
+    return rounded(found.groupBy("experiment").agg(F.count("*").alias("folds"), F.avg("prauc").alias("mean_prauc")))
 
 
 @query("s7_assemble_oof_matrix", """SELECT id1, id2, MAX(CASE WHEN model = 'm1' THEN predict END) AS m1, MAX(CASE WHEN model = 'm2' THEN predict END) AS m2,

@@ -200,9 +200,20 @@ def _(t):
     return rounded(splits.hard_negatives(candidates(t), 1, 0.2).select("id1", "id2", "hardness"))
 
 
-@query("p9_soft_negatives", f"""SELECT id1, id2 FROM (SELECT id1, id2, COUNT(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY m1 DESC, id1, id2) AS k FROM {WIDEF} WHERE fold <> 1 AND target = 0) WHERE k <= greatest(1, round(n * 0.1))""")
+ARMS = f"""arms AS (SELECT id1, id2, category, m1 AS predict, unnest(['soft', 'control']) AS arm, unnest([k, c]) AS place, n FROM (SELECT id1, id2, category, m1, COUNT(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY m1 DESC, id1, id2) AS k,
+row_number() OVER (PARTITION BY category ORDER BY {draw_sql('0', 'id1', 'id2')}, id1, id2) AS c FROM {WIDEF} WHERE fold <> 1 AND target = 0)), arm AS (SELECT * FROM arms WHERE place <= greatest(1, round(n * 0.1)))"""
+
+
+@query("p9_soft_negatives", f"WITH {ARMS} SELECT id1, id2, arm FROM arm")
+def _(t):
+    return splits.soft_negatives(candidates(t), 1, 0.1).select("id1", "id2", "arm")
+
+
+@query("p9_arm_statistics", f"""WITH {ARMS} SELECT s.category, s.n, {r('s.mean', 'soft_mean')}, {r('s.least', 'soft_least')}, {r('c.mean', 'control_mean')}, {r('c.least', 'control_least')}, {r('s.mean - c.mean', 'lift')},
+(SELECT COUNT(*) FROM arm x JOIN arm y ON x.id1 = y.id1 AND x.id2 = y.id2 AND x.arm = 'soft' AND y.arm = 'control' AND x.category = s.category) AS shared
+FROM (SELECT category, COUNT(*) AS n, AVG(predict) AS mean, MIN(predict) AS least FROM arm WHERE arm = 'soft' GROUP BY category) s JOIN (SELECT category, AVG(predict) AS mean, MIN(predict) AS least FROM arm WHERE arm = 'control' GROUP BY category) c ON s.category = c.category""")
 def _(t):
-    return splits.soft_negatives(candidates(t), 1, 0.1).where("arm = 'soft'").select("id1", "id2")
+    return rounded(splits.arm_statistics(splits.soft_negatives(candidates(t), 1, 0.1)))
 
 
 @query("p10_batch_pair_audit", """SELECT category, COUNT(*) AS batches, CAST(SUM(least(p, n - p)) AS BIGINT) AS usable FROM (SELECT fold, floor((k - 1) / 64) AS b, category, SUM(target) AS p, COUNT(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY id2 * 17 % 257, id1, id2) AS k FROM folded) GROUP BY fold, b, category) GROUP BY category""")
@@ -542,6 +553,14 @@ def _(t):
     return rounded(resample.permute_within(wide(t), ["fold", "category"], "m1", 0, F.col("id2") * 37 % 1013).select("id1", "id2", "m1"))
 
 
+@query("r1_degree_stratified_permutation", f"""WITH d AS (SELECT id, COUNT(*) AS d FROM (SELECT id1 AS id FROM pairs UNION ALL SELECT id2 FROM pairs) GROUP BY id),
+b AS (SELECT w.*, least(5, floor(log2(greatest(x.d, y.d)))) AS degree_bin FROM {WIDEF} w JOIN d x ON w.id1 = x.id JOIN d y ON w.id2 = y.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold, category, degree_bin ORDER BY id1, id2) AS a, row_number() OVER (PARTITION BY fold, category, degree_bin ORDER BY {draw_sql('0', 'id1', 'id2')}, id1, id2) AS b FROM b)
+SELECT x.id1, x.id2, CAST(x.degree_bin AS INT) AS degree_bin, {r('y.m1', 'm1')} FROM k x JOIN k y ON x.fold = y.fold AND x.category = y.category AND x.degree_bin = y.degree_bin AND x.a = y.b""")
+def _(t):
+    return rounded(resample.permute_within(resample.with_degree_bin(wide(t)), ["fold", "category", "degree_bin"], "m1", 0).select("id1", "id2", "degree_bin", "m1"))
+
+
 @query("r2_permutation_controls", f"""WITH f AS (SELECT * FROM {WIDEF}), n AS (SELECT unnest(range(20)) AS rep), x AS (SELECT n.rep, f.*, row_number() OVER (PARTITION BY n.rep, fold, category ORDER BY id1, id2) AS k FROM f CROSS JOIN n),
 y AS (SELECT rep, fold, category, m2 AS v, row_number() OVER (PARTITION BY rep, fold, category ORDER BY {draw_sql('0', 'rep', 'id1', 'id2')}, id1, id2) AS k FROM x),
 s AS (SELECT 'real' AS control, -1 AS rep, target, round((m1 + m2) / 2, 8) AS predict FROM f UNION ALL SELECT 'target', -1, target, round((m1 + target) / 2, 8) FROM f UNION ALL SELECT 'permuted', x.rep, x.target, round((x.m1 + y.v) / 2, 8) FROM x JOIN y ON x.rep = y.rep AND x.fold = y.fold AND x.category = y.category AND x.k = y.k),
