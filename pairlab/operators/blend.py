@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +55,9 @@ def simplex(n: int, parts: int = 4) -> list[tuple[float, ...]]:
 def grid_ap(wide: DataFrame, models: list[str], grid: list[tuple[float, ...]]) -> DataFrame:
     """(fold, category, point, ap): every grid point's blend, exploded in the row and reduced to score blocks at once.
 
-    wide: fold, category, target and a column for each model. Scores are rounded to 8 decimals, as prediction files are.
+    wide: fold, category, target and a column for each model.
     """
-    points = F.array(*[F.struct(F.lit(i).alias("point"), F.round(sum((F.col(m) * w for m, w in zip(models, ws) if w), F.lit(0.0)), 8).alias("predict")) for i, ws in enumerate(grid)])
+    points = F.array(*[F.struct(F.lit(i).alias("point"), sum((F.col(m) * w for m, w in zip(models, ws) if w), F.lit(0.0)).alias("predict")) for i, ws in enumerate(grid)])
     rows = wide.select("fold", "category", "target", F.explode(points).alias("p")).select("fold", "category", "target", "p.point", "p.predict")
     return metrics.average_precision(rows, ["fold", "category", "point"]).select("fold", "category", "point", "ap", "n_rows", "positives")
 
@@ -68,13 +68,20 @@ def grid_table(spark: SparkSession, grid: list[tuple[float, ...]]) -> DataFrame:
     return spark.createDataFrame([(i, list(w), sum((x - 1 / n) ** 2 for x in w)) for i, w in enumerate(grid)], "point int, weights array<double>, spread double")
 
 
+#: Mean APs that are no further apart are equal.
+TIE = 1e-12
+
+
 def choose_weights(ap: DataFrame, grid: DataFrame, folds: list[int], by: tuple[str, ...] = ("category",)) -> DataFrame:
-    """(held, by, point, weights): the best mean AP over the other folds; ties within 1e-9 go to the weights nearest equal ones."""
+    """(held, by, point, weights): the best mean AP over the other folds; ties within 1e-12 go to the weights nearest equal ones."""
     held = F.explode(F.array(*[F.lit(f) for f in folds])).alias("held")
     rows = ap.where("ap is not null").select("*", held).where("fold <> held")
-    mean = rows.groupBy("held", *by, "point").agg(F.round(F.avg("ap"), 9).alias("ap")).join(F.broadcast(grid), "point")
-    best = mean.groupBy("held", *by).agg(F.max_by(F.struct("point", "weights"), F.struct("ap", -F.col("spread"), -F.col("point"))).alias("b"))
-    return best.select("held", *by, "b.point", "b.weights")
+    mean = rows.groupBy("held", *by, "point").agg(F.avg("ap").alias("ap")).join(F.broadcast(grid), "point")
+    points = F.collect_list(F.struct("ap", "spread", "point", "weights"))  # as many as the grid has
+    best = mean.groupBy("held", *by).agg(F.max("ap").alias("most"), points.alias("points"))
+    near = F.filter("points", lambda x: x["ap"] >= F.col("most") - TIE)
+    first = F.array_min(F.transform(near, lambda x: F.struct(x["spread"].alias("spread"), x["point"].alias("point"), x["weights"].alias("weights"))))
+    return best.select("held", *by, first.alias("b")).select("held", *by, "b.point", "b.weights")
 
 
 def nested_blend(wide: DataFrame, models: list[str], chosen: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -148,26 +155,77 @@ def stack_inputs(wide: DataFrame, models: list[str], transform: str, eps: float
 def fit_stack(wide: DataFrame, models: list[str], folds: list[int], c: float = 1.0, eps: float = 1e-6, transform: str = "logit") -> tuple[DataFrame, list[tuple]]:
     """Leave-one-fold-out logistic stack: (rows with predict, [(held, intercept, coefficients)]); the last fit, of held None, saw all folds.
 
-    regParam 1/(C n) without standardisation is the usual C; the intercept is not penalised.
+    Penalty 1/C on half the squared coefficients, none on the intercept. All fits take their Newton steps together:
+    a pass over the rows gives the loss, slopes and curvatures of each as sums over the folds it may see. A fit
+    without both labels is left out.
     """
     base = ["id1", "id2", "fold", "category", "target"]
-    rows = VectorAssembler(inputCols=[f"x_{m}" for m in models], outputCol="x").transform(stack_inputs(wide, models, transform, eps))
-    rows = rows.withColumn("label", F.col("target").cast("double")).select(*base, "x", "label").persist()
-    out, coefficients = None, []
-    for f in [*folds, None]:
-        train = rows if f is None else rows.where(F.col("fold") != f)
-        n, kinds = train.agg(F.count("*"), F.count_distinct("label")).first()
-        if kinds < 2:
-            continue
-        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1 / (c * n), standardization=False, maxIter=200, tol=1e-10).fit(train)
-        coefficients.append((f, float(model.intercept), [float(x) for x in model.coefficients]))
+    x = [f"x_{m}" for m in models]
+    rows = stack_inputs(wide, models, transform, eps).select(*base, *x).persist()
+    counts = {r.fold: (r.n, r.t) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("target").alias("t")).collect()}
+    seen = {f: [sum(v[i] for k, v in counts.items() if k != f or f is None) for i in (0, 1)] for f in [*folds, None]}
+    fits = {f: np.zeros(len(x) + 1) for f, (n, t) in seen.items() if 0 < t < n}
+    fits = newton_fits(rows, x, fits, {f: seen[f][0] for f in fits}, 1 / c) if fits else {}
+    rows.unpersist()
+    coefficients = [(f, float(w[0]), [float(v) for v in w[1:]]) for f, w in fits.items()]
+    out = None
+    for f, intercept, cs in coefficients:
         if f is not None:
-            part = model.transform(rows.where(F.col("fold") == f)).select(*base, vector_to_array("probability")[1].alias("predict"))
+            part = rows.where(F.col("fold") == f).select(*base, sigmoid(sum((k * F.col(v) for k, v in zip(cs, x)), F.lit(intercept))).alias("predict"))
             out = part if out is None else out.unionByName(part)
-    rows.unpersist()
     return out if out is not None else rows.select(*base, F.lit(None).cast("double").alias("predict")).limit(0), coefficients
 
 
+def newton_fits(rows: DataFrame, x: list[str], fits: dict, n: dict, penalty: float, steps: int = 100, tolerance: float = 1e-11) -> dict:
+    """Coefficients (intercept first) of each fit, from rows of other folds than its own; n: rows of each. Steps that raise the loss are halved."""
+    terms, pairs = [F.lit(1.0), *[F.col(c) for c in x]], [(i, j) for i in range(len(x) + 1) for j in range(i, len(x) + 1)]
+    weight = np.array([0.0] + [penalty] * len(x))
+    now, best, going = dict(fits), {f: (np.inf, w) for f, w in fits.items()}, list(fits)
+    for _ in range(steps):
+        sums = []
+        for k, f in enumerate(going):
+            z = sum((float(w) * t for w, t in zip(now[f][1:], terms[1:])), F.lit(float(now[f][0])))
+            p, y = sigmoid(z), F.col("target")
+            mine = F.lit(True) if f is None else F.col("fold") != f
+            each = [F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z, *[(p - y) * t for t in terms], *[p * (1 - p) * terms[i] * terms[j] for i, j in pairs]]
+            sums += [F.sum(F.when(mine, v)).alias(f"s{k}_{i}") for i, v in enumerate(each)]
+        got, left = rows.agg(*sums).first(), []
+        for k, f in enumerate(going):
+            w = now[f]
+            loss = got[f"s{k}_0"] + 0.5 * float(weight @ w**2)
+            if loss > best[f][0] * (1 + 1e-13):
+                now[f] = (w + best[f][1]) / 2
+                left.append(f)
+                continue
+            best[f] = (loss, w)
+            slope = np.array([got[f"s{k}_{1 + i}"] for i in range(len(terms))]) + weight * w
+            curve = np.diag(weight)
+            for m, (i, j) in enumerate(pairs):
+                v = got[f"s{k}_{1 + len(terms) + m}"]
+                curve[i, j] += v
+                curve[j, i] += v if i != j else 0
+            if np.abs(slope).max() > tolerance * n[f]:
+                now[f] = w - np.linalg.solve(curve + 1e-12 * np.eye(len(terms)), slope)
+                left.append(f)
+        going = left
+        if not going:
+            break
+    return {f: w for f, (_, w) in best.items()}
+
+
+def stack_slopes(wide: DataFrame, models: list[str], coefficients: list[tuple], c: float = 1.0, eps: float = 1e-6, transform: str = "logit") -> DataFrame:
+    """(held, steepest): the largest slope, for each row seen, of the penalised loss at a fit's coefficients; 0 at its minimum. held is null for the fit of all folds."""
+    out = None
+    for f, intercept, cs in coefficients:
+        rows = apply_stack(wide, models, intercept, cs, eps, transform).drop("target").join(stack_inputs(wide, models, transform, eps).select("id1", "id2", "target", *[f"x_{m}" for m in models]), ["id1", "id2"])
+        rows = rows if f is None else rows.where(F.col("fold") != f)
+        off = F.col("predict") - F.col("target")
+        slopes = [F.sum(off), *[F.sum(off * F.col(f"x_{m}")) + k / c for m, k in zip(models, cs)]]
+        part = rows.agg((F.greatest(*[F.abs(v) for v in slopes]) / F.count("*")).alias("steepest")).select(F.lit(f).cast("int").alias("held"), "steepest")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def weight_stability(spark: SparkSession, models: list[str], coefficients: list[tuple]) -> DataFrame:
     """(model, mean, std, share, final): a model's coefficient over the held-out fits, its part of their sum, and that of the fit on all folds."""
     held = [c for f, _, c in coefficients if f is not None]
@@ -223,16 +281,48 @@ def fill_default(scores: DataFrame, pairs: DataFrame, value: float = 0.5) -> Dat
     return pairs.select("id1", "id2").join(scores.select("id1", "id2", "predict"), ["id1", "id2"], "left").select("id1", "id2", F.coalesce("predict", F.lit(value)).alias("predict"))
 
 
-def isotonic_by_fold(df: DataFrame, folds: list[int]) -> DataFrame:
-    """df plus calibrated: the isotonic map of the fold's own scores to labels, clipped to 0.001 and 0.999."""
-    rows = df.withColumn("label", F.col("target").cast("double"))
-    out = None
-    for f in folds:
-        part = rows.where(F.col("fold") == f)
-        model = IsotonicRegression(featuresCol="predict", labelCol="label", predictionCol="calibrated").fit(part)
-        got = model.transform(part).drop("label")
-        out = got if out is None else out.unionByName(got)
-    return out.withColumn("calibrated", F.least(F.greatest("calibrated", F.lit(0.001)), F.lit(0.999)))
+def pooled(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The block of each of a row of (sum, count): adjacent blocks whose means do not rise are pooled."""
+    heads, sums, counts = [], [], []
+    for i, (t, n) in enumerate(zip(total.tolist(), count.tolist())):
+        heads.append(i)
+        sums.append(t)
+        counts.append(n)
+        while len(sums) > 1 and sums[-2] * counts[-1] >= sums[-1] * counts[-2]:
+            t, n, _ = sums.pop(), counts.pop(), heads.pop()
+            sums[-1] += t
+            counts[-1] += n
+    return np.repeat(np.arange(len(heads)), np.diff([*heads, len(total)]))
+
+
+def isotonic_by_fold(df: DataFrame, low: float = 0.001, high: float = 0.999) -> DataFrame:
+    """df plus calibrated: the isotonic map of the fold's own scores to labels, clipped to low and high.
+
+    Equal scores are one block from the start. Adjacent violators are pooled within each range of the score
+    (metrics.score_range), all folds at once; a second pass pools the blocks that ranges have left, one row each. A
+    pooled block stays pooled whatever comes beside it, so the result is that of one pass over all scores. A null or
+    NaN score has no place in the order and gives null.
+    """
+    known = F.col("predict").isNotNull() & ~F.isnan("predict")
+    blocks = df.where(known).groupBy("fold", "predict").agg(F.sum("target").cast("double").alias("t"), F.count("*").alias("n"))
+    ranged = blocks.withColumn("part", metrics.score_range(F.col("predict")))
+
+    def within(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("predict", kind="stable")
+        return t.assign(block=pooled(t.t.to_numpy(), t.n.to_numpy()))
+
+    def across(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["part", "block"], kind="stable")
+        t["into"] = pooled(t.t.to_numpy(), t.n.to_numpy())
+        sums = t.groupby("into")[["t", "n"]].transform("sum")
+        return t[["fold", "part", "block"]].assign(calibrated=sums.t / sums.n)
+
+    kind = df.schema["fold"].dataType.simpleString()
+    placed = checkpointed(ranged.groupBy("fold", "part").applyInPandas(within, f"fold {kind}, predict double, t double, n long, part int, block long"))
+    left = placed.groupBy("fold", "part", "block").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    value = left.groupBy("fold").applyInPandas(across, f"fold {kind}, part int, block long, calibrated double")
+    mapped = placed.join(value, ["fold", "part", "block"]).select("fold", "predict", F.least(F.greatest("calibrated", F.lit(low)), F.lit(high)).alias("calibrated"))
+    return df.join(mapped, ["fold", "predict"], "left").select(*df.columns, "calibrated")
 
 
 def train_oof(features: DataFrame, columns: list[str], folds: list[int], weight: str | None = None, rounds: int = 15, depth: int = 4) -> tuple[DataFrame, DataFrame]:

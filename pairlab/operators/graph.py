@@ -39,6 +39,49 @@ def contradictions(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return on_edges(pairs.where("target = 0"), comp).where("c1 = c2").select("id1", "id2", F.col("c1").alias("component"))
 
 
+def clean_components(pairs: DataFrame, comp: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """(component, size): positive components without a negative edge or a rejected pair inside."""
+    bad = contradictions(pairs, comp).select("component")
+    if rejected is not None:
+        bad = bad.unionByName(on_edges(rejected.select("id1", "id2"), comp).where("c1 = c2").select(F.col("c1").alias("component")))
+    return comp.groupBy("component").agg(F.count("*").alias("size")).join(bad.distinct(), "component", "left_anti")
+
+
+def closure_classes(pairs: DataFrame, rejected: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The closure without its pairs: (members, classes, links).
+
+    members (id, component): a row for each item of a clean positive component. classes (component, fold, size,
+    labelled, derived): derived is the number of pairs of a class that closure_pairs would give as positives.
+    links (c1, c2, fold, labelled, derived): classes between which a negative edge stands, c1 < c2, and the
+    negatives it would give. A class is a row whatever its size, a link is one whatever the sizes at its ends;
+    pairs_of lists the pairs of those that are wanted. Items of a class or link in different folds would be a
+    leak, so that raises.
+    """
+    comp = checkpointed(positive_components(pairs))
+    clean = clean_components(pairs, comp, rejected)
+    members = comp.join(clean.select("component"), "component").select("id", "component")
+    folds = pairs.select(F.explode(F.array("id1", "id2")).alias("id"), "fold").distinct()
+    at = members.join(folds, "id").groupBy("component").agg(F.min("fold").alias("fold"), F.max("fold").alias("other"))
+    leak = F.raise_error("a derived pair crosses folds").cast("boolean")
+    edges = on_edges(pairs.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "target"), comp)
+    edges = edges.where("id1 <> id2").groupBy("id1", "id2").agg(F.least(F.min("c1"), F.min("c2")).alias("c1"), F.greatest(F.min("c1"), F.min("c2")).alias("c2"), F.count_if(F.col("target") == 0).alias("negative"))
+    between = edges.groupBy("c1", "c2").agg(F.count("*").alias("labelled"), F.sum("negative").alias("negative"))
+    inside = between.where("c1 = c2").select(F.col("c1").alias("component"), "labelled")
+    classes = clean.join(at, "component").where(F.when((F.col("size") >= 3) & (F.col("fold") != F.col("other")), leak).otherwise(True)).join(inside, "component", "left")
+    labelled = F.coalesce("labelled", F.lit(0))
+    classes = checkpointed(classes.select("component", "fold", "size", labelled.alias("labelled"), F.when(F.col("size") >= 3, F.expr("size * (size - 1) div 2") - labelled).otherwise(0).cast("bigint").alias("derived")))
+    one, two = (classes.select(F.col("component").alias(f"c{s}"), F.col("size").alias(f"n{s}"), F.col("fold").alias(f"f{s}")) for s in "12")
+    links = between.where("c1 <> c2 and negative > 0").join(one, "c1").join(two, "c2").where(F.when(F.col("f1") != F.col("f2"), leak).otherwise(True))
+    return members, classes, links.select("c1", "c2", F.col("f1").alias("fold"), "labelled", (F.col("n1") * F.col("n2") - F.col("labelled")).alias("derived"))
+
+
+def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id1, id2, c1, c2): the item pairs of wanted links (c1, c2; a class with itself for its own pairs), id1 < id2, labelled ones among them."""
+    one, two = (members.select(F.col("id").alias(f"id{s}"), F.col("component").alias(f"c{s}")) for s in "12")
+    pairs = links.select("c1", "c2").distinct().join(one, "c1").join(two, "c2").where("c1 <> c2 or id1 < id2")
+    return pairs.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "c1", "c2")
+
+
 def closure_pairs(pairs: DataFrame, rejected: DataFrame | None = None, max_size: int | None = None) -> DataFrame:
     """(id1, id2, target, fold): derived pairs.
 
@@ -49,11 +92,7 @@ def closure_pairs(pairs: DataFrame, rejected: DataFrame | None = None, max_size:
     component raises.
     """
     comp = checkpointed(positive_components(pairs))
-    bad = contradictions(pairs, comp).select("component")
-    if rejected is not None:
-        bad = bad.unionByName(on_edges(rejected.select("id1", "id2"), comp).where("c1 = c2").select(F.col("c1").alias("component")))
-    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-    clean = sizes.join(bad.distinct(), "component", "left_anti")
+    clean = clean_components(pairs, comp, rejected)
     if max_size is not None and (most := clean.agg(F.max("size")).first()[0] or 0) > max_size:
         raise ValueError(f"a component has {most} items, more than {max_size}")
     folds = pairs.select(F.explode(F.array("id1", "id2")).alias("id"), "fold").groupBy("id").agg(F.min("fold").alias("fold"))
@@ -71,28 +110,37 @@ def closure_pairs(pairs: DataFrame, rejected: DataFrame | None = None, max_size:
 def shortest_chains(pairs: DataFrame, derived: DataFrame, max_steps: int = 30) -> DataFrame:
     """(id1, id2, path, steps): the shortest path over positive edges for each derived pair; of equal ones the smallest.
 
-    Searches go level by level; a level keeps one path for each (source, node), so it is bounded by the sources
-    times the items of their components. Pairs without a path are absent; a search still open after max_steps raises.
+    Searches go from both ends in turn and meet in the middle, so a frontier goes half as far. It keeps one path, the
+    smallest, for each (end, node), and only for ends of pairs that are still open. Pairs without a path are absent; a
+    search still open after max_steps raises.
     """
     edges = pairs.where("target = 1").select("id1", "id2")
     edges = checkpointed(edges.union(edges.select(F.col("id2"), F.col("id1"))).toDF("a", "b").distinct())
-    wanted = checkpointed(derived.select("id1", "id2").distinct())
-    frontier = wanted.select(F.col("id1").alias("source")).distinct().withColumns({"node": F.col("source"), "path": F.array("source")})
-    seen, found = frontier.select("source", "node"), None
-    for _ in range(max_steps):
-        step = frontier.join(edges, frontier.node == edges.a).select("source", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        step = step.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti")
-        frontier = checkpointed(step)
-        if frontier.isEmpty():
+    open_ = checkpointed(derived.select("id1", "id2").distinct())
+    ends = {side: open_.select(F.col(side).alias("end")).distinct().withColumns({"node": F.col("end"), "path": F.array("end")}) for side in ("id1", "id2")}
+    seen = {side: x.select("end", "node") for side, x in ends.items()}
+    found = None
+    for step in range(max_steps):
+        side = ("id1", "id2")[step % 2]
+        near = ends[side].join(open_.select(F.col(side).alias("end")).distinct(), "end", "left_semi")
+        longer = F.concat("path", F.array("b")) if side == "id1" else F.concat(F.array("b"), F.col("path"))
+        far = near.join(edges, near.node == edges.a).select("end", F.col("b").alias("node"), longer.alias("path"))
+        ends[side] = checkpointed(far.groupBy("end", "node").agg(F.min("path").alias("path")).join(seen[side], ["end", "node"], "left_anti"))
+        if ends[side].isEmpty():
             break
-        seen = checkpointed(seen.union(frontier.select("source", "node")))
-        hit = frontier.join(wanted, (F.col("source") == F.col("id1")) & (F.col("node") == F.col("id2"))).select("id1", "id2", "path")
+        seen[side] = checkpointed(seen[side].union(ends[side].select("end", "node")))
+        one, two = (ends[s].select(F.col("end").alias(s), "node", F.col("path").alias(f"p{s}")) for s in ("id1", "id2"))
+        met = open_.join(one, "id1").join(two, ["id2", "node"]).select("id1", "id2", F.concat("pid1", F.slice("pid2", F.lit(2), F.size("pid2"))).alias("path"))
+        hit = checkpointed(met.groupBy("id1", "id2").agg(F.min("path").alias("path")))
         found = hit if found is None else found.union(hit)
+        open_ = checkpointed(open_.join(hit, ["id1", "id2"], "left_anti"))
+        if open_.isEmpty():
+            break
     else:
-        if not wanted.join(found.select("id1", "id2"), ["id1", "id2"], "left_anti").isEmpty():
+        if not open_.isEmpty():
             raise ValueError(f"a chain may be longer than {max_steps} steps")
     if found is None:
-        found = wanted.select("id1", "id2", F.array("id1").alias("path")).limit(0)
+        found = open_.select("id1", "id2", F.array("id1").alias("path")).limit(0)
     return found.withColumn("steps", (F.size("path") - 1).cast("bigint"))
 
 

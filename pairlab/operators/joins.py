@@ -6,24 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators import ranks
+from pairlab.operators.components import checkpointed
 from pairlab.operators.contracts import item_ids, unique
 
 
+#: Ids of items that are sent to all tasks at most, some 16 bytes each; more of them meet the items by a shuffle.
+SENT_IDS = 4_000_000
+
+
 def attach_items(pairs: DataFrame, items: DataFrame, cols: list[str], drop_missing: bool = False, known_unique: bool = False) -> DataFrame:
-    """pairs plus each of cols with suffix 1 and 2; a missing item gives nulls. An id of several items fails, as pairs would multiply.
+    """pairs plus each of cols with suffix 1 and 2; a missing item gives nulls. A named id of several items fails, as pairs would multiply.
 
+    Only items that pairs name go on, and where columns are computed from an item they are computed for those alone.
     known_unique leaves the check out, for items that are grouped by id already.
     """
-    items = items if known_unique else unique(items.select("id", *cols), ["id"])
+    items = needed_items(items.select("id", *cols), pairs)
+    items = items if known_unique else once(items)
     out, how = pairs, "inner" if drop_missing else "left"
     for side in ("1", "2"):
         out = out.join(items.select(F.col("id").alias(f"id{side}"), *[F.col(c).alias(f"{c}{side}") for c in cols]), f"id{side}", how)
     return out
 
 
-def needed_items(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The items that some pair names."""
-    return items.join(item_ids(pairs), "id", "left_semi")
+def needed_items(items: DataFrame, pairs: DataFrame, sent: int = SENT_IDS) -> DataFrame:
+    """The items that some pair names. Up to `sent` ids go to the items, which then stay where they are."""
+    return semi_join(items, checkpointed(item_ids(pairs)), sent)
+
+
+def semi_join(items: DataFrame, ids: DataFrame, sent: int = SENT_IDS) -> DataFrame:
+    """The items of the given ids, a table that is counted first."""
+    return items.join(F.broadcast(ids) if ids.count() <= sent else ids, "id", "left_semi")
+
+
+def once(items: DataFrame) -> DataFrame:
+    """items as they are; the job fails if two have one id. The count is of ids alone; rows are not grouped."""
+    counts = items.groupBy("id").agg(F.count("*").alias("rows of an id"))
+    message = F.concat(F.lit("repeated id: "), F.col("id").cast("string"))
+    ok = F.when(F.col("rows of an id") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return items.join(counts, "id").where(ok).drop("rows of an id")
 
 
 def join_scores(df: DataFrame, scores: DataFrame) -> DataFrame:

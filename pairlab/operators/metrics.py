@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairlab.operators import ranks
+from pairlab.operators.components import checkpointed
 
 
 def score_blocks(df: DataFrame, by: list[str], score: str = "predict", weight: str | None = None) -> DataFrame:
@@ -82,6 +83,29 @@ def score_report(scored: DataFrame) -> DataFrame:
     return ap_of_blocks(blocks.withColumn("level", level).drop("gf", "gc"), ["model", "level", "fold", "category"])
 
 
+def fold_report(report: DataFrame) -> DataFrame:
+    """(model, fold, n_rows, positives, ap, macro_ap, skipped) from score_report's rows: AP of each fold and its mean over categories with both classes."""
+    cells = report.where("level = 'cell'").withColumn("two", (F.col("positives") > 0) & (F.col("positives") < F.col("n_rows")))
+    macro = cells.groupBy("model", "fold").agg(F.avg(F.when(F.col("two"), F.col("ap"))).alias("macro_ap"), F.count_if(~F.col("two")).alias("skipped"))
+    return report.where("level = 'fold'").join(macro, ["model", "fold"]).select("model", "fold", "n_rows", "positives", "ap", "macro_ap", "skipped")
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """(model, mean_fold, min_fold, pooled, pooled_macro, skipped, worst_category, worst_ap) from score_report's rows.
+
+    The pooled macro is the mean over categories of both classes, all folds together; the worst category is the
+    least of those, of equal ones the first by name.
+    """
+    two = (F.col("level") == "category") & (F.col("positives") > 0) & (F.col("positives") < F.col("n_rows"))
+    fold, kept = F.when(F.col("level") == "fold", F.col("ap")), F.when(two, F.col("ap"))
+    worst = F.min(F.when(two, F.struct("ap", "category")))
+    out = report.groupBy("model").agg(
+        F.avg(fold).alias("mean_fold"), F.min(fold).alias("min_fold"), F.max(F.when(F.col("level") == "pooled", F.col("ap"))).alias("pooled"), F.avg(kept).alias("pooled_macro"),
+        F.count_if((F.col("level") == "category") & ~two).alias("skipped"), worst.alias("worst"),
+    )
+    return out.select("model", "mean_fold", "min_fold", "pooled", "pooled_macro", "skipped", F.col("worst.category").alias("worst_category"), F.col("worst.ap").alias("worst_ap"))
+
+
 def leaderboard(reports: DataFrame) -> DataFrame:
     """reports (model, mean_ap, macro_ap, public): rank by mean_ap, public rank among those with a public score, and the difference."""
     by = W.orderBy(F.desc("mean_ap"), "model")
@@ -94,11 +118,12 @@ def top_n(board: DataFrame, n: int = 5, metric: str = "mean_ap") -> DataFrame:
     return board.orderBy(F.desc(metric), "model").limit(n)
 
 
-def fold_summary(pairs: DataFrame) -> DataFrame:
-    """(fold, n_pairs, positives, rate, items): exact distinct items of each fold."""
+def fold_summary(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """(fold, n_pairs, positives, rate, items, components): exact distinct items of each fold, and components of those; comp (id, component)."""
     base = pairs.groupBy("fold").agg(F.count("*").alias("n_pairs"), F.sum("target").alias("positives"), F.avg("target").alias("rate"))
-    items = pairs.select("fold", F.explode(F.array("id1", "id2")).alias("id")).distinct().groupBy("fold").agg(F.count("*").alias("items"))
-    return base.join(items, "fold")
+    items = pairs.select("fold", F.explode(F.array("id1", "id2")).alias("id")).distinct().join(comp, "id", "left")
+    each = items.groupBy("fold", "component").agg(F.count("*").alias("n")).groupBy("fold").agg(F.sum("n").alias("items"), F.count("component").alias("components"))
+    return base.join(each, "fold")
 
 
 def confusion_at(df: DataFrame, threshold: float, by: list[str]) -> DataFrame:
@@ -130,11 +155,12 @@ def slice_metrics(df: DataFrame, slices: dict[str, Column], by: list[str]) -> Da
 
 
 def distribution(df: DataFrame, by: list[str], col: str = "predict") -> DataFrame:
-    """(by, mean, mean0, mean1, std, q01, q50, q99)."""
+    """(by, mean, mean0, mean1, std, q01, q50, q99). Quantiles are exact and come from counts of equal values."""
     c, t = F.col(col), F.col("target")
-    q = F.percentile(col, [0.01, 0.5, 0.99])
-    out = df.groupBy(*by).agg(F.avg(c).alias("mean"), F.avg(F.when(t == 0, c)).alias("mean0"), F.avg(F.when(t == 1, c)).alias("mean1"), F.stddev_pop(c).alias("std"), q.alias("q"))
-    return out.select(*by, "mean", "mean0", "mean1", "std", *[F.col("q")[i].alias(k) for i, k in enumerate(("q01", "q50", "q99"))])
+    out = df.groupBy(*by).agg(F.avg(c).alias("mean"), F.avg(F.when(t == 0, c)).alias("mean0"), F.avg(F.when(t == 1, c)).alias("mean1"), F.stddev_pop(c).alias("std"))
+    counts = df.where(c.isNotNull()).groupBy(*by, col).agg(F.count("*").alias("many"))
+    q = ranks.quantiles_of_counts(counts, by, col, "many", {"q01": 0.01, "q50": 0.5, "q99": 0.99})
+    return ranks.meet(out, q, by).select(*by, "mean", "mean0", "mean1", "std", "q01", "q50", "q99")
 
 
 def ranking_change(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -157,9 +183,10 @@ def pivot_deltas(each: DataFrame, base: str, variants: list[str]) -> DataFrame:
 
 
 def gate_decision(deltas: DataFrame, pooled: DataFrame, least: float = 0.001) -> DataFrame:
-    """(variant, min_fold_delta, pooled_delta, go): every fold above 0 and the pooled delta above least."""
+    """(variant, min_fold_delta, pooled_delta, go, go_every_fold): go asks every fold above 0 and the pooled delta above least; the variant every fold above least."""
     folds = deltas.groupBy("variant").agg(F.min("delta").alias("min_fold_delta"))
-    return folds.join(pooled.select("variant", F.col("delta").alias("pooled_delta")), "variant").withColumn("go", (F.col("min_fold_delta") > 0) & (F.col("pooled_delta") > least))
+    gate = folds.join(pooled.select("variant", F.col("delta").alias("pooled_delta")), "variant")
+    return gate.withColumns({"go": (F.col("min_fold_delta") > 0) & (F.col("pooled_delta") > least), "go_every_fold": F.col("min_fold_delta") > least})
 
 
 def split_compare(long: DataFrame) -> DataFrame:
@@ -214,12 +241,17 @@ def seed_noise(scores: DataFrame) -> DataFrame:
 
 
 def submission_board(subs: DataFrame, categories: DataFrame) -> DataFrame:
-    """(category, best, runner_up, delta, top_gain): per-category scores of the best and second submission.
+    """(category, latest, best, runner_up, delta, top_gain): per-category scores of the latest, the best and the second submission.
 
-    subs (submission, created_at, public), categories (submission, category, ap); top_gain: among the four largest deltas.
+    subs (submission, status, created_at, public), categories (submission, category, ap). Only submissions that
+    succeeded and have a score count. top_gain: among the four largest deltas of best over runner-up.
     """
-    place = subs.select("submission", F.row_number().over(W.orderBy(F.desc("public"), "submission")).alias("place")).where("place <= 2")
-    both = categories.join(F.broadcast(place), "submission").groupBy("category").agg(F.max(F.when(F.col("place") == 1, F.col("ap"))).alias("best"), F.max(F.when(F.col("place") == 2, F.col("ap"))).alias("runner_up"))
+    scored = subs.where((F.col("status") == "success") & F.col("public").isNotNull())
+    newest = scored.agg(F.max_by("submission", F.struct("created_at", "submission")).alias("submission")).withColumn("is_latest", F.lit(True))  # one row
+    best = scored.orderBy(F.desc("public"), "submission").limit(2)
+    place = best.select("submission", F.row_number().over(W.orderBy(F.desc("public"), "submission")).alias("place"))  # two rows
+    named = place.join(newest, "submission", "full_outer")
+    both = categories.join(F.broadcast(named), "submission").groupBy("category").agg(F.max(F.when(F.col("is_latest"), F.col("ap"))).alias("latest"), F.max(F.when(F.col("place") == 1, F.col("ap"))).alias("best"), F.max(F.when(F.col("place") == 2, F.col("ap"))).alias("runner_up"))
     both = both.withColumn("delta", F.col("best") - F.col("runner_up"))
     return both.withColumn("top_gain", F.row_number().over(W.orderBy(F.desc_nulls_last("delta"), "category")) <= 4)
 
@@ -229,21 +261,31 @@ def prior_from_constant(df: DataFrame, by: list[str]) -> DataFrame:
     return average_precision(df.withColumn("predict", F.lit(0.5)), by)
 
 
-def variant_report(scored: DataFrame, base: str) -> DataFrame:
-    """(variant, mean_ap, mean_macro, mean_delta, std_delta, same_sign, worst_category, worst_delta) against a named variant.
+def variant_report(scored: DataFrame, base: str, least: float = 0.001) -> DataFrame:
+    """(variant, mean_ap, mean_macro, mean_delta, std_delta, same_sign, worst_category, worst_delta, pooled_delta, go) against a named variant.
 
-    scored: model, fold, category, target, predict.
+    scored: model, fold, category, target, predict. All of it comes from one score_report; go is gate_decision's.
     """
-    pooled = average_precision(scored, ["model", "fold"]).select("model", "fold", "ap")
-    macro = macro_ap(scored, ["model", "fold"]).select("model", "fold", "macro_ap")
-    folds = pooled.join(macro, ["model", "fold"])
+    report = checkpointed(score_report(scored))
+    folds = fold_report(report)
     mine = folds.where(F.col("model") == base).select("fold", F.col("ap").alias("base_ap"))
     d = F.col("ap") - F.col("base_ap")
-    out = folds.join(mine, "fold").groupBy(F.col("model").alias("variant")).agg(F.avg("ap").alias("mean_ap"), F.avg("macro_ap").alias("mean_macro"), F.avg(d).alias("mean_delta"), F.stddev_pop(d).alias("std_delta"), ((F.min(d) > 0) | (F.max(d) < 0)).alias("same_sign"))
-    cat = average_precision(scored, ["model", "category"]).select("model", "category", "ap")
+    each = folds.join(mine, "fold").select(F.col("model").alias("variant"), "ap", "macro_ap", d.alias("delta"))
+    out = each.groupBy("variant").agg(F.avg("ap").alias("mean_ap"), F.avg("macro_ap").alias("mean_macro"), F.avg("delta").alias("mean_delta"), F.stddev_pop("delta").alias("std_delta"), ((F.min("delta") > 0) | (F.max("delta") < 0)).alias("same_sign"))
+    cat = report.where("level = 'category'").select("model", "category", "ap")
     base_cat = cat.where(F.col("model") == base).select("category", F.col("ap").alias("base_ap"))
     worst = cat.join(base_cat, "category").groupBy(F.col("model").alias("variant")).agg(F.min_by("category", F.struct(d, "category")).alias("worst_category"), F.min(d).alias("worst_delta"))
-    return out.join(worst, "variant")
+    pooled = report.where("level = 'pooled'").select(F.col("model").alias("variant"), "ap")
+    pooled = pooled.join(F.broadcast(pooled.where(F.col("variant") == base).select(F.col("ap").alias("base_ap"))), F.lit(True)).select("variant", d.alias("delta"))  # one row
+    gate = gate_decision(each, pooled, least).select("variant", "pooled_delta", "go")
+    return out.join(worst, "variant").join(gate, "variant")
+
+
+def variant_category_deltas(scored: DataFrame, base: str) -> DataFrame:
+    """(variant, fold, category, ap, delta): AP of each variant in each fold and category, and how far it is from the named one's; null without positives."""
+    cells = score_report(scored).where("level = 'cell'").select("model", "fold", "category", "ap")
+    mine = cells.where(F.col("model") == base).select("fold", "category", F.col("ap").alias("base_ap"))
+    return cells.where(F.col("model") != base).join(mine, ["fold", "category"]).select(F.col("model").alias("variant"), "fold", "category", "ap", (F.col("ap") - F.col("base_ap")).alias("delta"))
 
 
 def factorial_effects(each: DataFrame, names: tuple[str, str, str, str]) -> DataFrame:

@@ -30,7 +30,7 @@ def _columns(order: list[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows plus the other columns of table by keys, null meeting null."""
     other = table.withColumnsRenamed({k: f"{k} of the table" for k in keys})
     on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"`{k} of the table`")) for k in keys])
@@ -59,8 +59,8 @@ def place_in_group(df: DataFrame, by: list[str], order: list[str | Column], plac
     ranged = df.repartitionByRange(*keys, *_columns(order)).sortWithinPartitions(*keys, *_columns(order)).withColumn("_part", F.spark_partition_id())
     ranged = checkpointed(ranged.withColumn(spare, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))  # both passes must see one partitioning
     first = ranged.groupBy("_part", *by).agg(F.min(spare).alias("_first"))
-    cells = _meet(_cells(ranged, by, {"_n": F.count("*")}), first, ["_part", *by])
-    out = _meet(ranged, cells, ["_part", *by])
+    cells = meet(_cells(ranged, by, {"_n": F.count("*")}), first, ["_part", *by])
+    out = meet(ranged, cells, ["_part", *by])
     return out.withColumns({place: F.col("_n_above") + F.col(spare) - F.col("_first") + 1, size: F.col("_n_all")}).drop("_part", spare, "_first", "_n_above", "_n_all")
 
 
@@ -73,7 +73,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[str | Column], sums:
     ranged = checkpointed(df.withColumns({f"_{k}": x for k, x in sums.items()}).repartitionByRange(*keys, *_columns(order)).withColumn("_part", F.spark_partition_id()))
     cells = _cells(ranged, by, {k: F.sum(f"_{k}") for k in sums})
     earlier = W.partitionBy("_part", *by).orderBy(*_columns(order)).rowsBetween(W.unboundedPreceding, -1)
-    out = _meet(ranged.withColumns({f"{k}_here": F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)) for k in sums}), cells, ["_part", *by])
+    out = meet(ranged.withColumns({f"{k}_here": F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)) for k in sums}), cells, ["_part", *by])
     return out.withColumns({f"{k}_before": F.col(f"{k}_here") + F.col(f"{k}_above") for k in sums}).drop("_part", *[x for k in sums for x in (f"_{k}", f"{k}_here", f"{k}_above")])
 
 
@@ -86,7 +86,7 @@ def rank_average_pct(df: DataFrame, by: list[str], col: str = "predict") -> Data
     """Average rank of equal values over n within by. Equal values are one row while ranks are summed."""
     blocks = running_sums(df.groupBy(*by, col).agg(F.count("*").alias("_many")), by, [col], {"_n": F.col("_many")})
     blocks = blocks.select(*by, col, ((F.col("_n_before") + (F.col("_many") + 1) / 2) / F.col("_n_all")).alias("rank"))
-    return _meet(df.drop("rank"), blocks, [*by, col])
+    return meet(df.drop("rank"), blocks, [*by, col])
 
 
 def rank_midpoint(df: DataFrame, by: list[str], col: str = "predict", key=KEY) -> DataFrame:
@@ -99,6 +99,25 @@ def rank_in_route(df: DataFrame, by: list[str], col: str = "predict", key=KEY) -
     return place_in_group(df, by, [col, *key]).withColumn("rank", F.col("_place") / F.col("_size")).drop("_place", "_size")
 
 
+def quantiles_of_counts(counts: DataFrame, by: list[str], value: str, many: str, wanted: dict[str, float]) -> DataFrame:
+    """(by, a column for each of wanted): exact quantiles, interpolated between neighbours, of values that stand `many` times each.
+
+    Running counts tell at which value a place lies, so no group's values come together anywhere.
+    """
+    placed = running_sums(counts, by, [value], {"_n": F.col(many)})
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col("_n_before") <= k) & (k < F.col("_n_before") + F.col(many)), F.col(value)))
+
+    found = []
+    for name, q in wanted.items():
+        place = (F.col("_n_all") - 1) * q
+        low = F.floor(F.round(place, 9))
+        found += [at(low).alias(f"{name} low"), at(F.least(low + 1, F.col("_n_all") - 1)).alias(f"{name} high"), F.max(F.greatest(place - low, F.lit(0.0))).alias(f"{name} part")]
+    each = placed.groupBy(*by).agg(*found)
+    return each.select(*by, *[(F.col(f"{k} low") + (F.col(f"{k} high") - F.col(f"{k} low")) * F.col(f"{k} part")).alias(k) for k in wanted])
+
+
 def latest_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The last row of each key; an aggregate, so no window holds a key's history."""
     rest = [c for c in df.columns if c not in key]

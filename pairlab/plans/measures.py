@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
 from pairlab.operators import features, metrics
+from pairlab.operators.components import connected_components
 from pairlab.plans.basics import WIDE
+from pairlab.plans.modelling import components_sql
 from pairlab.plans.registry import ap_sql, big, query, r, rounded
 from pairlab.sources import files
 
@@ -156,6 +158,28 @@ def _(t):
     return features.size_mismatch(t.pairs, features.size_sets(t.items))
 
 
+SIZED = "(SELECT CAST(p_partkey AS BIGINT) AS id, p_partkey % 5 AS k, CAST(40 + p_size % 4 AS STRING) AS n, CAST(50 + p_size % 3 AS STRING) AS m FROM part)"
+#: Attributes in which the system of a size stands in the value, in the key, in both or nowhere, and a size that is none.
+SIZE_TEXTS = ['{"Размер":"#n RU","Size":"EU #m"}', '{"Size":"EU #n"}', '{"Размер производителя":"#n","Российский размер":"#m"}', '{"Российский размер":"#n"}', '{"Размер упаковки":"#n","Размер":"#n,5"}']
+SYSTEMS = f"(SELECT id, unnest(CASE k WHEN 0 THEN ['ru', 'mk'] WHEN 1 THEN ['mk'] WHEN 2 THEN ['mk', 'ru'] WHEN 3 THEN ['ru'] ELSE ['plain'] END) AS system, unnest(CASE k WHEN 0 THEN [n, m] WHEN 2 THEN [n, m] WHEN 4 THEN [concat(n, '.5')] ELSE [n] END) AS numbers FROM {SIZED})"
+
+
+def sized_items(t):
+    n, m, k = (40 + F.col("p_size") % 4).cast("string"), (50 + F.col("p_size") % 3).cast("string"), F.col("p_partkey") % 5
+    texts = F.element_at(F.array(*map(F.lit, SIZE_TEXTS)), (k + 1).cast("int"))
+    return t.part.select(F.col("p_partkey").cast("bigint").alias("id"), F.replace(F.replace(texts, F.lit("#n"), n), F.lit("#m"), m).alias("attributes"))
+
+
+@query("f15_size_systems", f"SELECT id, system, numbers FROM {SYSTEMS}")
+def _(t):
+    return features.size_sets(sized_items(t)).select("id", "system", F.array_join("numbers", ",").alias("numbers"))
+
+
+@query("f16_size_system_mismatch", f"SELECT p.id1, p.id2, COALESCE(MIN_BY(a.numbers <> b.numbers, CASE a.system WHEN 'ru' THEN 0 WHEN 'plain' THEN 1 ELSE 2 END), false) AS mismatch FROM pairs p LEFT JOIN {SYSTEMS} a ON p.id1 = a.id LEFT JOIN {SYSTEMS} b ON p.id2 = b.id AND a.system = b.system WHERE b.id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM {SYSTEMS} x JOIN {SYSTEMS} y ON x.system = y.system WHERE x.id = p.id1 AND y.id = p.id2) GROUP BY p.id1, p.id2")
+def _(t):
+    return features.size_mismatch(t.pairs, features.size_sets(sized_items(t)))
+
+
 WEIGHTS = "concat(CAST(p_size AS STRING), CASE p_partkey % 3 WHEN 0 THEN ' кг' WHEN 1 THEN ' г' ELSE ' мл' END)"
 GRAMS = "CASE p_partkey % 3 WHEN 0 THEN p_size * 1000 ELSE p_size END"
 
@@ -181,9 +205,38 @@ def _(t):
     return features.extract_sizes(sized(t))
 
 
-@query("f17_normalize_units")
+def compact_sql(x: str) -> str:
+    """Whole numbers as text, 15e3 where that is shorter."""
+    v, e = f"CAST({x} AS STRING)", f"concat(rtrim(CAST({x} AS STRING), '0'), 'e', length(CAST({x} AS STRING)) - length(rtrim(CAST({x} AS STRING), '0')))"
+    return f"CASE WHEN {v} LIKE '%0' AND (length({e}) < length({v}) OR (length({e}) = length({v}) AND {e} < {v})) THEN {e} ELSE {v} END"
+
+
+def spoilt_sql(x: str) -> str:
+    p = f"length(regexp_extract({x}, '^[^0-9]*'))"
+    return f"CASE WHEN {p} = length({x}) THEN concat('l', substr({x}, 2)) ELSE concat(substr({x}, 1, {p}), translate(substr({x}, {p} + 1, 1), '0123456789', '5678901234'), substr({x}, {p} + 2)) END"
+
+
+#: Names with a quantity and a size; of `размер: 42 EU` only the size word counts, as it begins first, and 0,25 т is no quantity.
+UNIT_NAMES = f"""(SELECT id, p_name, q, rpad(qn, CAST(length(q) AS INT), ' ') AS qn, s, rpad(sn, CAST(length(s) AS INT), ' ') AS sn, rest FROM (SELECT CAST(p_partkey AS BIGINT) AS id, p_name, {WEIGHTS} AS q, CASE p_partkey % 3 WHEN 0 THEN concat({compact_sql('CAST(p_size AS BIGINT) * 1000')}, 'g') WHEN 1 THEN concat(CAST(p_size AS STRING), 'g') ELSE concat(CAST(p_size AS STRING), 'ml') END AS qn,
+CASE p_partkey % 5 WHEN 0 THEN concat(p_size, 'x7,5 см') WHEN 1 THEN concat('размер: ', p_size) WHEN 2 THEN concat(p_size, ' EU') WHEN 3 THEN 'size XL' ELSE concat('Размер: ', p_size) END AS s, CASE p_partkey % 5 WHEN 0 THEN concat(p_size, 'x7.5cm') WHEN 2 THEN concat('eu=', p_size) WHEN 3 THEN 'sz=xl' ELSE concat('sz=', p_size) END AS sn,
+CASE p_partkey % 5 WHEN 4 THEN ' EU, 0,25 т' ELSE '' END AS rest FROM part))"""
+
+
+def unit_names(t):
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    form = F.when(k == 0, F.concat(n, F.lit("x7,5 см"))).when(k == 1, F.concat(F.lit("размер: "), n)).when(k == 2, F.concat(n, F.lit(" EU"))).when(k == 3, "size XL").otherwise(F.concat(F.lit("Размер: "), n, F.lit(" EU, 0,25 т")))
+    return weighed(t).join(t.part.select(F.col("p_partkey").alias("id"), form.alias("form")), "id").select(F.col("id").cast("bigint").alias("id"), F.concat_ws(", ", "name", "form").alias("name"))
+
+
+@query("f17_normalize_units", f"SELECT id, concat(p_name, ' ', qn, ', ', sn, rest) AS norm, concat(p_name, ' ', {spoilt_sql('qn')}, ', ', {spoilt_sql('sn')}, rest) AS corrupt FROM {UNIT_NAMES}")
 def _(t):
-    return weighed(t).select("id", features.normalize_units(F.col("name")).alias("text"))
+    return unit_names(t).select("id", features.normalize_units(F.col("name")).alias("x")).select("id", "x.norm", "x.corrupt")
+
+
+@query("f17_unit_edits", f"""SELECT id, CAST(length(p_name) + 1 AS INT) AS start, CAST(length(p_name) + 1 + length(q) AS INT) AS "end", CASE WHEN id % 3 = 2 THEN 'volume' ELSE 'mass' END AS family, q AS source, qn AS normalized, {spoilt_sql('qn')} AS corrupted FROM {UNIT_NAMES}
+UNION ALL SELECT id, CAST(length(p_name) + 3 + length(q) AS INT), CAST(length(p_name) + 3 + length(q) + length(s) AS INT), CASE WHEN id % 5 = 0 THEN 'dimension' ELSE 'fashion_size' END, s, sn, {spoilt_sql('sn')} FROM {UNIT_NAMES}""")
+def _(t):
+    return unit_names(t).select("id", F.explode(features.normalize_units(F.col("name"))["edits"]).alias("e")).select("id", "e.*")
 
 
 @query("f18_quantity_set", f"SELECT CAST(p_partkey AS BIGINT) AS id, concat(CASE WHEN p_partkey % 3 = 2 THEN 'volume' ELSE 'mass' END, ':', CAST(CAST({GRAMS} AS DOUBLE) AS STRING)) AS quantities FROM part")
@@ -413,6 +466,21 @@ def _(t):
     return rounded(metrics.score_report(t.scored))
 
 
+MACRO = f"(SELECT model, fold, AVG(CASE WHEN positives > 0 AND positives < n_rows THEN ap END) AS macro_ap, COUNT_IF(positives = 0 OR positives = n_rows) AS skipped FROM {ap_sql('scored', 'model, fold, category')} GROUP BY model, fold)"
+
+
+@query("a4_fold_report", f"SELECT a.model, a.fold, {AP_OUT}, {r('m.macro_ap', 'macro_ap')}, {big('m.skipped', 'skipped')} FROM {ap_sql('scored', 'model, fold')} a JOIN {MACRO} m ON a.model = m.model AND a.fold = m.fold")
+def _(t):
+    return rounded(metrics.fold_report(metrics.score_report(t.scored)))
+
+
+@query("a4_report_summary", f"""WITH c AS (SELECT *, positives > 0 AND positives < n_rows AS two FROM {ap_sql('scored', 'model, category')}) SELECT f.model, {r('f.mean_fold', 'mean_fold')}, {r('f.min_fold', 'min_fold')}, {r('p.ap', 'pooled')}, {r('c.pooled_macro', 'pooled_macro')}, {big('c.skipped', 'skipped')}, c.worst_category, {r('c.worst_ap', 'worst_ap')}
+FROM (SELECT model, AVG(ap) AS mean_fold, MIN(ap) AS min_fold FROM {ap_sql('scored', 'model, fold')} GROUP BY model) f JOIN {ap_sql('scored', 'model')} p ON f.model = p.model
+JOIN (SELECT model, AVG(CASE WHEN two THEN ap END) AS pooled_macro, COUNT_IF(NOT two) AS skipped, arg_min(category, (ap, category)) FILTER (two) AS worst_category, MIN(ap) FILTER (two) AS worst_ap FROM c GROUP BY model) c ON f.model = c.model""")
+def _(t):
+    return rounded(metrics.report_summary(metrics.score_report(t.scored)))
+
+
 BOARD = f"""(SELECT a.model, mean_ap, macro_ap, CASE WHEN a.model <> 'm2' THEN 1 - mean_ap END AS public FROM (SELECT model, AVG(ap) AS mean_ap FROM {ap_sql('scored', 'model, fold')} GROUP BY model) a
 JOIN (SELECT model, AVG(ap) AS macro_ap FROM {ap_sql('scored', 'model, category')} WHERE positives > 0 AND positives < n_rows GROUP BY model) b ON a.model = b.model)"""
 
@@ -433,9 +501,10 @@ def _(t):
     return rounded(metrics.top_n(board(t), 2).select("model", "mean_ap"))
 
 
-@query("a7_fold_summary", f"""SELECT f.fold, COUNT(*) AS n_pairs, {big('SUM(target)', 'positives')}, {r('AVG(target)', 'rate')}, (SELECT COUNT(DISTINCT id) FROM (SELECT id1 AS id, fold FROM folded UNION ALL SELECT id2, fold FROM folded) u WHERE u.fold = f.fold) AS items FROM folded f GROUP BY f.fold""")
+@query("a7_fold_summary", components_sql() + f""", u AS (SELECT DISTINCT id, fold FROM (SELECT id1 AS id, fold FROM folded UNION ALL SELECT id2, fold FROM folded)), n AS (SELECT u.fold, COUNT(*) AS items, COUNT(DISTINCT c.component) AS components FROM u JOIN comp c ON u.id = c.id GROUP BY u.fold)
+SELECT f.fold, COUNT(*) AS n_pairs, {big('SUM(target)', 'positives')}, {r('AVG(target)', 'rate')}, MAX(n.items) AS items, MAX(n.components) AS components FROM folded f JOIN n ON f.fold = n.fold GROUP BY f.fold""")
 def _(t):
-    return rounded(metrics.fold_summary(t.folded))
+    return rounded(metrics.fold_summary(t.folded, connected_components(t.pairs)))
 
 
 @query("a8_confusion_at", f"""SELECT model, tp, fp, fn, tn, {r('COALESCE(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'f1')} FROM (SELECT model, CAST(COUNT_IF(predict >= 0.5 AND target = 1) AS BIGINT) AS tp, CAST(COUNT_IF(predict >= 0.5 AND target = 0) AS BIGINT) AS fp,
@@ -487,7 +556,7 @@ def _(t):
 FOLD = ap_sql("scored", "model, fold")
 
 
-@query("a14_gate_decision", f"""WITH f AS (SELECT * FROM {FOLD}), p AS (SELECT * FROM {ap_sql('scored', 'model')}) SELECT a.model AS variant, {r('MIN(a.ap - b.ap)', 'min_fold_delta')}, {r('MAX(c.ap - d.ap)', 'pooled_delta')}, MIN(a.ap - b.ap) > 0 AND MAX(c.ap - d.ap) > 0.001 AS go
+@query("a14_gate_decision", f"""WITH f AS (SELECT * FROM {FOLD}), p AS (SELECT * FROM {ap_sql('scored', 'model')}) SELECT a.model AS variant, {r('MIN(a.ap - b.ap)', 'min_fold_delta')}, {r('MAX(c.ap - d.ap)', 'pooled_delta')}, MIN(a.ap - b.ap) > 0 AND MAX(c.ap - d.ap) > 0.001 AS go, MIN(a.ap - b.ap) > 0.001 AS go_every_fold
 FROM f a JOIN f b ON a.fold = b.fold AND b.model = 'm1' JOIN p c ON c.model = a.model JOIN p d ON d.model = 'm1' WHERE a.model <> 'm1' GROUP BY a.model""")
 def _(t):
     f, p = metrics.average_precision(t.scored, ["model", "fold"]), metrics.average_precision(t.scored, ["model"])
@@ -552,13 +621,18 @@ def _(t):
     return rounded(metrics.seed_noise(t.scores))
 
 
-@query("a23_submission_board", f"""WITH c AS (SELECT * FROM {ap_sql('scored', 'model, category')}), p AS (SELECT model, row_number() OVER (ORDER BY AVG(ap) DESC, model) AS place FROM c GROUP BY model),
-d AS (SELECT category, MAX(CASE WHEN place = 1 THEN ap END) AS best, MAX(CASE WHEN place = 2 THEN ap END) AS runner_up FROM c JOIN p ON c.model = p.model WHERE place <= 2 GROUP BY category)
-SELECT category, {r('best', 'best')}, {r('runner_up', 'runner_up')}, {r('best - runner_up', 'delta')}, row_number() OVER (ORDER BY best - runner_up DESC NULLS LAST, category) <= 4 AS top_gain FROM d""")
+SUBS = f"(SELECT concat(model, '-', fold) AS submission, CASE WHEN fold = 3 AND model = 'm3' THEN 'failed' ELSE 'success' END AS status, fold * 10 + CAST(substr(model, 2) AS INT) AS created_at, CASE WHEN model <> 'm2' OR fold <> 3 THEN AVG(ap) END AS public FROM {ap_sql('scored', 'model, fold, category')} GROUP BY model, fold)"
+
+
+@query("a23_submission_board", f"""WITH c AS (SELECT concat(model, '-', fold) AS submission, category, ap FROM {ap_sql('scored', 'model, fold, category')}), s AS (SELECT *, row_number() OVER (ORDER BY public DESC, submission) AS place, row_number() OVER (ORDER BY created_at DESC, submission DESC) AS age FROM {SUBS} WHERE status = 'success' AND public IS NOT NULL),
+d AS (SELECT category, MAX(CASE WHEN age = 1 THEN ap END) AS latest, MAX(CASE WHEN place = 1 THEN ap END) AS best, MAX(CASE WHEN place = 2 THEN ap END) AS runner_up FROM c JOIN s ON c.submission = s.submission WHERE place <= 2 OR age = 1 GROUP BY category)
+SELECT category, {r('latest', 'latest')}, {r('best', 'best')}, {r('runner_up', 'runner_up')}, {r('best - runner_up', 'delta')}, row_number() OVER (ORDER BY best - runner_up DESC NULLS LAST, category) <= 4 AS top_gain FROM d""")
 def _(t):
-    c = metrics.average_precision(t.scored, ["model", "category"]).select(F.col("model").alias("submission"), "category", "ap")
-    subs = c.groupBy("submission").agg(F.avg("ap").alias("public")).withColumn("created_at", F.lit(0))
-    return rounded(metrics.submission_board(subs, c))
+    each = metrics.average_precision(t.scored, ["model", "fold", "category"])
+    c = each.select(F.concat_ws("-", "model", F.col("fold").cast("string")).alias("submission"), "model", "fold", "category", "ap")
+    subs = c.groupBy("submission", "model", "fold").agg(F.avg("ap").alias("public"))
+    subs = subs.withColumns({"status": F.when((F.col("fold") == 3) & (F.col("model") == "m3"), "failed").otherwise("success"), "created_at": F.col("fold") * 10 + F.substring("model", 2, 9).cast("int"), "public": F.when((F.col("model") != "m2") | (F.col("fold") != 3), F.col("public"))})
+    return rounded(metrics.submission_board(subs, c.select("submission", "category", "ap")))
 
 
 @query("a24_constant_score_prior", f"SELECT category, COUNT(*) AS n_rows, {big('SUM(target)', 'positives')}, {r('AVG(target)', 'ap')} FROM pairs GROUP BY category")
@@ -567,12 +641,18 @@ def _(t):
 
 
 @query("a25_variant_report", f"""WITH f AS (SELECT * FROM {FOLD}), g AS (SELECT model, fold, AVG(ap) AS macro_ap FROM {ap_sql('scored', 'model, fold, category')} WHERE positives > 0 AND positives < n_rows GROUP BY model, fold), c AS (SELECT * FROM {ap_sql('scored', 'model, category')})
-SELECT x.*, w.worst_category, w.worst_delta FROM (SELECT f.model AS variant, {r('AVG(f.ap)', 'mean_ap')}, {r('AVG(g.macro_ap)', 'mean_macro')}, {r('AVG(f.ap - b.ap)', 'mean_delta')}, {r('stddev_pop(f.ap - b.ap)', 'std_delta')}, MIN(f.ap - b.ap) > 0 OR MAX(f.ap - b.ap) < 0 AS same_sign
-FROM f JOIN g ON f.model = g.model AND f.fold = g.fold JOIN f b ON f.fold = b.fold AND b.model = 'm1' GROUP BY f.model) x JOIN (SELECT c.model, arg_min(c.category, (c.ap - b.ap, c.category)) AS worst_category, {r('MIN(c.ap - b.ap)', 'worst_delta')} FROM c JOIN c b ON c.category = b.category AND b.model = 'm1' GROUP BY c.model) w ON x.variant = w.model""")
+SELECT x.*, w.worst_category, w.worst_delta, g.pooled_delta, x.least > 0 AND g.raw > 0.001 AS go FROM (SELECT f.model AS variant, MIN(f.ap - b.ap) AS least, {r('AVG(f.ap)', 'mean_ap')}, {r('AVG(g.macro_ap)', 'mean_macro')}, {r('AVG(f.ap - b.ap)', 'mean_delta')}, {r('stddev_pop(f.ap - b.ap)', 'std_delta')}, MIN(f.ap - b.ap) > 0 OR MAX(f.ap - b.ap) < 0 AS same_sign
+FROM f JOIN g ON f.model = g.model AND f.fold = g.fold JOIN f b ON f.fold = b.fold AND b.model = 'm1' GROUP BY f.model) x JOIN (SELECT c.model, arg_min(c.category, (c.ap - b.ap, c.category)) AS worst_category, {r('MIN(c.ap - b.ap)', 'worst_delta')} FROM c JOIN c b ON c.category = b.category AND b.model = 'm1' GROUP BY c.model) w ON x.variant = w.model
+JOIN (SELECT a.model, a.ap - b.ap AS raw, {r('a.ap - b.ap', 'pooled_delta')} FROM {ap_sql('scored', 'model')} a JOIN {ap_sql('scored', 'model')} b ON b.model = 'm1') g ON x.variant = g.model""".replace("SELECT x.*", "SELECT x.* EXCLUDE (least)"))
 def _(t):
     return rounded(metrics.variant_report(t.scored, "m1"))
 
 
+@query("a25_category_deltas", f"WITH c AS (SELECT * FROM {ap_sql('scored', 'model, fold, category')}) SELECT c.model AS variant, c.fold, c.category, {r('c.ap', 'ap')}, {r('c.ap - b.ap', 'delta')} FROM c JOIN c b ON b.model = 'm1' AND c.fold = b.fold AND c.category = b.category WHERE c.model <> 'm1'")
+def _(t):
+    return rounded(metrics.variant_category_deltas(t.scored, "m1"))
+
+
 @query("a26_factorial_effects", f"""WITH w AS (SELECT fold, MAX(CASE WHEN v = 'none' THEN ap END) AS n, MAX(CASE WHEN v = 'a' THEN ap END) AS a, MAX(CASE WHEN v = 'b' THEN ap END) AS b, MAX(CASE WHEN v = 'ab' THEN ap END) AS ab FROM (SELECT v, fold, ap FROM
 {ap_sql("(SELECT CASE model WHEN 'm1' THEN CASE WHEN id1 % 2 = 0 THEN 'none' ELSE 'a' END WHEN 'm2' THEN CASE WHEN id1 % 2 = 0 THEN 'b' ELSE 'ab' END END AS v, fold, target, predict FROM scored WHERE model <> 'm3')", 'v, fold')}) GROUP BY fold)
 SELECT fold, {r('(a - n + ab - b) / 2', 'effect_a')}, {r('(b - n + ab - a) / 2', 'effect_b')}, {r('a - n', 'simple_a')}, {r('b - n', 'simple_b')}, {r('ab - a - b + n', 'interaction')} FROM w""")

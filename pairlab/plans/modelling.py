@@ -69,6 +69,21 @@ def _(t):
     return graph.closure_pairs(t.folded)
 
 
+LABELLED = ", lab AS (SELECT least(c1, c2) AS c1, greatest(c1, c2) AS c2, COUNT(*) AS labelled, COUNT_IF(neg > 0) AS negative FROM (SELECT least(id1, id2) AS a, greatest(id1, id2) AS b, MIN(c1) AS c1, MIN(c2) AS c2, COUNT_IF(target = 0) AS neg FROM ed WHERE id1 <> id2 GROUP BY a, b) GROUP BY 1, 2), cf AS (SELECT DISTINCT component, fold FROM mem)"
+
+
+@query("g5_closure_classes", CLOSURE + LABELLED + f""" SELECT k.component, cf.fold, k.size, {big('COALESCE(l.labelled, 0)', 'labelled')}, {big('(SELECT COUNT(*) FROM derived d JOIN comp c ON d.id1 = c.id JOIN comp e ON d.id2 = e.id WHERE d.target = 1 AND c.component = k.component AND e.component = k.component)', 'derived')}
+FROM clean k JOIN cf ON k.component = cf.component LEFT JOIN lab l ON l.c1 = k.component AND l.c2 = k.component""")
+def _(t):
+    return graph.closure_classes(t.folded)[1]
+
+
+@query("g5_closure_links", CLOSURE + LABELLED + f""", found AS (SELECT least(c.component, e.component) AS c1, greatest(c.component, e.component) AS c2, COUNT(*) AS derived FROM derived d JOIN comp c ON d.id1 = c.id JOIN comp e ON d.id2 = e.id WHERE d.target = 0 GROUP BY 1, 2)
+SELECT l.c1, l.c2, f.fold, {big('l.labelled', 'labelled')}, {big('COALESCE(x.derived, 0)', 'derived')} FROM lab l JOIN cf f ON f.component = l.c1 JOIN cf g ON g.component = l.c2 LEFT JOIN found x ON x.c1 = l.c1 AND x.c2 = l.c2 WHERE l.c1 <> l.c2 AND l.negative > 0""")
+def _(t):
+    return graph.closure_classes(t.folded)[2]
+
+
 CHAINS = CLOSURE + """, walk(src, node, path, n) AS (SELECT DISTINCT id1, id1, [id1], 0 FROM derived WHERE target = 1 UNION ALL SELECT w.src, q.d, list_append(w.path, q.d), w.n + 1 FROM walk w JOIN (SELECT id1 AS s, id2 AS d FROM pairs WHERE target = 1 UNION SELECT id2, id1 FROM pairs WHERE target = 1) q ON w.node = q.s WHERE NOT list_contains(w.path, q.d) AND w.n < 8),
 best AS (SELECT d.id1, d.id2, MIN({'n': w.n, 'path': w.path}) AS b FROM derived d JOIN walk w ON d.id1 = w.src AND d.id2 = w.node WHERE d.target = 1 GROUP BY d.id1, d.id2)"""
 
@@ -150,7 +165,15 @@ def _(t):
     return connected_components(t.pairs).withColumn("fold", splits.hash_fold(F.col("component"), "s", 4))
 
 
-@query("p2_stratified_fold")
+FOLDING = components_sql() + """, each AS (SELECT c.component, p.category, COUNT(*) AS n, SUM(p.target) AS t FROM pairs p JOIN comp c ON p.id1 = c.id GROUP BY 1, 2),
+load AS (SELECT component, arg_min(category, {'less': -n, 'category': category}) AS category, SUM(n) AS n, SUM(t) AS t FROM each GROUP BY component),
+seq AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, sha256(concat('s:', CAST(component AS STRING)))) AS k, SUM(n) OVER (PARTITION BY category) / 4.0 AS sn, greatest(SUM(t) OVER (PARTITION BY category) / 4.0, 1.0) AS st FROM load),
+deal(category, k, component, f, p, q) AS (SELECT category, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), [0.0, 0.0, 0.0, 0.0]::DOUBLE[], [0.0, 0.0, 0.0, 0.0]::DOUBLE[] FROM (SELECT DISTINCT category FROM seq)
+UNION ALL SELECT category, k, component, f, list_transform(range(1, 5), lambda i: p[i] + CASE WHEN i = f THEN n ELSE 0 END)::DOUBLE[], list_transform(range(1, 5), lambda i: q[i] + CASE WHEN i = f THEN t ELSE 0 END)::DOUBLE[]
+FROM (SELECT *, CAST(list_position(w, list_min(w)) AS BIGINT) AS f FROM (SELECT s.category, s.k, s.component, CAST(s.n AS DOUBLE) AS n, CAST(s.t AS DOUBLE) AS t, d.p, d.q, list_transform(range(1, 5), lambda i: greatest((d.p[i] + s.n) / s.sn, (d.q[i] + s.t) / s.st)) AS w FROM deal d JOIN seq s ON s.category = d.category AND s.k = d.k + 1)))"""
+
+
+@query("p2_stratified_fold", FOLDING + " SELECT category, component, CAST(f - 1 AS INT) AS fold FROM deal WHERE k > 0")
 def _(t):
     return splits.stratified_fold(splits.component_loads(t.pairs, connected_components(t.pairs)), "s", 4)
 
@@ -160,7 +183,7 @@ def _(t):
     return splits.build_folds(t.pairs, "s", 4, stratified=False).select("id1", "id2", "component", "fold")
 
 
-@query("p3_build_stratified_folds")
+@query("p3_build_stratified_folds", FOLDING + " SELECT p.id1, p.id2, c.component, CAST(d.f - 1 AS INT) AS fold FROM pairs p JOIN comp c ON p.id1 = c.id JOIN deal d ON d.component = c.component")
 def _(t):
     return splits.build_folds(t.pairs, "s", 4, stratified=True).select("id1", "id2", "component", "fold")
 
@@ -256,7 +279,7 @@ GRID = "(SELECT row_number() OVER (ORDER BY a, b) - 1 AS point, a / 4.0 AS w1, b
 
 
 def gridap_sql(source: str = WIDEF) -> str:
-    return ap_sql(f"(SELECT f.fold, f.category, f.target, g.point, round(f.m1 * w1 + f.m2 * w2 + f.m3 * w3, 8) AS predict FROM {source} f CROSS JOIN {GRID} g)", "fold, category, point")
+    return ap_sql(f"(SELECT f.fold, f.category, f.target, g.point, f.m1 * w1 + f.m2 * w2 + f.m3 * w3 AS predict FROM {source} f CROSS JOIN {GRID} g)", "fold, category, point")
 
 
 GRIDAP = gridap_sql()
@@ -269,8 +292,8 @@ def _(t):
 
 def chosen_sql(name: str, by: str = "held, category", only: str = "TRUE", ap: str = GRIDAP) -> str:
     """A table (by, w1, w2, w3) of the best grid points over the other folds."""
-    return f"""{name} AS (SELECT * FROM (SELECT m.*, g.w1, g.w2, g.w3, row_number() OVER (PARTITION BY {by} ORDER BY m.ap DESC, (w1 - 1/3.0) ** 2 + (w2 - 1/3.0) ** 2 + (w3 - 1/3.0) ** 2, m.point) AS k
-FROM (SELECT {by}, point, round(AVG(ap), 9) AS ap FROM {ap} a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS held) h WHERE a.fold <> h.held AND a.ap IS NOT NULL GROUP BY {by}, point) m JOIN {GRID} g ON m.point = g.point WHERE {only}) WHERE k = 1)"""
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN ap >= most - 1e-12 THEN 0 ELSE 1 END, (w1 - 1/3.0) ** 2 + (w2 - 1/3.0) ** 2 + (w3 - 1/3.0) ** 2, point) AS k FROM (SELECT m.*, g.w1, g.w2, g.w3, MAX(m.ap) OVER (PARTITION BY {by}) AS most
+FROM (SELECT {by}, point, AVG(ap) AS ap FROM {ap} a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS held) h WHERE a.fold <> h.held AND a.ap IS NOT NULL GROUP BY {by}, point) m JOIN {GRID} g ON m.point = g.point WHERE {only})) WHERE k = 1)"""
 
 
 CHOICES = ", ".join([chosen_sql("pick"), chosen_sql("one", only="greatest(w1, w2, w3) = 1"), chosen_sql("every", "held")])
@@ -317,6 +340,11 @@ def _(t):
     return rounded(blend.fit_stack(wide(t), MODELS, FOLDS)[0])
 
 
+@query("b9_stack_slopes", "SELECT CAST(unnest([0, 1, 2, 3, NULL]) AS INT) AS held, CAST(0 AS DOUBLE) AS steepest")
+def _(t):
+    return rounded(blend.stack_slopes(wide(t), MODELS, blend.fit_stack(wide(t), MODELS, FOLDS)[1]))
+
+
 @query("b9_stack_transforms")
 def _(t):
     parts = [blend.fit_stack(wide(t), MODELS, FOLDS, transform=x)[0].withColumn("transform", F.lit(x)) for x in ("prob", "rank")]
@@ -375,10 +403,17 @@ def _(t):
     return rounded(blend.fill_default(t.scores.where("model = 'm1' and predict > 0.3"), t.pairs))
 
 
-@query("b16_isotonic_calibrate")
+ISOTONIC = """WITH b AS (SELECT fold, predict, SUM(target) AS t, COUNT(*) AS n, row_number() OVER (PARTITION BY fold ORDER BY predict) AS i FROM scored WHERE model = 'm1' GROUP BY fold, predict),
+c AS (SELECT *, SUM(t) OVER w AS ct, SUM(n) OVER w AS cn FROM b WINDOW w AS (PARTITION BY fold ORDER BY i)),
+mean AS (SELECT x.fold, x.i AS a, y.i AS z, CAST(y.ct - x.ct + x.t AS DOUBLE) / (y.cn - x.cn + x.n) AS m FROM c x JOIN c y ON x.fold = y.fold AND x.i <= y.i),
+least AS (SELECT fold, a, z, MIN(m) OVER (PARTITION BY fold, a ORDER BY z DESC) AS m FROM mean),
+iso AS (SELECT fold, z AS i, MAX(m) AS m FROM least GROUP BY fold, z)"""
+
+
+@query("b16_isotonic_calibrate", ISOTONIC + f" SELECT s.id1, s.id2, s.fold, s.target, {r('s.predict', 'predict')}, {r('least(greatest(iso.m, 0.001), 0.999)', 'calibrated')} FROM scored s JOIN b ON s.fold = b.fold AND s.predict = b.predict JOIN iso ON iso.fold = b.fold AND iso.i = b.i WHERE s.model = 'm1'")
 def _(t):
     one = t.scored.where("model = 'm1'").select("id1", "id2", "fold", "target", "predict")
-    return rounded(blend.isotonic_by_fold(one, FOLDS))
+    return rounded(blend.isotonic_by_fold(one))
 
 
 def training_rows(t):
@@ -596,9 +631,20 @@ def _(t):
     return rounded(resample.selection_control(wide(t), MODELS, FOLDS))
 
 
-@query("t1_journal_latest_stream", "SELECT id1, id2, arg_max(audited_label, judged_at) AS audited_label, MAX(judged_at) AS judged_at FROM journal GROUP BY id1, id2")
-def _(t):
+def journal_table(t):
+    """The journal as it comes in three files, merged into a keyed table; its folder."""
     path, out, check = (files.scratch(t.spark, x) for x in ("stream-in", "stream-out", "stream-check"))
     t.journal.repartition(3).write.json(path)
     stream.run_to_table(stream.journal_stream(t.spark, path), out, check)
-    return stream.read_table(t.spark, out).select("id1", "id2", "audited_label", "judged_at")
+    return out
+
+
+@query("t1_journal_latest_stream", "SELECT id1, id2, arg_max(audited_label, judged_at) AS audited_label, MAX(judged_at) AS judged_at FROM journal GROUP BY id1, id2")
+def _(t):
+    return stream.read_table(t.spark, journal_table(t)).select("id1", "id2", "audited_label", "judged_at")
+
+
+@query("t1_corrected_labels", "SELECT COUNT(*) AS pairs, CAST(COUNT_IF(audited_label >= 0 AND audited_label <> original_target) AS BIGINT) AS corrected FROM (SELECT id1, id2, arg_max(audited_label, judged_at) AS audited_label, arg_max(original_target, judged_at) AS original_target FROM journal GROUP BY id1, id2)")
+def _(t):
+    growth = stream.growth(t.spark, journal_table(t))
+    return growth.orderBy(F.desc("version")).limit(1).select("pairs", "corrected")

@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.operators.contracts import strict, unique
+from pairlab.operators.components import checkpointed
+from pairlab.operators.contracts import item_ids, strict
+from pairlab.operators.joins import once, semi_join
 
 ITEMS = "id long, name string, attributes string, category string"
 JOURNAL = "id1 long, id2 long, audited_label int, original_target int, mode string, judged_at long"
@@ -31,10 +33,13 @@ def scan_items(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
 
 
 def scan_needed_items(items: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items that pairs name, ids that no item has); an id of several items fails."""
-    items = unique(items, ["id"])
-    ids = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
-    return items.join(ids, "id", "left_semi"), ids.join(items, "id", "left_anti")
+    """(items that pairs name, ids that no item has); a named id of several items fails.
+
+    The catalogue is read once for its needed rows and once for their ids; rows that no pair names are not shuffled.
+    """
+    ids = checkpointed(item_ids(pairs))
+    known = semi_join(items.select("id"), ids)
+    return once(semi_join(items, ids)), ids.join(known, "id", "left_anti")
 
 
 def write_folds(df: DataFrame, path: str) -> str:

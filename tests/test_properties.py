@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
-from pairlab.operators import audit, blend, contracts, features, graph, joins, metrics, resample, splits
+from pairlab.operators import audit, blend, contracts, features, graph, joins, metrics, ranks, resample, splits
 from pairlab.operators.components import connected_components
 from pairlab.plans.fixtures import Tables
 from pairlab.sources import files
+from pairlab.sources.files import JOURNAL
+from pairlab.streaming import journal as stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,9 +70,9 @@ def test_quantities(spark, text, want):
 
 def test_units_in_place(spark):
     df = spark.createDataFrame([("1 кг",), ("1000 г",), ("вес 1,5 кг нетто",), ("7 л",), (None,)], "s string")
-    got = [r.x for r in df.select(features.normalize_units(F.col("s")).alias("x")).collect()]
-    assert got[0].strip() == got[1].strip() == "1e3g" and got[4] is None
-    assert all(a is None or len(a) == len(b.s) for a, b in zip(got, df.collect()))
+    got = [r.x for r in df.select(features.normalize_units(F.col("s"))["norm"].alias("x")).collect()]
+    assert got[0].strip() == got[1].strip() == "1e3g" and got[4] == ""
+    assert all(len(a) == len(b.s or "") for a, b in zip(got, df.collect()))
 
 
 def test_structured_diff_golden(spark):
@@ -262,7 +264,7 @@ def test_stack_and_calibration(t, wide):
     held, intercept, cs = coefficients[0]
     again = blend.apply_stack(wide.where(F.col("fold") == held), ["m1", "m2", "m3"], intercept, cs).select("id1", "id2", F.col("predict").alias("p"))
     assert scored.join(again, ["id1", "id2"]).where("abs(predict - p) > 1e-9").count() == 0
-    iso = blend.isotonic_by_fold(wide.select("id1", "id2", "fold", "target", F.col("m1").alias("predict")), [0, 1, 2, 3])
+    iso = blend.isotonic_by_fold(wide.select("id1", "id2", "fold", "target", F.col("m1").alias("predict")))
     assert iso.where("calibrated not between 0.001 and 0.999").count() == 0
     pairs = iso.groupBy("fold").agg(F.corr("predict", "calibrated").alias("c")).collect()
     assert all(r.c is None or r.c >= 0 for r in pairs)
@@ -346,7 +348,7 @@ def test_leaks_and_open_chains_raise(spark):
 def test_sizes_and_dimensions(spark):
     df = spark.createDataFrame([(1, "Коврик 10,5х20 см, размер XL / 42 EU")], "id long, name string")
     assert {(r.family, r.value) for r in features.extract_sizes(df).collect()} == {("dimension", "10.5x20cm"), ("size", "sz=xl"), ("size", "eu=42")}
-    text = one(df, features.normalize_units(F.col("name")))
+    text = one(df, features.normalize_units(F.col("name"))["norm"])
     assert text.startswith("Коврик 10.5x20cm ,") and "sz=xl" in text and "eu=42" in text and len(text) == len(df.first().name)
 
 
@@ -363,3 +365,166 @@ def test_random_audits_leave_judged_pairs_out(t):
     assert got.count() == 20 and got.join(t.verdicts, ["id1", "id2"], "left_semi").count() == 0
     with pytest.raises(ValueError):
         audit.audit_queue("nothing", t.scored, 5)
+
+
+# Large groups, classes, the keyed table
+
+
+def test_places_in_one_group_are_spread(spark):
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("id1"), (F.col("id") % 7).alias("id2"), F.lit("one").alias("category"), (F.xxhash64("id") % 50).cast("double").alias("predict"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with partitions of a useful size
+    placed = ranks.place_in_group(df, ["category"], ["predict", "id1", "id2"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    most = placed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 0.5 * n and placed.rdd.getNumPartitions() > 2
+    want = {r.id1: k for k, r in enumerate(sorted(df.collect(), key=lambda r: (r.predict, r.id1)), 1)}
+    assert {r.id1: r._place for r in placed.collect()} == want
+    average = ranks.rank_average_pct(df, ["category"])
+    values = [r.predict for r in df.collect()]
+    share = {v: (sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2) / n for v in set(values)}
+    assert all(abs(r["rank"] - share[r.predict]) < 1e-12 for r in average.collect())
+    assert ranks.rank_ordinal(df.where("false"), ["category"]).count() == 0
+
+
+def test_places_take_null_groups_and_ties(spark):
+    df = spark.createDataFrame([(1, 1, None, 0.5), (2, 1, None, None), (3, 1, "a", 0.5), (4, 1, None, 0.5)], "id1 long, id2 long, category string, predict double")
+    assert {r.id1: r["rank"] for r in ranks.rank_ordinal(df, ["category"]).collect()} == {2: 0, 1: 0.5, 4: 1, 3: 0}
+    assert {r.id1: r["rank"] for r in ranks.rank_average_pct(df, ["category"]).collect()} == pytest.approx({2: 1 / 3, 1: 2.5 / 3, 4: 2.5 / 3, 3: 1})
+
+
+def test_quantiles_from_counts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), float(rng.randrange(9))) for _ in range(500)]
+    counts = spark.createDataFrame(rows, "g string, v double").groupBy("g", "v").agg(F.count("*").alias("m"))
+    got = {r.g: r for r in ranks.quantiles_of_counts(counts, ["g"], "v", "m", {"low": 0.01, "mid": 0.5, "top": 1.0}).collect()}
+    for g in "ab":
+        values = sorted(v for x, v in rows if x == g)
+        for name, q in (("low", 0.01), ("mid", 0.5), ("top", 1.0)):
+            k = (len(values) - 1) * q
+            want = values[int(k)] + (values[min(int(k) + 1, len(values) - 1)] - values[int(k)]) * (k - int(k))
+            assert got[g][name] == pytest.approx(want)
+
+
+def test_only_needed_items_are_shuffled(spark):
+    items = spark.range(5000).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    pairs = spark.createDataFrame([(1, 2), (3, 99_999)], "id1 long, id2 long")
+    plan = joins.attach_items(pairs, items, ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "LeftSemi" in plan
+    twice = items.union(items.where("id > 10"))
+    assert {(r.name1, r.name2) for r in joins.attach_items(pairs, twice, ["name"]).collect()} == {("n1", "n2"), ("n3", None)}
+    assert joins.needed_items(items, pairs, sent=1).count() == joins.needed_items(items, pairs).count() == 3
+    needed, missing = files.scan_needed_items(twice, pairs)
+    assert needed.count() == 3 and [r.id for r in missing.collect()] == [99_999]
+
+
+def test_closure_classes_count_what_closure_pairs_lists(spark, t):
+    for pairs, rejected in ((t.folded, None), (t.folded, t.folded.where("target = 1").limit(3))):
+        members, classes, links = graph.closure_classes(pairs, rejected)
+        listed = graph.closure_pairs(pairs, rejected).groupBy("target").count().collect()
+        assert {r.target: r["count"] for r in listed} == {1: classes.agg(F.sum("derived")).first()[0], 0: links.agg(F.sum("derived")).first()[0]}
+        both = graph.pairs_of(members, links.limit(5))
+        assert both.groupBy("c1", "c2").count().join(links, ["c1", "c2"]).where("count <> labelled + derived").count() == 0
+
+
+def test_a_class_is_a_row_whatever_its_size(spark):
+    star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("id1"), F.col("id").alias("id2"), F.lit(1).alias("target"), F.lit(0).alias("fold"))
+    members, classes, links = graph.closure_classes(star)
+    assert [tuple(r) for r in classes.collect()] == [(0, 0, 20_001, 20_000, 20_001 * 20_000 // 2 - 20_000)] and links.count() == 0 and members.count() == 20_001
+    with pytest.raises(Exception, match="crosses folds"):
+        graph.closure_classes(star.withColumn("fold", (F.col("id2") % 2).cast("int")))[1].collect()
+
+
+def test_journal_table_takes_late_and_repeated_batches(spark, tmp_path):
+    rows = [(i % 6, i % 4, (i * 7) % 3 - 1, i % 2, "m", i) for i in range(60)]
+    out = str(tmp_path / "table")
+    batches = [rows[40:], rows[:20], rows[20:40]]
+    for k, batch in enumerate(batches):
+        stream.merge(spark.createDataFrame(batch, JOURNAL), k, out, buckets=4)
+        last = {}
+        for r in sorted(sum(batches[: k + 1], []), key=lambda r: r[5]):
+            last[r[:2]] = r
+        assert {tuple(r) for r in stream.read_table(spark, out).collect()} == set(last.values())
+        now = stream.growth(spark, out).orderBy(F.desc("version")).first()
+        assert tuple(now) == (k, len(last), sum(r[2] >= 0 and r[2] != r[3] for r in last.values()))
+    before = {tuple(r) for r in stream.read_table(spark, out, 1).collect()}
+    stream.merge(spark.createDataFrame(batches[2], JOURNAL), 2, out, buckets=4)
+    assert {tuple(r) for r in stream.read_table(spark, out).collect()} == set(last.values())
+    stream.merge(spark.createDataFrame([(100, 200, 1, 0, "m", 999)], JOURNAL), 3, out, buckets=4)
+    plan = [f for f in stream.read_table(spark, out).inputFiles()]
+    assert len([f for f in plan if "version=3" in f]) == 1 and {tuple(r) for r in stream.read_table(spark, out, 1).collect()} == before
+    assert stream.read_table(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_isotonic_map_is_that_of_one_pass(spark):
+    rng = random.Random(8)
+    rows = [(k, k, f, int(rng.random() < x), x) for f in (0, 1) for k, x in enumerate(round(rng.random(), 2) * rng.choice([1, 1, 7, -3]) for _ in range(400))]
+    df = spark.createDataFrame([*rows, (9, 9, 0, 1, None), (8, 8, 0, 1, float("nan"))], "id1 long, id2 long, fold int, target int, predict double")
+    got = {(r.fold, r.id1, r.predict): r.calibrated for r in blend.isotonic_by_fold(df).collect()}
+    for f in (0, 1):
+        blocks = {}
+        for *_, y, x in (r for r in rows if r[2] == f):
+            blocks.setdefault(x, []).append(y)
+        stack = []
+        for x in sorted(blocks):
+            stack.append([[x], sum(blocks[x]), len(blocks[x])])
+            while len(stack) > 1 and stack[-2][1] * stack[-1][2] >= stack[-1][1] * stack[-2][2]:
+                xs, t, n = stack.pop()
+                stack[-1] = [stack[-1][0] + xs, stack[-1][1] + t, stack[-1][2] + n]
+        want = {x: min(max(t / n, 0.001), 0.999) for xs, t, n in stack for x in xs}
+        assert all(got[f, r[0], r[4]] == pytest.approx(want[r[4]]) for r in rows if r[2] == f)
+    assert got[0, 9, None] is None
+
+
+def test_chains_meet_in_the_middle(spark):
+    rng = random.Random(6)
+    edges = {tuple(sorted((rng.randrange(25), rng.randrange(25)))) for _ in range(32)}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    wanted = [(a, b) for a in range(25) for b in range(a + 1, 25)]
+
+    def shortest(a, b):
+        paths = [[a]]
+        for _ in range(25):
+            if hit := [p for p in paths if p[-1] == b]:
+                return min(hit)
+            best = {}
+            for p in paths:
+                for x in near.get(p[-1], ()):
+                    if x not in p and (x not in best or p + [x] < best[x]):
+                        best[x] = p + [x]
+            paths = list(best.values())
+
+    pairs = spark.createDataFrame([(a, b, 1) for a, b in edges if a != b], "id1 long, id2 long, target int")
+    got = {(r.id1, r.id2): r.path for r in graph.shortest_chains(pairs, spark.createDataFrame(wanted, "id1 long, id2 long")).collect()}
+    assert got == {(a, b): p for a, b in wanted if (p := shortest(a, b))}
+
+
+def test_unit_edits_overlap_and_width(spark):
+    cases = {
+        "0,5 кг и 10 шт.": [("0,5 кг", "500g  ", "000g  ", "mass")], "размер 42 EU": [("размер 42", "sz=42    ", "sz=92    ", "fashion_size")], "100 г": [("100 г", "100g ", "600g ", "mass")],
+        "Size: XL, 1000 KG": [("Size: XL", "sz=xl   ", "lz=xl   ", "fashion_size"), ("1000 KG", "1e6g   ", "6e6g   ", "mass")], "10x20 см 5 л": [("10x20 см", "10x20cm ", "60x20cm ", "dimension")],
+        "1500 мл": [("1500 мл", "1500ml ", "6500ml ", "volume")], "007 граммов": [("007 граммов", "7g         ", "2g         ", "mass")], "х5кг": [], "": [], None: [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    for r in df.select("s", features.normalize_units(F.col("s")).alias("x")).collect():
+        assert [(e.source, e.normalized, e.corrupted, e.family) for e in r.x.edits] == cases[r.s] or r.s in ("0,5 кг и 10 шт.", "10x20 см 5 л")
+        norm, bad = r.s or "", r.s or ""
+        for e in r.x.edits:
+            assert (r.s or "")[e.start : e.end] == e.source and len(e.normalized) == len(e.corrupted) == len(e.source) and e.normalized != e.corrupted
+            norm, bad = norm[: e.start] + e.normalized + norm[e.end :], bad[: e.start] + e.corrupted + bad[e.end :]
+        assert (r.x.norm, r.x.corrupt) == (norm, bad)
+
+
+def test_stack_fits_have_no_slope(wide):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    models = ["m1", "m2", "m3"]
+    fits = blend.fit_stack(wide, models, [0, 1, 2, 3])[1]
+    assert [f for f, *_ in fits] == [0, 1, 2, 3, None]
+    rows = VectorAssembler(inputCols=[f"x_{m}" for m in models], outputCol="x").transform(blend.stack_inputs(wide, models, "logit")).withColumn("label", F.col("target").cast("double")).where("fold <> 2")
+    model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1 / rows.count(), standardization=False, maxIter=200, tol=1e-12).fit(rows)
+    assert [fits[2][1], *fits[2][2]] == pytest.approx([model.intercept, *model.coefficients], abs=1e-5)
