@@ -237,7 +237,8 @@ def links(nodes: DataFrame, part_shingles: int = PART_SHINGLES, part_docs: int =
     cell = ["grp", "part", "asks", "pivot", "query", "node", "n", "shared"]
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("grp", "part", "asks").applyInArrow(group_links, "a long, b long")
+        # Dealt by all three, else a join by grp before would leave a whole group in one task.
+        return rows.repartition("grp", "part", "asks").groupBy("grp", "part", "asks").applyInArrow(group_links, "a long, b long")
 
     one = placed.where("parts = 1").withColumns({"asks": F.lit(0), "pivot": no, "query": yes}).select(cell)
     large = placed.where("parts > 1")
@@ -268,7 +269,7 @@ def compared_to_pivot(rows: DataFrame) -> DataFrame:
             out += [(int(node[q]), int(node[k])) for k in found.tolist()]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return rows.groupBy("grp", "part").applyInArrow(run, "a long, b long")
+    return rows.repartition("grp", "part").groupBy("grp", "part").applyInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, part_shingles: int = PART_SHINGLES, part_docs: int = PART_DOCS) -> DataFrame:
