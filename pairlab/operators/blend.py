@@ -182,14 +182,16 @@ def newton_fits(rows: DataFrame, x: list[str], fits: dict, n: dict, penalty: flo
     weight = np.array([0.0] + [penalty] * len(x))
     now, best, going = dict(fits), {f: (np.inf, w) for f, w in fits.items()}, list(fits)
     for _ in range(steps):
-        sums = []
-        for k, f in enumerate(going):
-            z = sum((float(w) * t for w, t in zip(now[f][1:], terms[1:])), F.lit(float(now[f][0])))
-            p, y = sigmoid(z), F.col("target")
-            mine = F.lit(True) if f is None else F.col("fold") != f
-            each = [F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z, *[(p - y) * t for t in terms], *[p * (1 - p) * terms[i] * terms[j] for i, j in pairs]]
-            sums += [F.sum(F.when(mine, v)).alias(f"s{k}_{i}") for i, v in enumerate(each)]
-        got, left = rows.agg(*sums).first(), []
+        sums, y = [], F.col("target")
+        scored = rows.select("fold", "target", *x, *[sum((float(w) * t for w, t in zip(now[f][1:], terms[1:])), F.lit(float(now[f][0]))).alias(f"z{k}") for k, f in enumerate(going)])
+        # What a fit may not see weighs nothing: its chance, spread and loss are 0 there.
+        mine = {k: F.lit(True) if f is None else F.col("fold") != f for k, f in enumerate(going)}
+        parts = {k: (sigmoid(z) - y, sigmoid(z) * (1 - sigmoid(z)), F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z) for k in mine for z in [F.col(f"z{k}")]}
+        scored = scored.select(*x, *[F.when(mine[k], v).otherwise(0.0).alias(f"{name}{k}") for k, vs in parts.items() for name, v in zip("rvl", vs)])
+        for k in mine:
+            each = [F.col(f"l{k}"), *[F.col(f"r{k}") * t for t in terms], *[F.col(f"v{k}") * terms[i] * terms[j] for i, j in pairs]]
+            sums += [F.sum(v).alias(f"s{k}_{i}") for i, v in enumerate(each)]
+        got, left = scored.agg(*sums).first(), []
         for k, f in enumerate(going):
             w = now[f]
             loss = got[f"s{k}_0"] + 0.5 * float(weight @ w**2)
