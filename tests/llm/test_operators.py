@@ -771,3 +771,28 @@ def test_all_values_of_a_word_are_scanned(spark, scanner):
     m = secrets.MASK
     assert masked[0] == f'{{"client_secret":"{m}","access_token":"{m}"}}' and masked[1] == f"https://api.example.com/v1?api_key={m}&page=2"
     assert masked[4] == f'{{"commit":"{a}","access_token":"{m}"}}' and masked[5] == f"{m},plainword,{m}"
+
+
+def test_the_rule_with_fewest_mistakes_on_held_back_rows_holds():
+    rng = random.Random(9)
+    words = [f"{a}{b}er" for a in "abcdefghij" for b in "klmnopqrst"]
+    toxic = ["gruesome", "hateful", "loathsome"]
+    texts = [" ".join(rng.choices(words, k=60) + (rng.sample(toxic, 2) if k < 10 else [])) for k in range(110)]
+    y = np.array([1] * 10 + [0] * 100)
+    row, code, value = toxicity.features(pa.array(texts))
+    got = toxicity.chosen_rule(row, code, value, y, 0.1)
+    mistakes = {}
+    for rule in toxicity.RULES:
+        wrong = np.zeros(len(y))
+        for k in range(4):
+            held = np.zeros(len(y), bool)
+            for kind in (0, 1):
+                held[np.flatnonzero(y == kind)[k::4]] = True
+            seen = np.flatnonzero(~held)
+            r, c, v = toxicity.features(pa.array([texts[i] for i in seen]))
+            m = toxicity.fit_nnpu(r, c, v, y[seen], 0.1, rule=rule)
+            wrong[held] = (np.bincount(row, value * m.weights[code], minlength=len(y)) + m.bias >= 0)[held]
+        found = wrong[y == 1].mean()
+        mistakes[rule] = 0.1 * (1 - found) + max(0, wrong[y == 0].mean() - 0.1 * found)
+    assert mistakes[got] == min(mistakes.values())
+    assert toxicity.chosen_rule(row[row < 1], code[row < 1], value[row < 1], y[:1], 0.1) == toxicity.RULES[0]
