@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's result is written as Parquet and read by the next."""
+    """Applies the stages to documents; each one's result is written as Parquet and read by the next.
+
+    The rows are op3's pieces of what the stages kept, `certified` left out. Nulls, empty and long texts, repeated rows
+    and an empty table are told at the stages; without documents there are no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
