@@ -1,11 +1,13 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A leaf block is the text between two block-level tags. Its features are tags and class names of its
-ancestors, its place, length, links, punctuation and cue words. The field has two labels, kept and dropped;
-it is trained by maximum likelihood (forward-backward, Adam) on labelled pages and decoded by Viterbi.
+ancestors, its place, length, links, punctuation and cue words, and length and links of the blocks beside it.
+The field has two labels, kept and dropped; it is trained by maximum likelihood (forward-backward, Adam) on
+labelled pages and decoded by Viterbi.
 
-Labelled pages: blocks of a bounded sample of real pages, of which those inside <article> are kept, and the
-same texts laid out anew in varied templates with known labels, so that no single tag decides.
+Labelled pages: blocks of a bounded sample of real pages, of which those inside <article> are kept; copies of
+these pages whose <article> and <main> are taken out or replaced by elements without a name; and the same texts
+laid out anew in varied templates with known labels, in a third of which nothing names the article.
 """
 
 from __future__ import annotations
@@ -153,12 +155,14 @@ def blocks(page: str | None) -> list[Block]:
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the features that hold of each block."""
     rows = []
+    looks = ["none", *(f"{min(8, len(b.text).bit_length()) // 2}:{min(1, 2 * b.link_chars // max(1, len(b.text)))}" for b in page), "none"]
     for i, b in enumerate(page):
         f = [*b.node.features()]
         n, words = len(b.text), b.text.split(" ")
         f.append(f"chars={min(8, n.bit_length())}")
         f.append(f"linked={min(3, 4 * b.link_chars // max(1, n))}")
         f.append(f"end={b.text[-1] if b.text[-1] in '.!?:,;' else 'other'}")
+        f += [f"before={looks[i]}", f"after={looks[i + 2]}"]
         f.append(f"place={'first' if i == 0 else 'last' if i == len(page) - 1 else 'inner'}")
         low = {w.strip('.,:;!?()').lower() for w in words}
         cues = len(low & CUES)
@@ -260,6 +264,9 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate:
 
 #: Names that pages give to the parts of their layout; the templates draw from them.
 KEPT_WRAPPERS = ["<article>", "<main><article>", '<main id="main">', '<div class="content">', '<div id="article-body">', '<div class="post-content">', '<section class="entry-content">', '<div class="story body-text">', '<article class="post">', '<div class="main-text">']
+#: What stands for the article's element where nothing names it; the first puts its blocks beside the page's other parts.
+NAMELESS = ["", "", "<div>", "<div><div>", "<section>", "<div><section>", "<center>", "<table><tr><td>"]
+WRAPPER = re.compile(r"<(/?)(?:article|main)\b[^>]*>", re.I)
 DROPPED = {
     "nav": ["<nav>", '<nav class="menu">', '<div class="navbar">', '<ul class="menu main-menu">', '<div id="navigation">', '<div class="breadcrumbs">', '<div class="topbar">'],
     "header": ["<header>", '<header class="site-header">', '<div class="page-header banner">', '<div id="masthead">'],
@@ -313,7 +320,7 @@ def laid_out(prose: list[str], short: list[str], rng: random.Random) -> tuple[st
     for kind in ("header", "nav", "ad", "notice"):
         if rng.random() < 0.6:
             dropped(kind)
-    wrapper = rng.choice(KEPT_WRAPPERS) if rng.random() < 0.95 else "<div>"
+    wrapper = rng.choice(KEPT_WRAPPERS if rng.random() < 2 / 3 else NAMELESS)
     parts.append((wrapper, -1))
     parts.append((f"<h1>{esc(rng.choice(prose)[:80].strip() or 'x')}</h1>", 1))
     for text in rng.sample(prose, rng.randint(0, min(len(prose), 9))):
@@ -332,8 +339,13 @@ def laid_out(prose: list[str], short: list[str], rng: random.Random) -> tuple[st
     return f"<html><head><title>{esc(rng.choice(short))}</title></head><body>{body}</body></html>", [y for _, y in parts if y >= 0]
 
 
+def unnamed(page: str, element: str) -> str:
+    """The page with each <article> and <main> replaced by `element` (a start tag), or taken out where that is empty."""
+    return WRAPPER.sub(lambda m: closing(element) if m[1] else element, page)
+
+
 def labelled_pages(sample: list[str], n: int = TEMPLATE_PAGES, seed: int = 42) -> list[tuple[list[list[str]], list[int]]]:
-    """Features and labels: the sample itself, its <article> kept, and n pages laid out from its texts."""
+    """Features and labels: the sample itself, its <article> kept, a copy of each page with neither <article> nor <main>, and n pages laid out from its texts."""
     rng, out = random.Random(seed), []
     prose, short = [], ["Home", "About us", "Contact", "Log in", "Share", "Privacy policy", "All rights reserved", "Subscribe", "Menu", "Read more", "Datenschutz", "Kontakt", "Accueil", "Inicio", "Accept cookies", "Reply", "Advertisement"]
     for page in sample:
@@ -341,6 +353,9 @@ def labelled_pages(sample: list[str], n: int = TEMPLATE_PAGES, seed: int = 42) -
         kept = [int(b.inside("article")) for b in got]
         if any(kept):
             out.append((features(got), kept))
+            copy = blocks(unnamed(page, rng.choice(["", "<div>", "<section>"])))
+            if [b.text for b in copy] == [b.text for b in got]:
+                out.append((features(copy), kept))
         for b, y in zip(got, kept):
             (prose if y and len(b.text) > 25 else short).append(b.text)
     prose = prose or ["A sentence that stands for the text of an article, with a full stop."]
