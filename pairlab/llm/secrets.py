@@ -1,7 +1,8 @@
 """Secret scans in DataFrame functions: candidate values, and a random forest that removes false positives.
 
-A candidate is a value of 12 or more key characters with a digit and a letter, wherever it stands, or one of 6
-or more characters of any kind that a credential's name is set to; a word can have many. Features are length, character transitions, alphabet, dictionary coverage, path and neighbouring words. The forest is trained by
+A candidate is a value of 12 or more key characters with a digit and a letter, wherever it stands, one of 6
+or more characters of any kind that a credential's name is set to, or a password of any length in a URL; a word
+can have many. An authentication scheme such as `Bearer` belongs to the name and is no value. Features are length, character transitions, alphabet, dictionary coverage, path and neighbouring words. The forest is trained by
 Spark ML on labelled findings and becomes a column expression, so scanning is one pass without a shuffle.
 """
 
@@ -21,30 +22,37 @@ SAMPLE, GROUPS = 400, 600
 TREES, DEPTH = 15, 5
 MASK = "[SECRET]"
 #: Names that credentials and digests go by.
-CREDENTIAL = "(?i)(token|secret|passw|pwd|api|(?<![a-z])key|key(?![a-z])|auth(?!or)|bearer|credential|private|access)"
+CREDENTIAL = "(?i)(token|secret|passw|pwd|api|(?<![a-z])key|key(?![a-z])|auth(?!or)|bearer|credential|private|access|://[^\\s/:@]*:$)"
 NAME = "(?:token|secret|passw(?:or)?d?|passphrase|pwd|key|auth|credentials?)"
+SCHEMES = "(?:bearer|basic|digest|token|negotiate|ntlm|apikey)"
 DIGEST = "(?i)(commit|sha|md5|checksum|hash|digest|uuid|guid|etag|rev|version|build|order|invoice|doc|page|isbn|file|image)"
 KEY = "[A-Za-z0-9+/_~.-]"
 #: A whole run of key characters with a digit and a letter; only a run's start is tried, so long runs cost their length.
 RUN = f"(?<!{KEY})(?={KEY}*[0-9])(?={KEY}*[A-Za-z]){KEY}{{12,}}+={{0,2}}"
 #: What a credential's name is set to; ends at a quote, a comma, or the next setting of a query string.
-SET = rf"(?<={NAME}[A-Za-z_]{{0,12}}[\"']{{0,2}}[:=][\"'(]{{0,2}})(?:[^\s\"',;<>&(){{}}]|&(?![\w.-]+=)){{6,}}+"
-VALUE = f"(?i:{SET})|{RUN}"
+SET = rf"(?<={NAME}[A-Za-z_]{{0,12}}[\"']{{0,2}}[:=][\"'(]{{0,2}})(?!{SCHEMES}$)(?:[^\s\"',;<>&(){{}}]|&(?![\w.-]+=)){{6,}}+"
+#: What stands between a URL's user name and its host; the first condition spares most places the second.
+URL = r"(?<=:)(?<=://[^\s/:@]{0,255}:)[^\s/@]++(?=@)"
+VALUE = f"(?i:{SET})|{URL}|{RUN}"
 #: A word that holds a setting, and text before a word that ends in one.
 SETS, SET_BEFORE = rf"(?i){NAME}[A-Za-z_]{{0,12}}[\"']{{0,2}}[:=]", rf"(?i){NAME}[A-Za-z_]{{0,12}}[\"')]{{0,2}}\s*[:=]\s*[\"'(]?$"
+#: Words that set a name of authentication to a scheme, whose value is the next word.
+SCHEME_BEFORE = rf"(?i)auth[A-Za-z_]{{0,12}}[\"')]{{0,2}}\s*[:=]\s*[\"'(]?{SCHEMES}$"
 #: Characters before a later value of a word that are its cue, and values back that a cue without letters is looked for.
 CUE, BACK = 60, 32
 FEATURES = ["length", "transitions", "digits", "uppers", "hexes", "distinct", "dictionary", "separators", "path", "prefix", "assigned", "credential", "digest", "quoted"]
 
 
-def set_before(last: Column, second: Column) -> Column:
-    """Whether the words before, the last and the one ahead of it, set a credential's name to what follows."""
-    return last.rlike("[:=][\"'(]?$") & F.concat_ws(" ", second, last).rlike(SET_BEFORE)
+def set_before(last: Column, second: Column, third: Column) -> Column:
+    """Whether the words before, the nearest first, set a credential's name to what follows, or name a scheme that it belongs to."""
+    named = last.rlike("[:=][\"'(]?$") & F.concat_ws(" ", second, last).rlike(SET_BEFORE)
+    return named | (last.rlike(f"(?i){SCHEMES}$") & F.concat_ws(" ", third, second, last).rlike(SCHEME_BEFORE))
 
 
-def has_candidates(word: Column, last: Column, second: Column) -> Column:
+def has_candidates(word: Column, *before: Column) -> Column:
     run = (F.length(word) >= 12) & word.rlike("[0-9]") & word.rlike("[A-Za-z]") & word.rlike(f"{KEY}{{12}}")
-    return run | (word.rlike("[:=]") & word.rlike(SETS)) | ((F.length(word) >= 6) & set_before(last, second))
+    url = word.contains("://") & word.contains("@")
+    return run | (word.rlike("[:=]") & word.rlike(SETS)) | url | ((F.length(word) >= 6) & set_before(*before))
 
 
 def values_of(word: Column, before: Column) -> Column:
@@ -109,9 +117,9 @@ def candidates(text: Column, groups: Column) -> Column:
 
         def whole(i: Column) -> Column:
             """The word; after words that set a name, with a name of its own, so that its pattern sees it."""
-            return F.when(set_before(at(i - 1), at(i - 2)), F.concat(F.lit("key="), at(i))).otherwise(at(i))
+            return F.when(set_before(at(i - 1), at(i - 2), at(i - 3)), F.concat(F.lit("key="), at(i))).otherwise(at(i))
 
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: has_candidates(at(i), at(i - 1), at(i - 2)))
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: has_candidates(at(i), at(i - 1), at(i - 2), at(i - 3)))
         found = F.flatten(F.transform(places, lambda i: F.transform(values_of(whole(i), F.concat_ws(" ", at(i - 2), at(i - 1))), lambda x: F.struct(i.alias("position"), x.alias("x")))))
         return F.transform(found, lambda c: F.struct(c["position"].alias("position"), feature_struct(c["x"], groups).alias("f")))
 
@@ -128,7 +136,7 @@ def dictionary(docs: DataFrame, groups: int = GROUPS) -> list[str]:
 
 
 def labelled_findings(docs: DataFrame) -> DataFrame:
-    """(text, label): findings of known kind set among words of the documents, eleven secrets and twenty false positives each."""
+    """(text, label): findings of known kind set among words of the documents, fifteen secrets and twenty false positives each."""
     low = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")
     w = [F.coalesce(F.get(low, F.lit(i)), F.lit("word")) for i in (1, 3, 5)]
     salt = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
@@ -145,6 +153,8 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
         F.concat(lit("password: "), w[0], w[1], w[2], w[0]), F.concat(lit('password = "'), F.substring(base, 1, 5), lit("&"), F.substring(digits, 1, 2), F.substring(base, 7, 4), lit('"')),
         F.concat(lit("pwd="), F.initcap(w[0]), lit("-"), F.initcap(w[1]), F.substring(digits, 1, 3), lit("!")), F.concat(lit("secret_key='"), F.substring(base, 1, 12), lit("#"), w[2], lit("'")),
         F.concat(lit('{"access_token":"'), base, lit('"}')),
+        F.concat(lit("Authorization: Bearer "), base), F.concat(lit("Proxy-Authorization: Basic "), F.substring(base, 1, 20), lit("==")),
+        F.concat(lit("postgres://"), w[0], lit(":"), F.substring(base, 1, 12), lit("@"), w[1], lit(".com/"), w[2]), F.concat(lit("https://"), w[1], lit(":"), w[0], F.substring(digits, 1, 3), lit("@"), w[2], lit(".org")),
     ]
     plain = [
         F.concat(lit("commit "), sha), F.concat(lit("md5: "), md5), F.concat(lit("id="), uuid), F.concat(lit("checksum = "), sha),
