@@ -8,6 +8,7 @@ everywhere else no segment can be an entity. What it finds outside base spans is
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from bisect import bisect_left
@@ -29,10 +30,11 @@ RUN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])" + EMAIL.pattern)
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens of an entity at most, and tokens that a region takes on either side of a cue.
-MAX_TOKENS, AROUND = 7, 3
-#: Characters to either side of a cue in which those tokens are looked for.
-REACH = 60
+#: Tokens of an entity at most; so many less one can stand on either side of a cue.
+MAX_TOKENS = 7
+AROUND = MAX_TOKENS - 1
+#: The longest address there can be by its standard: a longer token is part of no entity and ends a region.
+LONGEST = 254
 #: Words of the corpus that generated cases stand among.
 CASE_WORDS = 5000
 LABELS = ("none", *KINDS)
@@ -79,10 +81,16 @@ def segment_features(tokens: list[str], i: int, j: int) -> list[str]:
     shape = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "0", text.lower()))
     f = [f"n={j - i}", f"digits={min(20, len(digits))}", f"shape={shape[:24]}", f"first={text[:1] if not text[:1].isalnum() else 'alnum'}"]
     f.append(f"only={'digits' if re.fullmatch(r'[0-9 ().+-]+', text) else 'mixed' if digits else 'letters'}")
+    if digits and len(digits) <= 20:
+        groups = re.findall("[0-9]+", text)
+        f += [f"lead={'00' if digits[:2] == '00' else '0' if digits[0] == '0' else 'other'}", f"groups={','.join(str(len(g)) for g in groups)}"]
     if 13 <= len(digits) <= 19:
         f.append(f"luhn={luhn(digits)}")
     low = raw.lower()
     f.append(f"at={'@' in low or '(at)' in low or '[at]' in low or '{at}' in low or ' at ' in low}{'.' in text or ' dot ' in low or '(dot)' in low or '[dot]' in low}")
+    if j - i > 2 and not digits:
+        joints = " ".join(w if w in ("at", "dot") else "x" for w in low.split(" "))
+        f += [f"joints={joints}", f"joints={joints},{text.lower().rsplit(' ', 1)[-1] in ENDINGS}"]
     if j - i == 1 and digits and re.fullmatch(r"[0-9.]+", text):
         parts = text.split(".")
         f.append(f"parts={len(parts)},{all(p and int(p[:6]) <= 255 for p in parts)}")
@@ -122,7 +130,7 @@ class SemiCrf:
         return out[::-1]
 
 
-def fit(cases: list[tuple[list[str], list[tuple[int, int, int]]]], steps: int = 40, rate: float = 0.3, decay: float = 1e-3) -> SemiCrf:
+def fit(cases: list[tuple[list[str], list[tuple[int, int, int]]]], steps: int = 24, rate: float = 0.3, decay: float = 1e-3) -> SemiCrf:
     """Maximum likelihood over all segmentations (semi-Markov forward-backward), AdaGrad over the cases."""
     weights: list[dict[str, float]] = [{} for _ in LABELS]
     squares: list[dict[str, float]] = [{} for _ in LABELS]
@@ -132,20 +140,27 @@ def fit(cases: list[tuple[list[str], list[tuple[int, int, int]]]], steps: int =
         names = {(i, j): segment_features(tokens, i, j) for j in range(1, n + 1) for i in range(max(0, j - MAX_TOKENS), j)}
         inside = {k for a, b, _ in gold for k in range(a, b)}
         truth = {(a, b, y) for a, b, y in gold} | {(k, k + 1, 0) for k in range(n) if k not in inside}
-        prepared.append((n, names, truth))
+        spans = [(i, j, y) for i, j in names for y in range(0 if j - i == 1 else 1, len(LABELS))]
+        ending, starting = ([[k for k, span in enumerate(spans) if span[side] == at] for at in range(n + 1)] for side in (1, 0))
+        prepared.append((n, names, spans, ending, starting, [span in truth for span in spans]))
+
+    def total(values: list[float]) -> float:
+        top = max(values)
+        return top + math.log(sum(math.exp(v - top) for v in values))
+
     rng = random.Random(5)
     for _ in range(steps):
         rng.shuffle(prepared)
-        for n, names, truth in prepared:
-            s = {(i, j, y): sum(weights[y].get(x, 0.0) for x in f) for (i, j), f in names.items() for y in range(0 if j - i == 1 else 1, len(LABELS))}
-            forward, backward = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
+        for n, names, spans, ending, starting, true in prepared:
+            s = [sum(weights[y].get(x, 0.0) for x in names[i, j]) for i, j, y in spans]
+            forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
             for j in range(1, n + 1):
-                forward[j] = float(np.logaddexp.reduce([forward[i] + s[i, k, y] for i, k, y in s if k == j]))
+                forward[j] = total([forward[spans[k][0]] + s[k] for k in ending[j]])
             for i in range(n - 1, -1, -1):
-                backward[i] = float(np.logaddexp.reduce([backward[j] + s[k, j, y] for k, j, y in s if k == i]))
+                backward[i] = total([backward[spans[k][1]] + s[k] for k in starting[i]])
             z = forward[n]
-            for (i, j, y), v in s.items():
-                g = float(np.exp(min(0.0, forward[i] + v + backward[j] - z))) - ((i, j, y) in truth)
+            for k, (i, j, y) in enumerate(spans):
+                g = math.exp(min(0.0, forward[i] + s[k] + backward[j] - z)) - true[k]
                 if abs(g) < 1e-3:
                     continue
                 for x in names[i, j]:
@@ -156,36 +171,70 @@ def fit(cases: list[tuple[list[str], list[tuple[int, int, int]]]], steps: int =
     return SemiCrf(weights)
 
 
-def labelled_cases(words: list[str], n: int = 240, seed: int = 42) -> list[tuple[list[str], list[tuple[int, int, int]]]]:
-    """Short token runs with known entities among words of the corpus: base forms, written-out forms, and numbers that are none."""
+#: Parts of the generated cases: last and next-to-last parts of host names, words ahead of phone numbers and of other numbers.
+TOPS, SECONDS = ("com", "org", "net", "de", "fr", "es", "edu", "io", "info", "eu"), ("co uk", "ac uk", "com br", "edu au", "co jp")
+ENDINGS = {*TOPS, *(x.split(" ")[1] for x in SECONDS)}
+CALLS, NUMBERED = ("call", "phone", "tel", "fax", "mobile", "ring", "dial"), ("order", "invoice", "ref", "isbn", "ticket", "item", "part", "case", "number", "serial", "account", "page")
+
+
+def labelled_cases(words: list[str], n: int = 600, seed: int = 42) -> list[tuple[list[str], list[tuple[int, int, int]]]]:
+    """Short token runs with known entities among words of the corpus: base forms, written-out forms of one to three
+    parts in either case, national and foreign numbers, and numbers that are none."""
     rng = random.Random(seed)
     words = words or ["the", "of", "and", "with", "for"]
 
     def digits(k: int) -> str:
         return "".join(rng.choice("0123456789") for _ in range(k))
 
+    def grouped(lead: str, *sizes: int, by: str = " ") -> list[str]:
+        return by.join([lead + digits(sizes[0]), *map(digits, sizes[1:])]).split(" ")
+
     def card() -> str:
         body = digits(15)
         return next(body + c for c in "0123456789" if luhn(body + c))
 
-    def entity() -> tuple[list[str], int]:
+    def address() -> list[str]:
         name, host = rng.choice(words).lower(), rng.choice(words).lower()
-        kind = rng.randint(1, 4)
+        name = rng.choice([name, name, f"{name}.{rng.choice(words).lower()}", f"{name}_{host}", name + digits(2)])
+        hosts = [*rng.choice([[host], [host], [f"{host}-{rng.choice(words).lower()}"], ["mail", host]]), rng.choice(TOPS)]
+        if len(hosts) == 2 and rng.random() < 0.3:
+            hosts = [hosts[0], *rng.choice(SECONDS).split()]
+        if rng.random() < 0.2:
+            return [f"{name}@{'.'.join(hosts)}"]
+        at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), ("at", "dot"), ("at", "dot"), ("(at)", "."), ("[at]", ".")])
+        at, dot = (at.upper(), dot.upper()) if rng.random() < 0.3 else (at, dot)
+        if dot == ".":
+            return rng.choice([[f"{name}{at}{'.'.join(hosts)}"], [name, at, ".".join(hosts)]])
+        return [name, at, *f" {dot} ".join(hosts).split(" ")]
+
+    def phone() -> list[str]:
+        a, b, c = digits(3), digits(3), digits(4)
+        forms = [["+1", f"({a})", f"{b}-{c}"], [f"+{digits(2)}", a, b, c], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"]]
+        national = [grouped("0", 2, 4, 4), grouped("0", 3, 3, 4), grouped("0", 1, 2, 2, 2, 2), grouped("0", 3, 7), grouped("0", 2, 7, by="/"), grouped("0", 3, 6, by="-"), [f"(0{digits(2)})", digits(4), digits(4)]]
+        abroad = [grouped("00", 2, 2, 3, 2, 2), grouped("00", 2, 3, 3, 3), grouped("00", 2, 2, 4, 4), grouped("00", 1, 3, 3, 4)]
+        return rng.choice(rng.choice([forms, national, abroad]))
+
+    def entity() -> tuple[list[str], int]:
+        kind = rng.choice([1, 1, 2, 3, 4, 4])
         if kind == 1:
-            return rng.choice([[f"{name}@{host}.com"], [f"{name}.{digits(2)}@mail{digits(1)}.{host}.org"], [name, "(at)", host, "(dot)", "com"], [name, "[at]", host, "[dot]", "org"], [f"{name}(at){host}.com"], [f"{name}[at]{host}.net"], [name, "at", host, "dot", "com"]]), 1
+            return address(), 1
         if kind == 2:
             return [".".join(str(rng.randint(0, 255)) for _ in range(4))], 2
         if kind == 3:
             c = card()
             return rng.choice([[c], [c[:4], c[4:8], c[8:12], c[12:]], ["-".join([c[:4], c[4:8], c[8:12], c[12:]])]]), 3
-        a, b, c = digits(3), digits(3), digits(4)
-        return rng.choice([["+1", f"({a})", f"{b}-{c}"], [f"+{digits(2)}", a, b, c], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"]]), 4
+        return phone(), 4
 
     def decoy() -> list[str]:
         d = digits(16)
         if luhn(d):
             d = d[:-1] + str((int(d[-1]) + 1) % 10)
-        return rng.choice([[d], [d[:4], d[4:8], d[8:12], d[12:]], [digits(rng.randint(1, 8))], [f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}"], [f"{digits(1)}.{digits(1)}.{digits(2)}"], [f"{digits(2)}.{digits(3)},{digits(2)}"], [digits(20)], ["at", rng.choice(words), rng.choice(words)], [f"{rng.randint(256, 999)}.{digits(2)}.{digits(1)}.{digits(2)}"], [f"{digits(2)}:{digits(2)}:{digits(2)}"], [digits(10)], [f"{digits(3)}-{digits(4)}"]])
+        year = f"20{digits(2)}"
+        plain = [[d], [d[:4], d[4:8], d[8:12], d[12:]], [digits(rng.randint(1, 8))], [f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}"], [f"{digits(1)}.{digits(1)}.{digits(2)}"], [f"{digits(2)}.{digits(3)},{digits(2)}"], [digits(20)], ["at", rng.choice(words), rng.choice(words)], [f"{rng.randint(256, 999)}.{digits(2)}.{digits(1)}.{digits(2)}"], [f"{digits(2)}:{digits(2)}:{digits(2)}"], [digits(10)], [f"{digits(3)}-{digits(4)}"]]
+        others = [[year, f"20{digits(2)}", f"20{digits(2)}"], [f"{rng.randint(1, 28)}", f"{rng.randint(1, 12)}", year], [f"{rng.randint(1, 9)}", digits(3), digits(3)], ["at", rng.choice(words), "dot", rng.choice(words)], [f"{year}-{digits(4)}-{digits(4)}"], [f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"], [f"0.{digits(7)}"]]
+        numbers = [[f"{digits(3)}-{digits(4)}-{digits(4)}"], [f"{digits(4)}-{digits(4)}"], grouped("", 3, 4, 4), grouped("", 4, 4), [digits(12)], [f"{digits(2)}-{digits(5)}-{digits(3)}"]]
+        pick = rng.random()
+        return rng.choice(plain) if pick < 0.5 else rng.choice(others) if pick < 0.7 else [rng.choice(NUMBERED), *rng.choice(numbers)]
 
     out = []
     for _ in range(n):
@@ -193,6 +242,7 @@ def labelled_cases(words: list[str], n: int = 240, seed: int = 42) -> list[tuple
         gold = []
         if rng.random() < 0.6:
             e, y = entity()
+            tokens += [rng.choice(CALLS) + rng.choice(["", ":"])] if y == 4 and rng.random() < 0.3 else []
             gold.append((len(tokens), len(tokens) + len(e), y))
             e[-1] += rng.choice(["", "", ".", ","])
             tokens += e
@@ -222,15 +272,15 @@ def without(text: str, base: list[tuple[int, int, int]]) -> str:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) -> list[tuple[int, int, int]]:
     """Entities of the field that touch no base span; regions hold a cue beside the base spans."""
-    out, done = [], 0
+    out, done, reach = [], 0, AROUND * (LONGEST + 1)
     text = without(text, base)
     taken = sorted(base)
     ends = list(accumulate((b for _, b, _ in taken), max))  # the furthest end of a base span that starts no later
     for m in sorted((m for cue in CUES for m in cue.finditer(text)), key=lambda m: m.start()):
         if m.start() < done:
             continue
-        low = max(done, m.start() - REACH)
-        high = min(len(text), m.end() + REACH)
+        low = max(done, m.start() - reach)
+        high = min(len(text), m.end() + reach)
         found = [(low + t.start(), low + t.end()) for t in TOKENS.finditer(text[low:high])]
         if low and found and not text[low - 1].isspace() and found[0][0] == low:
             found = found[1:]
@@ -240,6 +290,12 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCrf) ->
         if not inner:
             continue
         found = found[max(0, inner[0] - AROUND) : inner[-1] + 1 + AROUND]
+        long = [k for k, (a, b) in enumerate(found) if b - a > LONGEST]
+        if any(a < m.end() and m.start() < b for a, b in (found[k] for k in long)):
+            done = max(done, m.end())
+            continue
+        first = max((k + 1 for k in long if found[k][1] <= m.start()), default=0)
+        found = found[first : min((k for k in long if found[k][0] >= m.end()), default=len(found))]
         tokens = [text[a:b] for a, b in found]
         for i, j, label in model.decode(tokens):
             a, b = found[i][0], found[j - 1][1]

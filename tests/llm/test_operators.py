@@ -607,6 +607,19 @@ def test_field_adds_written_out_addresses(spark, docs):
     assert sum(set(model.decode(t)) == set(g) for t, g in held) / len(held) > 0.9
 
 
+def test_field_on_forms_of_other_making(spark, docs):
+    model = pii.train(docs)
+    hold = {
+        "write anna.maria (at) uni-example (dot) ac (dot) uk today": "anna.maria (at) uni-example (dot) ac (dot) uk", "it was bob_smith at mail dot example dot org who": "bob_smith at mail dot example dot org",
+        "mail to anna AT example DOT com now": "anna AT example DOT com", "in london 020 7946 0958 is mine": "020 7946 0958", "from abroad 0041 44 668 18 00 please": "0041 44 668 18 00",
+        "their fax: 0531 391 4000 works": "0531 391 4000", "ask j.doe [at] school [dot] edu first": "j.doe [at] school [dot] edu", "see peter(at)web.de there": "peter(at)web.de",
+    }
+    clean = ["the order 555-1234-9876 came", "he was at home dot and comma were", "from 2019 2020 2021 on", "about 12 500 000 people", "isbn 978-3-16-148410-0 is", "invoice 2024-0001-7781 is due", "on 12 05 2020 it", "case 4411 2290 was closed"]
+    found = {t: [t[a:b] for a, b, _ in pii.added_spans(t, pii.base_spans(t), model)] for t in [*hold, *clean]}
+    wrong = {t: x for t, x in found.items() if x != ([hold[t]] if t in hold else [])}
+    assert not wrong
+
+
 @pytest.mark.parametrize(
     "text", ["please call 555-123-4567, 192.168.10.20 for the rest", "see 192.168.10.20, 555-123-4567 for the rest", "please call 555-123-4567, 4111 1111 1111 1111 for it", "and 4111 1111 1111 1111, 555-123-4567 of it", "host 192.168.10.20,555-123-4567,10.0.0.1 up"]
 )
