@@ -48,6 +48,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of the shared folder whose readers are done; what is not there is passed over."""
+    inside = shared_dir(spark)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(inside).toUri().getPath() + "/"):
+            raise ValueError(f"{folder} is not within {inside}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_crc(column: str = "doc_id"):
     """crc32 of the id as text; the train and held-out rows come from it."""
     return F.crc32(F.col(column).cast("string"))

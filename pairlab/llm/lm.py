@@ -1,18 +1,21 @@
-"""Stupid-backoff scores of documents under n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents under n-gram counts of all other documents of the corpus.
 
-n-grams are over the words, A-Z in lower case, so the count table grows with the corpus.
+n-grams are over the words, A-Z in lower case, so the count table grows with the corpus. A document's own
+occurrences are taken out of every count, so that it is not its own evidence and no threshold is wanted.
 
 plain_score writes it out: one row for each n-gram of each place, joined to the count table on its text, summed
 by document. word_score does the same joins with the rows of a block of documents packed. Blocks give their
 different n-grams with their counts as sorted keys, cut by key range; each range sums them over all blocks and
-returns every block the totals of its own; each block sums the scores of its documents. Words and pairs go
-first, then one order after the other: an n-gram that holds one too rare to count is as rare, and is not sent.
+returns every block the totals of its own; each block takes out what its documents gave and sums their scores.
+Words and pairs go first, then one order after the other: an n-gram that holds one no other document has is in
+no other document either, and is not sent.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import ASCII_LOWER, chunks, materialise, mix, run_hash, shared_dir, spans, text_bytes
+from pairlab.llm.common import ASCII_LOWER, chunks, delete, materialise, mix, run_hash, shared_dir, spans, text_bytes
 
 ORDER, BACKOFF = 4, 0.4
 #: zstd level of the texts between the passes.
 LEVEL = 9
-#: An n-gram of two or more words counts as seen from so many occurrences on.
-LEAST = 2
 #: Bytes of text of a block; there is a key range for each block. A longer document is a block of its own.
 WORD_BLOCK = 16_000_000
 #: A key has so many bits beyond those that number the n-grams: one n-gram in 2^24 shares its key with another.
@@ -37,27 +38,31 @@ TOTALS = "block long, level int, range int, n long, totals binary"
 GRAMS = "range int, block long, level int, n long, grams binary, counts binary"
 
 
-def plain_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
+def plain_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """The result of word_score by exploded n-grams and joins; some ten times its shuffle."""
     low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(low, F.lit(r"[^\x00-\x20]+"), F.lit(0)).alias("w"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "words")
+    total = F.broadcast(rows.agg(F.sum(F.size("w")).alias("total")))  # a single row
     places = rows.select("row", "w", F.posexplode("w").alias("i", "word"))
 
     def gram(n: int, back: int = 0):
         return F.array_join(F.slice("w", F.col("i") + 2 - n, F.lit(n - back)), " ")
 
     levels = [F.when(F.col("i") >= n - 1, F.struct(F.lit(n).alias("n"), gram(n).alias("gram"), (gram(n, 1) if n > 1 else F.lit("")).alias("context"))) for n in range(1, order + 1)]
-    grams = places.select("row", "i", F.explode(F.filter(F.array(*levels), lambda x: x.isNotNull())).alias("g")).select("row", "i", "g.*")
-    counts = grams.groupBy("n", "gram").agg(F.count("*").alias("c"))
-    total = counts.where("n = 1").agg(F.sum("c").alias("before"))
-    contexts = counts.select((F.col("n") + 1).alias("n"), F.col("gram").alias("context"), F.col("c").alias("before"))
-    found = grams.join(counts, ["n", "gram"]).where((F.col("c") >= least) | (F.col("n") == 1))
-    one = found.where("n = 1").join(F.broadcast(total))  # a single row
-    more = found.where("n > 1").join(contexts, ["n", "context"])
+    grams = places.select("row", "i", F.size("w").alias("size"), F.explode(F.filter(F.array(*levels), lambda x: x.isNotNull())).alias("g")).select("row", "i", "size", "g.*")
+    own = grams.groupBy("row", "n", "gram").agg(F.count("*").alias("own"))
+    counts = own.groupBy("n", "gram").agg(F.sum("own").alias("c"))
+    others = own.join(counts, ["n", "gram"]).where("c > own").select("row", "n", "gram", (F.col("c") - F.col("own")).alias("o"))
+    contexts = others.select("row", (F.col("n") + 1).alias("n"), F.col("gram").alias("context"), F.col("o").alias("before"))
+    found = grams.join(others, ["row", "n", "gram"])
+    one = found.where("n = 1").join(total).withColumn("before", F.col("total") - F.col("size"))
+    more = found.where("n > 1").join(contexts, ["row", "n", "context"])
     steps = F.least(F.lit(order), F.col("i") + 1) - F.col("n")
-    scored = one.select("row", "i", "n", "c", "before").unionByName(more.select("row", "i", "n", "c", "before"))
-    best = scored.groupBy("row", "i").agg(F.max_by(F.ln(F.col("c") / F.col("before")) + steps * F.ln(F.lit(backoff)), "n").alias("points"))
+    seen = one.select("row", "i", "n", "o", "before").unionByName(more.select("row", "i", "n", "o", "before"))
+    unseen = places.join(total).select("row", "i", F.lit(0).alias("n"), F.lit(1).alias("o"), F.col("total").alias("before"))
+    points = F.ln(F.col("o") / F.col("before")) + steps * F.ln(F.lit(backoff))
+    best = seen.unionByName(unseen).groupBy("row", "i").agg(F.max_by(points, "n").alias("points"))
     sums = best.groupBy("row").agg(F.sum("points").alias("log_score"))
     return _named(rows.select("id", "row", F.size("w").cast("long").alias("n_grams")).join(sums, "row", "left").withColumn("log_score", F.coalesce("log_score", F.lit(0.0))), id_col)
 
@@ -166,22 +171,24 @@ def range_totals(t: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*[c.combine_chunks() for c in one.columns], out], names=["block", "level", "range", "n", "totals"])
 
 
-def seen_counts(keys: np.ndarray, sent: np.ndarray, totals: list[np.ndarray]) -> np.ndarray:
-    """Count in the corpus of the n-gram at each place that was sent, else 0; totals: by range, in order of the keys."""
+def other_counts(keys: np.ndarray, doc: np.ndarray, sent: np.ndarray, totals: list[np.ndarray]) -> np.ndarray:
+    """How often other texts hold the n-gram at each place that was sent, else 0; totals: by range, in order of the keys."""
     at, count = np.flatnonzero(sent), np.zeros(len(keys), np.int64)
     if len(at):
-        by = np.argsort(keys[at])
-        ordered = keys[at[by]]
-        which = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+        at = at[np.argsort(keys[at], kind="stable")]  # places of a key stay in order of their texts
+        new_key = np.ones(len(at), bool)
+        new_key[1:] = keys[at[1:]] != keys[at[:-1]]
         known = np.concatenate(totals or [np.zeros(0, np.uint64)]).astype(np.int64)
-        if len(known) != which[-1] + 1:
-            raise ValueError(f"{len(known)} totals for {which[-1] + 1} n-grams")
-        count[at[by]] = known[which]
+        if len(known) != new_key.sum():
+            raise ValueError(f"{len(known)} totals for {new_key.sum()} n-grams")
+        starts = np.flatnonzero(new_key | np.concatenate([[True], doc[at[1:]] != doc[at[:-1]]]))
+        own = np.diff(np.append(starts, len(at)))
+        count[at] = np.repeat(known[np.cumsum(new_key)[starts] - 1] - own, own)
     return count
 
 
-def block_levels(t: pa.Table, totals: pa.Table, order: int, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]:
-    """Text number and place of each word, and for each level (n, keys, places that are sent, counts if totals has them)."""
+def block_levels(t: pa.Table, totals: pa.Table, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]]:
+    """Text number and place of each word, and for each level (n, keys, places that are sent, counts in other texts if totals has them)."""
     doc, place, levels = word_levels(t.column("text").combine_chunks(), order, bits)
     rows: dict[int, list] = {}
     for r in totals.sort_by("range").to_pylist():
@@ -191,40 +198,43 @@ def block_levels(t: pa.Table, totals: pa.Table, order: int, least: int, bits: in
         before = None
         for n, keys in enumerate(levels, 1):
             sent = place >= n - 1
-            if n > 2:  # both n-grams of the order before must be frequent
-                sent &= before >= least
-                sent[1:] &= before[:-1] >= least
-            count = seen_counts(keys, sent, rows.get(n, [])) if n in rows or not sent.any() else None
+            if n > 2:  # other texts must have both n-grams of the order before
+                sent &= before > 0
+                sent[1:] &= before[:-1] > 0
+            count = other_counts(keys, doc, sent, rows.get(n, [])) if n in rows or not sent.any() else None
             before = count
             yield n, keys, sent, count
 
     return doc, place, each()
 
 
-def backed_off(seen: list[np.ndarray], place: np.ndarray, total: int, backoff: float, least: int) -> np.ndarray:
-    """Logarithm of each place's score; seen[n - 1]: the count of the n-gram that ends there."""
+def backed_off(seen: list[np.ndarray], place: np.ndarray, others: np.ndarray, total: int, backoff: float) -> np.ndarray:
+    """Logarithm of each place's score; seen[n - 1]: other texts' count of the n-gram that ends there; others: of all their words."""
     points, weight, open_ = np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place), bool)
     for n in range(len(seen), 0, -1):
-        here = open_ & (seen[n - 1] >= (least if n > 1 else 1))
-        before = np.full(len(place), float(total))
+        here = open_ & (seen[n - 1] > 0)
+        before = others.astype(np.float64)
         if n > 1:
             before[1:] = seen[n - 2][:-1]  # the context ends one place earlier
         points[here] = weight[here] + np.log(seen[n - 1][here] / before[here])
         open_ &= ~here
         weight = np.where(open_ & (place >= n - 1), weight + np.log(backoff), weight)
+    points[open_] = weight[open_] - np.log(max(1, total))
     return points
 
 
-def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, block_bytes: int = WORD_BLOCK) -> DataFrame:
+def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = WORD_BLOCK) -> DataFrame:
     """(id_col, n_grams, log_score, mean_log_score): a row for each row.
 
     n_grams is the number of words (runs of bytes above the blank), each scored by the longest of its n-grams that
-    the whole corpus has `least` times or more, over the count of its context; each step down within the text
-    multiplies by backoff. A null, empty or wordless text has n_grams 0, log_score 0 and no mean. Repeated rows
-    count and score each; other columns are not read; an empty table gives no rows.
+    other rows have, over the count of its context in other rows; each step down within the text multiplies by
+    backoff. A word that no other row has is one step below the single words, at 1 over all words of the corpus. A
+    null, empty or wordless text has n_grams 0, log_score 0 and no mean. Repeated rows count and score each, and are
+    each other's evidence; other columns are not read; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = blocks(docs, id_col, block_bytes)
+    spark, name = docs.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
+    texts = blocks(docs, id_col, block_bytes, name)
     n_blocks, total = texts.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     ranges, bits = max(1, n_blocks), min(64, (order * total + 1).bit_length() + SPARE_BITS)
     none = pa.table({"block": pa.array([], pa.int64()), "level": pa.array([], pa.int32()), "range": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "totals": pa.array([], pa.binary())})
@@ -232,7 +242,7 @@ def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, back
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("texts")):
-                _, _, levels = block_levels(texts_of(raw.as_py()), none, min(order, 2), least, bits)
+                _, _, levels = block_levels(texts_of(raw.as_py()), none, min(order, 2), bits)
                 for n, keys, sent, _ in levels:
                     yield block_grams(block, n, keys[sent], ranges, bits)
 
@@ -240,7 +250,7 @@ def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, back
         def run(t: pa.Table, totals: pa.Table) -> pa.Table:
             parts = [pa.schema([("range", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("n", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]).empty_table()]
             for block, raw in zip(t.column("block").to_pylist(), t.column("texts")):
-                _, _, levels = block_levels(texts_of(raw.as_py()), totals, level, least, bits)
+                _, _, levels = block_levels(texts_of(raw.as_py()), totals, level, bits)
                 parts += [pa.Table.from_batches([block_grams(block, n, keys[sent], ranges, bits)]) for n, keys, sent, _ in levels if n == level]
             return pa.concat_tables(parts)
 
@@ -250,17 +260,24 @@ def word_score(docs: DataFrame, id_col: str = "doc_id", order: int = ORDER, back
         parts = [pa.schema([("id", pa.int64()), ("n_grams", pa.int64()), ("log_score", pa.float64())]).empty_table()]
         for raw in t.column("texts"):
             rows = texts_of(raw.as_py())
-            doc, place, levels = block_levels(rows, totals, order, least, bits)
-            points = backed_off([count for *_, count in levels], place, total, backoff, least)
-            parts.append(pa.table({"id": rows.column("id"), "n_grams": np.bincount(doc, minlength=len(rows)).astype(np.int64), "log_score": np.bincount(doc, points, minlength=len(rows)).astype(np.float64)}))
+            doc, place, levels = block_levels(rows, totals, order, bits)
+            size = np.bincount(doc, minlength=len(rows)).astype(np.int64)
+            points = backed_off([count for *_, count in levels], place, total - size[doc], total, backoff)
+            parts.append(pa.table({"id": rows.column("id"), "n_grams": size, "log_score": np.bincount(doc, points, minlength=len(rows)).astype(np.float64)}))
         return pa.concat_tables(parts[1:] or parts)
 
     def summed(grams: DataFrame) -> DataFrame:
         return grams.groupBy("range").applyInArrow(lambda t: pa.Table.from_batches(range_totals(t)), TOTALS)
 
     own = texts.select("block", "texts")
-    totals = materialise(summed(own.mapInArrow(short, GRAMS)), "lm-totals")
+    found = [materialise(summed(own.mapInArrow(short, GRAMS)), "lm-totals")]
     for level in range(3, order + 1):
-        longer = own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(long(level), GRAMS)
-        totals = totals.unionByName(materialise(summed(longer), "lm-totals"))
-    return _named(own.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scores, f"id {kind}, n_grams long, log_score double"), id_col)
+        known = reduce(DataFrame.unionByName, found)
+        longer = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(long(level), GRAMS)
+        found.append(materialise(summed(longer), "lm-totals"))
+    known = reduce(DataFrame.unionByName, found)
+    got = own.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scores, f"id {kind}, n_grams long, log_score double")
+    got = materialise(got, "lm-scores")
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, f"{shared_dir(spark)}/{name}", *{f.rsplit("/", 1)[0] for t in found for f in t.inputFiles()})
+    return _named(got, id_col)

@@ -142,12 +142,15 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents
 p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 g AS (SELECT r, i, n, array_to_string(w[i - n + 1 : i], ' ') AS gram, array_to_string(w[i - n + 1 : i - 1], ' ') AS context
       FROM p, range(1, 5) AS s(n) WHERE i >= n),
-c AS (SELECT n, gram, count(*) AS c FROM g GROUP BY n, gram),
-t AS (SELECT sum(c) AS total FROM c WHERE n = 1),
-f AS (SELECT g.r, g.i, g.n, c.c, CASE WHEN g.n = 1 THEN t.total ELSE b.c END AS before
-      FROM g JOIN c ON c.n = g.n AND c.gram = g.gram CROSS JOIN t LEFT JOIN c AS b ON b.n = g.n - 1 AND b.gram = g.context
-      WHERE c.c >= 2 OR g.n = 1),
-s AS (SELECT r, i, max_by(ln(c / before) + (least(4, i) - n) * ln(0.4), n) AS points FROM f GROUP BY r, i),
+own AS MATERIALIZED (SELECT r, n, gram, count(*) AS own FROM g GROUP BY r, n, gram),
+c AS (SELECT n, gram, sum(own) AS c FROM own GROUP BY n, gram),
+o AS MATERIALIZED (SELECT own.r, own.n, own.gram, CAST(c.c - own.own AS DOUBLE) AS o FROM own JOIN c ON c.n = own.n AND c.gram = own.gram WHERE c.c > own.own),
+t AS (SELECT sum(len(w)) AS total FROM d),
+f AS (SELECT g.r, g.i, g.n, o.o / (CASE WHEN g.n = 1 THEN t.total - len(d.w) ELSE b.o END) AS share
+      FROM g JOIN o ON o.r = g.r AND o.n = g.n AND o.gram = g.gram JOIN d ON d.r = g.r CROSS JOIN t
+      LEFT JOIN o AS b ON b.r = g.r AND b.n = g.n - 1 AND b.gram = g.context
+      UNION ALL SELECT p.r, p.i, 0, 1.0 / t.total FROM p CROSS JOIN t),
+s AS (SELECT r, i, max_by(ln(share) + (least(4, i) - n) * ln(0.4), n) AS points FROM f GROUP BY r, i),
 q AS (SELECT r, sum(points) AS log_score FROM s GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_grams, round(coalesce(q.log_score, 0), 4) AS log_score,
        CASE WHEN len(d.w) > 0 THEN round(q.log_score / len(d.w), 6) END AS mean_log_score
