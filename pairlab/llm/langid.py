@@ -16,11 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import ASCII_LOWER, chunks, text_bytes
+from pairlab.llm.common import ASCII_LOWER, chunks, mix, text_bytes
 
 BITS = 15
 #: Training rows of a language at most.
 ROWS_A_LANGUAGE = 400
+#: Two and three languages have so few splits that each is learned so many times, from other features each time.
+REPEATS = {2: 5, 3: 3}
 #: A text is ambiguous if the winner's probability is below this.
 CLEAR = 0.6
 #: Bytes other than ASCII letters and non-ASCII ones become blanks.
@@ -37,19 +39,34 @@ class Model:
 
 
 def codewords(k: int) -> np.ndarray:
-    """All different splits up to seven languages; beyond that 16 + 4 log2(k) hashed ones, rows kept distinct."""
+    """All different splits up to seven languages, for two and three more than once; beyond that 16 + 4 log2(k) hashed bits.
+
+    Any two codewords differ in three bits at least, hashed ones in a quarter of their bits, so a wrong bit is corrected.
+    """
     if k <= 1:
         return np.ones((k, 1))
     if k <= 7:
         splits = [(1, *x) for x in product((1, -1), repeat=k - 1)][1:]
-        return np.array(splits, float).T
-    rng = np.random.default_rng(k)
+        return np.tile(np.array(splits, float).T, (1, REPEATS.get(k, 1)))
+    rng, length = np.random.default_rng(k), 16 + 4 * int(np.ceil(np.log2(k)))
     while True:
-        code = rng.choice([-1.0, 1.0], (k, 16 + 4 * int(np.ceil(np.log2(k)))))
-        if len(np.unique(code, axis=0)) == k and (abs(code.sum(0)) < k).all():
+        code = np.zeros((0, length))
+        while len(code) < k:
+            row = rng.choice([-1.0, 1.0], length)
+            if ((code != row).sum(1) >= length / 4).all():
+                code = np.vstack([code, row])
+        if (abs(code.sum(0)) < k).all():
             return code
 
 
+def column_features(codes: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which features each bit's classifier uses: all, but where a split comes more than once each reads its own two thirds."""
+    number = np.arange(1, codes.shape[1] + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        mask = mix(names[:, None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number) % np.uint64(3) != 0
+    return mask | (len(codes) not in REPEATS)
+
+
 def grams(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed one- to three-byte grams of all texts: feature of each, and text number; runs of blanks count once."""
     data, offsets = text_bytes(column)
@@ -115,6 +132,7 @@ def train(docs: DataFrame, train_rows: Column, rows: int = ROWS_A_LANGUAGE, bits
     cut = np.searchsorted(row, np.arange(n))
     by_code = np.argsort(code, kind="stable")
     code_cut = np.searchsorted(code[by_code], np.arange(len(names)))
+    used = column_features(codes, names)
     m, v = np.zeros((len(names) + 1, codes.shape[1])), np.zeros((len(names) + 1, codes.shape[1]))
     full = np.diff(np.append(cut, len(row))) > 0
     for t in range(1, steps + 1):
@@ -126,6 +144,7 @@ def train(docs: DataFrame, train_rows: Column, rows: int = ROWS_A_LANGUAGE, bits
         grad = np.empty_like(m)
         for k in range(codes.shape[1]):
             grad[:-1, k] = np.add.reduceat((value * g[row, k])[by_code], code_cut) + decay * w[:, k]
+        grad[:-1] *= used
         grad[-1] = g.sum(0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9) * (1 - t / (steps + 1))
@@ -146,8 +165,9 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus lang_pred, lang_score (0 to 1) and lang_ambiguous, from the text alone.
 
-    A null text or one without a letter is `und` with score 0, as is every text if the model has no
+    A text between several languages takes the first by name. A null text or one without a letter is `und` with score 0, as is every text if the model has no
     language. Columns of those names are replaced, others pass through; repeated rows stay.
+    An empty table gives no rows; a text of any length is read whole, by one task.
     """
     added = {"lang_pred": F.lit(""), "lang_score": F.lit(0.0), "lang_ambiguous": F.lit(False)}
     names = [c for c in docs.columns if c.lower() not in added]
