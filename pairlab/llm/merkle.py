@@ -3,14 +3,17 @@
 A paragraph is a line. Its leaves are pieces: runs of words that end where a word's hash says so, so an edit
 changes the pieces around it alone. A section ends after a blank paragraph, or where a paragraph's hash says so.
 The hash of a paragraph is BLAKE2b over its leaves and its line, those of sections and the root over what lies
-below. The fingerprint is the root and a MinHash sketch of the leaves, both of fixed size: equal roots are equal
-texts, the sketch says how large a share of the leaves two trees have in common.
+below. Equal roots are equal texts. Two trees are compared from above: branches of equal hash are shared whole, the
+others are entered down to the leaves; so come the share of common leaves and the paragraphs that differ.
+
+The fingerprint is the root and a MinHash sketch of the leaves, both of fixed size; from it alone, without the
+trees, the share of common leaves can be estimated (`likeness`).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import chain, zip_longest
@@ -49,7 +52,7 @@ def leaves(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def trees(texts: list[str], found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[dict]:
-    """The tree of each text: {"root", "sections": [(hash, [paragraph hashes])]}; hashes as hex."""
+    """The tree of each text: {"root", "sections": [(hash, [paragraph hashes])], "leaves": [of each paragraph]}; hashes as hex."""
     leaf, _, line = found
     raw, number = leaf.astype("<u8").tobytes(), 0
     for text in texts:
@@ -65,7 +68,7 @@ def trees(texts: list[str], found: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
         if held:
             sections.append(held)
         named = [(digest(b"s", *s), s) for s in sections]
-        yield {"root": digest(b"r", *[h for h, _ in named]).hex(), "sections": [(h.hex(), [p.hex() for p in s]) for h, s in named]}
+        yield {"root": digest(b"r", *[h for h, _ in named]).hex(), "sections": [(h.hex(), [p.hex() for p in s]) for h, s in named], "leaves": [leaf[a // 8 : b // 8] for a, b in zip(cut, cut[1:])]}
 
 
 def tree(text: str | None) -> dict:
@@ -110,6 +113,47 @@ def edits(before: str | None, after: str | None) -> list[tuple[str, tuple[int, i
     return out
 
 
+def compare(a: dict, b: dict) -> tuple[float, int, int | None]:
+    """Share of common leaves of two trees, number of paragraphs of b without an equal branch in a, first paragraph that differs.
+
+    The share is that of common leaves, repeats counted, among all leaves of both: 1 for equal roots, else at most
+    0.999; 0 if one has no leaf. Paragraphs count from 0; equal trees have no first one.
+    """
+    if a["root"] == b["root"]:
+        return 1.0, 0, None
+    firsts = [t["sections"] for t in (a, b)]
+    same = next((k for k, (x, y) in enumerate(zip(*firsts)) if x[0] != y[0]), min(map(len, firsts)))
+    skipped = sum(len(s) for _, s in firsts[0][:same])
+    below = [[p for _, s in f[same:] for p in s] for f in firsts]
+    first = skipped + next((k for k, (x, y) in enumerate(zip(*below)) if x != y), min(map(len, below)))
+    shared = Counter(h for h, _ in firsts[0]) & Counter(h for h, _ in firsts[1])
+    rest: list[list[tuple[str, np.ndarray]]] = []
+    for t in (a, b):
+        left, at, open_ = Counter(shared), 0, []
+        for h, s in t["sections"]:
+            if left[h] > 0:
+                left[h] -= 1
+            else:
+                open_ += zip(s, t["leaves"][at : at + len(s)])
+            at += len(s)
+        rest.append(open_)
+    shared = Counter(h for h, _ in rest[0]) & Counter(h for h, _ in rest[1])
+    ends = []
+    for open_ in rest:
+        left, held = Counter(shared), [np.zeros(0, np.uint64)]
+        for h, leaf in open_:
+            if left[h] > 0:
+                left[h] -= 1
+            else:
+                held.append(leaf)
+        ends.append(np.concatenate(held))
+    (x, n), (y, m) = (np.unique(e, return_counts=True) for e in ends)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    size = [sum(map(len, t["leaves"])) for t in (a, b)]
+    common = size[0] - len(ends[0]) + int(np.minimum(n[i], m[j]).sum())
+    return min(0.999, common / max(1, sum(size) - common)) if min(size) else 0.0, len(rest[1]) - sum(shared.values()), first
+
+
 def sketches(n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """A row of SLOTS bytes for each of n texts: the lowest byte of the least of its leaves under each slot's order.
 
@@ -138,10 +182,16 @@ def sketches(n: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.nda
     return np.where(least == empty, 0, least >> np.uint64(8)).astype(np.uint8)
 
 
-def fingerprints(texts: list[str]) -> list[str]:
-    """root:sketch of each text, in hex. Equal texts have equal fingerprints, different ones different roots."""
+def with_trees(texts: list[str]) -> tuple[list[dict], list[str]]:
+    """Tree and fingerprint (root:sketch in hex) of each text."""
     found = leaves(texts)
-    return [f"{t['root']}:{s.tobytes().hex()}" for t, s in zip(trees(texts, found), sketches(len(texts), found))]
+    grown = list(trees(texts, found))
+    return grown, [f"{t['root']}:{s.tobytes().hex()}" for t, s in zip(grown, sketches(len(texts), found))]
+
+
+def fingerprints(texts: list[str]) -> list[str]:
+    """The fingerprint of each text. Equal texts have equal fingerprints, different ones different roots."""
+    return with_trees(texts)[1]
 
 
 def likeness(a: list[str], b: list[str]) -> np.ndarray:
@@ -169,8 +219,9 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            rows = [[{"hash": h, "paragraphs": p} for h, p in t["sections"]] for t in trees(texts, leaves(texts))]
-            yield pa.record_batch([*batch.columns, pa.array(fingerprints(texts)), pa.array(rows, kind)], names=[*names, "fingerprint", "sections"])
+            grown, prints = with_trees(texts)
+            rows = [[{"hash": h, "paragraphs": p} for h, p in t["sections"]] for t in grown]
+            yield pa.record_batch([*batch.columns, pa.array(prints, pa.string()), pa.array(rows, kind)], names=[*names, "fingerprint", "sections"])
 
     return source.mapInArrow(run, schema)
 
@@ -182,8 +233,10 @@ def id_ranges(ids: DataFrame, column: str, n: int) -> list[int]:
 
 
 def edited_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): a row for each row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_changed, first_changed): a row for each row.
 
+    near_edited and near_next are the shares of common leaves of the trees, n_changed and first_changed the number of
+    paragraphs of the edited text that the text's tree does not have, and the first place (from 0) where both differ.
     The next document follows in descending doc_id (rows of one id in the order of their texts, null ids
     last); after the last comes the first. An empty table gives no rows; null texts are empty; a long text is
     read whole, by one task. Rows are dealt by ranges of ids, so neighbours meet in a task; the
@@ -213,7 +266,7 @@ def edited_pairs(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     own, guest = F.struct("part", F.lit(False).alias("guest")), F.struct(ahead.alias("part"), F.lit(True).alias("guest"))
     placed = ranged(rows).select("doc_id", "at", "text", F.explode(F.when(F.col("at") == head, F.array(own, guest)).otherwise(F.array(own))).alias("p"))
     placed = placed.select("doc_id", "at", "text", "p.part", "p.guest").repartition("part").sortWithinPartitions("part", "guest", F.desc("at"), "text")
-    return placed.mapInArrow(_edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInArrow(_edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_changed long, first_changed long")
 
 
 def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +275,16 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def result(rows: list[tuple], following: list[str]) -> pa.RecordBatch:
         texts = [t for _, t in rows]
         edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following)]
-        prints = fingerprints([*texts, following[-1]])
-        own, nexts, changed = prints[:-1], prints[1:], fingerprints(edited)
+        (grown, prints), (other, changed) = with_trees([*texts, following[-1]]), with_trees(edited)
         sha = [hashlib.sha256(e.encode()).hexdigest() for e in edited]
-        return pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.array(own), pa.array(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, nexts))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        near, places, first = zip(*map(compare, grown, other))
+        near_next = [compare(x, y)[0] for x, y in zip(grown, grown[1:])]
+        columns = {
+            "doc_id": pa.array([i for i, _ in rows], pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "edited_sha256": pa.array(sha),
+            "fingerprint": pa.array(prints[:-1]), "edited_fingerprint": pa.array(changed), "near_edited": pa.array(near, pa.float64()), "near_next": pa.array(near_next, pa.float64()),
+            "n_changed": pa.array(places, pa.int64()), "first_changed": pa.array(first, pa.int64()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
 
     held: list[tuple] = []
     part, guest_seen = None, False

@@ -81,6 +81,25 @@ def test_trees_locate_edits():
     assert 0.6 < merkle.likeness([a], [b])[0] < 1 and merkle.likeness([a], [c])[0] < 0.1
 
 
+def test_trees_are_compared_by_their_branches():
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["one", "two", "six", "ten", "red"]) for _ in range(rng.randint(0, 9)))
+    for _ in range(300):
+        a = [line() for _ in range(rng.randint(1, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 2)] = [line() for _ in range(rng.randint(0, 2))]
+        x, y = "\n".join(a), "\n".join(b)
+        a, b = x.split("\n"), y.split("\n")
+        near, changed, first = merkle.compare(merkle.tree(x), merkle.tree(y))
+        m, n = (collections.Counter(merkle.leaves([t])[0].tolist()) for t in (x, y))
+        share = sum((m & n).values()) / max(1, sum((m | n).values()))
+        assert math.isclose(near, 1 if x == y else min(0.999, share) if m and n else 0)
+        assert changed == sum((collections.Counter(b) - collections.Counter(a)).values())
+        assert first == (None if a == b else next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b))))
+
+
 def test_edits_turn_one_text_into_the_other():
     rng = random.Random(15)
     for _ in range(400):
@@ -535,14 +554,29 @@ def test_languages_of_held_out_documents(docs):
     assert len(got) > 20 and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
 
 
-def test_codewords_differ():
-    for k in (2, 3, 4, 7, 8, 30):
-        code = langid.codewords(k)
-        distance = (code[:, None, :] != code[None, :, :]).sum(2) + np.eye(k, dtype=int) * 99
-        assert code.shape[0] == k and distance.min() >= 1
+@pytest.mark.parametrize("k", [2, 3, 4, 5, 7, 8, 30, 200])
+def test_a_wrong_bit_is_corrected(k):
+    code = langid.codewords(k)
+    distance = (code[:, None, :] != code[None, :, :]).sum(2) + np.eye(k, dtype=int) * 999
+    assert code.shape[0] == k and distance.min() >= max(3, code.shape[1] / 4 if k > 7 else 0)
+    model = langid.Model([str(x) for x in range(k)], code, np.zeros((1, code.shape[1])), np.zeros(code.shape[1]), 1.0)
+    for bit in range(code.shape[1]):
+        margins = 5 * code
+        margins[:, bit] *= -1
+        assert langid.decode(model, margins)[0].tolist() == list(range(k))
     assert langid.codewords(4).shape[1] == 7
 
 
+def test_two_languages_have_different_classifiers(spark):
+    rng = random.Random(5)
+    words = {"aa": ["der", "die", "und", "nicht", "ein"], "bb": ["the", "and", "not", "one", "of"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(12)), k) for i, k in enumerate(["aa", "bb"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.col("doc_id") % 4 != 0)
+    assert len({model.weights[:, k].tobytes() for k in range(model.codes.shape[1])}) == 5
+    assert all(r.lang == r.lang_pred for r in langid.identify(docs, model).collect())
+
+
 def test_languages_of_odd_rows(odd, none):
     model = langid.train(odd, F.lit(True))
     got = {(r.doc_id, r.text): r for r in langid.identify(odd, model).collect()}
