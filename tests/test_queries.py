@@ -43,6 +43,16 @@ def test_query_equals_sql(spark, duck, name):
         assert all((x == y) or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-5) for x, y in zip(a, b)), (a, b)
 
 
+@pytest.mark.parametrize("key, where, folds", [("p_partkey", "p_partkey < 72", 3), ("p_partkey - 100", "TRUE", 7)])
+def test_weight_grid_search_scores_every_pair_whatever_its_folds(spark, tmp_path, key, where, folds):
+    c, name = duckdb.connect(), "b5_weight_grid_search"
+    c.execute(f"COPY (SELECT * REPLACE ({key} AS p_partkey) FROM '{SF}/part.parquet' WHERE {where}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'; CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = plain(c.execute(f"SELECT fold, category, point, ap FROM ({SQL[name]})").fetchall())
+    assert len({w[0] for w in want}) == folds and {w[2] for w in want} == set(range(15))
+    assert plain(QUERIES[name](spark, str(tmp_path)).select("fold", "category", "point", "ap").collect()) == want
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["category", "n_rows", "positives", "ap"] and df.count() > 0
