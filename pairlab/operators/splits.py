@@ -29,11 +29,13 @@ def stratified_fold(components: DataFrame, seed: str, k: int) -> DataFrame:
 
     The load of a fold is the worse of its pairs and positives against their shares of the category (positives'
     share at least 1); ties go to the lowest fold. A category is one sequence by definition: Spark sorts its rows
-    on disk, and they stream through one task whose state is 2k numbers. Categories run apart.
+    on disk, and they stream through one task whose state is 2k numbers. Categories run apart. They are dealt by a hash
+    of the category: a repartition by the join's own key is left out as already done, and adaptive execution is then
+    free to read the join's rows in parts, each of which would start with empty folds.
     """
     shares = components.groupBy("category").agg((F.sum("pairs") / k).alias("share_p"), F.greatest(F.sum("positives") / k, F.lit(1.0)).alias("share_t"))
     rows = components.join(shares, "category").withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")), 256))
-    ordered = rows.repartition("category").sortWithinPartitions("category", F.desc("pairs"), "h")
+    ordered = rows.repartition(F.xxhash64("category")).sortWithinPartitions("category", F.desc("pairs"), "h")
 
     def run(batches):
         category, p, q = None, [], []

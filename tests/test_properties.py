@@ -528,3 +528,25 @@ def test_stack_fits_have_no_slope(wide):
     rows = VectorAssembler(inputCols=[f"x_{m}" for m in models], outputCol="x").transform(blend.stack_inputs(wide, models, "logit")).withColumn("label", F.col("target").cast("double")).where("fold <> 2")
     model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1 / rows.count(), standardization=False, maxIter=200, tol=1e-12).fit(rows)
     assert [fits[2][1], *fits[2][2]] == pytest.approx([model.intercept, *model.coefficients], abs=1e-5)
+
+
+def test_stratified_fold_deals_a_category_as_one_sequence_whatever_the_plan(spark):
+    rows = [("ab"[i % 2], i, 1 + i * 7 % 5, i * 3 % 2) for i in range(4000)]
+    components = spark.createDataFrame(rows, "category string, component long, pairs long, positives long").repartition(8, "component")
+    want = {}
+    for category in "ab":
+        mine = [x for x in rows if x[0] == category]
+        share_p, share_t = sum(x[2] for x in mine) / 4, max(sum(x[3] for x in mine) / 4, 1.0)
+        p, q = [0] * 4, [0] * 4
+        for _, component, n, m in sorted(mine, key=lambda x: (-x[2], hashlib.sha256(f"s:{x[1]}".encode()).hexdigest())):
+            f = min(range(4), key=lambda i: (max((p[i] + n) / share_p, (q[i] + m) / share_t), i))
+            p[f], q[f], want[component] = p[f] + n, q[f] + m, f
+    # The shares are found small while the join runs, as with large tables.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        assert {r.component: r.fold for r in splits.stratified_fold(components, "s", 4).collect()} == want
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
