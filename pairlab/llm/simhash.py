@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.common import chunks, materialise
 from pairlab.operators.components import checkpointed, connected_components
+from pairlab.operators.joins import by_size, shuffled
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
 #: (lowest bit, width, radius) of each segment.
@@ -117,16 +118,18 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments=SEGMENTS, block:
     probes = prints.select("fp", F.posexplode(F.array(*balls)).alias("seg", "ball")).select("fp", "seg", F.explode("ball").alias("key"))
     sizes = entries.groupBy("seg", "key").agg(F.count("*").alias("n_rows"))
     asked = probes.groupBy("seg", "key").agg(F.count("*").alias("n_probes"))
-    hot = checkpointed(sizes.join(asked, ["seg", "key"]).where((F.col("n_rows") > block) | (F.col("n_probes") > block)))
+    # Entries and probes are 3 and some 24 rows for each fingerprint, which Spark sizes as one: neither may be sent to all tasks.
+    hot = checkpointed(sizes.join(shuffled(asked), ["seg", "key"]).where((F.col("n_rows") > block) | (F.col("n_probes") > block)))
     on = ["seg", "key"]
+    hot = by_size(hot)
     left = entries.join(hot, on, "left_anti").withColumnRenamed("fp", "a")
     right = probes.join(hot, on, "left_anti").withColumnRenamed("fp", "b")
-    usual = left.join(right, on).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
+    usual = left.join(shuffled(right), on).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
     def parts(n: str):
         return F.ceil(F.col(n) / block).cast("int")
 
-    grid = hot.select(*on, parts("n_rows").alias("down"), parts("n_probes").alias("across"))
+    grid = hot.select(*on, parts("n_rows").alias("down"), parts("n_probes").alias("across"))  # the hint stays with the rows
     rows = entries.join(grid, on).select(*on, "fp", F.lit(False).alias("probe"), F.pmod(F.xxhash64("fp"), "down").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
     asks = probes.join(grid, on).select(*on, "fp", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod(F.xxhash64("fp"), "across").cast("int").alias("j"))
     dense = rows.unionByName(asks).groupBy(*on, "i", "j").applyInPandas(lambda t: block_links(t, max_bits), "a long, b long")

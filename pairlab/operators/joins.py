@@ -10,8 +10,21 @@ from pairlab.operators.components import checkpointed
 from pairlab.operators.contracts import item_ids, unique
 
 
-#: Ids of items that are sent to all tasks at most, some 16 bytes each; more of them meet the items by a shuffle.
-SENT_IDS = 4_000_000
+#: Ids of items that are sent to all tasks at most; more of them meet the items by a shuffle. The driver builds what is
+#: sent, some 200 bytes for each id at its peak.
+SENT_IDS = 250_000
+
+
+def shuffled(table: DataFrame) -> DataFrame:
+    """table, which joins by a shuffle. It is for tables that grow with the input where Spark cannot tell: it sizes
+    arrays, maps and what an explode makes by their types alone, and files as they are compressed, so that it may take
+    a table of any size for one that the driver can send to all tasks."""
+    return table.hint("merge")
+
+
+def by_size(table: DataFrame, sent: int = SENT_IDS) -> DataFrame:
+    """table, which is sent to all tasks if it has `sent` rows at most, and otherwise joins by a shuffle. It is counted first."""
+    return F.broadcast(table) if table.count() <= sent else shuffled(table)
 
 
 def attach_items(pairs: DataFrame, items: DataFrame, cols: list[str], drop_missing: bool = False, known_unique: bool = False) -> DataFrame:
@@ -24,7 +37,7 @@ def attach_items(pairs: DataFrame, items: DataFrame, cols: list[str], drop_missi
     items = items if known_unique else once(items)
     out, how = pairs, "inner" if drop_missing else "left"
     for side in ("1", "2"):
-        out = out.join(items.select(F.col("id").alias(f"id{side}"), *[F.col(c).alias(f"{c}{side}") for c in cols]), f"id{side}", how)
+        out = out.join(shuffled(items.select(F.col("id").alias(f"id{side}"), *[F.col(c).alias(f"{c}{side}") for c in cols])), f"id{side}", how)
     return out
 
 
@@ -35,7 +48,7 @@ def needed_items(items: DataFrame, pairs: DataFrame, sent: int = SENT_IDS) -> Da
 
 def semi_join(items: DataFrame, ids: DataFrame, sent: int = SENT_IDS) -> DataFrame:
     """The items of the given ids, a table that is counted first."""
-    return items.join(F.broadcast(ids) if ids.count() <= sent else ids, "id", "left_semi")
+    return items.join(by_size(ids, sent), "id", "left_semi")
 
 
 def once(items: DataFrame) -> DataFrame:
@@ -43,7 +56,7 @@ def once(items: DataFrame) -> DataFrame:
     counts = items.groupBy("id").agg(F.count("*").alias("rows of an id"))
     message = F.concat(F.lit("repeated id: "), F.col("id").cast("string"))
     ok = F.when(F.col("rows of an id") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
-    return items.join(counts, "id").where(ok).drop("rows of an id")
+    return items.join(shuffled(counts), "id").where(ok).drop("rows of an id")
 
 
 def join_scores(df: DataFrame, scores: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
+import itertools
 import os
+import re
 import sys
 
 import pytest
@@ -19,3 +21,10 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def sent(df):
+    """The plan below each broadcast of df, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [m.start() if (m := re.search("[A-Z]", x)) else -1 for x in lines]
+    return ["\n".join(lines[j] for j in itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))) for i, x in enumerate(lines) if "BroadcastExchange" in x]

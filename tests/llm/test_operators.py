@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pairlab.llm import decontaminate, html_crf, langid, lm, merkle, packing, pii, secrets, simhash, toxicity
 from pairlab.llm.common import shared_dir
+from tests.conftest import sent
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -773,6 +774,15 @@ def test_links_lose_no_pair(spark, block):
     assert [find_mine(i) for i in range(len(values))] == [find(i) for i in range(len(values))]
 
 
+@pytest.mark.parametrize("block", [1024, 1])
+def test_links_send_no_table_that_grows_with_the_fingerprints(spark, tmp_path, block):
+    rows = spark.range(500).select((F.xxhash64("id") if block > 1 else F.col("id")).alias("fp"))
+    rows.write.parquet(f"{tmp_path}/prints")  # a file's size is known, so Spark has one to go by
+    plans = sent(simhash.links(spark.read.parquet(f"{tmp_path}/prints"), block=block))
+    assert plans and not any("Generate" in x or "parquet" in x for x in plans)
+
+
+
 # Secrets
 
 
