@@ -40,11 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and lost executors cost no rerun."""
+def materialise(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends there, and lost executors cost no rerun.
+
+    file_rows: rows of a file at most, 0 for no bound. Writer and reader hold some hundred rows or all of a file at
+    once, which is too much where a row has megabytes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

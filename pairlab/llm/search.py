@@ -240,7 +240,7 @@ def rank_documents(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     A text of any length is read whole, by one task; other columns are not read. Queries travel in blocks of bounded
     size; all statistics are over all documents.
     """
-    index = materialise(build_index(docs, id_col, text_col, shard_bytes), "search-index")
+    index = materialise(build_index(docs, id_col, text_col, shard_bytes), "search-index", file_rows=1)
     used = F.filter("lengths", lambda x: x > 0)
     n_docs, n_terms = index.select(F.size(used).alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("t")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType.simpleString()

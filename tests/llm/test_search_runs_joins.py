@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab.llm import jaccard, queries, runs, search
+from pairlab.llm.common import shared_dir
 from tests.llm.test_operators import LONG, ROWS, SF, lowered, none, odd  # noqa: F401
 
 # Ranked search
@@ -212,3 +214,13 @@ def test_search_of_lists_equals_counting():
 def test_join_over_odd_rows(odd, none):  # noqa: F811
     assert collections.Counter(map(tuple, jaccard.similar_documents(odd).collect())) == brute_classes([r[:2] for r in ROWS])
     assert jaccard.similar_documents(none).count() == 0
+
+
+def test_a_file_of_the_index_has_one_shard(spark):
+    docs = spark.range(40, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.col("id").cast("string"), 100)).alias("text"))
+    queries = spark.createDataFrame([("q", "word")], "item_id string, text string")
+    before = set(os.listdir(where := shared_dir(spark).removeprefix("file:")))
+    assert search.rank_documents(docs, queries, shard_bytes=1000).count() == 40
+    (new,) = (x for x in set(os.listdir(where)) - before if x.startswith("search-index"))
+    shards = spark.read.parquet(f"{where}/{new}").groupBy(F.input_file_name()).count().collect()
+    assert len(shards) > 2 and {r["count"] for r in shards} == {1}
