@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -561,3 +562,18 @@ def test_items_of_unknown_size_meet_pairs_by_a_shuffle(spark, t):
         assert not any("Generate" in x or "p_name" in x or "p_brand" in x for x in sent(df))
     ids = spark.range(5)
     assert not sent(joins.semi_join(spark.range(9), ids, sent=4)) and len(sent(joins.semi_join(spark.range(9), ids, sent=5))) == 1
+
+
+def test_tree_fits_read_few_partitions_side_by_side(spark, monkeypatch):
+    rows = spark.range(400).repartition(64, "id").select(F.col("id").alias("id1"), F.col("id").alias("id2"), (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 3 == 0).cast("int").alias("target"), (F.col("id") % 3).cast("double").alias("signal"))
+    seen, waiting = [], threading.Barrier(2, timeout=60)
+
+    def fit(self, df, fit=blend.GBTClassifier.fit):
+        waiting.wait()  # breaks if one fit waits for the other to end
+        seen.append(df.rdd.getNumPartitions())
+        return fit(self, df)
+
+    monkeypatch.setattr(blend.GBTClassifier, "fit", fit)
+    got, importance = blend.train_oof(rows, ["signal"], [0, 1], rounds=1, depth=1)
+    assert len(seen) == 2 and max(seen) <= 4 and got.count() == 400 and {r.fold for r in importance.collect()} == {0, 1}
+    assert got.agg(F.min(F.when(F.col("target") == 1, F.col("predict")))).first()[0] > got.agg(F.max(F.when(F.col("target") == 0, F.col("predict")))).first()[0]
